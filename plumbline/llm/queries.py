@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, quality, sharding, token_output, url_filter
+from . import decontaminate, langid, line_dedup, mixing, neardup, quality, sharding, token_output, url_filter
 
 #: Bytes of text in a shard.
 SHARD_BYTES = 1 << 20
+#: Lines in a row that make a repeated run.
+MIN_LINES = 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +31,21 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", *sharding.RESULT)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.judge(docs, table(spark, sf_dir, "benchmark")).select("doc_id", *decontaminate.RESULT)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), MIN_LINES)
+    return cut.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5("kept_text").alias("kept_md5"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.RULES).drop("url")
 
@@ -53,11 +65,13 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_sharding, op4_mixing, op7_url_filter, op8_token_output, op9_quality_rules, op10_minhash_near_dedup)
+    f.__name__: f for f in (op1_language_id, op2_sharding, op3_decontamination, op4_mixing, op6_line_dedup, op7_url_filter, op8_token_output, op9_quality_rules, op10_minhash_near_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_sharding": sharding.oracle(SHARD_BYTES),
+    "op3_decontamination": decontaminate.ORACLE,
     "op4_mixing": mixing.ORACLE,
+    "op6_line_dedup": line_dedup.oracle(MIN_LINES),
     "op7_url_filter": url_filter.ORACLE,
 }

@@ -73,7 +73,7 @@ class Bloom:
         return cls(level, words)
 
     def test(self, key: Column) -> Column:
-        words = F.lit(self.words).cast("array<bigint>")
+        words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
         hit = lambda p: F.getbit(F.element_at(words, (F.floor(p / 64) + 1).cast("int")), (p % 64).cast("int")) == 1
         return reduce(lambda a, b: a & b, [hit(p) for p in self.positions(key, self.level, len(self.words) * 64)])
 
