@@ -19,6 +19,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
 
@@ -87,11 +88,10 @@ def dedup(docs: DataFrame, min_lines: int = 3) -> DataFrame:
     lines = F.filter(lines_of("text"), has_word)
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     runs = F.size(F.array_except(removed, F.transform(removed, lambda a: a + 1)))
-    return both.select(*[f"`{c}`" for c in own], F.size(lines).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), runs.cast("long").alias("n_runs"), without("text", "removed").alias("kept_text"))
+    return both.select(*[f"`{c}`" for c in own], F.size(lines).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), runs.cast("long").alias("n_runs"), F.arrow_udf(_without, T.StringType())("text", "removed").alias("kept_text"))
 
 
-@F.arrow_udf("string")
-def without(text: pa.Array, removed: pa.Array) -> pa.Array:
+def _without(text: pa.Array, removed: pa.Array) -> pa.Array:
     """Each text without the lines listed; the list counts lines with a word only."""
     out = []
     for t, gone in zip(text, removed, strict=True):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, mixing, neardup, quality, sharding, token_output, url_filter
+from . import decontaminate, langid, line_dedup, mixing, neardup, quality, sharding, suffix_dedup, token_output, url_filter
 
 #: Bytes of text in a shard.
 SHARD_BYTES = 1 << 20
@@ -41,6 +41,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), MIN_LINES)
     return cut.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5("kept_text").alias("kept_md5"))
@@ -65,7 +69,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_sharding, op3_decontamination, op4_mixing, op6_line_dedup, op7_url_filter, op8_token_output, op9_quality_rules, op10_minhash_near_dedup)
+    f.__name__: f for f in (op1_language_id, op2_sharding, op3_decontamination, op4_mixing, op5_suffix_dedup, op6_line_dedup, op7_url_filter, op8_token_output, op9_quality_rules, op10_minhash_near_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
