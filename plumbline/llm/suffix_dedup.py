@@ -278,10 +278,10 @@ def sorted_runs(candidates: DataFrame, s: Shape, ranges: int) -> DataFrame:
             for doc, text_hash, packed, spots in zip(*batch.columns, strict=True):
                 data = unzip.decompress(packed.as_py())
                 ids = (doc.as_py(), text_hash.as_py())
-                # A repeated row lists each spot once a row; both are occurrences.
+                # The low bits deal the ranges: anchors are least hashes, so their high bits are mostly 0.
                 for gram, spot in zip(spots.values.field("gram").to_pylist(), spots.values.field("spot").to_pylist(), strict=True):
                     at, lo, hi = spot >> 16, spot >> 8 & 255, spot & 255
-                    held[((gram & (1 << 64) - 1) * ranges) >> 64].append((data[at : at + s.length - lo], data[at - hi : at][::-1], *ids, at, lo, hi))
+                    held[((gram & (1 << 32) - 1) * ranges) >> 32].append((data[at : at + s.length - lo], data[at - hi : at][::-1], *ids, at, lo, hi))
                 size += 300 * len(spots.values)
             if size > s.run_bytes:
                 yield flush()
@@ -381,7 +381,7 @@ def removed_spans(docs: DataFrame, s: Shape | None = None) -> DataFrame:
     docs = docs.withColumn("doc", F.xxhash64("_id", "_text"))
     spots = anchor_rows(docs, s)
     twice = spots.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    flagged = spots.join(twice, "gram").groupBy("doc").agg(F.array_distinct(F.collect_list(F.struct("gram", "spot"))).alias("spots"))
+    flagged = spots.join(twice, "gram").groupBy("doc").agg(F.collect_set(F.struct("gram", "spot")).alias("spots"))
     flagged = materialize(flagged, "suffix-spots")
     total = flagged.agg(F.sum(F.size("spots"))).first()[0] or 0
     ranges = max(1, math.ceil(total / s.range_rows))
