@@ -65,11 +65,11 @@ class WordTokenizer:
             self.parts.clear()
         if _PLAIN.fullmatch(text):
             words, known = _BORDERS.findall(text.lower()), self.words
-            for w in set(words) - known.keys():
+            for w in [w for w in set(words) if w not in known]:
                 known[w] = self.pack([t.id for t in self.tokenizer.model.tokenize(w.translate(self.bytes_of))])
         else:
             words, known = _SPACES.split(text), self.parts
-            for w in set(words) - known.keys():
+            for w in [w for w in set(words) if w not in known]:
                 known[w] = self.pack(self.tokenizer.encode(w, add_special_tokens=False).ids)
         return b"".join(map(known.__getitem__, words))
 
