@@ -1,11 +1,13 @@
 """Near-duplicate documents by MinHash.
 
 A document is the set of its word shingles. Many universal hash minima make its signature, bands of the signature
-its buckets. Documents with equal sets are one node. In a bucket not all pairs are compared: a few pivots are
-compared with every other member, first by signature, then on the full sets; links give components by
-alternating large-star and small-star; a bucket whose members are in one component is done, any other goes round
-again with further pivots until each member was a pivot or joined. So no link between components is lost, and no
-group meets in one task.
+its buckets; documents with equal sets are one node. A bucket's pivot, its most central member, is compared with
+all others on the full sets, which also tells for each member what it lacks of the pivot and has beyond it, as bit
+sets. Links give components by alternating large-star and small-star. In a bucket whose members are then not all
+in one component, those outside the pivot's are held against every member of another component: the bit sets bound
+the intersection from above, pairs whose bound is too low never become rows, and the rest is verified by signature
+and then on the full sets. So every pair of a bucket that could join two components is decided, while no group
+meets in one task and a family of near copies costs one comparison a member.
 
 Defined cases: null or empty text and text without words have an empty set and link with nothing; texts with
 fewer words than a shingle are one shingle; rows with one doc_id are one document; a null doc_id links nothing
@@ -60,21 +62,20 @@ def shingles(text: str | None, k: int) -> np.ndarray:
 
 
 class MinHash:
-    """Multiply-add-shift hashes, odd multipliers."""
+    """h(x) = a * low(x) + high(x) modulo 2**32, over the halves of the shingle's hash: one ``a`` for each minimum."""
 
     def __init__(self, s: Settings):
-        rng = np.random.default_rng(s.seed)
-        n = s.bands * s.rows
         self.s = s
-        self.a = rng.integers(0, 2**64, n, dtype=np.uint64) | np.uint64(1)
-        self.b = rng.integers(0, 2**64, n, dtype=np.uint64)
+        self.a = np.random.default_rng(s.seed).integers(0, 2**32, s.bands * s.rows, dtype=np.uint32) | np.uint32(1)
 
     def signature(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(self.a), 0xFFFFFFFF, np.uint64)
-        for i in range(0, len(x), 1024):
-            part = x[i : i + 1024]
-            np.minimum(out, ((self.a[:, None] * part + self.b[:, None]) >> np.uint64(32)).min(axis=1), out=out)
-        return out.astype("<u4")
+        low, high = x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32)
+        out = np.full(len(self.a), 0xFFFFFFFF, np.uint32)
+        for i in range(0, len(x), 512):
+            h = self.a[:, None] * low[i : i + 512]
+            h += high[i : i + 512]
+            np.minimum(out, h.min(axis=1), out=out)
+        return out
 
     def buckets(self, signature: np.ndarray) -> list[int]:
         """A signed 64-bit hash of each band and its number."""
@@ -120,10 +121,57 @@ def full_sets(docs: DataFrame, s: Settings) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "node long, members binary")
 
 
+#: 64-bit words of a bit set of shingles.
+BIT_WORDS = 8
+_LACKS, _HAS = [f"m{i}" for i in range(BIT_WORDS)], [f"e{i}" for i in range(BIT_WORDS)]
+
+
+def side(t: DataFrame, name: str, *columns: str) -> DataFrame:
+    return t.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+
+
+def bit_set(x: np.ndarray) -> list[int]:
+    """Shingles as bits: at most as many as shingles, since two may share one."""
+    flags = np.zeros(64 * BIT_WORDS, np.uint8)
+    flags[(x % np.uint64(64 * BIT_WORDS)).astype(np.int64)] = 1
+    return np.packbits(flags).view(">i8").tolist()
+
+
+def against_pivot(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(p, x) -> with n_p, n, both, extra, hidden and the bit sets of p - x and x - p (``hidden``: shingles of x - p
+    that share their bit with another)."""
+    columns = ["p", "x", "n_p", "n", "both", "extra", "hidden", *_LACKS, *_HAS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for p, x, a, b in zip(*batch.columns, strict=True):
+                u, v = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                lacks, has = np.setdiff1d(u, v, assume_unique=True), np.setdiff1d(v, u, assume_unique=True)
+                bits = bit_set(has)
+                hidden = len(has) - sum((w & (1 << 64) - 1).bit_count() for w in bits)
+                rows.append((p.as_py(), x.as_py(), len(u), len(v), len(u) - len(lacks), len(has), hidden, *bit_set(lacks), *bits))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(columns))], names=columns)
+
+    full = pairs.join(side(sets, "p", "members"), "p").join(side(sets, "x", "members"), "x")
+    return full.select("p", "x", "p_members", "x_members").mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+
+
+def could_link(s: Settings) -> str:
+    """SQL over two members a and b of one pivot: whether the bound of their intersection leaves them a link.
+
+    Both lack at least the bits of either's lacks; beyond the pivot they share at most the common bits and what
+    hides behind a bit in one of them."""
+    num, den = s.similarity
+    lacks = " + ".join(f"bit_count(a.{c} | b.{c})" for c in _LACKS)
+    has = " + ".join(f"bit_count(a.{c} & b.{c})" for c in _HAS)
+    most = f"(a.n_p - ({lacks}) + least({has} + least(a.hidden, b.hidden), a.extra, b.extra))"
+    return f"{den} * {most} >= {num} * (a.n + b.n - {most})"
+
+
 def linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (p, x) whose signatures and then full sets agree."""
+    """The pairs (p, x) whose signatures and then full sets agree, as (u, v)."""
     floor, (num, den) = s.signature_floor, s.similarity
-    side = lambda t, name, c: t.select(F.col("node").alias(name), F.col(c).alias(f"{name}_{c}"))
 
     @F.arrow_udf("boolean")
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -134,7 +182,7 @@ def linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, s: Settings) ->
         out = []
         for x, y in zip(a, b, strict=True):
             u, v = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            both = len(u) + len(v) - len(np.unique(np.concatenate([u, v])))
+            both = len(np.intersect1d(u, v, assume_unique=True))
             out.append(den * both >= num * (len(u) + len(v) - both))
         return pa.array(out, pa.bool_())
 
@@ -144,54 +192,53 @@ def linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, s: Settings) ->
     return full.where(close("p_members", "x_members")).select(F.col("p").alias("u"), F.col("x").alias("v"))
 
 
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """bucket, node of buckets with two members or more; of buckets with the same members one stays."""
+    rows = nodes.select("node", F.explode("buckets").alias("bucket")).distinct()
+    print_ = [F.sum(F.xxhash64(F.lit(k), "node").cast("decimal(38,0)")).alias(f"f{k}") for k in (1, 2)]
+    kept = rows.groupBy("bucket").agg(F.count("*").alias("n"), *print_).where("n > 1").groupBy("n", "f1", "f2").agg(F.min("bucket").alias("bucket"))
+    return rows.join(kept.select("bucket", "n"), "bucket")
+
+
 def link(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable) and kept, one row per document."""
     s = s or Settings()
+    num, den = s.similarity
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(signatures(base, s), "neardup-signed")
     same = materialize(signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")), "neardup-sets")
     heads = same.where("node is not null").select(F.col("node").alias("doc_id"), "set_a", "set_b")
     nodes = signed.join(heads, ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id", "set_a", "set_b"]).select(F.col("doc_id").alias("node"), "buckets", "signature")
 
-    rows = nodes.select("node", F.explode("buckets").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = materialize(rows.join(shared, "bucket"), "neardup-buckets")
+    members = materialize(shared_buckets(nodes), "neardup-buckets")
     wanted = members.select("node").distinct()
     nodes = materialize(nodes.join(wanted, "node", "left_semi").select("node", "signature"), "neardup-nodes")
     sets = materialize(full_sets(base.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), s), "neardup-full")
-    # Rows that share a doc_id are one document: its sets are linked before any comparison.
+
+    # The most central member, by the sizes of its buckets, is each bucket's pivot.
+    central = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    pivots = members.join(central, "node").groupBy("bucket").agg((-F.max(F.struct(F.col("weight"), (-F.col("node")).alias("least")))["least"]).alias("p"))
+    members = materialize(members.join(pivots, "bucket").select("bucket", "p", F.col("node").alias("x")), "neardup-members")
+    known = materialize(against_pivot(members.select("p", "x").distinct(), sets), "neardup-pivots")
+    edges = known.where((F.col("p") != F.col("x")) & (den * F.col("both") >= num * (F.col("n_p") + F.col("n") - F.col("both")))).select(F.col("p").alias("u"), F.col("x").alias("v"))
+    # Rows that share a doc_id are one document: its sets are linked as well.
     repeated = signed.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count_distinct("set_a", "set_b").alias("n")).where("n > 1").select("doc_id")
     repeated = signed.join(repeated, "doc_id").join(same, ["set_a", "set_b"]).select(F.col("doc_id").alias("u"), F.col("node").alias("v")).where("u <> v")
-    labels = components(repeated) if repeated.head(1) else None
-    turn = 0
-    while True:
-        own = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        picks = [F.min("node").alias("p0"), F.max(F.struct("label", "node"))["node"].alias("p1")]
-        picks += [F.max(F.struct(F.xxhash64("node", F.lit(turn), F.lit(i)), F.col("node")))["node"].alias(f"p{i + 2}") for i in range(min(2 ** (turn - 1), 16) if turn else 0)]
-        names = [f"p{i}" for i in range(len(picks))]
-        open_ = own.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *picks).where("lo <> hi")
-        open_ = materialize(open_.select("bucket", F.array_distinct(F.array(*names)).alias("pivots")), "neardup-open")
-        if not open_.head(1):
-            break
-        met = own.join(open_, "bucket")
-        each = met.select("bucket", "node", "label", F.explode("pivots").alias("p"))
-        if labels is None:
-            pairs = each.where("p <> node")  # every label is its node yet
-        else:
-            pairs = each.join(labels.select(F.col("node").alias("p"), F.col("label").alias("p_label")), "p", "left").where("p <> node and label <> coalesce(p_label, p)")
-        pairs = pairs.select(F.least("p", "node").alias("p"), F.greatest("p", "node").alias("x")).distinct()
-        new = materialize(linked(pairs, nodes, sets, s), "neardup-links")
-        if new.head(1):
-            stars = new if labels is None else new.unionByName(labels.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v")))
-            labels = components(stars)
-        members = materialize(met.where(~F.array_contains("pivots", F.col("node"))).select("bucket", "node"), "neardup-buckets")
-        turn += 1
-
-    ids = same.select("set_a", "set_b", "node")
-    if labels is not None:
-        ids = ids.join(labels, "node", "left").select("set_a", "set_b", F.coalesce("label", "node").alias("component"))
-    else:
-        ids = ids.select("set_a", "set_b", F.col("node").alias("component"))
+    labels = components(edges.unionByName(repeated).distinct())
+
+    label = lambda c, name: labels.select(F.col("node").alias(c), F.col("label").alias(name))
+    rest = members.join(label("x", "x_label"), "x", "left").withColumn("x_label", F.coalesce("x_label", "x"))
+    mixed = rest.groupBy("bucket").agg(F.min("x_label").alias("lo"), F.max("x_label").alias("hi")).where("lo <> hi").select("bucket")
+    rest = rest.join(mixed, "bucket").join(label("p", "p_label"), "p", "left").withColumn("p_label", F.coalesce("p_label", "p"))
+    rest = materialize(rest.join(known, ["p", "x"]), "neardup-rest")
+    outside = rest.where("x_label <> p_label")
+    pairs = rest.alias("b").join(outside.alias("a"), F.expr(f"a.bucket = b.bucket and a.x_label <> b.x_label and (b.x_label = b.p_label or a.x < b.x) and {could_link(s)}"))
+    pairs = pairs.select(F.least("a.x", "b.x").alias("p"), F.greatest("a.x", "b.x").alias("x")).distinct()
+    more = materialize(linked(pairs, nodes, sets, s), "neardup-links")
+    if more.head(1):
+        labels = components(more.unionByName(labels.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))))
+
+    ids = same.join(labels, "node", "left").select("set_a", "set_b", F.coalesce("label", "node").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(ids, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
