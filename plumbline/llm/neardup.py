@@ -153,7 +153,9 @@ def against_pivot(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 rows.append((p.as_py(), x.as_py(), len(u), len(v), len(u) - len(lacks), len(has), hidden, *bit_set(lacks), *bits))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(columns))], names=columns)
 
-    full = pairs.join(side(sets, "p", "members"), "p").join(side(sets, "x", "members"), "x")
+    # Pivots are few: their sets alone are dealt by pivot, and a pair carries its member's set there.
+    pivots = only(sets, "node", pairs.select(F.col("p").alias("node")).distinct())
+    full = pairs.join(side(sets, "x", "members"), "x").join(side(pivots, "p", "members"), "p")
     return full.select("p", "x", "p_members", "x_members").mapInArrow(run, ", ".join(f"{c} long" for c in columns))
 
 
@@ -192,12 +194,21 @@ def linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, s: Settings) ->
     return full.where(close("p_members", "x_members")).select(F.col("p").alias("u"), F.col("x").alias("v"))
 
 
+def only(df: DataFrame, column: str, wanted: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is a node of ``wanted``, which is broadcast up to ``most`` numbers."""
+    wanted = wanted.select(F.col("node").alias(column))
+    return df.join(F.broadcast(wanted) if wanted.count() <= most else wanted, column, "left_semi")
+
+
 def shared_buckets(nodes: DataFrame) -> DataFrame:
     """bucket, node of buckets with two members or more; of buckets with the same members one stays."""
-    rows = nodes.select("node", F.explode("buckets").alias("bucket")).distinct()
-    print_ = [F.sum(F.xxhash64(F.lit(k), "node").cast("decimal(38,0)")).alias(f"f{k}") for k in (1, 2)]
-    kept = rows.groupBy("bucket").agg(F.count("*").alias("n"), *print_).where("n > 1").groupBy("n", "f1", "f2").agg(F.min("bucket").alias("bucket"))
-    return rows.join(kept.select("bucket", "n"), "bucket")
+    # One exchange by bucket serves the count and the join back; the rows are two numbers and only pass through.
+    rows = nodes.select("node", F.explode("buckets").alias("bucket")).repartition("bucket")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    rows = materialize(rows.join(shared, "bucket"), "neardup-shared")
+    marks = [F.sum(F.xxhash64(F.lit(k), "node").cast("decimal(38,0)")).alias(f"f{k}") for k in (1, 2)]
+    kept = rows.groupBy("bucket", "n").agg(*marks).groupBy("n", "f1", "f2").agg(F.min("bucket").alias("bucket"))
+    return rows.join(kept.select("bucket"), "bucket")
 
 
 def link(docs: DataFrame, s: Settings | None = None) -> DataFrame:
@@ -208,12 +219,15 @@ def link(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     signed = materialize(signatures(base, s), "neardup-signed")
     same = materialize(signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")), "neardup-sets")
     heads = same.where("node is not null").select(F.col("node").alias("doc_id"), "set_a", "set_b")
-    nodes = signed.join(heads, ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id", "set_a", "set_b"]).select(F.col("doc_id").alias("node"), "buckets", "signature")
-
-    members = materialize(shared_buckets(nodes), "neardup-buckets")
-    wanted = members.select("node").distinct()
-    nodes = materialize(nodes.join(wanted, "node", "left_semi").select("node", "signature"), "neardup-nodes")
-    sets = materialize(full_sets(base.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), s), "neardup-full")
+    nodes = signed.select("doc_id", "set_a", "set_b", "buckets").join(heads, ["doc_id", "set_a", "set_b"], "left_semi").select(F.col("doc_id").alias("node"), "buckets")
+
+    members = materialize(shared_buckets(nodes).distinct(), "neardup-buckets")
+    wanted = materialize(members.select("node").distinct(), "neardup-wanted")
+    nodes = materialize(only(signed, "doc_id", wanted).where("n_shingles > 0").select(F.col("doc_id").alias("node"), "signature").distinct(), "neardup-nodes")
+    sets = full_sets(only(base, "doc_id", wanted), s)
+    if signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
+        sets = sets.distinct()  # repeated rows have one set
+    sets = materialize(sets, "neardup-full")
 
     # The most central member, by the sizes of its buckets, is each bucket's pivot.
     central = members.groupBy("node").agg(F.sum("n").alias("weight"))
