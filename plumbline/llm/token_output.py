@@ -14,6 +14,7 @@ ordered by their ids' hash; repeated rows are all written; an empty table gives
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,6 +35,20 @@ _SPACES = re.compile(r"[ \n\t\r]+")
 CACHE = 400_000
 
 
+class Known(dict):
+    """Ids by word; a new word is encoded on the way, and a full cache starts anew."""
+
+    def __init__(self, encode, most: int):
+        super().__init__()
+        self.encode, self.most = encode, most
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = ids = self.encode(word)
+        return ids
+
+
 class WordTokenizer:
     """The library's ids of whole texts, each distinct word encoded once while it stays in the cache.
 
@@ -48,9 +63,10 @@ class WordTokenizer:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         letters = map(chr, [*range(0x21, 0x7F), *range(0xC0, 0x100)])
-        self.bytes_of = {ord(c): level.pre_tokenize_str(c)[0][0] for c in letters}
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        bytes_of = {ord(c): level.pre_tokenize_str(c)[0][0] for c in letters}
+        model = self.tokenizer.model
+        self.words = Known(lambda w: self.pack([t.id for t in model.tokenize(w.translate(bytes_of))]), CACHE)
+        self.parts = Known(lambda w: self.pack(self.tokenizer.encode(w, add_special_tokens=False).ids), CACHE // 4)
 
     def pack(self, ids) -> bytes:
         return np.array(ids, dtype=f"<u{self.width}").tobytes()
@@ -59,19 +75,15 @@ class WordTokenizer:
         """Ids as little-endian numbers of ``width`` bytes."""
         if not text:
             return b""
-        if len(self.words) > CACHE:
-            self.words.clear()
-        if len(self.parts) > CACHE // 4:
-            self.parts.clear()
         if _PLAIN.fullmatch(text):
-            words, known = _BORDERS.findall(text.lower()), self.words
-            for w in [w for w in set(words) if w not in known]:
-                known[w] = self.pack([t.id for t in self.tokenizer.model.tokenize(w.translate(self.bytes_of))])
-        else:
-            words, known = _SPACES.split(text), self.parts
-            for w in [w for w in set(words) if w not in known]:
-                known[w] = self.pack(self.tokenizer.encode(w, add_special_tokens=False).ids)
-        return b"".join(map(known.__getitem__, words))
+            return b"".join(map(self.words.__getitem__, _BORDERS.findall(text.lower())))
+        return b"".join(map(self.parts.__getitem__, _SPACES.split(text)))
+
+
+@functools.cache
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One for each worker process, which Spark gives task after task: its cache of words stays warm."""
+    return WordTokenizer(path)
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -79,7 +91,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, text: str = "text
     schema = docs.select(F.col(key).alias("doc_id")).schema.add("n_tokens", T.LongType()).add("width", T.IntegerType()).add("ids", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordTokenizer(tokenizer)
+        coder = tokenizer_of(tokenizer)
         end = coder.pack([end_id])
         for batch in pieces(batches, "_text", 8 << 20):
             ids = [coder.encode(x.as_py()) + end for x in batch.column("_text")]
