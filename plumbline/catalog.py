@@ -16,6 +16,8 @@ from .functions import dates, numbers, text
 from .operators import analysis, clean, detectors, experiments, governance, joins, maintenance, models
 from .operators import query as q
 from .operators.table import ROW, AnalysisTable, number_rows
+from .plans import stages
+from .streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -475,3 +477,19 @@ _RK = "WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS g
 add("rk_rule", _rule, _RK + "SELECT actual, predicted, count(*) AS n FROM p GROUP BY 1, 2")
 add("rk_bacc", lambda s, d: models.balanced_accuracy(table(s, d, "labels").select(F.col("quality").alias("actual"), F.col("toxic").alias("predicted"))), "WITH g AS (SELECT quality, count(*) FILTER (WHERE quality = toxic) / count(*) AS r FROM labels GROUP BY 1) SELECT round(avg(r), 6) AS balanced_accuracy, count(*) AS classes FROM g")
 add("rk_eval", lambda s, d: s.createDataFrame(_card(maintenance.risk(_risk_rows(s, d), "sla_breach"), ["fitted", "train", "test", "score", "baseline", "verdict"]), _CARD))
+
+# ---- audit and live data
+
+add("au_evals", lambda s, d: stages.confusion(table(s, d, "labels"), "quality", "toxic"), "WITH c AS (SELECT quality AS t, toxic AS g, count(*) AS n FROM labels GROUP BY 1, 2), k AS (SELECT DISTINCT t AS c FROM c UNION SELECT DISTINCT g FROM c) SELECT k.c AS class, round(h / nullif(g, 0), 4) AS precision, round(h / nullif(s, 0), 4) AS recall, round(2 * (h / nullif(g, 0)) * (h / nullif(s, 0)) / nullif(h / nullif(g, 0) + h / nullif(s, 0), 0), 4) AS f1, CAST(s AS BIGINT) AS support FROM (SELECT k.c, coalesce(sum(n) FILTER (WHERE t = k.c), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE g = k.c), 0)::DOUBLE AS g, coalesce(sum(n) FILTER (WHERE t = k.c AND g = k.c), 0)::DOUBLE AS h FROM k, c GROUP BY k.c) k")
+
+
+def _lineage(s: SparkSession, d: str) -> DataFrame:
+    claims = _ORDERS(s, d).select(F.concat(F.lit("cl"), F.col("o_orderkey")).alias("claim"), (F.col("o_custkey") * 2).alias("calculation"))
+    return stages.dangling(claims, table(s, d, "customer").select(F.col("c_custkey").alias("calculation"))).groupBy("calculation").agg(F.count("*").alias("claims"))
+
+
+add("au_lineage", _lineage, "SELECT o_custkey * 2 AS calculation, count(*) AS claims FROM orders WHERE o_custkey * 2 NOT IN (SELECT c_custkey FROM customer) GROUP BY 1")
+add("lv_events", lambda s, d: table(s, d, "events").unionByName(table(s, d, "events")).dropDuplicates(["event_id"]).groupBy("event_type").agg(F.count("*").alias("n")), "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+add("lv_poll", lambda s, d: live.poll(table(s, d, "events"), "2024-01-10 00:00:00~~", "ts", "event_type", "event_id").select("event_id"), "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' ORDER BY ts, event_type, CAST(event_id AS VARCHAR) LIMIT 100")
+add("x_sessions", lambda s, d: live.sessions(table(s, d, "events"), "ts", "user_id").groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events")), "WITH g AS (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events) SELECT user_id, CAST(sum(new) AS BIGINT) AS sessions, count(*) AS events FROM g GROUP BY 1")
+add("x_windows", lambda s, d: table(s, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("string").alias("start"), "event_type", "n"), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -7,7 +7,7 @@ figure does not depend on the order of rows, and ratios are rounded to 4 digits,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.dates import next_labels
@@ -17,7 +17,10 @@ HORIZON, LEAST_PERIODS, LEAST_BACKTEST = 3, 4, 6
 #: Periods are uneven where the smallest has fewer records than this share of the largest.
 EVEN_SHARE = 0.75
 UPLIFTS = (0.05, 0.10, 0.20)
-_ALL = Window.partitionBy()  # over one row per group or period
+def _all() -> WindowSpec:
+    """Over all rows of a frame that has one per group or period."""
+    return Window.partitionBy()
+
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -72,7 +75,7 @@ def change(periods: DataFrame) -> DataFrame:
 
 def top_group(by_group: DataFrame) -> DataFrame:
     """The largest group and its share; ties go to the group seen first."""
-    whole = by_group.withColumn("all", F.sum(F.col("total").cast("decimal(28,2)")).over(_ALL).cast("double"))
+    whole = by_group.withColumn("all", F.sum(F.col("total").cast("decimal(28,2)")).over(_all()).cast("double"))
     return whole.orderBy(F.desc("total"), "first_seen").limit(1).select("group", "total", F.round(_ratio(F.col("total"), F.col("all")), 4).alias("share"))
 
 
@@ -83,7 +86,7 @@ def contributions(df: DataFrame, measure: str, by: str, label: Column) -> DataFr
     ends = rows.agg(F.min("label").alias("first"), F.max("label").alias("last"))
     at = cells.join(F.broadcast(ends), how="cross")  # one row of labels
     sums = at.groupBy("group").agg(F.sum(F.when(F.col("label") == F.col("last"), F.col("x")).otherwise(0)).alias("b"), F.sum(F.when(F.col("label") == F.col("first"), F.col("x")).otherwise(0)).alias("a"))
-    moved = sums.select("group", F.round((F.col("b") - F.col("a")).cast("double"), 2).alias("change"), F.sum(F.col("b") - F.col("a")).over(_ALL).cast("double").alias("_all"))
+    moved = sums.select("group", F.round((F.col("b") - F.col("a")).cast("double"), 2).alias("change"), F.sum(F.col("b") - F.col("a")).over(_all()).cast("double").alias("_all"))
     return moved.select("group", "change", F.round(_ratio(F.col("change"), F.col("_all")), 4).alias("share_of_change"), F.round("_all", 2).alias("total_change"))
 
 
@@ -114,7 +117,7 @@ def associations(df: DataFrame, measure: str, others: list[str]) -> DataFrame:
 def shares(by_group: DataFrame) -> DataFrame:
     """group, value, share, cumulative, largest first (ties by first seen)."""
     order = Window.orderBy(F.desc("total"), "first_seen")
-    whole = by_group.withColumn("_all", F.sum(F.col("total").cast("decimal(28,2)")).over(_ALL).cast("double")).where("_all <> 0")
+    whole = by_group.withColumn("_all", F.sum(F.col("total").cast("decimal(28,2)")).over(_all()).cast("double")).where("_all <> 0")
     out = whole.withColumn("share", F.round(_ratio(F.col("total"), F.col("_all")), 4))
     running = F.sum(F.col("share").cast("decimal(18,4)")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("double")
     return out.select("group", F.col("total").alias("value"), "share", running.alias("cumulative"), F.row_number().over(order).alias("place"))
@@ -166,9 +169,9 @@ def labelled_forecast(periods: DataFrame, horizon: int = HORIZON) -> DataFrame:
 
 def backtest(periods: DataFrame) -> DataFrame:
     """holdout and error: mean |gap| / |actual| over the last periods, from a line fitted before them."""
-    rows = numbered(periods).withColumn("n", F.count("*").over(_ALL)).withColumn("holdout", F.least(F.lit(3), F.greatest(F.lit(1), F.floor(F.col("n") / 4).cast("int"))))
+    rows = numbered(periods).withColumn("n", F.count("*").over(_all())).withColumn("holdout", F.least(F.lit(3), F.greatest(F.lit(1), F.floor(F.col("n") / 4).cast("int"))))
     train = F.col("x") < F.col("n") - F.col("holdout")
-    made = _fit_columns(F.when(train, F.col("x")), F.when(train, F.col("total")), _ALL)
+    made = _fit_columns(F.when(train, F.col("x")), F.when(train, F.col("total")), _all())
     held = rows.withColumns({"slope": made["slope"], "intercept": made["intercept"]}).where(~train & (F.col("n") >= LEAST_BACKTEST) & (F.col("total") != 0))
     gap = F.abs(F.col("intercept") + F.col("slope") * F.col("x") - F.col("total")) / F.abs(F.col("total"))
     return held.groupBy("holdout").agg(F.round(F.avg(gap), 4).alias("error"))
@@ -177,9 +180,9 @@ def backtest(periods: DataFrame) -> DataFrame:
 def anomalies(periods: DataFrame) -> DataFrame:
     """Periods beyond two population deviations of the residuals: label, value, expected, gap, spread."""
     rows = numbered(periods)
-    made = _fit_columns(F.col("x"), F.col("total"), _ALL)
-    rows = rows.withColumns({"n": F.count("*").over(_ALL), "expected": made["intercept"] + made["slope"] * F.col("x")}).withColumn("gap", F.col("total") - F.col("expected"))
-    rows = rows.withColumn("spread", F.sqrt(F.avg(F.col("gap") * F.col("gap")).over(_ALL)))
+    made = _fit_columns(F.col("x"), F.col("total"), _all())
+    rows = rows.withColumns({"n": F.count("*").over(_all()), "expected": made["intercept"] + made["slope"] * F.col("x")}).withColumn("gap", F.col("total") - F.col("expected"))
+    rows = rows.withColumn("spread", F.sqrt(F.avg(F.col("gap") * F.col("gap")).over(_all())))
     far = (F.col("n") >= LEAST_PERIODS) & (F.col("spread") > 0) & (F.abs("gap") > 2 * F.col("spread"))
     return rows.where(far).select("label", F.col("total").alias("value"), F.round("expected", 2).alias("expected"), F.round("gap", 2).alias("gap"), F.round("spread", 2).alias("spread"))
 
