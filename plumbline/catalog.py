@@ -427,7 +427,7 @@ def _findings(name: str, *also: str) -> Query:
 add("dt_identity", lambda s, d: _assets(s, d).groupBy("Asset_ID").agg(F.count_distinct("Asset_Class").alias("classes"), F.count_distinct("Site").alias("sites")).agg(F.count("*").alias("keys"), F.min("classes").alias("least_classes"), F.min("sites").alias("least_sites")), f"WITH a AS ({_ASSET}), g AS (SELECT Asset_ID, count(DISTINCT Asset_Class) AS c, count(DISTINCT Site) AS s FROM a GROUP BY 1) SELECT count(*) AS keys, min(c) AS least_classes, min(s) AS least_sites FROM g")
 add("dt_leakage", lambda s, d: detectors.purity(_assets(s, d), "shift", F.col("downtime").cast("double") > 0), "WITH g AS (SELECT o_orderkey % 4 AS g, count(*) AS n, count(*) FILTER (WHERE o_orderkey % 4 > 0) AS p FROM orders GROUP BY 1) SELECT count(*) AS groups, CAST(sum(CASE WHEN p >= n * 0.999 OR p <= n * 0.001 THEN n ELSE 0 END) AS BIGINT) AS pure_rows FROM g")
 add("dt_placeholder", lambda s, d: detectors.placeholder_gap(detectors.group_rates(_assets(s, d), "rate", "shift")), "WITH r AS (SELECT o_orderkey % 4 AS g, CASE WHEN o_orderkey % 4 = 0 THEN 0.0::DOUBLE ELSE (o_orderkey % 10) / 10.0::DOUBLE END AS x FROM orders), g AS (SELECT g, count(*) AS n, min(x) AS lo, max(x) AS hi, sum(CAST(x AS DECIMAL(28,6)))::DOUBLE AS s FROM r GROUP BY 1), f AS (SELECT *, lo = hi AND n >= 0.05 * (SELECT sum(n) FROM g) AS filler FROM g), z AS (SELECT 100 * sum(s) / sum(n) AS a, 100 * sum(s) FILTER (WHERE NOT filler) / sum(n) FILTER (WHERE NOT filler) AS m, coalesce(sum(n) FILTER (WHERE filler), 0) AS fr, count(*) FILTER (WHERE filler) AS fg, count(*) AS groups FROM f) SELECT round(a, 2) AS mean_all, round(m, 2) AS mean_measured, round(abs(a - m), 2) AS gap, CAST(fr AS BIGINT) AS filler_rows, fg AS filler_groups, groups FROM z")
-add("dt_scale", lambda s, d: table(s, d, "lineitem").agg(F.min("l_discount").alias("lo"), F.max("l_discount").alias("hi")), "SELECT min(l_discount) AS lo, max(l_discount) AS hi FROM lineitem")
+add("dt_scale", lambda s, d: table(s, d, "lineitem").agg((F.min("l_discount") + 0.0).alias("lo"), (F.max("l_discount") + 0.0).alias("hi")), "SELECT min(l_discount) + 0.0 AS lo, max(l_discount) + 0.0 AS hi FROM lineitem")
 
 
 def _broken(s: SparkSession, d: str) -> DataFrame:

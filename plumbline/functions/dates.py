@@ -76,9 +76,10 @@ def _named(t: Column) -> Column:
 
 def _named_words(padded: Column) -> Column:
     names = sorted(((n, k) for k, v in MONTH_NAMES.items() for n in v), key=lambda x: (-len(x[0]), x[0]))
-    month = F.coalesce(*[F.when(padded.contains(f" {n} "), F.lit(k)) for n, k in names])
-    any_name = "|".join(n for n, _ in names)
-    rest = F.trim(F.regexp_replace(padded, f" (?:{any_name})(?= )", ""))
+    any_name = f" (?:{'|'.join(n for n, _ in names)})(?= )"
+    # Two names, as in "May June 2025", are no date.
+    month = F.when(F.regexp_count(padded, F.lit(any_name)) == 1, F.coalesce(*[F.when(padded.contains(f" {n} "), F.lit(k)) for n, k in names]))
+    rest = F.trim(F.regexp_replace(padded, any_name, ""))
     two = r"^(\d{1,2}) (\d{1,4})$"
     first4 = r"^(\d{4}) (\d{1,2})$"
     only = r"^(\d{4}|\d{2})$"
