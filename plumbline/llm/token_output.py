@@ -60,6 +60,8 @@ class WordTokenizer:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Strings that the tokenizer reads as one id wherever they stand.
+        self.marks = sorted({x for t in self.tokenizer.get_added_tokens_decoder().values() for x in (t.content, t.content.lower())})
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         letters = map(chr, [*range(0x21, 0x7F), *range(0xC0, 0x100)])
@@ -75,8 +77,11 @@ class WordTokenizer:
         """Ids as little-endian numbers of ``width`` bytes."""
         if not text:
             return b""
+        low = text.lower()
+        if any(mark in low for mark in self.marks):
+            return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if _PLAIN.fullmatch(text):
-            return b"".join(map(self.words.__getitem__, _BORDERS.findall(text.lower())))
+            return b"".join(map(self.words.__getitem__, _BORDERS.findall(low)))
         return b"".join(map(self.parts.__getitem__, _SPACES.split(text)))
 
 
