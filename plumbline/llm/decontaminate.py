@@ -6,7 +6,8 @@ positions are tested against it before any row is made, the few that pass join t
 around each hit the two word sequences are compared position by position.
 
 A document is contaminated by an item if ``window`` words in a row of the item (all of them, if it has fewer)
-stand in the document aligned with at most ``2 * window // 13`` words replaced: 2 of 13. The mask 11011 finds
+stand in the document aligned with at most ``2 * window // 13`` words replaced: 2 of 13. A place beyond the
+document's ends counts as replaced. The mask 11011 finds
 every such window of five words or more: a test tries all placements of replaced words.
 
 Defined cases: null or empty texts have no words and are clean; items of under ``least`` words contaminate

@@ -42,7 +42,7 @@ def keys(lengths: Sequence[int]) -> Column:
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     with_cut = lambda n: F.transform(suffixes, lambda s: F.concat(s, F.substring("path", 1, n)))
-    cuts = [F.when(F.length("path") >= n, with_cut(n)) for n in lengths]
+    cuts = [F.when(F.length("path") >= n, with_cut(n)) for n in lengths] or [F.array().cast("array<string>")]
     known = F.flatten(F.array_compact(F.array(*cuts)))
     return F.when(F.length("host") > 0, known).otherwise(F.array().cast("array<string>"))
 
