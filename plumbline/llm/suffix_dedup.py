@@ -380,7 +380,8 @@ def removed_spans(docs: DataFrame, s: Shape | None = None) -> DataFrame:
     s = s or Shape()
     docs = docs.withColumn("doc", F.xxhash64("_id", "_text"))
     spots = anchor_rows(docs, s)
-    twice = spots.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # Written first, so that both sides of the join are plain exchanges, of which a hot gram's can be split.
+    twice = materialize(spots.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "suffix-grams")
     flagged = spots.join(twice, "gram").groupBy("doc").agg(F.collect_set(F.struct("gram", "spot")).alias("spots"))
     flagged = materialize(flagged, "suffix-spots")
     total = flagged.agg(F.sum(F.size("spots"))).first()[0] or 0
