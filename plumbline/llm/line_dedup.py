@@ -9,6 +9,9 @@ is no power of two) an interval is a run of lines that repeats: its first place,
 the lines of every later place are deleted. Overlapping places join to the maximal repeated runs. Runs are judged on
 the input: of lines that repeat back to back, what comes before the second place stays.
 
+With ``min_words`` an interval of fewer lines is a run too if it has that many words. Every depth up to ``min_lines``
+is then visited; no depth beyond is needed, since each longer run is covered by its windows of ``min_lines``.
+
 Defined cases: null text has no lines; lines without a word are never part of a run and stay; a run may repeat
 within one document; null doc_ids come first; rows equal in doc_id and text are one document, whose copies get
 the same verdict; extra columns pass through and result columns replace columns of their name.
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, word_count
 
 RESULT = ["n_lines", "n_removed", "n_runs", "kept_text"]
 KEY = ["_id", "_text"]
@@ -42,10 +45,10 @@ def lines_of(text: str) -> Column:
 
 
 def sequence_of(docs: DataFrame) -> DataFrame:
-    """_id, _text, at, line_no and rank (the line's id, 128 bits) of each line with a word."""
+    """_id, _text, at, line_no, rank (the line's id, 128 bits) and words of each line with a word."""
     rows = docs.select(*KEY, F.posexplode(F.filter(F.transform(lines_of("text"), lambda x, i: F.struct(F.trim(x, F.lit(_SPACE)).alias("line"), i.alias("line_no"))), lambda s: F.length(s["line"]) > 0)).alias("at", "x"))
     rank = F.struct(F.xxhash64("x.line").alias("a"), F.xxhash64(F.lit("line"), "x.line").alias("b"))
-    return rows.select(*KEY, "at", F.col("x.line_no").alias("line_no"), rank.alias("rank"))
+    return rows.select(*KEY, "at", F.col("x.line_no").alias("line_no"), rank.alias("rank"), word_count(F.col("x.line")).alias("words"))
 
 
 def shared(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -56,34 +59,52 @@ def shared(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(seen, by)
 
 
-def later_runs(docs: DataFrame, min_lines: int = 3) -> DataFrame:
-    """(_id, _text, at): starts of runs of ``min_lines`` lines that also stand at an earlier place."""
+def later_runs(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
+    """(_id, _text, at, lines): starts of runs of ``min_lines`` lines, or of fewer with ``min_words`` words, that also
+    stand at an earlier place."""
+    by_words = min_words is not None
+    # ``words`` of the line itself, ``total`` of all lines at the depth.
+    kept = ["words"] if by_words else []
+
     def ahead(rows: DataFrame, by: int) -> DataFrame:
         """With ``other``, the rank ``by`` lines on, if that place still has one."""
-        far = rows.select(*KEY, (F.col("at") - by).alias("at"), F.col("rank").alias("other"))
+        far = rows.select(*KEY, (F.col("at") - by).alias("at"), F.col("rank").alias("other"), *[F.col("total").alias("other_total") for _ in kept])
         return rows.drop("first").join(far, [*KEY, "at"])
 
-    now, depth = materialize(shared(sequence_of(docs).distinct(), ["rank"]), "line-ranks"), 1
+    def later(rows: DataFrame, lines: int) -> DataFrame:
+        return rows.where(F.struct(F.col("_id"), F.col("at"), F.col("_text")) != F.col("first")).select(*KEY, "at", F.lit(lines).alias("lines"))
+
+    lines = sequence_of(docs)
+    if by_words:
+        lines = lines.withColumn("total", F.col("words"))
+    else:
+        lines = lines.drop("words")
+    now, depth, found = materialize(shared(lines.distinct(), ["rank"]), "line-ranks"), 1, []
     while depth < min_lines:
-        step = min(depth, min_lines - depth)
+        if by_words:
+            found.append(later(now.where(F.col("total") >= min_words), depth))
+        step = 1 if by_words else min(depth, min_lines - depth)
         pairs = ahead(now, step)
-        named = shared(pairs.select(*KEY, "at", F.struct(F.xxhash64("rank", "other").alias("a"), F.xxhash64(F.lit("pair"), "rank", "other").alias("b")).alias("rank")), ["rank"])
+        totals = [(F.col("words") + F.col("other_total")).alias("total") for _ in kept]
+        named = shared(pairs.select(*KEY, "at", *kept, *totals, F.struct(F.xxhash64("rank", "other").alias("a"), F.xxhash64(F.lit("pair"), "rank", "other").alias("b")).alias("rank")), ["rank"])
         now, depth = materialize(named, "line-ranks"), depth + step
-    here = F.struct(F.col("_id"), F.col("at"), F.col("_text"))
-    return now.where(here != F.col("first")).select(*KEY, "at")
+    out = later(now, depth)
+    for more in found:
+        out = out.unionByName(more)
+    return out
 
 
-def deleted(starts: DataFrame, min_lines: int) -> DataFrame:
+def deleted(starts: DataFrame) -> DataFrame:
     """_id, _text, removed: sorted places of all deleted lines; as many as the document has lines at most."""
-    places = F.flatten(F.transform(F.collect_list("at"), lambda a: F.sequence(a, a + (min_lines - 1))))
+    places = F.flatten(F.transform(F.collect_list(F.struct("at", "lines")), lambda s: F.sequence(s["at"], s["at"] + s["lines"] - 1)))
     return starts.groupBy(*KEY).agg(F.array_sort(F.array_distinct(places)).alias("removed"))
 
 
-def dedup(docs: DataFrame, min_lines: int = 3) -> DataFrame:
+def dedup(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
     """``docs`` with n_lines, n_removed, n_runs (maximal deleted runs) and kept_text."""
     own = [c for c in docs.columns if c not in RESULT]
     rows = keyed(docs.select(*[f"`{c}`" for c in own]))
-    gone = deleted(later_runs(rows.select(*KEY, "text"), min_lines), min_lines)
+    gone = deleted(later_runs(rows.select(*KEY, "text"), min_lines, min_words))
     both = rows.join(gone, KEY, "left")
     lines = F.filter(lines_of("text"), has_word)
     removed = F.coalesce("removed", F.array().cast("array<int>"))

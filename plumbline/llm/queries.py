@@ -13,6 +13,8 @@ from . import decontaminate, langid, line_dedup, mixing, neardup, quality, shard
 SHARD_BYTES = 1 << 20
 #: Lines in a row that make a repeated run.
 MIN_LINES = 3
+#: Words that make a repeated run of fewer lines.
+MIN_WORDS = 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +52,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5("kept_text").alias("kept_md5"))
 
 
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op6_line_dedup``, whose SQL knows lines alone, and repeated passages of fewer lines with ``MIN_WORDS`` words."""
+    cut = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), MIN_LINES, MIN_WORDS)
+    return cut.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5("kept_text").alias("kept_md5"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.RULES).drop("url")
 
@@ -69,7 +77,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_sharding, op3_decontamination, op4_mixing, op5_suffix_dedup, op6_line_dedup, op7_url_filter, op8_token_output, op9_quality_rules, op10_minhash_near_dedup)
+    f.__name__: f for f in (op1_language_id, op2_sharding, op3_decontamination, op4_mixing, op5_suffix_dedup, op6_line_dedup, op6_passage_dedup, op7_url_filter, op8_token_output, op9_quality_rules, op10_minhash_near_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {

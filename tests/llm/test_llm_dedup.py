@@ -155,6 +155,29 @@ def test_line_dedup_brute(spark, n):
     assert line_dedup.dedup(spark.createDataFrame([], SCHEMA), n).count() == 0
 
 
+@pytest.mark.parametrize(("n", "words"), [(3, 50), (1, 50), (4, 6)])
+def test_passage_dedup_brute(spark, n, words):
+    """Later copies of planted passages of one and two lines go; runs are judged by whole windows of 1 to n lines."""
+    r = random.Random(n)
+    one, two = " ".join(words_of(60, 1)), " ".join(words_of(30, 2)) + "\n" + " ".join(words_of(25, 3))
+    few = " ".join(words_of(49, 4))
+    docs = [(None, one), (1, None), (2, few), (3, few), (4, one), (5, two), (6, f"{one}\n{one}"), (7, " \n" + two + "\nend")]
+    docs += [(i, "\n".join(r.choice(["a b c", "d", "e f", one, two, few, f"own {i}"]) for _ in range(r.randrange(9)))) for i in range(10, 50)]
+    docs.append(docs[-1])
+    got = line_dedup.dedup(spark.createDataFrame(docs, SCHEMA).repartition(3), n, words)
+    seen, gone = set(), {}
+    for d in sorted(set(docs), key=lambda d: (d[0] is not None, d[0] or 0)):
+        lines, marks = [x.strip() for x in (d[1] or "").split("\n") if x.strip()], set()
+        for k, m in itertools.product(range(len(lines)), range(1, n + 1)):
+            window = tuple(lines[k : k + m])
+            if len(window) == m and (m == n or len(" ".join(window).split()) >= words):
+                marks |= set(range(k, k + m)) if window in seen else set()
+                seen.add(window)
+        gone[d] = (len(lines), len(marks), "\n".join(x for i, x in enumerate(lines) if i not in marks))
+    plain = lambda t: "\n".join(x.strip() for x in t.split("\n") if x.strip())
+    assert Counter((x["doc_id"], x["n_lines"], x["n_removed"], plain(x["kept_text"])) for x in got.collect()) == Counter((d[0], *gone[d]) for d in docs)
+
+
 # ---- 10
 
 
