@@ -2,13 +2,19 @@
 
 Each document's features are measured once. For every (language, source) a mergeable quantile sketch of each
 ratio is kept: counts of logarithmic buckets, two of which merge by adding, so partial sketches meet in an
-ordinary aggregation. A fence at the upper quartile plus ``reach`` quartile distances (never below a floor) is
-read from each sketch, joined back to the features, and a document beyond any fence goes. No fixed cutoff and no
-fixed share of rejects is involved: what is usual for a group stays.
+ordinary aggregation. Documents that fail the base rules are in no sketch. A fence at the upper quartile plus
+``reach`` times the distance from the median to it is read from each sketch, joined back to the features, and a
+document beyond any fence goes. Junk that makes up less than a quarter of a group reaches neither quantile. No
+fixed cutoff and no fixed share of rejects is involved: what is usual for a group stays.
+
+The distance is at least what the group can tell apart: one bucket's width at the quartile, and one event (a symbol,
+a repeated line, a window of words that comes twice) in the group's median document, whose words and lines are
+sketched too. Where half of a group's documents have one line, its fence on repeated lines is thus beyond any ratio.
+A group of under ``LEAST_DOCS`` documents takes the fences of its language's merged sketch.
 
 Defined cases: null text counts as no words and fails the base rules; null language or source is a group of its
-own; a group of a few documents has the fences of its few documents, never below the floors; repeated rows are
-judged alike and each counts in the sketch. Result columns replace columns of the same name.
+own; a language of a few documents has the fences of its few documents; repeated rows are judged alike and each
+counts in the sketch. Result columns replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -24,8 +30,10 @@ from .common import materialize
 
 SYMBOLS = b"#*$%&|<>"
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
-#: Ratio by name: its columns, and the floor under its fence.
-RATIOS = {"symbols": ("n_symbols", "n_words", 0.6), "dup_lines": ("n_dup_lines", "n_lines", 0.3), "repeats": ("n_repeat_words", "n_words", 0.3), "word_length": ("word_chars", "n_words", 12.0)}
+#: Ratio by name: its columns, and what one event adds to the first of them.
+RATIOS = {"symbols": ("n_symbols", "n_words", 1), "dup_lines": ("n_dup_lines", "n_lines", 1), "repeats": ("n_repeat_words", "n_words", 6), "word_length": ("word_chars", "n_words", 0)}
+#: Documents from which a group has fences of its own.
+LEAST_DOCS = 100
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
 
 
@@ -74,29 +82,42 @@ def bound(number: Column, per_doubling: int = 16) -> Column:
     return F.when(number == -100000, F.lit(0.0)).otherwise(F.pow(F.lit(2.0), (number + 1) / F.lit(float(per_doubling))))
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, ratio, bucket, n): mergeable, since n adds up over any split of the rows."""
-    named = F.explode(F.array(*[F.struct(F.lit(k).alias("ratio"), bucket(F.coalesce(F.try_divide(a, b), F.lit(0.0))).alias("bucket")) for k, (a, b, _) in RATIOS.items()])).alias("x")
-    return measured.where("n_words > 0").select("lang", "source", named).groupBy("lang", "source", "x.ratio", "x.bucket").agg(F.count("*").alias("n"))
+    named = F.explode(F.array(*[F.struct(F.lit(k).alias("ratio"), bucket(F.coalesce(F.try_divide(a, b), F.lit(0.0))).alias("bucket")) for k, (a, b, _) in RATIOS.items()], *[F.struct(F.lit(k).alias("ratio"), bucket(F.col(k)).alias("bucket")) for k in ("n_words", "n_lines")])).alias("x")
+    return measured.where(~base_failed()).select("lang", "source", named).groupBy("lang", "source", "x.ratio", "x.bucket").agg(F.count("*").alias("n"))
+
+
+def read(sketch: DataFrame, by: list[str], reach: float) -> DataFrame:
+    """One row per ``by`` with its documents and the fence of each ratio."""
+    group = Window.partitionBy(*by, "ratio")
+    upto = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("all", F.sum("n").over(group))
+    quantile = lambda q: bound(F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bucket"))))
+    found = upto.groupBy(*by, "ratio").agg(quantile(0.5).alias("q50"), quantile(0.75).alias("q75"), F.max("all").alias("docs"))
+    of = lambda k, q: F.max(F.when(F.col("ratio") == k, F.col(q)))
+    apart = lambda k, per, event: F.greatest(of(k, "q75") - of(k, "q50"), of(k, "q75") * (1 - 2 ** (-1 / 16)), event / of(per, "q50"))
+    return found.groupBy(*by).agg(F.max("docs").alias("docs"), *[(of(k, "q75") + reach * apart(k, per, event)).alias(f"max_{k}") for k, (_, per, event) in RATIOS.items()])
 
 
 def fences(sketch: DataFrame, reach: float = 4.0) -> DataFrame:
     """One row per (lang, source) with the fence of each ratio; a group's sketch has a few hundred buckets at most."""
-    group = Window.partitionBy("lang", "source", "ratio")
-    upto = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("all", F.sum("n").over(group))
-    quartile = lambda q: bound(F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bucket"))))
-    read = upto.groupBy("lang", "source", "ratio").agg(quartile(0.5).alias("q50"), quartile(0.75).alias("q75"), quartile(0.9).alias("q90"))
-    fence = F.col("q75") + F.lit(reach) * F.greatest(F.col("q75") - F.col("q50"), (F.col("q90") - F.col("q50")) / 2)
-    one = lambda k, floor: F.greatest(F.max(F.when(F.col("ratio") == k, fence)), F.lit(floor)).alias(f"max_{k}")
-    return read.groupBy("lang", "source").agg(*[one(k, v[2]) for k, v in RATIOS.items()])
+    own = read(sketch, ["lang", "source"], reach).alias("own")
+    merged = sketch.groupBy("lang", "ratio", "bucket").agg(F.sum("n").alias("n"))
+    wide = read(merged, ["lang"], reach).alias("wide")
+    few = F.col("own.docs") < LEAST_DOCS
+    both = own.join(wide, F.col("own.lang").eqNullSafe(F.col("wide.lang")))
+    return both.select("own.lang", "own.source", *[F.when(few, F.col(f"wide.max_{k}")).otherwise(F.col(f"own.max_{k}")).alias(f"max_{k}") for k in RATIOS])
 
 
 def judge(docs: DataFrame, reach: float = 4.0) -> DataFrame:
     """doc_id, lang, source, the features, the group's fences, base_failed and kept."""
     measured = materialize(features(docs), "quality-features")
     limits = fences(sketches(measured), reach)
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    both = measured.withColumn("base_failed", base).alias("m").join(limits.alias("f"), F.col("m.lang").eqNullSafe(F.col("f.lang")) & F.col("m.source").eqNullSafe(F.col("f.source")), "left")
+    both = measured.withColumn("base_failed", base_failed()).alias("m").join(limits.alias("f"), F.col("m.lang").eqNullSafe(F.col("f.lang")) & F.col("m.source").eqNullSafe(F.col("f.source")), "left")
     within = F.lit(True)
     for k, (a, b, _) in RATIOS.items():
         within = within & (F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)) <= F.col(f"max_{k}"))

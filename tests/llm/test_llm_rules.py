@@ -253,6 +253,17 @@ def test_quality_fences_adapt(spark):
     assert not got[5000]["kept"] and sum(r["kept"] for i, r in got.items() if i < 1000) == 1000 - sum(r["base_failed"] for i, r in got.items() if i < 1000)
 
 
+@pytest.mark.parametrize("share", [1, 15])
+def test_quality_junk_share(spark, share):
+    """Junk goes at any share under a quarter, well below the fixed shares of older rules; what is usual stays."""
+    words = "\n".join(" ".join(f"word{i}" for i in range(k, k + 8)) for k in range(100, 260, 8))
+    junk = [words + " #*" * 20, words + "\nword99" * 10, words.replace("word", "longerword")]
+    rows = [(i, junk[i % 3] if i % 100 < share else words + " #" * (i % 3), "en", "prose", 0) for i in range(900)]
+    rows += [(2000 + i, junk[0] if i < 4 else words, "en", "small", 0) for i in range(6)]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {i for i, kept in got.items() if not kept} == {i for i in range(900) if i % 100 < share} | {2000, 2001, 2002, 2003}
+
+
 def test_sketches_merge(spark):
     rows = quality.features(spark.read.parquet(f"{SF}/documents.parquet"))
     whole = quality.sketches(rows)
