@@ -57,10 +57,13 @@ class LanguageModel:
         200 to ``chars_per_text`` characters first, at most ``chars_per_text`` characters of each."""
         n = F.length(text)
         rows = labelled.where(F.col(text).isNotNull() & (F.length(F.trim(text)) > 0) & F.col(label).isNotNull()).select(
-            F.col(label).alias("label"), F.substring(text, 1, chars_per_text).alias("sample"), (~n.between(200, chars_per_text)).cast("int").alias("worse"), F.xxhash64(text).alias("h")
-        )
+            F.col(label).alias("label"), F.substring(text, 1, chars_per_text).alias("sample"), (~n.between(200, chars_per_text)).cast("int").alias("worse")
+        ).withColumn("h", F.xxhash64("sample"))
+        # Copies are one text and take one place; places are dealt by hashes alone, so that few texts are shuffled.
         first = Window.partitionBy("label").orderBy("worse", "h")
-        kept = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= texts_per_lang)
+        hashes = rows.groupBy("label", "h").agg(F.min("worse").alias("worse"))
+        places = hashes.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= texts_per_lang).drop("worse")
+        kept = rows.drop("worse").join(F.broadcast(places), ["label", "h"]).groupBy("label", "nth").agg(F.min("sample").alias("sample"))
         samples: dict[str, list[str]] = {}
         for row in kept.select("label", "sample", "nth").orderBy("label", "nth").collect():
             samples.setdefault(row["label"], []).append(row["sample"])

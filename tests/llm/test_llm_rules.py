@@ -72,6 +72,16 @@ def test_language_odd(odd, none, spark):
     assert {r["lang_pred"] for r in untaught.collect()} == {"und"}
 
 
+def test_language_copies_take_one_place(spark):
+    """A text copied a thousand times teaches once: the places go to distinct texts, whatever the copies' hash."""
+    texts = [" ".join(f"{'abcdefghij'[i]}{'klmnopqrst'[k % 10]}{'uvwxyzabcd'[k // 10]}" for k in range(60)) for i in range(5)]
+    docs = spark.createDataFrame([(t, "xx") for t in texts], "text string, lang string")
+    copied = docs.unionByName(docs.orderBy(F.xxhash64("text")).limit(1).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(1000)))).drop("n"))
+    model = langid.LanguageModel.fit(copied, texts_per_lang=4)
+    assert model == langid.LanguageModel.fit(docs, texts_per_lang=4)
+    assert sum(langid.letters_of(t) in model.dictionaries["xx"] for t in texts) == 4
+
+
 def test_language_narrow_margin():
     same = langid.LanguageModel({"aa": b"some plain words here", "bb": b"some plain words here"})
     lang, score, margin, accepted = same.judge()("some plain words here")
