@@ -413,7 +413,7 @@ def validate(ctx: Context) -> Result:
     out.check("stage_checks", all(c.passed for r in ctx.results.values() for c in r.checks), "; ".join(c.name for r in ctx.results.values() for c in r.checks if not c.passed))
     kinds = {c.type for c in claims}
     out.check("recommendation_has_assumption", "recommendation" not in kinds or "assumption" in kinds)
-    low = [c.id for c in claims if any(j in c.text.lower() for j in text.JARGON)]
+    low = [c.id for c in claims if text.plain_jargon(c.text)]
     out.check("no_jargon", not low, ", ".join(low))
     personal = ctx.results.get("privacy", Result()).output.get("personal_data")
     out.check("personal_data_surfaced", not personal or any(c.id == "cl_privacy" for c in claims))

@@ -41,11 +41,19 @@ class Ingested:
 
 
 def head(spark: SparkSession, path: str, size: int = HEAD) -> bytes:
-    """The first bytes of a file, by Spark's own reader, so any storage will do."""
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, size).alias("b")).first()
-    if row is None or not row["b"]:
+    """The first bytes of a file, or of a folder's first file, through the session's own file systems; no more is read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    found = sorted((x.getPath().toString(), x.getLen()) for x in fs.listStatus(at) if x.isFile() and x.getPath().getName()[0] not in "._")
+    start = next((name for name, n in found if n), None)
+    if start is None:
         raise SourceError("The file is empty.")
-    return bytes(row["b"])
+    stream = fs.open(jvm.org.apache.hadoop.fs.Path(start))
+    try:
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
 
 
 def detect_format(name: str, start: bytes) -> str:
@@ -104,12 +112,15 @@ def header(names: list[str | None]) -> list[str]:
 
 
 def in_file_order(df: DataFrame, name: str = ROW) -> DataFrame:
-    """Rows of a scan numbered from 0 in file order: partitions are spans of the file, in order."""
-    part = F.spark_partition_id()
-    rows = df.withColumns({"_part": part, "_at": F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)})
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
-    starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_start"))
-    return rows.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+    """Rows of a file scan numbered from 0 in file order: by file, then by span of the file, then by place in it.
+
+    A task may hold spans of several files, each of them whole and in order, so a row's place is its task's running
+    number less the span's least. ``df`` is a scan, perhaps filtered; its spans are as many as its tasks at most."""
+    rows = df.withColumns({"_file": F.col("_metadata.file_path"), "_from": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()})
+    spans = rows.groupBy("_file", "_from").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_from").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    spans = spans.select("_file", "_from", (before - F.col("_first")).alias("_shift"))
+    return rows.join(spans, ["_file", "_from"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_file", "_from", "_at", "_shift")
 
 
 def _named(rows: DataFrame, fmt: str, warnings: list[str]) -> Ingested:
@@ -129,30 +140,38 @@ def _named(rows: DataFrame, fmt: str, warnings: list[str]) -> Ingested:
     return Ingested(body.select(*cells, (F.col(ROW) - top - 1).alias(ROW)), names, fmt, warnings)
 
 
+def _width_of(line: Column, sep: str) -> Column:
+    """Fields of a line: separators outside quoted parts, plus one."""
+    return F.size(F.split(F.regexp_replace(line, r'"(?:[^"]|"")*"', ""), re.escape(sep))) if sep else F.lit(1)
+
+
 def read_csv(spark: SparkSession, path: str, start: bytes | None = None) -> Ingested:
+    """One pass over the lines finds the widest row and whether a quoted cell runs over a line's end. Where none does,
+    the file is split over tasks; else, and in UTF-16, one task reads a file."""
     start = head(spark, path) if start is None else start
     code = encoding_of(start)
-    text = start.decode(code, errors="ignore").lstrip("﻿")
-    sep = sniff_delimiter(text)
-    width = max((len(r) for r in csv.reader(io.StringIO(text), delimiter=sep)), default=1)
-    reader = spark.read.options(header=False, sep=sep, quote='"', escape='"', multiLine=True, encoding=code, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, columnNameOfCorruptRecord="_raw", nullValue="\0", emptyValue="")
-
-    def load(n: int) -> DataFrame:
-        fields = [T.StructField(f"c{i}", T.StringType()) for i in range(n)]
-        return reader.schema(T.StructType([*fields, T.StructField("_raw", T.StringType())])).csv(path)
-
-    # Rows beyond the head's width keep their raw text; the widest of them sets the width.
-    rows = load(width)
-    sizes = F.arrow_udf(lambda a: pa.array([max((len(r) for r in csv.reader(io.StringIO(x.as_py()), delimiter=sep)), default=0) if x.as_py() else 0 for x in a], pa.int32()), T.IntegerType())
-    widest = rows.select("*").where(F.col("_raw").isNotNull()).select(sizes("_raw").alias("n")).agg(F.max("n")).first()[0] or 0
-    warnings = []
-    if widest > width:
-        rows, width = load(widest), widest
+    sep = sniff_delimiter(start.decode(code, errors="ignore").lstrip("\ufeff"))
+    options = {"header": False, "sep": sep, "quote": '"', "escape": '"', "encoding": code, "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "nullValue": "\0", "emptyValue": "", "columnNameOfCorruptRecord": "_raw", "maxColumns": 100_000}
+    lines = spark.read.text(path)
+    width, open_cells = 1, 1
+    if code == "UTF-8":
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        width, open_cells = lines.agg(F.coalesce(F.max(_width_of(F.col("value"), sep)), F.lit(1)), F.count_if(quotes % 2 == 1)).first()
+    whole = open_cells > 0
+
+    def load(n: int, raw: bool = False) -> DataFrame:
+        fields = [T.StructField(f"c{i}", T.StringType()) for i in range(n)] + [T.StructField("_raw", T.StringType())] * raw
+        return spark.read.options(**options, multiLine=whole).schema(T.StructType(fields)).csv(path)
+
+    if whole:
+        # A row of another width keeps its raw text; ``c0`` is read beside it, since Spark refuses that text alone.
+        sizes = F.arrow_udf(lambda a: pa.array([max((len(r) for r in csv.reader(io.StringIO(x.as_py()), delimiter=sep)), default=0) if x.as_py() else 0 for x in a], pa.int32()), T.IntegerType())
+        width = load(1, raw=True).select("c0", sizes("_raw").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1)), F.count("c0")).first()[0] or 1
     cells = F.array(*[F.col(f"c{i}") for i in range(width)])
     last = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(F.get(cells, i).isNotNull(), i + 1).otherwise(0)))
-    whole = in_file_order(rows.select(F.slice(cells, F.lit(1), F.greatest(last, F.lit(1))).alias("cells")))
-    whole = whole.withColumn("cells", F.when(F.col(ROW) == 0, F.transform("cells", lambda x, i: F.when(i == 0, F.ltrim(x, F.lit("﻿"))).otherwise(x))).otherwise(F.col("cells")))
-    return _named(whole, "csv", warnings)
+    rows = in_file_order(load(width)).select(F.slice(cells, F.lit(1), F.greatest(last, F.lit(1))).alias("cells"), ROW)
+    rows = rows.withColumn("cells", F.when(F.col(ROW) == 0, F.transform("cells", lambda x, i: F.when(i == 0, F.ltrim(x, F.lit("\ufeff"))).otherwise(x))).otherwise(F.col("cells")))
+    return _named(rows, "csv", [])
 
 
 def flatten(schema: T.StructType, prefix: str = "", path: str = "", level: int = 1) -> list[Column]:

@@ -61,14 +61,50 @@ def test_grain(spark):
     assert dates.choose_grain(days, dates.parse_date(F.col("d"))) == "month"
 
 
-def test_text_rules(spark):
-    assert one(spark, ["2 of 1,200 sold at 3.5"], text.figures) == [[3.5, 1200.0]]
-    assert one(spark, ["The p-value is low", "A special decision", "the 95% CI"], text.has_jargon) == [True, False, True]
-    said = "Stock drives sales. What drives sales? This cannot prove that price drives sales. Orders increased by 15%. Discounts increased orders."
-    assert one(spark, [said], text.causal_sentences)[0] == ["Stock drives sales.", "Discounts increased orders."]
+def test_figures_and_raw_rows(spark):
+    assert one(spark, ["2 of 1,200 sold at 3.5, up 14% and -14%"], text.figures) == [["1200", "14%", "14%", "3.5"]]
     rows = "\n".join(f"{i},{i},x" for i in range(8))
     pairs = "\n".join(f"id: {i}, n: {i}" for i in range(8))
-    assert one(spark, [rows, "a, b and c\n1, 2", pairs, "x"], text.raw_rows) == [True, False, True, False]
+    objects = "see [" + ", ".join('{"a": 1}' for _ in range(8)) + "] here"
+    assert one(spark, [rows, "a, b and c\n1, 2", pairs, "x", objects, objects.replace(", {", ", 1, {", 1)[:40]], text.raw_rows) == [True, False, True, False, True, False]
+
+
+def test_jargon(spark):
+    said = ["The p-value is low", "A special decision", "the 95% CI", "An ANOVA, and p = 0.04", "the Foo-Bar test", "اختبار فو-بار", "Sales rose", None]
+    assert one(spark, said, text.jargon) == [["p-value"], [], ["CI"], ["anova", "p = 0.0"], ["Foo-Bar test"], ["اختبار فو-بار"], [], []]
+    assert one(spark, said, text.has_jargon) == [True, False, True, True, True, True, False, False]
+    assert [text.plain_jargon(x or "") for x in said] == one(spark, said, text.jargon)
+
+
+@pytest.mark.parametrize(
+    ("sentence", "phrase"),
+    [
+        ("Rain drives demand.", "drives"),
+        ("Late parts led to idle lines.", "led to"),
+        ("Idle time is due to late parts.", "due to"),
+        ("Two shifts doubled output.", "doubled"),
+        ("Output doubled the year before.", None),
+        ("Training reduced errors.", "reduced errors"),
+        ("Errors reduced by 4%.", None),
+        ("Errors increased sharply.", None),
+        ("Prices increased 15%.", None),
+        ("Follow-up visits raise in-house costs.", "raise in"),
+        ("Delays are pulling total output down.", "pulling total output down"),
+        ("A backlog is responsible for delays.", "is responsible for"),
+        ("What drives demand?", None),
+        ("This cannot prove that rain drives demand.", None),
+        ("We do not know whether rain drives demand.", None),
+        ("أدى نقص القطع إلى توقف الخط.", "أدى نقص القطع إلى"),
+        ("ساهم التدريب كثيرا في الجودة.", "ساهم التدريب كثيرا في"),
+        ("التدريب يقلل الأخطاء.", "التدريب يقلل الأخطاء."),
+        ("يزيد العدد.", None),
+        ("لم نتحقق مما يسبب التأخير.", None),
+    ],
+)
+def test_causal_claims(spark, sentence, phrase):
+    got = one(spark, [f"Nothing here.  {sentence}\nNor here"], text.causal_claims)[0]
+    assert [r["phrase"] for r in got] == ([phrase] if phrase else [])
+    assert all(r["sentence"] == sentence for r in got)
 
 
 def test_unsourced_figures():
