@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,6 +49,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The caller's columns travel in this one struct, so that no name of theirs meets one of an operator's own.
+ROW = "_row"
+
+
+def packed(docs: DataFrame, *columns: Column, without: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """``docs`` as one struct beside ``columns``, which are read from ``docs`` itself; and the names in the struct."""
+    own = [c for c in docs.columns if c not in without]
+    fields = F.struct(*[docs[f"`{c}`"] for c in own]) if own else F.struct(F.lit(0).alias("none"))
+    return docs.select(fields.alias(ROW), *columns), own
+
+
+def unpacked(own: Sequence[str]) -> list[Column]:
+    return [F.col(f"{ROW}.`{c}`").alias(c) for c in own]
+
+
+def integer_id(docs: DataFrame, *keys: str) -> None:
+    """Refuse ids that are no integers, before any job runs."""
+    for key in keys:
+        if not isinstance(docs.schema[key].dataType, T.IntegralType):
+            raise TypeError(f"{key} is {docs.schema[key].dataType.simpleString()}; an integer column is needed")
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -11,8 +11,8 @@ document's ends counts as replaced. The mask 11011 finds
 every such window of five words or more: a test tries all placements of replaced words.
 
 Defined cases: null or empty texts have no words and are clean; items of under ``least`` words contaminate
-nothing; repeated rows are judged alike; an empty benchmark leaves all clean; extra columns pass through and
-result columns replace columns of their name.
+nothing; repeated rows are judged alike; ids are integers (others are refused) and may be null; an empty benchmark
+leaves all clean; extra columns pass through whatever their names, and result columns replace columns of their name.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import integer_id, materialize, packed, unpacked
 
 RESULT = ["contaminated", "n_items", "first_item", "best_match"]
 WORDS = r"[\p{L}\p{N}]+"
@@ -110,19 +110,26 @@ def matches(docs: DataFrame, items: DataFrame, s: Seeds, key: list[str]) -> Data
     return best.groupBy(*key, "item_id").agg(F.max("matched").alias("matched"))
 
 
+def keys_of(docs: DataFrame) -> list[Column]:
+    """Two numbers that rows equal in doc_id and text share."""
+    integer_id(docs, "doc_id")
+    return [F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64(docs["text"]).alias("_text")]
+
+
 def judge(docs: DataFrame, items: DataFrame, s: Seeds | None = None) -> DataFrame:
     """``docs`` with contaminated, n_items, first_item (the least item id) and best_match (equal words)."""
-    own = [c for c in docs.columns if c not in RESULT]
-    rows = docs.select(*[f"`{c}`" for c in own], F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("_id"), F.xxhash64("text").alias("_text"))
-    found = matches(rows, items, s or Seeds(), ["_id", "_text"])
+    rows, own = packed(docs, *keys_of(docs), without=RESULT)
+    found = matches(docs.select(*keys_of(docs), "text"), items.select("item_id", "text"), s or Seeds(), ["_id", "_text"])
     found = found.groupBy("_id", "_text").agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item"), F.max("matched").alias("best_match"))
     out = rows.join(found, ["_id", "_text"], "left")
-    return out.select(*[f"`{c}`" for c in own], F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "first_item", "best_match")
+    return out.select(*unpacked(own), F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "first_item", "best_match")
 
 
 def clean(docs: DataFrame, items: DataFrame, s: Seeds | None = None) -> DataFrame:
     """The rows of ``docs`` that no item contaminates."""
-    return judge(docs, items, s).where("not contaminated").select(*[f"`{c}`" for c in docs.columns])
+    held, own = packed(docs, *keys_of(docs))
+    found = matches(docs.select(*keys_of(docs), "text"), items.select("item_id", "text"), s or Seeds(), ["_id", "_text"])
+    return held.join(found.select("_id", "_text").distinct(), ["_id", "_text"], "left_anti").select(*unpacked(own))
 
 
 #: The same verdicts in DuckDB's SQL: every word pair of a document and an item is aligned, without seeds.

@@ -18,13 +18,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import packed, unpacked
+
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter by Unicode's category; signs that stand for numbers are none.
+_LETTER = regex.compile(r"\p{L}")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _RESULT = T.StructType(
     [
@@ -52,9 +56,10 @@ class LanguageModel:
     sharpness: float = 30.0
 
     @classmethod
-    def fit(cls, labelled: DataFrame, text: str = "text", label: str = "lang", texts_per_lang: int = 32, chars_per_text: int = 3000, **settings) -> LanguageModel:
+    def fit(cls, labelled: DataFrame, text: str = "text", label: str = "lang", texts_per_lang: int = 32, chars_per_text: int = 3000, most_langs: int = 1000, **settings) -> LanguageModel:
         """Learn from a bounded sample: the ``texts_per_lang`` distinct texts of lowest hash of each label, texts of
-        200 to ``chars_per_text`` characters first, at most ``chars_per_text`` characters of each."""
+        200 to ``chars_per_text`` characters first, at most ``chars_per_text`` characters of each. More than
+        ``most_langs`` labels are refused: each has a dictionary in every worker."""
         n = F.length(text)
         rows = labelled.where(F.col(text).isNotNull() & (F.length(F.trim(text)) > 0) & F.col(label).isNotNull()).select(
             F.col(label).alias("label"), F.substring(text, 1, chars_per_text).alias("sample"), (~n.between(200, chars_per_text)).cast("int").alias("worse")
@@ -65,13 +70,16 @@ class LanguageModel:
         places = hashes.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= texts_per_lang).drop("worse")
         kept = rows.drop("worse").join(F.broadcast(places), ["label", "h"]).groupBy("label", "nth").agg(F.min("sample").alias("sample"))
         samples: dict[str, list[str]] = {}
-        for row in kept.select("label", "sample", "nth").orderBy("label", "nth").collect():
+        found = kept.select("label", "sample", "nth").orderBy("label", "nth").limit(most_langs * texts_per_lang + 1).collect()
+        if len({row["label"] for row in found}) > most_langs or len(found) > most_langs * texts_per_lang:
+            raise ValueError(f"more than {most_langs} labels: map them to languages first")
+        for row in found:
             samples.setdefault(row["label"], []).append(row["sample"])
         return cls({k: b"\n".join(dict.fromkeys(map(letters_of, v))) for k, v in sorted(samples.items())}, **settings)
 
     def predict(self, df: DataFrame, text: str = "text") -> DataFrame:
         """``df`` with lang_pred, score (0 to 1), margin (0 to 1) and accepted."""
-        model, column = self, F.col(text)
+        model, column = self, df[f"`{text}`"]
 
         @F.arrow_udf(_RESULT)
         def verdicts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -80,8 +88,8 @@ class LanguageModel:
                 rows = [judge(x.as_py()) for x in batch]
                 yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))], names=_RESULT.names)
 
-        keep: list[Column] = [df[f"`{c}`"] for c in df.columns if c not in _RESULT.names]
-        return df.select(*keep, verdicts(column).alias("_verdict")).select(*[f"`{c.name}`" for c in df.schema if c.name not in _RESULT.names], "_verdict.*")
+        rows, own = packed(df, verdicts(column).alias("verdict"), without=_RESULT.names)
+        return rows.select(*unpacked(own), "verdict.*")
 
     def judge(self):
         """A function from a text to (language, score, margin, accepted)."""
@@ -114,6 +122,14 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     """Fit on the rows of ``docs`` that are not held out, unless a model is given, and judge every row."""
-    if model is None:
-        model = LanguageModel.fit(docs.where(~held_out(F.col("doc_id"))))
-    return model.predict(docs)
+    return (model or taught(docs)).predict(docs)
+
+
+def accepted(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
+    """The rows of ``docs`` whose language is told with a sufficient margin, with their own columns alone."""
+    judged = (model or taught(docs)).predict(docs.select(F.struct("*").alias("row"), F.col("text").alias("text")))
+    return judged.where("accepted").select("row.*")
+
+
+def taught(docs: DataFrame) -> LanguageModel:
+    return LanguageModel.fit(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"))

@@ -1,122 +1,137 @@
-"""Repeated runs of lines, by prefix doubling over line ids.
+"""Repeated runs of lines: a suffix array over line ids by distributed prefix doubling.
 
 The lines of a document that hold a word, trimmed, are a sequence of line ids. Every position starts a suffix of
-its sequence. Ranks of suffixes by their first 1, 2, 4, ... lines come by distributed prefix doubling: the rank
-at twice a depth names the pair (rank here, rank ``depth`` lines on), and one aggregation finds all equal pairs.
-Suffixes of equal rank form an interval whose common prefix is at least the depth; a rank held once leaves the
-work, so each round has the repeated suffixes alone. At ``min_lines`` (two ranks that overlap cover a depth that
-is no power of two) an interval is a run of lines that repeats: its first place, by doc_id and line, stays and
-the lines of every later place are deleted. Overlapping places join to the maximal repeated runs. Runs are judged on
-the input: of lines that repeat back to back, what comes before the second place stays.
+its sequence. A rank is a suffix's place in the order of all suffixes by their first ``depth`` lines. Doubling takes
+the pair of a suffix's rank and the rank ``depth`` lines on; the pairs that occur twice or more are counted, sorted by
+range partitioning and numbered in that order, and the numbers are the ranks at twice the depth. A rank held once, and
+one whose pair reaches a place without a rank, leaves, so each round has the repeated suffixes alone, and the rounds end
+when all ranks are single.
 
-With ``min_words`` an interval of fewer lines is a run too if it has that many words. Every depth up to ``min_lines``
-is then visited; no depth beyond is needed, since each longer run is covered by its windows of ``min_lines``.
+Suffixes of one rank are an interval of the suffix array whose common prefix is at least the depth. Depths from
+``min_lines`` on (two ranks that overlap cover a depth that is no power of two) make it a repeated run: its first place,
+by doc_id and line, stays, and every other is a later place of that length. Later places that meet or overlap within a
+document are one maximal repeated run, and its lines are deleted. Runs are judged on the input: of lines that repeat
+back to back, what comes before the second place stays.
+
+With ``min_words`` an interval of fewer lines is a run too if it has that many words; every depth up to ``min_lines``
+is then visited.
 
 Defined cases: null text has no lines; lines without a word are never part of a run and stay; a run may repeat
-within one document; null doc_ids come first; rows equal in doc_id and text are one document, whose copies get
-the same verdict; extra columns pass through and result columns replace columns of their name.
+within one document; null doc_ids come first; ids are integers, others are refused; rows equal in doc_id and text are
+one document, whose copies get the same verdict; extra columns pass through whatever their names, and result columns
+replace columns of their name.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, word_count
+from .common import integer_id, materialize, packed, unpacked, word_count
 
 RESULT = ["n_lines", "n_removed", "n_runs", "kept_text"]
 KEY = ["_id", "_text"]
 _SPACE = " \t\n\x0b\x0c\r"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_text": F.xxhash64("text")})
+def keys_of(docs: DataFrame) -> list[Column]:
+    integer_id(docs, "doc_id")
+    return [F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64(docs["text"]).alias("_text")]
 
 
 def has_word(line: Column) -> Column:
     return F.length(F.regexp_replace(line, r"[\x20\x09-\x0D]+", "")) > 0
 
 
-def lines_of(text: str) -> Column:
-    """(line, at) for every line: ``at`` counts the lines with a word from 0, null for others."""
-    return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+def lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def sequence_of(docs: DataFrame) -> DataFrame:
-    """_id, _text, at, line_no, rank (the line's id, 128 bits) and words of each line with a word."""
-    rows = docs.select(*KEY, F.posexplode(F.filter(F.transform(lines_of("text"), lambda x, i: F.struct(F.trim(x, F.lit(_SPACE)).alias("line"), i.alias("line_no"))), lambda s: F.length(s["line"]) > 0)).alias("at", "x"))
-    rank = F.struct(F.xxhash64("x.line").alias("a"), F.xxhash64(F.lit("line"), "x.line").alias("b"))
-    return rows.select(*KEY, "at", F.col("x.line_no").alias("line_no"), rank.alias("rank"), word_count(F.col("x.line")).alias("words"))
+def sequence_of(docs: DataFrame, by_words: bool) -> DataFrame:
+    """_id, _text, at (counts lines with a word from 0), the line's id a, b (128 bits), and its words if asked for."""
+    lines = F.filter(F.transform(lines_of(F.col("text")), lambda x: F.trim(x, F.lit(_SPACE))), lambda x: F.length(x) > 0)
+    rows = docs.select(*KEY, F.posexplode(lines).alias("at", "line"))
+    words = [word_count(F.col("line")).alias("words")] if by_words else []
+    return rows.select(*KEY, "at", F.xxhash64("line").alias("a"), F.xxhash64(F.lit("line"), "line").alias("b"), *words)
 
 
-def shared(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Rows whose ``by`` occurs twice or more, with ``first``, the least place that has it. Counts and minima are
-    partial sums before the shuffle; the join's other side is unique, so a hot value is split, never gathered."""
-    place = F.struct(F.col("_id"), F.col("at"), F.col("_text"))
-    seen = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.min(place).alias("first")).where("_n > 1").drop("_n")
-    return rows.join(seen, by)
+def classes_of(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, rank and first (the least place) of every value of ``by`` that occurs twice or more.
 
+    Counts and minima are partial sums before the shuffle. Range partitions in order, sorted within, make Spark's own
+    row number an order-preserving rank; it is written, so that it is the same for every reader."""
+    place = F.struct(F.col("_id"), F.col("at"), F.col("_text"))
+    seen = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
+    return materialize(seen.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("new_rank", F.monotonically_increasing_id()), "line-classes")
 
-def later_runs(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
-    """(_id, _text, at, lines): starts of runs of ``min_lines`` lines, or of fewer with ``min_words`` words, that also
-    stand at an earlier place."""
-    by_words = min_words is not None
-    # ``words`` of the line itself, ``total`` of all lines at the depth.
-    kept = ["words"] if by_words else []
 
-    def ahead(rows: DataFrame, by: int) -> DataFrame:
-        """With ``other``, the rank ``by`` lines on, if that place still has one."""
-        far = rows.select(*KEY, (F.col("at") - by).alias("at"), F.col("rank").alias("other"), *[F.col("total").alias("other_total") for _ in kept])
-        return rows.drop("first").join(far, [*KEY, "at"])
+def ranked(rows: DataFrame, classes: DataFrame, by: list[str]) -> DataFrame:
+    """The suffixes that have a class, with their rank and whether they are a later place of it. The classes are unique,
+    so the rows of a hot one can be split over tasks."""
+    place = F.struct(F.col("_id"), F.col("at"), F.col("_text"))
+    kept = [c for c in rows.columns if c not in (*by, "words")]
+    held = rows.join(classes, by).withColumn("later", place != F.col("first"))
+    return materialize(held.select(*kept, *(["words"] if "words" in rows.columns else []), F.col("new_rank").alias("rank"), "later"), "line-ranks")
 
-    def later(rows: DataFrame, lines: int) -> DataFrame:
-        return rows.where(F.struct(F.col("_id"), F.col("at"), F.col("_text")) != F.col("first")).select(*KEY, "at", F.lit(lines).alias("lines"))
 
-    lines = sequence_of(docs)
+def later_places(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
+    """(_id, _text, at, lines): suffixes whose first ``lines`` lines also stand at an earlier place, at every depth
+    that the doubling visits. ``docs`` has _id, _text and text."""
+    by_words = min_words is not None
+    # ``words`` of the line itself, ``total`` of all lines at the depth.
+    rows = sequence_of(docs, by_words).distinct()
     if by_words:
-        lines = lines.withColumn("total", F.col("words"))
-    else:
-        lines = lines.drop("words")
-    now, depth, found = materialize(shared(lines.distinct(), ["rank"]), "line-ranks"), 1, []
-    while depth < min_lines:
+        rows = rows.withColumn("total", F.col("words"))
+    now, depth, found = ranked(rows, classes_of(rows, ["a", "b"]), ["a", "b"]), 1, []
+    while True:
+        if depth >= min_lines or by_words:
+            long = F.lit(True) if depth >= min_lines else F.col("total") >= min_words
+            found.append(now.where(F.col("later") & long).select(*KEY, "at", F.lit(depth).alias("lines")))
+        step = depth if depth >= min_lines else 1 if by_words else min(depth, min_lines - depth)
+        ahead = now.select(*KEY, (F.col("at") - step).alias("at"), F.col("rank").alias("other"), *([F.col("total").alias("other_total")] if by_words else []))
+        pairs = now.drop("later").join(ahead, [*KEY, "at"])
         if by_words:
-            found.append(later(now.where(F.col("total") >= min_words), depth))
-        step = 1 if by_words else min(depth, min_lines - depth)
-        pairs = ahead(now, step)
-        totals = [(F.col("words") + F.col("other_total")).alias("total") for _ in kept]
-        named = shared(pairs.select(*KEY, "at", *kept, *totals, F.struct(F.xxhash64("rank", "other").alias("a"), F.xxhash64(F.lit("pair"), "rank", "other").alias("b")).alias("rank")), ["rank"])
-        now, depth = materialize(named, "line-ranks"), depth + step
-    out = later(now, depth)
-    for more in found:
+            total = F.when(F.lit(step == 1), F.col("words") + F.col("other_total")).otherwise(F.col("total") + F.col("other_total"))
+            pairs = pairs.withColumn("total", total).drop("other_total")
+        classes = classes_of(pairs, ["rank", "other"])
+        if not classes.head(1):
+            break
+        now, depth = ranked(pairs, classes, ["rank", "other"]), depth + step
+    out = found[0] if found else now.select(*KEY, "at", F.lit(0).alias("lines")).limit(0)
+    for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
-def deleted(starts: DataFrame) -> DataFrame:
-    """_id, _text, removed: sorted places of all deleted lines; as many as the document has lines at most."""
-    places = F.flatten(F.transform(F.collect_list(F.struct("at", "lines")), lambda s: F.sequence(s["at"], s["at"] + s["lines"] - 1)))
-    return starts.groupBy(*KEY).agg(F.array_sort(F.array_distinct(places)).alias("removed"))
+def maximal_runs(later: DataFrame) -> DataFrame:
+    """_id, _text, runs: the places from and to (exclusive) of each run of lines to delete, from first to last. Later
+    places of a document are as many as its lines at most, at each depth."""
+    by = Window.partitionBy(*KEY).orderBy("at", "lines")
+    before = F.max(F.col("at") + F.col("lines")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    marked = later.withColumn("starts", F.coalesce(F.col("at") > before, F.lit(True)).cast("int"))
+    runs = marked.withColumn("run", F.sum("starts").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = runs.groupBy(*KEY, "run").agg(F.min("at").alias("from"), F.max(F.col("at") + F.col("lines")).alias("to"))
+    return runs.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("runs"))
 
 
 def dedup(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
     """``docs`` with n_lines, n_removed, n_runs (maximal deleted runs) and kept_text."""
-    own = [c for c in docs.columns if c not in RESULT]
-    rows = keyed(docs.select(*[f"`{c}`" for c in own]))
-    gone = deleted(later_runs(rows.select(*KEY, "text"), min_lines, min_words))
+    rows, own = packed(docs, *keys_of(docs), docs["text"].alias("text"), without=[*RESULT, "text"])
+    gone = maximal_runs(later_places(docs.select(*keys_of(docs), "text"), min_lines, min_words))
     both = rows.join(gone, KEY, "left")
-    lines = F.filter(lines_of("text"), has_word)
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    runs = F.size(F.array_except(removed, F.transform(removed, lambda a: a + 1)))
-    return both.select(*[f"`{c}`" for c in own], F.size(lines).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), runs.cast("long").alias("n_runs"), F.arrow_udf(_without, T.StringType())("text", "removed").alias("kept_text"))
+    lines = F.filter(lines_of(F.col("text")), has_word)
+    runs = F.coalesce("runs", F.array().cast("array<struct<from:int,to:int>>"))
+    removed = F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + r["to"] - r["from"])
+    return both.select(*unpacked(own), "text", F.size(lines).cast("long").alias("n_lines"), removed.alias("n_removed"), F.size(runs).cast("long").alias("n_runs"), F.arrow_udf(_without, T.StringType())("text", "runs").alias("kept_text")).select(*[f"`{c}`" for c in docs.columns if c not in RESULT], *RESULT)
 
 
 def _without(text: pa.Array, removed: pa.Array) -> pa.Array:
-    """Each text without the lines listed; the list counts lines with a word only."""
+    """Each text without the runs of lines listed; the places count lines with a word only."""
     out = []
-    for t, gone in zip(text, removed, strict=True):
-        gone = set(gone.as_py() or ())
+    for t, runs in zip(text, removed, strict=True):
+        gone = {i for r in runs.as_py() or () for i in range(r["from"], r["to"])}
         if not gone:
             out.append(t.as_py() or "")
             continue

@@ -3,18 +3,22 @@
 Every document of a source is expected ``target / source size`` times. Within a source the expected copies are
 prefix-summed in a stratified order (size class, then hash), one offset per source is added, and a document is
 emitted once for each integer boundary its interval crosses. The running sum is the rate times the document's
-rank, and ranks come from counts of (source, size class, hash bucket) cells, so no task holds a whole source.
+rank, and ranks come from counts of (source, size class, hash bucket) cells, so no task holds a whole source. A cell
+of more than ``most_in_cell`` rows is cut by further bits of the key's hash, then of the row's, then by the row's place.
 
 Defined cases: a null text has size 0; null sources form one source, last in order; sources of size 0 have
-target 0; a null doc_id hashes as an empty string; equal rows are told apart by their place in the order.
+target 0; a null doc_id hashes as an empty string; rows with one doc_id stand in the order of a hash of their columns,
+so reruns take the same texts, and rows equal in all are told apart by their place. Extra columns pass through whatever
+their names, and result columns replace columns of their name.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import hash_60, materialize, word_count
+from .common import hash_60, materialize, packed, unpacked, word_count
 
 #: 2**BUCKET_BITS hash buckets in each size class of a source.
 BUCKET_BITS = 12
@@ -49,13 +53,15 @@ def size_class(size: Column) -> Column:
     return F.floor(F.log2(size.cast("double") + 1) * 4).cast("int")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.0, most: float = 3.0, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.0, most: float = 3.0, seed: int = 0, most_in_cell: int = 200_000) -> DataFrame:
     """``docs`` with copies, size, source_size, target and taken; documents with 0 copies are kept as rows.
 
     Needs doc_id, text and source. Columns of ``docs`` named as a result column are replaced.
     """
-    base = docs.drop(*RESULT).withColumns({"size": word_count(F.col("text")), "_h": hash_60(F.lit(seed), F.col("doc_id"))})
-    base = base.withColumns({"_class": size_class(F.col("size")), "_bucket": F.shiftright("_h", 60 - BUCKET_BITS).cast("int"), "_source": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))})
+    plain = [docs[f"`{f.name}`"] for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    source = docs["source"].cast("string")
+    base, own = packed(docs, source.alias("source"), F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("_source"), word_count(docs["text"]).alias("size"), hash_60(F.lit(seed), docs["doc_id"]).alias("_h"), F.xxhash64(*plain).alias("_t"), without=RESULT)
+    base = base.withColumns({"_class": size_class(F.col("size")), "_bucket": F.shiftright("_h", 60 - BUCKET_BITS).cast("int")})
     cells = materialize(base.groupBy("_source", "source", "_class", "_bucket").agg(F.count("*").alias("cell_n"), F.sum("size").alias("cell_size")), "mix-cells")
 
     classes = cells.groupBy("_source", "source", "_class").agg(F.sum("cell_n").alias("class_n"), F.sum("cell_size").alias("class_size"))
@@ -66,21 +72,49 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
 
     before = lambda n, w: F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(n)
     class_start = classes.withColumn("class_start", before("class_n", Window.partitionBy("_source").orderBy("_class"))).select("_source", "_class", "class_start")
-    starts = cells.withColumn("cell_start", before("cell_n", Window.partitionBy("_source", "_class").orderBy("_bucket"))).select("_source", "_class", "_bucket", "cell_start")
-    starts = starts.join(class_start, ["_source", "_class"]).join(targets.select("_source", "source_size", "target", "rate", "offset"), "_source")
-    starts = starts.select("_source", "_class", "_bucket", (F.col("class_start") + F.col("cell_start")).alias("start"), "source_size", "target", "rate", "offset")
-
-    in_cell = Window.partitionBy("_source", "_class", "_bucket").orderBy("_h", "doc_id", "size")
-    ranked = base.withColumn("_nth", F.row_number().over(in_cell)).join(starts, ["_source", "_class", "_bucket"])
+    starts = cells.withColumn("cell_start", before("cell_n", Window.partitionBy("_source", "_class").orderBy("_bucket"))).select("_source", "_class", "_bucket", "cell_n", "cell_start")
+    starts = starts.join(class_start, ["_source", "_class"])
+    starts = starts.select("_source", "_class", F.col("_bucket").cast("string").alias("_cell"), (F.col("class_start") + F.col("cell_start")).alias("start"), F.col("cell_n").alias("n"))
+    base = base.withColumn("_cell", F.col("_bucket").cast("string"))
+    if cells.where(F.col("cell_n") > most_in_cell).head(1):
+        base, starts = cut_cells(base, starts, most_in_cell)
+    starts = starts.join(targets.select("_source", "source_size", "target", "rate", "offset"), "_source").drop("n")
+
+    in_cell = Window.partitionBy("_source", "_class", "_cell").orderBy("_h", "_t")
+    ranked = base.withColumn("_nth", F.row_number().over(in_cell)).join(starts, ["_source", "_class", "_cell"])
     rank = F.col("start") + F.col("_nth")
     crossed = F.floor(rank * F.col("rate") + F.col("offset")) - F.floor((rank - 1) * F.col("rate") + F.col("offset"))
     out = ranked.withColumn("copies", crossed.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*[f"`{c}`" for c in docs.columns if c not in RESULT], *RESULT)
+    return out.select(*unpacked(own), *RESULT)
+
+
+def cut_cells(base: DataFrame, starts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Cells of more than ``most`` rows cut along the order of their rows, twelve bits a round, until all are smaller or
+    no bits are left. Each round counts the large cells alone."""
+    base = materialize(base.withColumn("_m", F.monotonically_increasing_id()), "mix-rows")
+    digit = lambda c, shift: F.shiftrightunsigned(c, shift).bitwiseAND(4095)
+    h, t, m = F.col("_h"), F.col("_t").bitwiseXOR(F.lit(-(2**63))), F.col("_m")
+    keys = ["_source", "_class", "_cell"]
+    order = [*[digit(h, 60 - BUCKET_BITS - 12 * k) for k in (1, 2, 3, 4)], *[digit(t, s) for s in (52, 40, 28, 16, 4)], digit(m, 0)]
+    for d in order:
+        large = starts.where(F.col("n") > most).select(*keys, F.lit(True).alias("_large"))
+        if not large.head(1):
+            break
+        base = base.join(large, keys, "left").withColumn("_digit", F.when(F.col("_large"), d))
+        parts = base.where("_large").groupBy(*keys, "_digit").agg(F.count("*").alias("part_n"))
+        before = F.sum("part_n").over(Window.partitionBy(*keys).orderBy("_digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("part_n")
+        longer = F.concat_ws(".", "_cell", F.col("_digit").cast("string"))
+        cut = parts.withColumn("part_start", before).join(starts, keys).select("_source", "_class", longer.alias("_cell"), (F.col("start") + F.col("part_start")).alias("start"), F.col("part_n").alias("n"))
+        starts = materialize(starts.where(F.col("n") <= most).unionByName(cut), "mix-cells")
+        base = base.withColumn("_cell", F.when(F.col("_large"), longer).otherwise(F.col("_cell"))).drop("_large", "_digit")
+    return base, starts
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Each document as many times as it is taken."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[f"`{c}`" for c in columns])
+    rows, own = packed(mixed.where("copies > 0"), mixed["copies"].cast("int").alias("copies"))
+    copied = rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return copied.select(*[c for c, name in zip(unpacked(own), own, strict=True) if name in columns])
 
 
 #: The same mix in DuckDB's SQL, for weights 5, 2, 1, all sizes and three times at most.

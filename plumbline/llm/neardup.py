@@ -11,7 +11,8 @@ meets in one task and a family of near copies costs one comparison a member.
 
 Defined cases: null or empty text and text without words have an empty set and link with nothing; texts with
 fewer words than a shingle are one shingle; rows with one doc_id are one document; a null doc_id links nothing
-of itself and gets its copies' component (null if they have none). Result columns replace columns of their name.
+of itself and gets its copies' component (null if they have none); ids are integers, others are refused. Of other
+columns ``link`` reads none and ``keep_one`` returns all, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, pieces
+from .common import integer_id, materialize, pieces
 from .components import components
 
 
@@ -202,8 +203,8 @@ def only(df: DataFrame, column: str, wanted: DataFrame, most: int = 2_000_000) -
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
     """bucket, node of buckets with two members or more; of buckets with the same members one stays."""
-    # One exchange by bucket serves the count and the join back; the rows are two numbers and only pass through.
-    rows = nodes.select("node", F.explode("buckets").alias("bucket")).repartition("bucket")
+    # Counted by partial sums and joined back to a side with unique keys, so a hot bucket can be split.
+    rows = nodes.select("node", F.explode("buckets").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     rows = materialize(rows.join(shared, "bucket"), "neardup-shared")
     marks = [F.sum(F.xxhash64(F.lit(k), "node").cast("decimal(38,0)")).alias(f"f{k}") for k in (1, 2)]
@@ -215,6 +216,7 @@ def link(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable) and kept, one row per document."""
     s = s or Settings()
     num, den = s.similarity
+    integer_id(docs, "doc_id")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(signatures(base, s), "neardup-signed")
     same = materialize(signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")), "neardup-sets")
@@ -260,5 +262,5 @@ def link(docs: DataFrame, s: Settings | None = None) -> DataFrame:
 
 def keep_one(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    kept = link(docs, s).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    kept = link(docs, s).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")

@@ -5,10 +5,10 @@ asks for and only a bucket over its byte limit splits on another bit, until ever
 by prefix once at a fine depth; every coarser prefix is a sum of those, so all splits of ``step`` bits are
 decided in one aggregation, and only cells still over the limit go round again with the following bits.
 
-Defined cases: a null text has 0 bytes; a null doc_id hashes as an empty string; rows that share their doc_id
-(repeated rows) are told apart by a second hash of their text and of a row number of the scan; one document
-above the limit is a shard of its own, marked ``oversized``. An empty table has no shards. Columns named like a
-result column are replaced.
+Defined cases: a null text has 0 bytes; a null doc_id hashes as an empty string; rows that share their doc_id are
+told apart by a hash of their other columns, and rows that are equal in all by a row number of the scan, so only
+those depend on the files' layout; one document above the limit is a shard of its own, marked ``oversized``. An empty
+table has no shards. Extra columns pass through whatever their names, and result columns replace columns of their name.
 """
 
 from __future__ import annotations
@@ -17,11 +17,14 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import hash_60, materialize
+from .common import hash_60, materialize, packed, unpacked
 
 RESULT = ["n_bytes", "shard", "depth", "shard_bytes", "oversized"]
 BITS = 60
+#: The hashes whose bits are used in turn: of the key, of the whole row, of the row's place.
+HASHES = ("_h1", "_h2", "_h3")
 
 
 def prefix(h: Column, depth: Column | int) -> Column:
@@ -44,13 +47,10 @@ def directory(cells: DataFrame, fine: int, known: int, limit: int) -> DataFrame:
 
 def assign(docs: DataFrame, limit: int = 8 << 20, text: str = "text", key: str = "doc_id", step: int = 6) -> DataFrame:
     """``docs`` with n_bytes, shard (its bits as a string of 0 and 1), depth, shard_bytes and oversized."""
-    own = [c for c in docs.columns if c not in RESULT]
-    rows = docs.select(
-        *[f"`{c}`" for c in own],
-        F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
-        hash_60(F.col(key)).alias("_h1"),
-        hash_60(F.xxhash64(text), F.monotonically_increasing_id()).alias("_h2"),
-    )
+    plain = [f"`{f.name}`" for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    size = F.coalesce(F.octet_length(docs[f"`{text}`"]), F.lit(0)).cast("long")
+    hashes = [hash_60(docs[f"`{key}`"]), hash_60(F.xxhash64(*plain)), hash_60(F.lit("row"), F.monotonically_increasing_id())]
+    rows, own = packed(docs, size.alias("n_bytes"), *[h.alias(n) for h, n in zip(hashes, HASHES, strict=True)], without=RESULT)
     cells = lambda fine, h: F.shiftright(h, BITS - fine)
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     fine = min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + step)
@@ -65,22 +65,23 @@ def assign(docs: DataFrame, limit: int = 8 << 20, text: str = "text", key: str =
 
     done = [placed.where(F.col("shard").isNotNull())]
     left = materialize(placed.where(F.col("shard").isNull()).drop("shard", "depth", "shard_bytes", "shard_n", "_cell"), "shard-rest")
-    # The rest has too many bytes in a fine cell: further bits of the key's hash, then of the second hash.
-    at, h, base = fine, "_h1", 0
+    # The rest has too many bytes in a fine cell: further bits of the key's hash, then of the other hashes.
+    at, used = fine, 0
     while True:
         if at == BITS:
-            at, h, base = 0, "_h2", BITS
+            at, used = 0, used + 1
+        h = HASHES[used]
         know, at = at, min(BITS, at + step)
         # What is fixed already: the bits of the round before, as text, and within them the new bits.
         path = F.lpad(F.bin(cells(know, F.col(h))), know, "0") if know else F.lit("")
-        path = path if base == 0 else F.concat(F.lpad(F.bin("_h1"), BITS, "0"), path)
+        path = F.concat(*[F.lpad(F.bin(x), BITS, "0") for x in HASHES[:used]], path)
         new = F.shiftright(h, BITS - at).bitwiseAND((1 << (at - know)) - 1)
         left = left.withColumns({"_path": path, "_cell": new})
         summed = materialize(left.groupBy(F.col("_path").alias("path"), F.col("_cell").alias("cell")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n")), "shard-cells")
         leaves = leaf_cells(summed, directory(summed, at - know, 0, limit), at - know)
         leaves = leaves.select(F.col("path").alias("_path"), F.col("cell").alias("_cell"), "shard", (F.col("depth") + F.length("path")).alias("depth"), "shard_bytes", "shard_n")
         placed = left.join(leaves, ["_path", "_cell"])
-        last = h == "_h2" and at == BITS
+        last = h == HASHES[-1] and at == BITS
         done.append(placed if last else placed.where(F.col("shard").isNotNull()))
         if last or not leaves.where(F.col("shard").isNull()).head(1):
             break
@@ -93,15 +94,15 @@ def assign(docs: DataFrame, limit: int = 8 << 20, text: str = "text", key: str =
 
 def leaf_cells(cells: DataFrame, buckets: DataFrame, fine: int) -> DataFrame:
     """Each fine cell with the bucket that holds it; null columns where no prefix fits."""
-    holds = cells.select("path", "cell", F.explode(F.sequence(F.lit(0), F.lit(fine))).alias("depth")).withColumn("bucket", F.expr(f"shiftright(cell, {fine} - depth)"))
-    found = holds.join(buckets, ["path", "depth", "bucket"])
+    # Each bucket lists its own cells, which no other bucket has: the join has no hot key at any depth.
+    first, after = F.expr(f"shiftleft(bucket, {fine} - depth)"), F.expr(f"shiftleft(bucket + 1, {fine} - depth)")
     bits = F.when(F.col("depth") == 0, F.col("path")).otherwise(F.concat("path", F.lpad(F.bin("bucket"), F.col("depth"), F.lit("0"))))
-    found = found.select("path", "cell", bits.alias("shard"), "depth", "shard_bytes", "shard_n")
+    found = buckets.select("path", F.explode(F.sequence(first, after - 1)).alias("cell"), bits.alias("shard"), "depth", "shard_bytes", "shard_n")
     return cells.select("path", "cell").join(found, ["path", "cell"], "left")
 
 
 def finish(placed: DataFrame, own: list[str], limit: int) -> DataFrame:
-    return placed.select(*[f"`{c}`" for c in own], "n_bytes", F.col("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes", (F.col("shard_bytes") > limit).alias("oversized"))
+    return placed.select(*unpacked(own), "n_bytes", F.col("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes", (F.col("shard_bytes") > limit).alias("oversized"))
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:

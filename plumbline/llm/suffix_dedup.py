@@ -14,9 +14,13 @@ common prefix of neighbours; suffixes that share ``length - l`` bytes form an in
 ``l`` bytes to the left, and a window that starts ``l`` bytes before its anchor repeats just if another suffix is
 in both of its intervals.
 
+A gram of more than ``hot`` occurrences would put as many suffixes into one task. The windows that such a gram answers
+for are compared by 128-bit hashes of their bytes instead: counted by partial sums and joined back, all of them, by
+exchanges that spill. That costs a row for each window, and no task holds a group.
+
 Defined cases: a null text is no bytes; texts under ``length`` bytes lose nothing; a string may repeat within one
 document; rows equal in doc_id and text count as two occurrences each and get one result; an empty table gives no
-rows; result columns replace columns of their name.
+rows; ids are integers, others are refused; of other columns none is read or returned.
 """
 
 from __future__ import annotations
@@ -29,13 +33,14 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, pieces
+from .common import integer_id, materialize, pieces
 
 RESULT = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
 _BASE = 0x9E3779B97F4A7C15
@@ -51,6 +56,8 @@ class Shape:
     run_bytes: int = 24 << 20
     range_rows: int = 60_000
     seed: int = 5
+    #: Occurrences of a gram up to which its suffixes are merged in one task.
+    hot: int = 20_000
 
     @property
     def width(self) -> int:
@@ -381,16 +388,40 @@ def removed_spans(docs: DataFrame, s: Shape | None = None) -> DataFrame:
     docs = docs.withColumn("doc", F.xxhash64("_id", "_text"))
     spots = anchor_rows(docs, s)
     # Written first, so that both sides of the join are plain exchanges, of which a hot gram's can be split.
-    twice = materialize(spots.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "suffix-grams")
-    flagged = spots.join(twice, "gram").groupBy("doc").agg(F.collect_set(F.struct("gram", "spot")).alias("spots"))
+    twice = materialize(spots.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "suffix-grams")
+    hot = twice.where(F.col("n") > s.hot).select("gram")
+    flagged = spots.join(twice.where(F.col("n") <= s.hot).select("gram"), "gram").groupBy("doc").agg(F.collect_set(F.struct("gram", "spot")).alias("spots"))
     flagged = materialize(flagged, "suffix-spots")
     total = flagged.agg(F.sum(F.size("spots"))).first()[0] or 0
     ranges = max(1, math.ceil(total / s.range_rows))
     candidates = docs.select("doc", "_id", "_text", squeezed("text").alias("packed")).join(flagged, "doc")
     spans = merged_spans(sorted_runs(candidates, s, ranges), s, ranges)
+    if hot.head(1):
+        spans = spans.unionByName(hashed_spans(docs, spots.join(hot, "gram"), s))
     return materialize(spans.groupBy("_id", "_text").agg(F.collect_list("span").alias("spans")), "suffix-spans")
 
 
+def hashed_spans(docs: DataFrame, spots: DataFrame, s: Shape) -> DataFrame:
+    """_id, _text, span of each window under ``spots`` whose bytes stand elsewhere, by hashes of whole windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for doc, text_hash, packed, found in zip(*batch.columns, strict=True):
+                data, spots = unzip.decompress(packed.as_py()), found.values.to_numpy()
+                at, lo, hi = spots >> 16, spots >> 8 & 255, spots & 255
+                starts = np.unique(np.concatenate([np.arange(a - h, a - x + 1) for a, x, h in zip(at, lo, hi, strict=True)]))
+                n = len(starts)
+                both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[i : i + s.length]) for i in starts.tolist()]), np.int64).reshape(n, 2)
+                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * n, pa.int64()), pa.array([text_hash.as_py()] * n, pa.int64()), pa.array(starts, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["_id", "_text", "start", "a", "b"])
+
+    flagged = spots.groupBy("doc").agg(F.collect_set("spot").alias("spots"))
+    texts = docs.select("doc", "_id", "_text", squeezed("text").alias("packed")).join(flagged, "doc").select("_id", "_text", "packed", "spots")
+    windows = materialize(texts.mapInArrow(run, "_id long, _text long, start long, a long, b long"), "suffix-windows")
+    twice = windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+    return windows.join(twice, ["a", "b"]).select("_id", "_text", (F.shiftleft("start", 20) + s.length).alias("span"))
+
+
 def cut(data: bytes, spans: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
     """(kept bytes, maximal removed runs) for packed spans in any order."""
     if not len(spans):
@@ -409,6 +440,7 @@ def cut(data: bytes, spans: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
 
 def dedup(docs: DataFrame, s: Shape | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (array of first byte, end) per document."""
+    integer_id(docs, "doc_id")
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64("text").alias("_text"), "text")
     spans = removed_spans(rows, s)
     both = rows.select("doc_id", "_id", "_text", squeezed("text").alias("packed")).join(spans, ["_id", "_text"], "left").select("doc_id", "packed", "spans")

@@ -15,6 +15,7 @@ ordered by their ids' hash; repeated rows are all written; an empty table gives
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,6 +33,15 @@ from .common import materialize, new_path, pieces
 _PLAIN = re.compile(r"[\t-\r\x20-\x26\x28-\x7eÀ-ÖØ-öø-ÿ]*")
 _BORDERS = re.compile(r"[a-zß-öø-ÿ]+|\d|[^\s\da-zß-öø-ÿ]+")
 _SPACES = re.compile(r"[ \n\t\r]+")
+# The rules of a tokenizer file under which the splitting here holds. Other files are encoded whole.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 CACHE = 400_000
 
 
@@ -52,7 +62,8 @@ class Known(dict):
 class WordTokenizer:
     """The library's ids of whole texts, each distinct word encoded once while it stays in the cache.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its parts in order.
+    Where the file's rules are those named above, white space is dropped and nothing joins across it, so a text's ids
+    are those of its parts in order. A file with other rules is used on whole texts.
     """
 
     def __init__(self, path: str):
@@ -60,6 +71,9 @@ class WordTokenizer:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        #: Whether a text's ids are those of its words, and whether plain words may be split here.
+        self.splits = rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == PRE_TOKENIZER and rules["post_processor"] is None
         #: Strings that the tokenizer reads as one id wherever they stand.
         self.marks = sorted({x for t in self.tokenizer.get_added_tokens_decoder().values() for x in (t.content, t.content.lower())})
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
@@ -78,7 +92,7 @@ class WordTokenizer:
         if not text:
             return b""
         low = text.lower()
-        if any(mark in low for mark in self.marks):
+        if not self.splits or any(mark in low for mark in self.marks):
             return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if _PLAIN.fullmatch(text):
             return b"".join(map(self.words.__getitem__, _BORDERS.findall(low)))
@@ -159,7 +173,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, block_tok
     ranks[order] = np.arange(len(order), dtype="<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block = TaskContext.get().partitionId(), 0
+        part, block, filled = TaskContext.get().partitionId(), 0, 0
         ids: list[int | None] = []
         sizes: list[int] = []
         held: list[np.ndarray] = []
@@ -174,9 +188,10 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, block_tok
                 ids.append(doc.as_py())
                 sizes.append(n.as_py())
                 held.append(np.frombuffer(raw.as_py(), dtype=f"<u{width.as_py()}"))
-                if sum(sizes) >= block_tokens:
+                filled += sizes[-1]
+                if filled >= block_tokens:
                     yield flush()
-                    ids, sizes, held, block = [], [], [], block + 1
+                    ids, sizes, held, block, filled = [], [], [], block + 1, 0
         if ids:
             yield flush()
 

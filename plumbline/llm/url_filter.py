@@ -6,11 +6,12 @@ a cascade is a Bloom filter of the listed keys, level 2 one of the corpus's keys
 level 3 of the listed keys that pass level 2, and so on until nothing passes falsely. Over the key universe it
 was built from the answer is exact, and a lookup is bit tests on literal arrays: no join.
 
-A filter has 16 bits a key; the arrays are literals of the plan, so ``most_bytes`` bounds the listed keys and a
-longer list is refused, to be split by the caller.
+A filter has 16 bits a key; the arrays are literals of the plan, so ``most_bytes`` bounds each. A longer list is dealt
+by a hash of the key into cascades within the bound, and the urls pass one after the other, written in between.
 
 Defined cases: a null url or one without ``://`` has an empty host and path and fits no rule; an empty host label
-(``a..b``) is a label; repeated urls are judged alike; extra columns pass through, result columns replace.
+(``a..b``) is a label; of a host of very many labels only as many as a rule has are looked at; repeated urls are judged
+alike; extra columns pass through whatever their names, and result columns replace columns of their name.
 """
 
 from __future__ import annotations
@@ -21,29 +22,30 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize
+from .common import lower_ascii, materialize, packed, unpacked
 
 RESULT = ["host", "path", "rule", "verdict"]
 HASHES = 4
+#: Bytes of a filter: as a literal it goes into the plan, at most three times as long.
+MOST_BYTES = 4 << 20
 
 
-def with_parts(pages: DataFrame) -> DataFrame:
+def with_parts(pages: DataFrame) -> tuple[DataFrame, list[str]]:
     """``pages`` with host and path, cut by positions as the rules say."""
-    at = F.instr(F.coalesce("url", F.lit("")), "://")
-    rest = F.when(at > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise(F.lit(""))
-    own = [f"`{c}`" for c in pages.columns if c not in ("host", "path")]
-    host = lower_ascii(F.regexp_extract("_rest", r"^[^/?#]*", 0))
-    path = F.regexp_extract("_rest", r"^[^/?#]*([^?#]*)", 1)
-    return pages.withColumn("_rest", rest).select(*own, host.alias("host"), path.alias("path"))
-
-
-def keys(lengths: Sequence[int]) -> Column:
-    """All keys of a row's host and path: every host suffix with every cut of the path, ``host`` + ``path``."""
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    with_cut = lambda n: F.transform(suffixes, lambda s: F.concat(s, F.substring("path", 1, n)))
-    cuts = [F.when(F.length("path") >= n, with_cut(n)) for n in lengths] or [F.array().cast("array<string>")]
-    known = F.flatten(F.array_compact(F.array(*cuts)))
+    url = F.coalesce(pages["url"].cast("string"), F.lit(""))
+    at = F.instr(url, "://")
+    rows, own = packed(pages, F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit("")).alias("rest"), without=RESULT)
+    host = lower_ascii(F.regexp_extract("rest", r"^[^/?#]*", 0))
+    path = F.regexp_extract("rest", r"^[^/?#]*([^?#]*)", 1)
+    return rows.select("_row", host.alias("host"), path.alias("path")), own
+
+
+def keys(shapes: Sequence[tuple[int, int]]) -> Column:
+    """The keys of a row's host and path that a rule can have: of (labels, path length) pairs, the host's last labels
+    and the path's first characters, joined. A null label count means none has that many."""
+    labels = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1
+    made = [F.when((labels >= n) & (F.length("path") >= cut), F.concat(F.substring_index("host", ".", -n), F.substring("path", 1, cut))) for n, cut in shapes]
+    known = F.array_compact(F.array(*made)) if made else F.array().cast("array<string>")
     return F.when(F.length("host") > 0, known).otherwise(F.array().cast("array<string>"))
 
 
@@ -85,7 +87,7 @@ class Cascade:
         self.levels = levels
 
     @classmethod
-    def build(cls, listed: DataFrame, universe: DataFrame, bits_per_key: int = 16, most_bytes: int = 64 << 20) -> Cascade:
+    def build(cls, listed: DataFrame, universe: DataFrame, bits_per_key: int = 16, most_bytes: int = MOST_BYTES) -> Cascade:
         """``listed`` and ``universe`` have a column ``key``. The universe may repeat keys: only those that pass
         level 1 are made distinct, after the test, so the first scan shuffles next to nothing."""
         listed = listed.select("key").distinct()
@@ -110,23 +112,44 @@ class Cascade:
         return answer
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default: str = "allow", most_bytes: int = MOST_BYTES) -> DataFrame:
     """``pages`` (with a url) with host, path, rule and verdict. ``rules``: (verdict, host, path); the longest that
     fits decides, ``default`` where none does."""
     spark: SparkSession = pages.sparkSession
-    lengths = sorted({len(path) for _, _, path in rules})
-    parts = with_parts(pages.drop("rule", "verdict"))
-    keyed = parts.withColumn("_keys", keys(lengths))
-    universe = keyed.select(F.explode("_keys").alias("key"))
-    member = {}
-    for kind in sorted({v for v, _, _ in rules}):
-        listed = spark.createDataFrame([(lower(h) + p,) for v, h, p in rules if v == kind], "key string")
-        member[kind] = Cascade.build(listed, universe)
-    longest = lambda c: F.array_max(F.transform(F.filter("_keys", c.contains), lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))
-    found = keyed.withColumns({f"_{kind}": longest(c) for kind, c in member.items()})
-    best = F.array_max(F.array_compact(F.array(*[F.when(F.col(f"_{k}").isNotNull(), F.struct(F.col(f"_{k}.n").alias("n"), F.col(f"_{k}.key").alias("key"), F.lit(k).alias("verdict"))) for k in member]))) if member else F.lit(None).cast("struct<n:int,key:string,verdict:string>")
-    own = [f"`{c}`" for c in pages.columns if c not in RESULT]
-    return found.withColumn("_best", best).select(*own, "host", "path", F.col("_best.key").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+    shapes = sorted({(h.count(".") + 1, len(p)) for _, h, p in rules})
+    found, own = with_parts(pages)
+    found = found.withColumn("keys", keys(shapes))
+    best = F.lit(None).cast("struct<n:int,key:string,verdict:string>")
+    passes = max([1, *[passes_for(sum(v == kind for v, _, _ in rules), most_bytes) for kind in {v for v, _, _ in rules}]])
+    part_of = lambda k: F.pmod(F.xxhash64(k, F.lit("part")), F.lit(passes))
+    for nth in range(passes):
+        mine = found.select(F.filter("keys", lambda k: part_of(k) == nth).alias("keys") if passes > 1 else F.col("keys"))
+        universe = mine.select(F.explode("keys").alias("key"))
+        hits = [best]
+        for kind in sorted({v for v, _, _ in rules}):
+            listed = spark.createDataFrame([(lower(h) + p,) for v, h, p in rules if v == kind], "key string")
+            # A hash deals unevenly: a part may be a fifth larger than the mean.
+            held = Cascade.build(listed.where(part_of(F.col("key")) == nth) if passes > 1 else listed, universe, most_bytes=most_bytes * 6 // 5 + 64)
+            hits.append(longest(held, kind, (lambda k: part_of(k) == nth) if passes > 1 else None))
+        found = found.select("_row", "host", "path", "keys", F.array_max(F.array_compact(F.array(*hits))).alias("best"))
+        best = F.col("best")
+        if nth + 1 < passes:
+            found = materialize(found, "url-pass")
+    return found.select(*unpacked(own), "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+
+
+def longest(held: Cascade, kind: str, mine=None) -> Column:
+    """The longest key of a row that ``held`` contains, as (length, key, verdict); null if there is none."""
+
+    def test(k: Column) -> Column:
+        return held.contains(k) if mine is None else mine(k) & held.contains(k)
+
+    return F.array_max(F.transform(F.filter("keys", test), lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), F.lit(kind).alias("verdict"))))
+
+
+def passes_for(n: int, most_bytes: int, bits_per_key: int = 16) -> int:
+    """Cascades that a list of ``n`` keys is dealt into."""
+    return max(1, -(-n * bits_per_key // 8 // most_bytes)) if n * bits_per_key // 8 > most_bytes else 1
 
 
 def lower(host: str) -> str:

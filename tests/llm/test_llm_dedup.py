@@ -93,7 +93,7 @@ def brute_suffix(docs, length):
     return out
 
 
-@pytest.mark.parametrize("shape", [suffix_dedup.Shape(20, 8, 24 << 20, 60_000), suffix_dedup.Shape(20, 8, 2000, 40), suffix_dedup.Shape(9, 9, 500, 7), suffix_dedup.Shape()])
+@pytest.mark.parametrize("shape", [suffix_dedup.Shape(20, 8, 24 << 20, 60_000), suffix_dedup.Shape(20, 8, 2000, 40), suffix_dedup.Shape(9, 9, 500, 7), suffix_dedup.Shape(), suffix_dedup.Shape(20, 8, hot=2), suffix_dedup.Shape(20, 8, hot=12)])
 def test_suffix_dedup_brute(spark, shape):
     r = random.Random(shape.length + shape.range_rows)
     common = ["".join(r.choice("abü ") for _ in range(n)) for n in (10, 25, 60, 260)]
@@ -178,6 +178,36 @@ def test_passage_dedup_brute(spark, n, words):
     assert Counter((x["doc_id"], x["n_lines"], x["n_removed"], plain(x["kept_text"])) for x in got.collect()) == Counter((d[0], *gone[d]) for d in docs)
 
 
+def test_ranks_are_in_order(spark):
+    """Each round's ranks sort its suffixes as their lines do, and equal ranks are equal lines: intervals of the array."""
+    r = random.Random(7)
+    docs = spark.createDataFrame([(i, "\n".join(r.choice("ab") for _ in range(r.randrange(1, 20)))) for i in range(30)], SCHEMA)
+    keyed = docs.select(*line_dedup.keys_of(docs), "text")
+    rows = line_dedup.sequence_of(keyed, False)
+    code = {x["a"]: x["a"] for x in rows.collect()}
+    lines = {}
+    for x in sorted(rows.collect(), key=lambda x: x["at"]):
+        lines.setdefault((x["_id"], x["_text"]), []).append((code[x["a"]], x["b"]))
+    now, depth = line_dedup.ranked(rows, line_dedup.classes_of(rows, ["a", "b"]), ["a", "b"]), 1
+    while depth < 8:
+        held = [(x["rank"], lines[x["_id"], x["_text"]][x["at"] : x["at"] + depth]) for x in now.collect()]
+        assert all(len(y) == depth for _, y in held)
+        order = sorted(held)
+        assert [y for _, y in order] == sorted(y for _, y in held)
+        assert len({k for k, _ in held}) == len({tuple(y) for _, y in held})
+        ahead = now.select("_id", "_text", (F.col("at") - depth).alias("at"), F.col("rank").alias("other"))
+        pairs = now.drop("later").join(ahead, ["_id", "_text", "at"])
+        now, depth = line_dedup.ranked(pairs, line_dedup.classes_of(pairs, ["rank", "other"]), ["rank", "other"]), 2 * depth
+
+
+def test_long_repeated_run(spark):
+    """Two copies of a run of 3,000 lines, and one line 2,000 times: few rounds, one maximal run each."""
+    run = "\n".join(f"line {i}" for i in range(3000))
+    docs = spark.createDataFrame([(1, "x\n" + run + "\ny"), (2, "z\n" + run), (3, "again\n" * 2000)], SCHEMA)
+    got = {r["doc_id"]: (r["n_removed"], r["n_runs"], r["kept_text"].strip()) for r in line_dedup.dedup(docs).collect()}
+    assert got[1][:2] == (0, 0) and got[2] == (3000, 1, "z") and got[3] == (1999, 1, "again")
+
+
 # ---- 10
 
 

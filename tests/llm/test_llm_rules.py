@@ -1,6 +1,7 @@
 """Language id, sharding, mixing, url filter, token output and quality rules: defined cases and brute force."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plumbline.llm import langid, mixing, quality, queries, sharding, token_output, url_filter
+from plumbline.llm import decontaminate, langid, line_dedup, mixing, neardup, quality, queries, sharding, suffix_dedup, token_output, url_filter
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -47,9 +48,104 @@ def test_sql(spark, name):
     assert sorted(tidy(r) for r in made.select(*columns).collect()) == sorted(tidy([r[i] for i in at]) for r in found.fetchall())
 
 
+# ---- names of the caller
+
+#: Names that the operators use for columns of their own, and of their results.
+NAMES = ["_row", "_h", "_h1", "_h2", "_h3", "_t", "_m", "_id", "_text", "_source", "_class", "_bucket", "_cell", "_nth", "_digit", "_large", "_kept", "_verdict", "_keys", "_best", "_rest", "_copy", "start", "rate", "offset", "target", "weight", "cap", "n", "size", "rank", "at", "a", "b", "later", "first", "from", "to", "run", "runs", "removed", "spot", "spots", "gram", "doc", "span", "packed", "words", "total", "other", "node", "label", "bucket", "buckets", "signature", "u", "v", "p", "x", "key", "keys", "best", "rest", "cell", "path", "depth", "shard_n", "item_id", "matched", "n_items", "mask", "seed", "around", "copies", "verdict", "score", "margin", "accepted", "lang_pred", "h", "nth", "worse", "sample", "text_hash", "row", "line"]
+
+
+def named(df):
+    """``df`` with a column of each name, and a map and a struct, which cannot be compared or hashed everywhere."""
+    return df.withColumns({n: F.lit(f"own {n}") for n in NAMES if n not in df.columns} | {"a map": F.create_map(F.lit("k"), F.lit(1)), "Mixed Case.dot": F.struct(F.lit(1).alias("_id"))})
+
+
+CLASHES = {
+    "op1": (lambda d: langid.LanguageModel.fit(d).predict(d), ["lang_pred", "score", "margin", "accepted"]),
+    "op2": (lambda d: sharding.assign(d, 60, step=3), sharding.RESULT),
+    "op3": (lambda d: decontaminate.judge(d, d.select(F.col("doc_id").alias("item_id"), "text", "n").where("item_id = 5").limit(1)), decontaminate.RESULT),
+    "op4": (lambda d: mixing.mix(d, most_in_cell=1), mixing.RESULT),
+    "op6": (lambda d: line_dedup.dedup(d, 1), line_dedup.RESULT),
+    "op7": (lambda d: url_filter.judge(d.withColumn("url", F.lit("http://a.net/es/")), url_filter.RULES), url_filter.RESULT),
+    "stage op1": (langid.accepted, []),
+    "stage op3": (lambda d: decontaminate.clean(d, d.select(F.col("doc_id").alias("item_id"), "text").limit(0)), []),
+    "stage op4": (lambda d: mixing.emit(mixing.mix(d.drop(*mixing.RESULT)), d.drop(*mixing.RESULT).columns), mixing.RESULT),
+    "stage op10": (neardup.keep_one, []),
+}
+
+
+@pytest.mark.parametrize("op", CLASHES)
+def test_names_of_the_caller(odd, op):
+    run, results = CLASHES[op]
+    docs = named(odd)
+    got = run(docs)
+    own = [c for c in docs.columns if c not in results]
+    assert [c for c in got.columns if c in own] == own and set(results) - {"copies", "size", "source_size", "target", "taken"} <= set(got.columns)
+    kept = {r["doc_id"] for r in got.collect() if all(r[n] == f"own {n}" for n in NAMES if n in own) and r["a map"] == {"k": 1} and r["Mixed Case.dot"]["_id"] == 1}
+    assert kept == {r["doc_id"] for r in got.collect()}
+    if not op.startswith("stage"):
+        assert got.count() == len(ODD)
+
+
+def test_names_beside_reduced_results(odd):
+    for got in (suffix_dedup.dedup(named(odd)), neardup.link(named(odd)), quality.judge(named(odd))):
+        assert got.count() == len(ODD)
+
+
+@pytest.mark.parametrize("run", [neardup.link, suffix_dedup.dedup, line_dedup.dedup, lambda d: decontaminate.judge(d, d)])
+def test_ids_are_integers(odd, run):
+    with pytest.raises(TypeError, match="integer"):
+        run(odd.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 # ---- 1
 
 
+def plain_verdict(model, text):
+    """The verdict worked out anew: bytes of all blocks by language with a fresh coder for each block."""
+    import unicodedata
+
+    import zstandard
+
+    if not any(unicodedata.category(c).startswith("L") for c in text or ""):
+        return "und"
+    words = re.sub(r"[\W\d_]+", " ", text.lower()).encode()
+    size = {}
+    for lang, sample in model.dictionaries.items():
+        made = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        coder = lambda made=made: zstandard.ZstdCompressor(level=model.level, dict_data=made, write_checksum=False, write_content_size=False, write_dict_id=False)
+        size[lang] = sum(len(coder().compress(words[i : i + model.block])) for i in range(0, len(words), model.block))
+    return min(sorted(size), key=size.get)
+
+
+def test_language_against_plain_rules(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    extra = spark.createDataFrame([(10**6, "²", None), (10**6 + 1, "½ 3", None), (10**6 + 2, "Ⅷ", None), (10**6 + 3, "ª", None)], docs.schema)
+    taught = [r for r in docs.collect() if r["lang"] is not None and (r["text"] or "").strip(" ") and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    model = langid.LanguageModel.fit(docs.where(~langid.held_out(F.col("doc_id"))), texts_per_lang=4)
+    for lang in {r["lang"] for r in taught}:
+        own = {(not 200 <= len(r["text"]) <= 3000, xxhash64(r["text"][:3000]), r["text"][:3000]) for r in taught if r["lang"] == lang}
+        best = {}
+        for worse, h, sample in own:
+            best[h] = min(best.get(h, (worse, sample)), (worse, sample))
+        picked = sorted((worse, h, sample) for h, (worse, sample) in best.items())[:4]
+        assert model.dictionaries[lang] == b"\n".join(dict.fromkeys(langid.letters_of(s) for _, _, s in picked))
+    rows = model.predict(docs.where("doc_id % 7 = 0").unionByName(extra)).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in rows} == {r["doc_id"]: plain_verdict(model, r["text"]) for r in rows}
+    assert [r["lang_pred"] == "und" for r in sorted(rows, key=lambda r: r["doc_id"])[-4:]] == [True, True, True, False]
+
+
+def xxhash64(text):
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_too_many_labels(spark):
+    with pytest.raises(ValueError, match="labels"):
+        langid.LanguageModel.fit(spark.range(5).selectExpr("'some text' AS text", "concat('l', id) AS lang"), most_langs=4)
+
+
 def test_language_held_out(spark):
     got = queries.op1_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     judged = [r for r in got.collect() if r["held_out"] and r["lang"] is not None and r["lang_pred"] != langid.UNDETERMINED]
@@ -159,6 +255,18 @@ def test_mixing_near_target(spark):
     assert target["b"] == pytest.approx(3 * want["b"]) and target["hot"] == pytest.approx(2 * target[None])
 
 
+def test_mixing_cuts_large_cells(spark):
+    """Cells cut down to a few rows take the same words; rows of one id or of none are told apart by their columns."""
+    many = spark.range(900).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("a").alias("source"), F.concat(F.repeat(F.lit("w "), (F.col("id") % 5 + 1).cast("int")), (F.col("id") % 50).cast("string")).alias("text"))
+    rows = many.unionByName(many.where("doc_id % 2 = 0").withColumn("source", F.lit("b")))
+    for most in (200_000, 20, 1):
+        got = mixing.mix(rows, most_in_cell=most)
+        by = {r["source"]: r for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).collect()}
+        assert sum(r["n"] for r in by.values()) == rows.count() and all(abs(r["taken"] - r["target"]) <= 15 for r in by.values())
+        again = mixing.mix(rows.repartition(5), most_in_cell=most)
+        assert got.exceptAll(again).count() == 0
+
+
 # ---- 7
 
 
@@ -171,7 +279,8 @@ def verdict(url):
     return (host, path, *(max(fits)[1:] if fits else (None, "allow")))
 
 
-URLS = [None, "", "no scheme", "http://", "https://Example.COM/en/x?q#f", "http://www.example.com/en/", "http://a.b.example.com/en/y", "ftp://x.net/es/a", "http://net/fr/", "http://x.net/de", "http://notexample.com/en/", "http://a..com/", "http://com?x://y/", "http://example.org/en/", "x://com/", "http://É.net/es/ü"]
+LABELS = ".".join(["x"] * 20_000)
+URLS = [f"http://{LABELS}.example.com/en/", f"http://{LABELS}/", None, "", "no scheme", "http://", "https://Example.COM/en/x?q#f", "http://www.example.com/en/", "http://a.b.example.com/en/y", "ftp://x.net/es/a", "http://net/fr/", "http://x.net/de", "http://notexample.com/en/", "http://a..com/", "http://com?x://y/", "http://example.org/en/", "x://com/", "http://É.net/es/ü"]
 
 
 def test_urls(spark):
@@ -182,6 +291,16 @@ def test_urls(spark):
     assert {r["verdict"] for r in url_filter.judge(pages, []).collect()} == {"allow"}
 
 
+def test_list_in_several_cascades(spark):
+    rules = [*url_filter.RULES, *[("block", f"h{i}.org", "/") for i in range(300)], *[("allow", f"a.h{i}.org", "/x") for i in range(40)]]
+    urls = [*URLS, *[f"http://w.h{i}.org/y" for i in range(0, 600, 7)], *[f"http://b.a.h{i}.org/xy" for i in range(60)]]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    whole = url_filter.judge(pages, rules)
+    parts = url_filter.judge(pages, rules, most_bytes=200)
+    assert url_filter.passes_for(304, 200) == 4 and whole.exceptAll(parts).count() == 0 == parts.exceptAll(whole).count()
+    assert whole.where("rule like 'h%' and verdict = 'block'").count() == 63 and whole.where("rule like 'a.h%'").count() == 40
+
+
 def test_cascade_is_exact(spark):
     listed = spark.range(0, 300).select(F.concat(F.lit("k"), "id").alias("key"))
     universe = spark.range(0, 3000).select(F.concat(F.lit("k"), (F.col("id") % 2000).cast("string")).alias("key"))
@@ -229,6 +348,23 @@ def test_tokens(spark, odd, none):
     assert token_output.round_trip(none, path).count() == 0
 
 
+def test_tokens_of_other_rules(spark, tmp_path):
+    """A file whose rules are not those that the splitting knows is used on whole texts."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rules = json.load(open(public_tokenizers.path("word_bpe_49k.json")))
+    rules["normalizer"]["normalizers"] = rules["normalizer"]["normalizers"][:2]
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(rules))
+    plain = Tokenizer.from_file(str(path))
+    texts = ["Upper CASE stays 12", "é É", " a  b\n"]
+    got = token_output.read(spark, token_output.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(path), f"file://{tmp_path}/out", block_tokens=4))
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in got.collect()} == {i: [*plain.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+
+
 # ---- 9
 
 
@@ -254,6 +390,45 @@ def test_quality_features(spark, odd, none):
     assert quality.judge(none).count() == 0
 
 
+def plain_fences(rows, reach):
+    """Fences worked out from sorted buckets: the one that holds the middle or three quarters of the documents."""
+
+    def bucket_of(x):
+        return -100000 if x <= 0 else math.floor(math.log2(x) * 16)
+
+    def top(values, share):
+        at = sorted(bucket_of(v) for v in values)[math.ceil(share * len(values)) - 1]
+        return 0.0 if at == -100000 else 2 ** ((at + 1) / 16)
+
+    out = {}
+    for k, (a, b, event) in quality.RATIOS.items():
+        ratios = [r[a] / r[b] if r[b] else 0.0 for r in rows]
+        q50, q75 = top(ratios, 0.5), top(ratios, 0.75)
+        out[k] = q75 + reach * max(q75 - q50, q75 * (1 - 2 ** (-1 / 16)), event / top([r[b] for r in rows], 0.5))
+    return out
+
+
+def test_quality_kept_brute(spark):
+    """Every verdict against fences from the documents themselves, for groups with sketches of their own and thin ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 10 < 7, "large").otherwise(F.col("source")))
+    rows = [r.asDict() for r in quality.judge(docs).collect()]
+    passed = [r for r in rows if not r["base_failed"]]
+    groups, langs = {}, {}
+    for r in passed:
+        groups.setdefault((r["lang"], r["source"]), []).append(r)
+        langs.setdefault(r["lang"], []).append(r)
+    assert {len(g) >= quality.LEAST_DOCS for g in groups.values()} == {True, False}
+    gone = 0
+    for key, members in groups.items():
+        fence = plain_fences(members if len(members) >= quality.LEAST_DOCS else langs[key[0]], 4.0)
+        for r in members:
+            ratio = {k: (r[a] / r[b] if r[b] else 0.0) for k, (a, b, _) in quality.RATIOS.items()}
+            assert r["kept"] == all(ratio[k] <= fence[k] * (1 + 1e-12) for k in fence), (r["doc_id"], ratio, fence)
+            gone += not r["kept"]
+    assert gone and not any(r["kept"] for r in rows if r["base_failed"])
+
+
 def test_quality_fences_adapt(spark):
     """What is usual for a source stays; the same share of symbols goes where it is unusual."""
     words = " ".join(f"word{i}" for i in range(80))
