@@ -13,13 +13,9 @@ from plumbline.llm.common import materialize
 from plumbline.llm.queries import SHARD_BYTES, table
 
 
-def columns_of(docs: DataFrame) -> list[str]:
-    return [f"`{c}`" for c in docs.columns]
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a sufficient margin; texts without letters and toss-ups go."""
-    return langid.identify(docs).where("accepted").select(*columns_of(docs))
+    return langid.accepted(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
