@@ -49,19 +49,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: The caller's columns travel in this one struct, so that no name of theirs meets one of an operator's own.
-ROW = "_row"
-
-
 def packed(docs: DataFrame, *columns: Column, without: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
-    """``docs`` as one struct beside ``columns``, which are read from ``docs`` itself; and the names in the struct."""
+    """``docs`` with its columns under neutral names, so that no name of theirs meets one of an operator's own, beside
+    ``columns``, which are read from ``docs`` itself; and the names. Unused columns are still pruned from the scan."""
     own = [c for c in docs.columns if c not in without]
-    fields = F.struct(*[docs[f"`{c}`"] for c in own]) if own else F.struct(F.lit(0).alias("none"))
-    return docs.select(fields.alias(ROW), *columns), own
+    return docs.select(*[docs[f"`{c}`"].alias(f"_own{i}") for i, c in enumerate(own)], *columns), own
 
 
 def unpacked(own: Sequence[str]) -> list[Column]:
-    return [F.col(f"{ROW}.`{c}`").alias(c) for c in own]
+    return [F.col(f"_own{i}").alias(c) for i, c in enumerate(own)]
+
+
+def held(own: Sequence[str]) -> list[str]:
+    """The neutral names."""
+    return [f"_own{i}" for i in range(len(own))]
 
 
 def integer_id(docs: DataFrame, *keys: str) -> None:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_60, materialize, packed, unpacked, word_count
+from .common import hash_60, held, materialize, packed, unpacked, word_count
 
 #: 2**BUCKET_BITS hash buckets in each size class of a source.
 BUCKET_BITS = 12
@@ -113,7 +113,7 @@ def cut_cells(base: DataFrame, starts: DataFrame, most: int) -> tuple[DataFrame,
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Each document as many times as it is taken."""
     rows, own = packed(mixed.where("copies > 0"), mixed["copies"].cast("int").alias("copies"))
-    copied = rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    copied = rows.select(*held(own), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     return copied.select(*[c for c, name in zip(unpacked(own), own, strict=True) if name in columns])
 
 

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize, packed, unpacked
+from .common import held, lower_ascii, materialize, packed, unpacked
 
 RESULT = ["host", "path", "rule", "verdict"]
 HASHES = 4
@@ -37,7 +37,7 @@ def with_parts(pages: DataFrame) -> tuple[DataFrame, list[str]]:
     rows, own = packed(pages, F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit("")).alias("rest"), without=RESULT)
     host = lower_ascii(F.regexp_extract("rest", r"^[^/?#]*", 0))
     path = F.regexp_extract("rest", r"^[^/?#]*([^?#]*)", 1)
-    return rows.select("_row", host.alias("host"), path.alias("path")), own
+    return rows.select(*held(own), host.alias("host"), path.alias("path")), own
 
 
 def keys(shapes: Sequence[tuple[int, int]]) -> Column:
@@ -129,20 +129,20 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default: str
         for kind in sorted({v for v, _, _ in rules}):
             listed = spark.createDataFrame([(lower(h) + p,) for v, h, p in rules if v == kind], "key string")
             # A hash deals unevenly: a part may be a fifth larger than the mean.
-            held = Cascade.build(listed.where(part_of(F.col("key")) == nth) if passes > 1 else listed, universe, most_bytes=most_bytes * 6 // 5 + 64)
-            hits.append(longest(held, kind, (lambda k: part_of(k) == nth) if passes > 1 else None))
-        found = found.select("_row", "host", "path", "keys", F.array_max(F.array_compact(F.array(*hits))).alias("best"))
+            member = Cascade.build(listed.where(part_of(F.col("key")) == nth) if passes > 1 else listed, universe, most_bytes=most_bytes * 6 // 5 + 64)
+            hits.append(longest(member, kind, (lambda k: part_of(k) == nth) if passes > 1 else None))
+        found = found.select(*held(own), "host", "path", "keys", F.array_max(F.array_compact(F.array(*hits))).alias("best"))
         best = F.col("best")
         if nth + 1 < passes:
             found = materialize(found, "url-pass")
     return found.select(*unpacked(own), "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
-def longest(held: Cascade, kind: str, mine=None) -> Column:
-    """The longest key of a row that ``held`` contains, as (length, key, verdict); null if there is none."""
+def longest(member: Cascade, kind: str, mine=None) -> Column:
+    """The longest key of a row that ``member`` contains, as (length, key, verdict); null if there is none."""
 
     def test(k: Column) -> Column:
-        return held.contains(k) if mine is None else mine(k) & held.contains(k)
+        return member.contains(k) if mine is None else mine(k) & member.contains(k)
 
     return F.array_max(F.transform(F.filter("keys", test), lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), F.lit(kind).alias("verdict"))))
 

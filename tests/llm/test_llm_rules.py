@@ -51,7 +51,7 @@ def test_sql(spark, name):
 # ---- names of the caller
 
 #: Names that the operators use for columns of their own, and of their results.
-NAMES = ["_row", "_h", "_h1", "_h2", "_h3", "_t", "_m", "_id", "_text", "_source", "_class", "_bucket", "_cell", "_nth", "_digit", "_large", "_kept", "_verdict", "_keys", "_best", "_rest", "_copy", "start", "rate", "offset", "target", "weight", "cap", "n", "size", "rank", "at", "a", "b", "later", "first", "from", "to", "run", "runs", "removed", "spot", "spots", "gram", "doc", "span", "packed", "words", "total", "other", "node", "label", "bucket", "buckets", "signature", "u", "v", "p", "x", "key", "keys", "best", "rest", "cell", "path", "depth", "shard_n", "item_id", "matched", "n_items", "mask", "seed", "around", "copies", "verdict", "score", "margin", "accepted", "lang_pred", "h", "nth", "worse", "sample", "text_hash", "row", "line"]
+NAMES = ["_own0", "_own1", "_row", "_h", "_h1", "_h2", "_h3", "_t", "_m", "_id", "_text", "_source", "_class", "_bucket", "_cell", "_nth", "_digit", "_large", "_kept", "_verdict", "_keys", "_best", "_rest", "_copy", "start", "rate", "offset", "target", "weight", "cap", "n", "size", "rank", "at", "a", "b", "later", "first", "from", "to", "run", "runs", "removed", "spot", "spots", "gram", "doc", "span", "packed", "words", "total", "other", "node", "label", "bucket", "buckets", "signature", "u", "v", "p", "x", "key", "keys", "best", "rest", "cell", "path", "depth", "shard_n", "item_id", "matched", "n_items", "mask", "seed", "around", "copies", "verdict", "score", "margin", "accepted", "lang_pred", "h", "nth", "worse", "sample", "text_hash", "row", "line"]
 
 
 def named(df):
