@@ -6,6 +6,7 @@ inventory. ``holed`` plants blanks into ``orders`` alike on both sides, so null
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -17,6 +18,7 @@ from .operators import analysis, clean, detectors, experiments, governance, join
 from .operators import query as q
 from .operators.table import ROW, AnalysisTable, number_rows
 from .plans import stages
+from .sources import files, store
 from .streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,7 +151,9 @@ _COLS = "o_orderkey, priority, price, status"
 add("rec_page", _records({"offset": 100, "limit": 50, "filters": [{"column": "price", "op": "gt", "value": 1000}]}), WITH + f"SELECT {_COLS} FROM t WHERE price > 1000 ORDER BY o_orderkey LIMIT 50 OFFSET 100")
 add("rec_sort", _records({"sort": {"by": "priority", "desc": True}, "limit": 100}), WITH + f"SELECT {_COLS} FROM t ORDER BY (priority IS NULL OR priority = ''), priority DESC, o_orderkey LIMIT 100")
 add("rec_sample", _records({"sample": 500, "filters": [{"column": "price", "op": "gt", "value": 1000}]}), WITH + f", n AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM t WHERE price > 1000) SELECT {_COLS} FROM n WHERE i IN (SELECT CAST(floor(k * greatest(n / 500.0::DOUBLE, 1.0::DOUBLE)) AS BIGINT) FROM (SELECT DISTINCT n FROM n) x, range(0, 500) r(k) WHERE k < least(500, n))")
-add("q_fields", lambda s, d: q.fields(holed(s, d)).where("name in ('priority', 'price', 'status', 'cust')").drop("role"), WITH + " UNION ALL ".join(f"SELECT '{c}' AS name, '{k}' AS type, count(*) FILTER (WHERE {c} IS NOT NULL{' AND ' + c + chr(60) + chr(62) + chr(39) * 2 if k == 'text' else ''}) AS filled, count(*) AS records, {'min(' + c + ')' if k == 'number' else 'NULL::DOUBLE'} AS min, {'max(' + c + ')' if k == 'number' else 'NULL::DOUBLE'} AS max, {'count(DISTINCT ' + c + ')' if k == 'text' else 'NULL::BIGINT'} AS distinct FROM t" for c, k in (("priority", "text"), ("price", "number"), ("status", "text"), ("cust", "number"))))
+_FIELD = "SELECT '{0}' AS name, '{1}' AS type, count({0}) FILTER (WHERE CAST({0} AS VARCHAR) <> '') AS filled, count(*) AS records, {2} AS min, {3} AS max, {4} AS distinct FROM t"
+_FIELDS = [_FIELD.format(c, "number", f"CAST(min({c}) AS DOUBLE)", f"CAST(max({c}) AS DOUBLE)", "NULL::BIGINT") for c in ("o_orderkey", "price", "cust")] + [_FIELD.format(c, "text", "NULL::DOUBLE", "NULL::DOUBLE", f"count(DISTINCT {c})") for c in ("o_orderdate", "priority", "status")]
+add("q_fields", lambda s, d: q.fields(holed(s, d)).drop("role"), WITH + " UNION ALL ".join(_FIELDS))
 
 # ---- parsing
 
@@ -161,7 +165,7 @@ def _by_case(cases: dict[int, Callable[[], Column]]) -> Column:
     return reduce(lambda c, x: c.when(k == x[0], x[1]()), list(cases.items())[1:], F.when(k == 0, cases[0]()))
 
 
-add("num_mapped", lambda s, d: table(s, d, "orders").select("o_orderkey", F.round(numbers.mapped_number(_by_case(_MONEY)), 2).alias("number")), "SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN round(o_totalprice, 2) WHEN 1 THEN -round(o_totalprice, 2) WHEN 2 THEN round(o_totalprice, 2) WHEN 3 THEN CAST(o_orderkey % 97 AS DOUBLE) WHEN 4 THEN CAST(o_orderkey AS DOUBLE) WHEN 7 THEN -CAST(o_orderkey AS DOUBLE) END AS number FROM orders")
+add("num_mapped", lambda s, d: table(s, d, "orders").select("o_orderkey", _by_case(_MONEY).alias("x")).select("o_orderkey", F.round(numbers.mapped_number(F.col("x")), 2).alias("number")), "SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN round(o_totalprice, 2) WHEN 1 THEN -round(o_totalprice, 2) WHEN 2 THEN round(o_totalprice, 2) WHEN 3 THEN CAST(o_orderkey % 97 AS DOUBLE) WHEN 4 THEN CAST(o_orderkey AS DOUBLE) WHEN 7 THEN -CAST(o_orderkey AS DOUBLE) END AS number FROM orders")
 _PLAIN = {0: lambda: F.format_number("o_totalprice", 2), 1: lambda: F.lit("1,2"), 2: lambda: F.lit("nan"), 3: lambda: F.concat(F.lit("$"), F.col("o_orderkey").cast("string"))}
 add("num_plain", lambda s, d: table(s, d, "orders").select("o_orderkey", F.round(numbers.plain_number(_by_case(_PLAIN)), 2).alias("number")), "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN round(o_totalprice, 2) WHEN 1 THEN 12.0 END AS number FROM orders")
 add("num_finite", lambda s, d: table(s, d, "orders").select("o_orderkey", numbers.finite(F.when(F.col("o_orderkey") % 3 == 0, F.lit(float("nan"))).when(F.col("o_orderkey") % 3 == 1, F.lit(float("inf"))).otherwise(F.col("o_totalprice"))).alias("number")), "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN o_totalprice END AS number FROM orders")
@@ -201,19 +205,30 @@ add("date_column", _date_column, "SELECT strftime(o_orderdate, '%Y-%m') AS label
 add("date_next", lambda s, d: s.createDataFrame([(i + 1, x) for i, x in enumerate(dates.next_labels(table(s, d, "orders").agg(F.max(F.date_format("o_orderdate", "yyyy-MM"))).first()[0], 3))], "step int, label string"), "SELECT CAST(k AS INT) AS step, strftime(date_trunc('month', max(o_orderdate)) + to_months(CAST(k AS INT)), '%Y-%m') AS label FROM orders, range(1, 4) r(k) GROUP BY k")
 _KEYS = {0: lambda: F.concat(F.lit("00"), F.col("o_custkey").cast("string")), 1: lambda: F.concat(F.col("o_custkey").cast("string"), F.lit(".0")), 2: lambda: F.concat(F.lit(" "), F.translate(F.col("o_custkey").cast("string"), "0123456789", "٠١٢٣٤٥٦٧٨٩")), 3: lambda: F.lit("n/a")}
 add("key_text", lambda s, d: table(s, d, "orders").select("o_orderkey", numbers.key_text(_by_case(_KEYS), True).alias("number_key"), numbers.key_text(F.concat(F.lit(" "), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderpriority")), F.lit(" ")), False).alias("text_key")), "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN CAST(o_custkey AS VARCHAR) END AS number_key, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS text_key FROM orders")
-add("txt_figures", lambda s, d: table(s, d, "documents").select("doc_id", text.figures(F.col("text")).alias("f")).select("doc_id", F.size("f").alias("n"), F.coalesce(F.array_max("f"), F.lit(0.0)).alias("greatest")), r"WITH f AS (SELECT doc_id, list_distinct(list_filter(list_transform(regexp_extract_all(text, '(\d+(?:,\d{3})*(?:\.\d+)?)', 1), lambda x: try_cast(replace(x, ',', '') AS DOUBLE)), lambda x: x IS NOT NULL AND x NOT IN (1, 2))) AS f FROM documents) SELECT doc_id, CAST(len(f) AS INT) AS n, coalesce(list_max(f), 0.0) AS greatest FROM f")
-add("txt_jargon", lambda s, d: table(s, d, "documents").select("doc_id", F.size(text.jargon_substrings(F.concat(F.col("text"), F.when(F.col("doc_id") % 3 == 0, " The P-value and the null hypothesis.").otherwise("")))).alias("n")), "SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS INT) AS n FROM documents")
+add("txt_figures", lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(text.figures(F.col("text")), " ").alias("figures")), r"SELECT doc_id, array_to_string(list_sort(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[-+−]?\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?%?'), lambda x: replace(ltrim(x, '+-−'), ',', '')), lambda x: x NOT IN ('1', '2'))), ' ') AS figures FROM documents")
+_SAID = {0: " The P-value and the null hypothesis.", 1: " An AUC of 0.9 (95% CI), RMSE,MAE; an ANOVA.", 2: " A special decision at p = 0.04.", 3: " The Foo-Bar test.", 4: " فرضية العدم واختبار فو-بار"}
+_SAY = "CASE " + " ".join(f"WHEN doc_id % 6 = {k} THEN '{v}'" for k, v in _SAID.items()) + " ELSE '' END"
+# RE2 has no look-around: signs between words are doubled, so that words in a row do not share one.
+_DOUBLED = r"regexp_replace(t, '([^\p{L}\p{N}_-])', '\1\1', 'g')"
+_WORDS = r"(?i)(?:^|[^\p{L}\p{N}_-])(ci|s\.\.e\.\.|auc|roc|rmse|mape|mae|anova|vif|pca)(?:$|[^\p{L}\p{N}_-])|(?:^|[^\p{L}\p{N}_-])(p\s*(?:==|<<|>>|≤≤)\s*0?\.\.\d)"
+_AUTHORS = r"(?i)\b[A-Z][a-z]+[-–][A-Z][a-z]+ test\b|اختبار\s+[ء-ي]+[-–][ء-ي]+"
+_JARGON_SQL = "[" + ", ".join("'" + j.replace("'", "''") + "'" for j in text.JARGON) + "]"
+add(
+    "txt_jargon",
+    lambda s, d: table(s, d, "documents").select("doc_id", F.size(text.jargon(F.concat(F.coalesce("text", F.lit("")), F.expr(_SAY)))).alias("n")),
+    f"WITH t AS (SELECT doc_id, coalesce(text, '') || {_SAY} AS t FROM documents), f AS (SELECT doc_id, t, list_filter({_JARGON_SQL}, lambda j: contains(lower(t), j)) AS found, list_concat(regexp_extract_all({_DOUBLED}, '{_WORDS}'), regexp_extract_all(t, '{_AUTHORS}')) AS words FROM t) SELECT doc_id, CAST(len(found) + len(list_filter(words, lambda w: NOT list_bool_or(list_transform(list_append(found, chr(0)), lambda j: starts_with(regexp_replace(lower(w), '^[^\\p{{L}}\\p{{N}}_]+', ''), regexp_replace(j, '([^\\p{{L}}\\p{{N}}_-])', '\\1\\1', 'g')))))) AS INT) AS n FROM f",
+)
 add("txt_causal", lambda s, d: table(s, d, "documents").select("doc_id", F.size(text.causal_sentences(F.concat(F.col("text"), F.when(F.col("doc_id") % 2 == 0, "\nStock drives sales.\nWhat drives sales?").otherwise("")))).alias("n")))
 add("txt_raw_rows", lambda s, d: table(s, d, "documents").select("doc_id", text.raw_rows(F.concat(F.col("text"), F.when(F.col("doc_id") % 5 == 0, F.repeat(F.lit("\n1,2,3"), 8)).otherwise(""))).alias("raw")))
 add("txt_figcheck", lambda s, d: text.check_figures(table(s, d, "documents"), "text", {"answer": 42.0, "share": 0.45}, "doc_id"))
 
 # ---- joins
 
-_LOOK = "SELECT CAST(c_custkey AS VARCHAR) AS code, c_mktsegment AS segment, c_acctbal AS balance FROM customer WHERE c_custkey % 3 > 0"
+_LOOK = "SELECT CAST(CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS VARCHAR) AS code, c_mktsegment AS segment, c_acctbal AS balance FROM customer"
 
 
 def _customers(s: SparkSession, d: str) -> joins.Lookup:
-    rows = table(s, d, "customer").where("c_custkey % 3 > 0").selectExpr("CAST(c_custkey AS STRING) AS code", "c_mktsegment AS segment", "c_acctbal AS balance")
+    rows = table(s, d, "customer").selectExpr("CAST(CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS STRING) AS code", "c_mktsegment AS segment", "c_acctbal AS balance")
     return joins.Lookup(rows, frozenset({"balance"}))
 
 
@@ -283,10 +298,19 @@ add("cl_completeness", lambda s, d: clean.completeness(messy(s, d)), _MSQL + "SE
 _RATE = f"coalesce(count({_NUM}) / nullif(count(*) FILTER (WHERE {{0}} <> ''), 0), 0)"
 add("cl_contract", lambda s, d: clean.contract(messy(s, d)), _MSQL + " UNION ALL ".join(f"SELECT '{c}' AS name, CASE WHEN {_RATE.format(c)} > 0.5 THEN 'number' ELSE 'text' END AS type, round({_RATE.format(c)}, 4) AS parse_rate, {_RATE.format(c)} >= 0.9 AS usable_as_measure, count(*) FILTER (WHERE {c} = '') > 0 AS nullable, count(*) FILTER (WHERE {c} = '') AS missing, count(DISTINCT nullif({c}, '')) AS distinct, CASE WHEN {_RATE.format(c)} > 0.5 THEN round(min({_NUM.format(c)}), 4) END AS min, CASE WHEN {_RATE.format(c)} > 0.5 THEN round(max({_NUM.format(c)}), 4) END AS max, CASE WHEN {_RATE.format(c)} > 0.5 THEN count(*) FILTER (WHERE {c} <> '') - count({_NUM.format(c)}) ELSE 0 END AS unreadable, count(*) FILTER (WHERE {c} <> '') AS filled FROM m" for c in _C3))
 add("cl_quality", lambda s, d: clean.quality(messy(s, d)), _MSQL + f", x AS (SELECT round(1 - CAST(sum(CAST(priority = '' AS INT) + CAST(amount = '' AS INT) + CAST(status = '' AS INT)) AS DOUBLE) / (count(*) * 3), 4) AS completeness, round(1 - (count(*) - (SELECT count(*) FROM (SELECT DISTINCT priority, amount, status FROM m))) / count(*), 4) AS uniqueness, round(count({_NUM.format('amount')}) / count(*) FILTER (WHERE amount <> ''), 4) AS validity, 1.0::DOUBLE AS consistency FROM m) SELECT *, round(100 * (completeness + uniqueness + validity + consistency) / 4, 1) AS score, CASE WHEN round(100 * (completeness + uniqueness + validity + consistency) / 4, 1) >= 95 THEN 'A' WHEN round(100 * (completeness + uniqueness + validity + consistency) / 4, 1) >= 85 THEN 'B' WHEN round(100 * (completeness + uniqueness + validity + consistency) / 4, 1) >= 70 THEN 'C' ELSE 'D' END AS grade FROM x")
-add("cl_privacy", lambda s, d: clean.value_hits(table(s, d, "documents").select("text", "source")).where("name = 'text'").select("emails", "filled"), r"SELECT count(*) FILTER (WHERE regexp_matches(text, '[\w.+-]+@[\w-]+\.[\w.]{2,}')) AS emails, count(*) AS filled FROM documents")
-add("cl_personal_columns", lambda s, d: clean.personal_columns(table(s, d, "customer").select("c_name", F.concat("c_custkey", F.lit("@mail.example")).alias("contact"), F.col("c_mktsegment").alias("card_type"))))
+_PHONE, _LONG_ID = r"(?:^|[^\d])(?:\+\d{1,3}[ -]?)?(?:\d[ -]?){9,14}\d(?:[^\d]|$)", r"(?:^|[^\d])\d{12,19}(?:[^\d]|$)"
+_MAIL, _PERSON, _SHORT = clean.PERSONAL_PATTERNS["email address"], clean.PERSON_VALUE.replace("'", "''"), r"^-?\d{1,8}(?:\.\d+)?$"
+_HITS = f"SELECT '{{0}}' AS name, count(*) FILTER (WHERE v <> '') AS filled, count(DISTINCT nullif(v, '')) AS distinct, count(*) FILTER (WHERE regexp_matches(v, '{_MAIL}')) AS emails, count(*) FILTER (WHERE NOT regexp_matches(v, '{clean.DATED_VALUE}') AND regexp_matches(v, '{_PHONE}')) AS phones, count(*) FILTER (WHERE regexp_matches(v, '{_LONG_ID}')) AS identifiers, count(*) FILTER (WHERE regexp_matches(v, '{_PERSON}')) AS names, count(*) FILTER (WHERE regexp_matches(v, '{_SHORT}')) AS counts FROM (SELECT trim(coalesce(CAST({{1}} AS VARCHAR), ''), ' ') AS v FROM {{2}})"
+add("cl_privacy", lambda s, d: clean.value_hits(table(s, d, "documents").select("text", "source", "lang", "n_chars")), " UNION ALL ".join(f"({_HITS})".replace("{0}", c).replace("{1}", c).replace("{2}", "documents") for c in ("text", "source", "lang", "n_chars")))
+_PEOPLE = [("c_name", "c_name", False), ("contact", "c_custkey || '@mail.example'", False), ("card_type", "c_mktsegment", True), ("mobile", "'+971 50 ' || lpad(CAST(1000000 + c_custkey AS VARCHAR), 7, '0')", True)]
+add(
+    "cl_personal_columns",
+    lambda s, d: clean.personal_columns(table(s, d, "customer").select("c_name", F.concat("c_custkey", F.lit("@mail.example")).alias("contact"), F.col("c_mktsegment").alias("card_type"), F.concat(F.lit("+971 50 "), F.lpad((F.col("c_custkey") + 1000000).cast("string"), 7, "0")).alias("mobile"))),
+    'WITH h AS (' + ' UNION ALL '.join(f"SELECT *, {str(word).lower()} AS word FROM ({_HITS})".replace("{0}", n).replace("{1}", f"({c})").replace("{2}", "customer") for n, c, word in _PEOPLE) + '), p AS (SELECT *, CASE WHEN "distinct" >= 0.8 * filled AND filled >= 5 AND names >= 0.8 * filled THEN names ELSE 0 END AS people FROM h), b AS (SELECT *, word AND (emails + phones + identifiers + people > 0 OR NOT (filled > 0 AND ("distinct" < 0.5 * filled OR counts = filled))) AS by_name FROM p) SELECT name, by_name, emails, phones, identifiers, CAST(people AS BIGINT) AS names FROM b WHERE by_name OR emails + phones + identifiers + people > 0',
+)
 add("jn_clean_lookup", lambda s, d: joins.clean_lookup(messy(s, d)).df, _MSQL + f"SELECT DISTINCT priority, CASE WHEN amount = 'n/a' THEN NULL ELSE {_NUM.format('amount')} END AS amount, status FROM m WHERE priority || amount || status <> ''")
-add("mp_profile", lambda s, d: clean.mapping_profile(messy(s, d)).where("name = 'amount'").select("name", "type", "filled", "cells", "numeric_share", "distinct", "whole_numbers", "formatted"), _MSQL + f"SELECT 'amount' AS name, 'number' AS type, count(*) FILTER (WHERE amount <> '') AS filled, count(*) AS cells, round(count({_NUM.format('amount')}) / count(*) FILTER (WHERE amount <> ''), 4) AS numeric_share, count(DISTINCT nullif(amount, '')) AS distinct, false AS whole_numbers, false AS formatted FROM m")
+_WHOLE = "count(*) FILTER (WHERE {0} <> '') > 0 AND count(*) FILTER (WHERE {0} <> '' AND ({1} IS NULL OR {1} <> floor({1}))) = 0"
+add("mp_profile", lambda s, d: clean.mapping_profile(messy(s, d)), _MSQL + " UNION ALL ".join(f"SELECT '{c}' AS name, CASE WHEN {_RATE.format(c)} >= 0.9 THEN 'number' ELSE 'text' END AS type, count(*) FILTER (WHERE {c} <> '') AS filled, count(*) AS cells, round({_RATE.format(c)}, 4) AS numeric_share, 0.0::DOUBLE AS date_share, count(DISTINCT nullif({c}, '')) AS distinct, {_WHOLE.format(c, _NUM.format(c))} AS whole_numbers, false AS formatted, coalesce({_WHOLE.format(c, _NUM.format(c))} AND max({_NUM.format(c)}) - min({_NUM.format(c)}) + 1 <= 2 * count(DISTINCT {_NUM.format(c)}), false) AS sequence FROM m" for c in _C3))
 
 
 def _every_kth(s: SparkSession, d: str) -> DataFrame:
@@ -295,7 +319,74 @@ def _every_kth(s: SparkSession, d: str) -> DataFrame:
 
 
 add("mp_sample", _every_kth, "WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) SELECT o_orderkey FROM n WHERE n <= 1000 OR i IN (SELECT CAST(floor(k * (n / 1000.0::DOUBLE)) AS BIGINT) FROM (SELECT DISTINCT n FROM n) x, range(0, 1000) r(k))")
-add("src_counts", lambda s, d: table(s, d, "orders").agg(F.count("*").alias("records")).withColumn("columns", F.lit(len(table(s, d, "orders").columns))), "SELECT count(*) AS records, 6 AS columns FROM orders")
+
+
+# ---- files, written from the tables and read back
+
+
+def _new_file(s: SparkSession, name: str) -> str:
+    return f"{store.work_folder(s)}/{name}-{uuid.uuid4().hex}"
+
+
+def _customer_text(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "customer").selectExpr("CAST(c_custkey AS STRING) AS code", "concat(c_name, ', \"', c_mktsegment, '\"') AS name", "CASE WHEN c_custkey % 5 = 0 THEN '' ELSE CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS STRING) END AS balance")
+
+
+def _csv(s: SparkSession, d: str) -> DataFrame:
+    path = _new_file(s, "customer.csv")
+    _customer_text(s, d).coalesce(1).write.options(header=True, escape='"', emptyValue="").csv(path)
+    return files.read_table(s, path, "csv").df.withColumnRenamed(ROW, "place")
+
+
+_CUSTOMER_SQL = "SELECT CAST(c_custkey AS VARCHAR) AS code, c_name || ', \"' || c_mktsegment || '\"' AS name, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) END AS balance"
+add("src_csv", _csv, _CUSTOMER_SQL + ", row_number() OVER () - 1 AS place FROM customer")
+
+
+def _jsonl(s: SparkSession, d: str) -> DataFrame:
+    path = _new_file(s, "customer.jsonl")
+    _customer_text(s, d).coalesce(1).write.json(path)
+    return files.read_table(s, path, "jsonl").df.withColumnRenamed(ROW, "place")
+
+
+add("src_jsonl", _jsonl, _CUSTOMER_SQL + ", row_number() OVER () - 1 AS place FROM customer")
+
+
+def _json(s: SparkSession, d: str) -> DataFrame:
+    path = _new_file(s, "nation.json")
+    rows = table(s, d, "nation").agg(F.to_json(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey")))).alias("value"))  # 25 rows by definition
+    rows.select(F.concat(F.lit('{"made": "by hand", "records": '), "value", F.lit("}")).alias("value")).coalesce(1).write.text(path)
+    return files.read_table(s, path, "json").df.withColumnRenamed(ROW, "place")
+
+
+add("src_json", _json, "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS place FROM nation")
+
+
+def _flat(s: SparkSession, d: str) -> DataFrame:
+    path = _new_file(s, "orders.jsonl")
+    nested = table(s, d, "orders").selectExpr("CAST(o_orderkey AS STRING) AS key", "named_struct('who', named_struct('code', o_custkey), 'marks', array(o_orderstatus, o_orderpriority)) AS about", "CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS status")
+    nested.write.json(path)
+    return files.read_table(s, path, "jsonl").df.drop(ROW).withColumnsRenamed({"about.who.code": "code", "about.marks": "marks"})
+
+
+add("src_flatten", _flat, "SELECT CAST(o_orderkey AS VARCHAR) AS key, CAST(o_custkey AS VARCHAR) AS code, '[\"' || o_orderstatus || '\",\"' || o_orderpriority || '\"]' AS marks, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE '' END AS status FROM orders")
+
+
+def _sink(s: SparkSession, d: str) -> DataFrame:
+    path = _new_file(s, "written")
+    rows = table(s, d, "orders").selectExpr("o_orderkey", "CASE o_orderkey % 4 WHEN 0 THEN concat('=', o_orderstatus) WHEN 1 THEN concat('-', o_orderstatus, ', \"x\"') WHEN 2 THEN o_orderpriority END AS note", "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_custkey AS DOUBLE) END AS cust")
+    store.write_csv(AnalysisTable(rows, frozenset({"o_orderkey", "cust"}), ("o_orderkey",)), path)
+    return s.read.text(path).where("value <> 'o_orderkey,note,cust'").select(F.rtrim("value", F.lit("\r")).alias("line"))
+
+
+add("sink_csv", _sink, "SELECT CAST(o_orderkey AS VARCHAR) || ',' || CASE o_orderkey % 4 WHEN 0 THEN chr(39) || '=' || o_orderstatus WHEN 1 THEN '\"' || chr(39) || '-' || o_orderstatus || ', \"\"x\"\"\"' WHEN 2 THEN o_orderpriority ELSE '' END || ',' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS line FROM orders")
+
+
+def _counts(s: SparkSession, d: str) -> DataFrame:
+    found = files.read_table(s, f"{d}/orders.parquet")
+    return found.df.agg(F.count("*").alias("records")).withColumn("columns", F.lit(len(found.columns)).cast("long"))
+
+
+add("src_counts", _counts, "SELECT count(*) AS records, (SELECT count(*) FROM information_schema.columns WHERE table_name = 'orders') AS columns FROM orders")
 
 # ---- governance and the analytics types
 
@@ -331,7 +422,19 @@ add("ds_uneven", lambda s, d: analysis.change(_TREND(s, d)).select("uneven", "ch
 add("ds_top", lambda s, d: analysis.top_group(_GROUPS(s, d)), f"WITH {_G} SELECT \"group\", total, round(total / (SELECT sum(CAST(total AS DECIMAL(28,2)))::DOUBLE FROM g), 4) AS share FROM g ORDER BY total DESC, first_seen LIMIT 1")
 _C = f"WITH e AS (SELECT min(strftime(o_orderdate, '%Y-%m')) AS a, max(strftime(o_orderdate, '%Y-%m')) AS b FROM orders), c AS (SELECT o_orderpriority AS \"group\", coalesce(sum(CAST(o_totalprice AS DECIMAL(28,4))) FILTER (WHERE strftime(o_orderdate, '%Y-%m') = b), 0) - coalesce(sum(CAST(o_totalprice AS DECIMAL(28,4))) FILTER (WHERE strftime(o_orderdate, '%Y-%m') = a), 0) AS d FROM orders, e GROUP BY 1), k AS (SELECT \"group\", round(d::DOUBLE, 2) AS change, round(round(d::DOUBLE, 2) / (SELECT sum(d)::DOUBLE FROM c), 4) AS share_of_change, round((SELECT sum(d)::DOUBLE FROM c), 2) AS total_change FROM c) "
 add("dg_contrib", _CONTRIB, _C + "SELECT * FROM k")
-add("dg_against", lambda s, d: analysis.against_trend(_CONTRIB(s, d)), _C + "SELECT * FROM k WHERE sign(change) * sign(total_change) < 0")
+_MOVED = "SELECT *, o_totalprice * CASE WHEN o_orderpriority <> '1-URGENT' THEN 1 WHEN strftime(o_orderdate, '%Y-%m') = (SELECT min(strftime(o_orderdate, '%Y-%m')) FROM orders) THEN 0 ELSE 40 END AS moved FROM orders"
+
+
+def _against(s: SparkSession, d: str) -> DataFrame:
+    """One priority starts at nothing and grows, while the last month is short for all: they move against each other."""
+    rows = _ORDERS(s, d)
+    first = rows.agg(F.min(MONTH())).first()[0]
+    times = F.when(F.col("o_orderpriority") != "1-URGENT", 1.0).when(MONTH() == first, 0.0).otherwise(40.0)
+    return analysis.against_trend(analysis.contributions(rows.withColumn("moved", F.col("o_totalprice") * times), "moved", "o_orderpriority", MONTH()))
+
+
+_AGAINST = _C.replace("WITH e AS", f"WITH moved_orders AS ({_MOVED}), e AS", 1).replace("CAST(o_totalprice AS", "CAST(moved AS").replace("FROM orders, e", "FROM moved_orders, e")
+add("dg_against", _against, _AGAINST + "SELECT * FROM k WHERE sign(change) * sign(total_change) < 0")
 add("dg_assoc", lambda s, d: analysis.associations(table(s, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]), " UNION ALL ".join(f"SELECT '{c}' AS other, round(corr(l_extendedprice, {c}), 4) AS r FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax")))
 _S = f"WITH {_G}, s AS (SELECT \"group\", total AS value, round(total / (SELECT sum(CAST(total AS DECIMAL(28,2)))::DOUBLE FROM g), 4) AS share, first_seen FROM g), z AS (SELECT \"group\", value, share, sum(CAST(share AS DECIMAL(18,4))) OVER (ORDER BY value DESC, first_seen ROWS UNBOUNDED PRECEDING)::DOUBLE AS cumulative, CAST(row_number() OVER (ORDER BY value DESC, first_seen) AS INT) AS place FROM s) "
 add("sg_shares", lambda s, d: analysis.shares(_GROUPS(s, d)), _S + "SELECT * FROM z")
@@ -401,33 +504,51 @@ def _ridge(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([("l_quantity", round(w[0], 2)), ("l_discount", round(w[1], 2)), ("intercept", round(b, 2))], "input string, weight double")
 
 
-add("md_ols", _ridge)
+_OLS = "WITH m AS (SELECT count(*)::DOUBLE AS n, sum(l_quantity) AS a, sum(l_discount) AS b, sum(l_extendedprice) AS y, sum(l_quantity * l_quantity) AS aa, sum(l_discount * l_discount) AS bb, sum(l_quantity * l_discount) AS ab, sum(l_quantity * l_extendedprice) AS ay, sum(l_discount * l_extendedprice) AS byy FROM lineitem), c AS (SELECT n, a, b, y, aa - a * a / n + 0.001 * n AS saa, bb - b * b / n + 0.001 * n AS sbb, ab - a * b / n AS sab, ay - a * y / n AS say, byy - b * y / n AS sby FROM m), w AS (SELECT *, (sbb * say - sab * sby) / (saa * sbb - sab * sab) AS wa, (saa * sby - sab * say) / (saa * sbb - sab * sab) AS wb FROM c)"
+add("md_ols", _ridge, _OLS + " SELECT 'l_quantity' AS input, round(wa, 2) AS weight FROM w UNION ALL SELECT 'l_discount', round(wb, 2) FROM w UNION ALL SELECT 'intercept', round(y / n - wa * a / n - wb * b / n, 2) FROM w")
 add("md_nb", lambda s, d: models.naive_bayes(table(s, d, "lineitem"), [F.col("l_quantity")], F.col("l_returnflag")).select("label", F.round("prior", 6).alias("prior"), F.round(F.col("means")[0], 4).alias("mean"), F.round(F.col("spreads")[0], 4).alias("spread")), "SELECT l_returnflag AS label, round(ln(count(*) / (SELECT count(*) FROM lineitem)), 6) AS prior, round(avg(l_quantity), 4) AS mean, round(greatest(var_pop(l_quantity), 0.001), 4) AS spread FROM lineitem GROUP BY 1")
-_PROBE = "SELECT p_partkey, p_size > 25 AS g, CAST(p_size AS DOUBLE) AS x, p_retailprice / 100 AS y FROM part WHERE p_partkey % 10 = 0"
-add("md_silhouette", lambda s, d: models.silhouette(_PART(s, d).where("p_partkey % 10 = 0").select("p_partkey", (F.col("p_size") > 25).cast("int").alias("group"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 100).alias("vector")), 1_000_000, "p_partkey").select(F.round("silhouette", 4).alias("silhouette")), f"WITH p AS ({_PROBE}), d AS (SELECT a.p_partkey AS k, a.g, b.g AS h, avg(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d FROM p a JOIN p b ON a.p_partkey <> b.p_partkey GROUP BY 1, 2, 3), s AS (SELECT k, max(d) FILTER (WHERE g = h) AS i, min(d) FILTER (WHERE g <> h) AS n FROM d GROUP BY k) SELECT round(avg(CASE WHEN i IS NULL OR n IS NULL THEN 0 ELSE coalesce((n - i) / nullif(greatest(i, n), 0), 0) END), 4) AS silhouette FROM s")
+_POINTS = "SELECT p_partkey, p_size > 25 AS g, CAST(p_size AS DOUBLE) AS x, p_retailprice / 100 AS y FROM part"
+add(
+    "md_silhouette",
+    lambda s, d: models.silhouette(_PART(s, d).select((F.col("p_size") > 25).cast("int").alias("group"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 100).alias("vector"))).select(F.round("silhouette", 4).alias("silhouette")),
+    f"WITH p AS ({_POINTS}), d AS (SELECT a.p_partkey AS k, a.g, b.g AS h, sqrt(avg(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d FROM p a JOIN p b ON a.p_partkey <> b.p_partkey GROUP BY 1, 2, 3), s AS (SELECT k, max(d) FILTER (WHERE g = h) AS i, min(d) FILTER (WHERE g <> h) AS n FROM d GROUP BY k) SELECT round(avg(CASE WHEN i IS NULL OR n IS NULL THEN 0 ELSE coalesce((n - i) / nullif(greatest(i, n), 0), 0) END), 4) AS silhouette FROM s",
+)
 
 # ---- detectors and the maintenance domain, on frames derived from the tables
 
-_ASSET = "SELECT CAST(o_orderkey AS VARCHAR) AS Record_ID, CAST(o_custkey % 20 AS VARCHAR) AS Asset_ID, o_orderpriority AS Asset_Class, o_orderstatus AS Site, CASE WHEN o_orderkey % 4 = 0 THEN 0.0 ELSE (o_orderkey % 10) / 10.0 END AS rate FROM orders"
+_ASSET = "SELECT CAST(o_orderkey AS VARCHAR) AS Record_ID, CAST(o_custkey % 20 AS VARCHAR) AS Asset_ID, o_orderpriority AS Asset_Class, o_orderstatus AS Site, o_orderkey % 4 AS shift, CASE WHEN o_orderkey % 4 = 0 THEN 0.0 ELSE (o_orderkey % 10) / 10.0 END AS rate FROM orders"
 
 
 def _assets(s: SparkSession, d: str) -> DataFrame:
-    return _ORDERS(s, d).selectExpr("o_orderkey AS " + ROW, "CAST(o_orderkey AS STRING) AS Record_ID", "CAST(o_custkey % 20 AS STRING) AS Asset_ID", "o_orderpriority AS Asset_Class", "o_orderstatus AS Site", "CAST(CASE WHEN o_orderkey % 4 = 0 THEN 0.0D ELSE (o_orderkey % 10) / 10.0D END AS STRING) AS rate", "CAST(o_orderkey % 4 AS STRING) AS shift", "CAST(CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 5 END AS STRING) AS downtime", "CAST(CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 9 END AS STRING) AS failures")
+    return _ORDERS(s, d).selectExpr("o_orderkey AS " + ROW, "CAST(o_orderkey AS STRING) AS Record_ID", "CAST(o_custkey % 20 AS STRING) AS Asset_ID", "o_orderpriority AS Asset_Class", "o_orderstatus AS Site", "CAST(CASE WHEN o_orderkey % 4 = 0 THEN 0.0D ELSE (o_orderkey % 10) / 10.0D END AS STRING) AS rate", "concat('S', o_orderkey % 4) AS shift", "CAST(CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 5 END AS STRING) AS downtime", "CAST(CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 9 END AS STRING) AS failures")
 
 
-def _findings(name: str, *also: str) -> Query:
-    def run(s: SparkSession, d: str) -> DataFrame:
-        found = [f for f in detectors.run_all(_assets(s, d), ROW) if f.detector == name]
-        rows = [(f.detector, f.severity, ",".join(f.columns)) for f in found]
-        return s.createDataFrame(rows, "detector string, severity string, columns string")
+_FOUND = "detector string, severity string, columns string"
 
-    return run
+
+def _all_findings(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame([(f.detector, f.severity, ",".join(f.columns)) for f in detectors.run_all(_assets(s, d), ROW)], _FOUND)
 
 
-add("dt_identity", lambda s, d: _assets(s, d).groupBy("Asset_ID").agg(F.count_distinct("Asset_Class").alias("classes"), F.count_distinct("Site").alias("sites")).agg(F.count("*").alias("keys"), F.min("classes").alias("least_classes"), F.min("sites").alias("least_sites")), f"WITH a AS ({_ASSET}), g AS (SELECT Asset_ID, count(DISTINCT Asset_Class) AS c, count(DISTINCT Site) AS s FROM a GROUP BY 1) SELECT count(*) AS keys, min(c) AS least_classes, min(s) AS least_sites FROM g")
+def _collapse(s: SparkSession, d: str) -> DataFrame:
+    found = detectors.identity_collapse(detectors.Shape.of(_assets(s, d)))
+    return s.createDataFrame([(f.detector, f.severity, ",".join(f.columns), f.numbers["keys"], f.numbers["rows"]) for f in found], _FOUND + ", keys long, rows long")
+
+
+_IDENTITY = f"WITH a AS ({_ASSET}), g AS (SELECT Asset_ID, count(DISTINCT Asset_Class) AS c, count(DISTINCT Site) AS s, count(DISTINCT shift) AS h FROM a GROUP BY 1), k AS (SELECT count(*) AS keys, (SELECT count(*) FROM a) AS rows, min(c) AS c, min(s) AS s, min(h) AS h FROM g) SELECT 'identity_collapse' AS detector, 'high' AS severity, 'Asset_ID,Asset_Class,Site,shift' AS columns"
+_COLLAPSED = "FROM k WHERE keys BETWEEN 10 AND rows * 0.5 AND c > 1 AND s > 1 AND h > 1"
+add("dt_identity", _collapse, f"{_IDENTITY}, keys, rows {_COLLAPSED}")
 add("dt_leakage", lambda s, d: detectors.purity(_assets(s, d), "shift", F.col("downtime").cast("double") > 0), "WITH g AS (SELECT o_orderkey % 4 AS g, count(*) AS n, count(*) FILTER (WHERE o_orderkey % 4 > 0) AS p FROM orders GROUP BY 1) SELECT count(*) AS groups, CAST(sum(CASE WHEN p >= n * 0.999 OR p <= n * 0.001 THEN n ELSE 0 END) AS BIGINT) AS pure_rows FROM g")
 add("dt_placeholder", lambda s, d: detectors.placeholder_gap(detectors.group_rates(_assets(s, d), "rate", "shift")), "WITH r AS (SELECT o_orderkey % 4 AS g, CASE WHEN o_orderkey % 4 = 0 THEN 0.0::DOUBLE ELSE (o_orderkey % 10) / 10.0::DOUBLE END AS x FROM orders), g AS (SELECT g, count(*) AS n, min(x) AS lo, max(x) AS hi, sum(CAST(x AS DECIMAL(28,6)))::DOUBLE AS s FROM r GROUP BY 1), f AS (SELECT *, lo = hi AND n >= 0.05 * (SELECT sum(n) FROM g) AS filler FROM g), z AS (SELECT 100 * sum(s) / sum(n) AS a, 100 * sum(s) FILTER (WHERE NOT filler) / sum(n) FILTER (WHERE NOT filler) AS m, coalesce(sum(n) FILTER (WHERE filler), 0) AS fr, count(*) FILTER (WHERE filler) AS fg, count(*) AS groups FROM f) SELECT round(a, 2) AS mean_all, round(m, 2) AS mean_measured, round(abs(a - m), 2) AS gap, CAST(fr AS BIGINT) AS filler_rows, fg AS filler_groups, groups FROM z")
-add("dt_scale", lambda s, d: table(s, d, "lineitem").agg((F.min("l_discount") + 0.0).alias("lo"), (F.max("l_discount") + 0.0).alias("hi")), "SELECT min(l_discount) + 0.0 AS lo, max(l_discount) + 0.0 AS hi FROM lineitem")
+
+
+def _scale(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "lineitem").selectExpr("CAST(l_discount AS STRING) AS discount_pct", "CAST(l_quantity AS STRING) AS percent_filled", "CAST(l_tax AS STRING) AS tax")
+    found = detectors.scale_mislabelled(detectors.Shape.of(rows))
+    return s.createDataFrame([(f.severity, f.columns[0], f.numbers["min"], f.numbers["max"]) for f in found], "severity string, column string, lo double, hi double")
+
+
+add("dt_scale", _scale, "WITH r AS (SELECT 'discount_pct' AS c, min(l_discount) AS lo, max(l_discount) AS hi FROM lineitem UNION ALL SELECT 'percent_filled', min(l_quantity), max(l_quantity) FROM lineitem) SELECT 'medium' AS severity, c AS column, round(lo, 4) + 0.0 AS lo, round(hi, 4) + 0.0 AS hi FROM r WHERE lo >= 0 AND hi <= 1")
 
 
 def _broken(s: SparkSession, d: str) -> DataFrame:
@@ -438,7 +559,9 @@ def _broken(s: SparkSession, d: str) -> DataFrame:
 
 add("dt_broken", _broken, "WITH t AS (SELECT l_quantity * 10 + 5 AS a, l_quantity AS b, l_quantity * 12 + 6 AS r FROM lineitem) SELECT 'repair_cost,labour_cost,parts_cost' AS columns, count(*) AS rows_off, round(sum(r - a - b), 2) AS residual_total, round(sum(r - a - b) / sum(r), 4) AS share_of_total FROM t")
 add("dt_uneven", lambda s, d: detectors.period_counts(_ORDERS(s, d).select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("date")), "date"), "SELECT strftime(o_orderdate, '%Y') AS period, count(*) AS n FROM orders GROUP BY 1")
-add("dt_all", _findings("identity_collapse"))
+_LEAKED = "SELECT 'target_leakage', 'high', 'shift,downtime,failures' FROM (SELECT count(DISTINCT o_orderkey % 4) AS groups, count(*) FILTER (WHERE o_orderkey % 4 = 0) AS idle, count(*) AS n FROM orders) WHERE groups >= 2 AND least(idle, n - idle) >= greatest(30, n * 0.02)"
+_FILLED = "SELECT 'placeholder_rates', 'high', 'rate,shift' FROM (SELECT 100 * avg(CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE (o_orderkey % 10) / 10.0 END) AS a, 100 * avg((o_orderkey % 10) / 10.0) FILTER (WHERE o_orderkey % 4 > 0) AS m FROM orders) WHERE abs(a - m) >= 2"
+add("dt_all", _all_findings, f"{_IDENTITY} {_COLLAPSED} UNION ALL {_LEAKED} UNION ALL {_FILLED}")
 _KPI = "SELECT CASE WHEN l_returnflag = 'R' THEN 'Corrective' ELSE 'Preventive' END AS Work_Order_Type, CAST(l_linenumber % 3 AS DOUBLE) AS First_Time_Fix_Count, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE CAST(l_linenumber AS DOUBLE) END AS Corrective_WO_Count, CAST(l_linenumber % 2 AS DOUBLE) AS Repeat_Repair_Count, l_quantity AS Operating_Hours, l_quantity + 5 AS Planned_Operating_Hours, l_discount * 10 AS Downtime_Hours, l_extendedprice AS Production_Loss_USD, l_tax * 100 AS Maintenance_Cost_USD, CAST(l_linenumber AS DOUBLE) AS Preventive_WO_Count, 0.0 AS Completed_WO_Count, 1.0 AS Overdue_WO_Count FROM lineitem"
 
 
@@ -457,8 +580,8 @@ _COR = "Work_Order_Type = 'Corrective'"
 _KPIS = [("preventive_share", "Preventive_WO_Count", "Preventive_WO_Count + Corrective_WO_Count", "true", 100), ("first_time_fix", "First_Time_Fix_Count", "Corrective_WO_Count", _COR, 100), ("repeat_repair", "Repeat_Repair_Count", "Corrective_WO_Count", _COR, 100), ("overdue_share", "Overdue_WO_Count", "Completed_WO_Count", "true", 100), ("operating_share", "Operating_Hours", "Planned_Operating_Hours", "true", 100), ("downtime_per_record", "Downtime_Hours", "1", "true", 1), ("loss_per_downtime_hour", "Production_Loss_USD", "Downtime_Hours", "true", 1), ("cost_per_operating_hour", "Maintenance_Cost_USD", "Operating_Hours", "true", 1)]
 _KSQL = f"WITH k AS ({_KPI}) "
 add("kp_register", lambda s, d: maintenance.compute(_kpi_rows(s, d)), _KSQL + " UNION ALL ".join(_kpi_sql(*k) for k in _KPIS))
-add("kp_compute", lambda s, d: maintenance.compute(_kpi_rows(s, d)).where("kpi = 'first_time_fix'"), _KSQL + _kpi_sql(*_KPIS[1]))
-add("kp_rowmean", lambda s, d: _kpi_rows(s, d).agg(next(k for k in maintenance.register() if k.key == "operating_share").row_mean().alias("row_mean")).select(F.round("row_mean", 4).alias("row_mean")), _KSQL + "SELECT round(avg(Operating_Hours / Planned_Operating_Hours) * 100, 4) AS row_mean FROM k")
+add("kp_compute", lambda s, d: maintenance.compute(_kpi_rows(s, d), [k for k in maintenance.register() if k.key == "first_time_fix"]), _KSQL + _kpi_sql(*_KPIS[1]))
+add("kp_rowmean", lambda s, d: maintenance.row_mean(_kpi_rows(s, d), next(k for k in maintenance.register() if k.key == "operating_share")).select(F.round("row_mean", 4).alias("row_mean")), _KSQL + "SELECT round(avg(Operating_Hours / Planned_Operating_Hours) * 100, 4) AS row_mean FROM k")
 
 
 def _risk_rows(s: SparkSession, d: str) -> DataFrame:
@@ -489,7 +612,32 @@ def _lineage(s: SparkSession, d: str) -> DataFrame:
 
 
 add("au_lineage", _lineage, "SELECT o_custkey * 2 AS calculation, count(*) AS claims FROM orders WHERE o_custkey * 2 NOT IN (SELECT c_custkey FROM customer) GROUP BY 1")
-add("lv_events", lambda s, d: table(s, d, "events").unionByName(table(s, d, "events")).dropDuplicates(["event_id"]).groupBy("event_type").agg(F.count("*").alias("n")), "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+
+
+def _events_once(s: SparkSession, d: str) -> DataFrame:
+    """A stream that sends every event twice, through the feed without repeats, into files."""
+    stream = live.table_stream(s, f"{d}/events.parque[t]", table(s, d, "events").schema)
+    path = _new_file(s, "updates")
+    once = live.updates(stream.unionByName(stream), "ts", "event_id")
+    once.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(once.schema).parquet(path).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+add("lv_events", _events_once, "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 add("lv_poll", lambda s, d: live.poll(table(s, d, "events"), "2024-01-10 00:00:00~~", "ts", "event_type", "event_id").select("event_id"), "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' ORDER BY ts, event_type, CAST(event_id AS VARCHAR) LIMIT 100")
 add("x_sessions", lambda s, d: live.sessions(table(s, d, "events"), "ts", "user_id").groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events")), "WITH g AS (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events) SELECT user_id, CAST(sum(new) AS BIGINT) AS sessions, count(*) AS events FROM g GROUP BY 1")
-add("x_windows", lambda s, d: table(s, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("string").alias("start"), "event_type", "n"), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+add("x_windows", lambda s, d: live.windowed(table(s, d, "events"), "ts", "value", "event_type").select(F.col("start").cast("string").alias("start"), "event_type", "n", F.round("total", 2).alias("total")), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+
+# ---- decisions that the driver takes from small figures
+
+
+
+def _suggested(s: SparkSession, d: str) -> DataFrame:
+    mapping, why = clean.suggest(messy(s, d))
+    return s.createDataFrame([(c, r, why[c]) for c, r in mapping.roles.items()], "name string, role string, why string")
+
+
+add("mp_suggest", _suggested)
+add("kp_avail", lambda s, d: s.createDataFrame([(k, ",".join(v)) for k, v in maintenance.computable(_kpi_rows(s, d).columns[:8], maintenance.register())[1].items()], "kpi string, missing string"))
+add("jn_preview", lambda s, d: joins.preview(joins.merge(holed(s, d), [_customers(s, d)], [joins.Join((("cust", "code"),), name="customers.csv")])))
+add("ex_detect", lambda s, d: s.createDataFrame([(experiments.find_column(_EVENTS(s, d).withColumnRenamed("arm", "variant"), ["variant"]) or ("none",))[:1]], "column string"))

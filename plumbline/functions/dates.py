@@ -29,6 +29,7 @@ MONTH_NAMES = {
     12: ("december", "dec", "ديسمبر", "كانون الأول"),
 }
 
+# The formats of a date, by what they give.
 _TIME = r"(?:[ t]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:z|[+-]\d{2}:?\d{2})?)?"
 ISO_DAY = r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})" + _TIME + "$"
 ISO_MONTH = r"^(\d{4})[-/](\d{1,2})$"
@@ -96,13 +97,22 @@ def _named_words(padded: Column) -> Column:
 
 
 def parse_date(c: Column, order: str = "day-first") -> Column:
-    """struct(y, m, d, q, precision) of a cell, null where it does not read. ``order`` settles 03/04/2025."""
+    """struct(y, m, d, q, precision) of a cell, null where it does not read. ``order`` settles 03/04/2025; ``either``
+    takes month-first where day-first is no date."""
     return let(normal(c), lambda t: _read(t, order))
 
 
+def reads(c: Column) -> Column:
+    """Whether a cell reads as a date in either order; a cell without a digit is not tried."""
+    return F.coalesce(F.when(c.rlike(r"\p{Nd}"), parse_date(c, "either").isNotNull()), F.lit(False))
+
+
 def _read(t: Column, order: str) -> Column:
     a, b, y = (_part(t, NUMERIC_DAY, k) for k in (1, 2, 3))
-    day, month = (a, b) if order == "day-first" else (b, a)
+    day, month = (b, a) if order == "month-first" else (a, b)
+    numeric = _period("day", full_year(y), month, day)
+    if order == "either":
+        numeric = F.coalesce(numeric, _period("day", full_year(y), day, month))
     quarter_year = F.coalesce(_part(t, QUARTER, 1), _part(t, QUARTER, 4))
     quarter = F.coalesce(_part(t, QUARTER, 2), _part(t, QUARTER, 3))
     return (
@@ -111,7 +121,7 @@ def _read(t: Column, order: str) -> Column:
         .when(t.rlike(MONTH_YEAR), _period("month", _part(t, MONTH_YEAR, 2), _part(t, MONTH_YEAR, 1)))
         .when(t.rlike(QUARTER), _period("quarter", quarter_year, q=quarter))
         .when(t.rlike(YEAR), _period("year", _part(t, YEAR, 1)))
-        .when(t.rlike(NUMERIC_DAY), _period("day", full_year(y), month, day))
+        .when(t.rlike(NUMERIC_DAY), numeric)
         .when(t.rlike(r"[a-z؀-ۿ]"), _named(t))
     )
 

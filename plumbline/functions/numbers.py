@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 # Fixed values of the number format.
 EASTERN_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
@@ -23,7 +24,7 @@ def western(c: Column) -> Column:
 
 def finite(c: Column) -> Column:
     """NaN and infinities as null."""
-    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+    return F.when(F.abs(c) < float("inf"), c)  # NaN counts as the largest number
 
 
 def plain_number(c: Column) -> Column:
@@ -35,17 +36,19 @@ def plain_number(c: Column) -> Column:
 def mapped_number(c: Column) -> Column:
     """Cells of a declared measure: currency, grouping, brackets and eastern digits are read; doubtful ones refused."""
     text = F.trim(c)
-    fast = F.when(text.rlike(PLAIN), text.try_cast("double"))
-    t = F.translate(western(text), "٫٬−", ".,-")
-    negative = t.rlike(r"^\(.*\)$")
-    t = F.when(negative, F.regexp_replace(t, r"^\(\s*|\s*\)$", "")).otherwise(t)
+    # One chain without branches: each step names the one before once, so the expression stays short.
+    t = F.translate(western(text), "٫٬−" + HARD_SPACES, ".,-" + " " * len(HARD_SPACES))
+    t = F.regexp_replace(t, r"^\(\s*(.*?)\s*\)$", "$1")
     t = F.trim(F.regexp_replace(t, CURRENCY, ""))
     t = F.trim(F.regexp_replace(t, "%$", ""))
-    t = F.trim(F.translate(t, HARD_SPACES, "   "))
-    separated = t.rlike("[, ]")
-    t = F.when(~separated, t).when(t.rlike(GROUPED), F.translate(t, ", ", ""))
-    number = F.when(t.rlike(PLAIN), t.try_cast("double"))
-    return finite(F.coalesce(fast, F.when(negative, -number).otherwise(number)))
+    number = F.regexp_replace(F.regexp_extract(t, f"{PLAIN}|{GROUPED}", 0), "[, ]", "").try_cast("double")
+    return finite(F.when(text.rlike(r"^\(.*\)$"), -number).otherwise(number))
+
+
+def as_number(df: DataFrame, column: str) -> Column:
+    """A column as a finite double: numbers as they are, text by the plain rule."""
+    c = F.col(f"`{column}`")
+    return finite(c.cast("double")) if isinstance(df.schema[column].dataType, NumericType) else plain_number(c.cast("string"))
 
 
 def literal(value: object) -> float | None:

@@ -1,6 +1,7 @@
 """Cleaning with full row accounting, profiles, contracts, quality scores and the privacy screen.
 
-All statistics of a table come from one wide aggregation, whatever the number of its columns.
+Statistics of columns come from one aggregation of (column, cell) pairs: equal cells are counted before the shuffle, each
+distinct one is parsed once, and one expression serves all columns.
 """
 
 from __future__ import annotations
@@ -124,21 +125,31 @@ def clean(df: DataFrame, mapping: Mapping | None = None) -> Cleaned:
     return done
 
 
-def unpivot(wide: DataFrame, cols: Sequence[str], fields: dict[str, str], extra: Sequence[str] = ()) -> DataFrame:
-    """One row per column from a wide row whose statistics are named ``<prefix><index>``."""
-    rows = [F.struct(F.lit(c).alias("name"), *[F.col(f"{prefix}{i}").alias(f) for f, prefix in fields.items()], *[F.col(e) for e in extra]) for i, c in enumerate(cols)]
-    return wide.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+def cells(df: DataFrame, *columns: str) -> DataFrame:
+    """(i, value, n): the distinct cells of each column, numbered in order, with their counts. Cells are text already."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").alias("value")) for i, c in enumerate(columns)])).alias("x")
+    return df.select(pairs).groupBy("x.i", "x.value").agg(F.count("*").alias("n"))
+
+
+def by_column(found: DataFrame, columns: Sequence[str], *aggregates: Column) -> DataFrame:
+    """name and the aggregates of each column's distinct cells, a row for every column; counts of none are 0."""
+    names = found.sparkSession.createDataFrame(list(enumerate(columns)), "i int, name string")
+    seen = found.groupBy("i").agg(*aggregates)
+    counts = [f.name for f in seen.schema if f.name != "i" and f.dataType.simpleString() == "bigint"]
+    return names.join(seen, "i", "left").na.fill(0, counts).drop("i")
+
+
+def rows_where(condition: Column) -> Column:
+    """Rows whose cell meets a condition."""
+    return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("long")
 
 
 def profile(df: DataFrame) -> DataFrame:
     """name, missing, distinct ('' counts as a value), numeric, one row per column."""
-    rows = trimmed(df)
-    cols = text_columns(rows)
-    aggs: list[Column] = []
-    for i, c in enumerate(cols):
-        cell = F.col(f"`{c}`")
-        aggs += [F.count_if(cell == "").alias(f"m{i}"), F.count_distinct(cell).alias(f"d{i}"), F.count_if(cell != "").alias(f"f{i}"), F.count(numbers.plain_number(cell)).alias(f"n{i}")]
-    out = unpivot(rows.agg(*aggs), cols, {"missing": "m", "distinct": "d", "filled": "f", "_numbers": "n"})
+    cols = text_columns(df)
+    found = cells(trimmed(df), *cols).withColumn("number", numbers.plain_number(F.col("value")))
+    filled = F.col("value") != ""
+    out = by_column(found, cols, rows_where(~filled).alias("missing"), F.count("*").alias("distinct"), rows_where(filled).alias("filled"), rows_where(F.col("number").isNotNull()).alias("_numbers"))
     numeric = (F.col("filled") > 0) & (F.col("_numbers") >= F.greatest(F.lit(1.0), F.col("filled") * MEASURE_SHARE))
     return out.withColumn("numeric", numeric).drop("_numbers")
 
@@ -154,13 +165,10 @@ def completeness(df: DataFrame) -> DataFrame:
 
 def contract(df: DataFrame) -> DataFrame:
     """Per column: type, parse_rate, usable_as_measure, nullable, missing, distinct (non-blank), min, max."""
-    rows = trimmed(df)
-    cols = text_columns(rows)
-    aggs: list[Column] = []
-    for i, c in enumerate(cols):
-        cell, n = F.col(f"`{c}`"), numbers.plain_number(F.col(f"`{c}`"))
-        aggs += [F.count_if(cell == "").alias(f"m{i}"), F.count_if(cell != "").alias(f"f{i}"), F.count(n).alias(f"n{i}"), F.count_distinct(F.nullif(cell, F.lit(""))).alias(f"d{i}"), F.min(n).alias(f"lo{i}"), F.max(n).alias(f"hi{i}")]
-    out = unpivot(rows.agg(*aggs), cols, {"missing": "m", "_filled": "f", "_numbers": "n", "distinct": "d", "_lo": "lo", "_hi": "hi"})
+    cols = text_columns(df)
+    found = cells(trimmed(df), *cols).withColumn("number", numbers.plain_number(F.col("value")))
+    filled = F.col("value") != ""
+    out = by_column(found, cols, rows_where(~filled).alias("missing"), rows_where(filled).alias("_filled"), rows_where(F.col("number").isNotNull()).alias("_numbers"), F.count_if(filled).alias("distinct"), F.min("number").alias("_lo"), F.max("number").alias("_hi"))
     rate = F.coalesce(F.try_divide(F.col("_numbers").cast("double"), F.col("_filled").cast("double")), F.lit(0.0))
     number = (F.col("_filled") > 0) & (rate > CONTRACT_SHARE)
     return out.select(
@@ -194,22 +202,17 @@ def quality(df: DataFrame, consistent: float = 1.0) -> DataFrame:
 
 def value_hits(df: DataFrame) -> DataFrame:
     """Per column: filled, distinct, rows that match each personal pattern, person names, counts (short numbers)."""
-    rows = trimmed(df)
-    cols = text_columns(rows)
-    aggs: list[Column] = []
-    for i, c in enumerate(cols):
-        cell = F.col(f"`{c}`")
-        dated = cell.rlike(DATED_VALUE)
-        aggs += [
-            F.count_if(cell != "").alias(f"f{i}"),
-            F.count_distinct(F.nullif(cell, F.lit(""))).alias(f"d{i}"),
-            F.count_if(cell.rlike(PERSONAL_PATTERNS["email address"])).alias(f"e{i}"),
-            F.count_if(~dated & cell.rlike(PERSONAL_PATTERNS["phone number"])).alias(f"p{i}"),
-            F.count_if(cell.rlike(PERSONAL_PATTERNS["long identifier"])).alias(f"l{i}"),
-            F.count_if(cell.rlike(PERSON_VALUE)).alias(f"n{i}"),
-            F.count_if(cell.rlike(r"^-?\d{1,8}(?:\.\d+)?$")).alias(f"c{i}"),
-        ]
-    return unpivot(rows.agg(*aggs), cols, {"filled": "f", "distinct": "d", "emails": "e", "phones": "p", "identifiers": "l", "names": "n", "counts": "c"})
+    cols = text_columns(df)
+    cell = F.col("value")
+    hits = {
+        "filled": cell != "",
+        "emails": cell.rlike(PERSONAL_PATTERNS["email address"]),
+        "phones": ~cell.rlike(DATED_VALUE) & cell.rlike(PERSONAL_PATTERNS["phone number"]),
+        "identifiers": cell.rlike(PERSONAL_PATTERNS["long identifier"]),
+        "names": cell.rlike(PERSON_VALUE),
+        "counts": cell.rlike(r"^-?\d{1,8}(?:\.\d+)?$"),
+    }
+    return by_column(cells(trimmed(df), *cols), cols, F.count_if(cell != "").alias("distinct"), *[rows_where(c).alias(k) for k, c in hits.items()])
 
 
 def personal_columns(df: DataFrame) -> DataFrame:
@@ -234,6 +237,7 @@ def personal_columns(df: DataFrame) -> DataFrame:
 
 
 def _date_name(c: Column) -> Column:
+    # Words of date columns' names.
     words = ("date", "month", "period", "week", "year", "day", "time", "quarter", "تاريخ", "التاريخ", "شهر", "سنة", "السنة", "فترة", "ربع")
     out = F.lit(False)
     for w in words:
@@ -249,26 +253,24 @@ def named_like_id(name: str) -> bool:
 
 def mapping_profile(df: DataFrame) -> DataFrame:
     """Per column: type (date, number, text, empty), filled, shares, distinct, whole, formatted, sequence."""
-    rows = trimmed(df)
-    cols = text_columns(rows)
-    aggs: list[Column] = []
-    for i, c in enumerate(cols):
-        cell = F.col(f"`{c}`")
-        n = numbers.mapped_number(cell)
-        dated = dates.parse_date(cell).isNotNull() | (dates.normal(cell).rlike(dates.NUMERIC_DAY) & dates.parse_date(cell, "month-first").isNotNull())
-        aggs += [
-            F.count("*").alias(f"a{i}"),
-            F.count_if(cell != "").alias(f"f{i}"),
-            F.count(n).alias(f"n{i}"),
-            F.count_if((cell != "") & dated).alias(f"t{i}"),
-            F.count_distinct(F.nullif(cell, F.lit(""))).alias(f"d{i}"),
-            F.count_distinct(n).alias(f"dn{i}"),
-            F.count_if((cell != "") & (n.isNull() | (n != F.floor(n)))).alias(f"w{i}"),
-            F.count_if(n.isNotNull() & ~F.trim(cell).rlike(numbers.PLAIN)).alias(f"x{i}"),
-            F.min(n).alias(f"lo{i}"),
-            F.max(n).alias(f"hi{i}"),
-        ]
-    raw = unpivot(rows.agg(*aggs), cols, {"cells": "a", "filled": "f", "_n": "n", "_t": "t", "distinct": "d", "_dn": "dn", "_w": "w", "_x": "x", "_lo": "lo", "_hi": "hi"})
+    cols = text_columns(df)
+    cell, number = F.col("value"), F.col("number")
+    found = cells(trimmed(df), *cols).withColumns({"number": numbers.mapped_number(cell), "dated": dates.reads(cell)})
+    filled = cell != ""
+    raw = by_column(
+        found,
+        cols,
+        F.sum("n").alias("cells"),
+        rows_where(filled).alias("filled"),
+        rows_where(number.isNotNull()).alias("_n"),
+        rows_where(filled & F.col("dated")).alias("_t"),
+        F.count_if(filled).alias("distinct"),
+        F.count_distinct("number").alias("_dn"),
+        rows_where(filled & (number.isNull() | (number != F.floor(number)))).alias("_w"),
+        rows_where(number.isNotNull() & ~cell.rlike(numbers.PLAIN)).alias("_x"),
+        F.min("number").alias("_lo"),
+        F.max("number").alias("_hi"),
+    )
     share = lambda k: F.coalesce(F.try_divide(F.col(k).cast("double"), F.col("filled").cast("double")), F.lit(0.0))
     numeric, dated = share("_n"), share("_t")
     kind = (

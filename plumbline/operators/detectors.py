@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import exact, plain_number
-from .clean import text_columns
+from .clean import by_column, cells, rows_where, text_columns
 
 # Fixed values.
 KEY_LEAST, KEY_SHARE = 10, 0.5
@@ -45,9 +45,11 @@ class Shape:
     @classmethod
     def of(cls, df: DataFrame) -> Shape:
         cols = text_columns(df)
-        row = df.agg(F.count("*").alias("n"), *[x for i, c in enumerate(cols) for x in (F.count_if(filled(c)).alias(f"f{i}"), F.count(number(c)).alias(f"r{i}"), F.count_distinct(F.when(filled(c), text(c))).alias(f"d{i}"))]).first()
-        pick = lambda k: {c: row[f"{k}{i}"] for i, c in enumerate(cols)}
-        return cls(df, row["n"], pick("f"), pick("r"), pick("d"))
+        found = cells(df.select(*[text(c).alias(c) for c in cols]), *cols)
+        found = found.withColumns({"filled": F.trim("value") != "", "number": plain_number(F.col("value"))})
+        rows = by_column(found, cols, F.sum("n").alias("n"), rows_where(F.col("filled")).alias("f"), rows_where(F.col("number").isNotNull()).alias("r"), F.count_if("filled").alias("d")).collect()  # a row per column
+        pick = lambda k: {r["name"]: r[k] for r in sorted(rows, key=lambda r: cols.index(r["name"]))}
+        return cls(df, max((r["n"] for r in rows), default=0), pick("f"), pick("r"), pick("d"))
 
     def numeric(self) -> list[str]:
         """Numbers in nine tenths of all rows, blanks included."""

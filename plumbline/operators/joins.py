@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -136,25 +137,42 @@ def rename(taken: list[str], lookup: list[str], keys: set[str], alias: str) -> d
     return out
 
 
-def join_one(table: AnalysisTable, lookup: Lookup, join: Join, alias: str, date_column: str | None = None, grain: str | None = None, order: str = "day-first", check: bool = True) -> tuple[AnalysisTable, DataFrame]:
-    """(merged table, one-row statistics). The lookup's keys are checked by a job of their own first."""
+def attached(table: AnalysisTable, lookup: Lookup, join: Join, alias: str, date_column: str | None, grain: str | None, order: str) -> tuple[DataFrame, DataFrame, list[str], dict[str, str]]:
+    """(all rows with keys, the lookup's columns and ``_hit``; the lookup by key; key names; output names)."""
     pairs = key_columns(table, join, date_column, grain, order)
     keys = [f"_k{i}" for i in range(len(pairs))]
     names = rename(table.columns, lookup.df.columns, {r for _, r in join.keys}, alias)
     right = lookup.df.select(*[p[1].alias(k) for k, p in zip(keys, pairs, strict=True)], *[F.col(f"`{c}`").alias(f"_r{i}") for i, c in enumerate(names)], F.lit(True).alias("_hit"))
     complete = right.where(" and ".join(f"{k} is not null" for k in keys))
-    if check and (found := repeated_keys(right, keys).limit(4).collect()):
-        examples = ", ".join("/".join(str(r[k]) for k in keys) for r in found[:3])
-        raise JoinError([f"The lookup {alias} repeats its key: {examples}. Each key may occur once, or rows would multiply."])
     # No hint: Spark broadcasts the lookup where its size allows, and merges by sorting beyond.
     both = table.df.withColumns({k: p[0] for k, p in zip(keys, pairs, strict=True)}).join(complete, keys, "left")
-    stats = join_stats(both, complete, keys)
-    if join.how == "inner":
-        both = both.where("_hit")
+    return both, complete, keys, names
+
+
+def refuse_repeats(lookups: list[tuple[str, DataFrame, list[str]]]) -> None:
+    """JoinError for the first of (alias, lookup by key, key names) whose keys repeat; one job looks at all of them."""
+    shown = [complete.select(F.lit(i).alias("at"), F.concat_ws("/", *[F.col(k).cast("string") for k in keys]).alias("key"), *[F.xxhash64(*keys).alias("h")]) for i, (_, complete, keys) in enumerate(lookups)]
+    counted = reduce(DataFrame.unionByName, shown).groupBy("at", "key", "h").agg(F.count("*").alias("n")).where("n > 1")
+    found = counted.orderBy("at", F.desc("n"), "key").limit(4).collect()
+    if found:
+        first = [r for r in found if r["at"] == found[0]["at"]][:3]
+        raise JoinError([f"The lookup {lookups[first[0]['at']][0]} repeats its key: {', '.join(r['key'] for r in first)}. Each key may occur once, or rows would multiply."])
+
+
+def finished(table: AnalysisTable, both: DataFrame, lookup: Lookup, names: dict[str, str], *extra: str) -> AnalysisTable:
     own = [f"`{c}`" for c in table.df.columns]
     new = [(F.col(f"_r{i}") if c in lookup.numeric else F.coalesce(f"_r{i}", F.lit(""))).alias(n) for i, (c, n) in enumerate(names.items())]
     numeric = table.numeric | {n for c, n in names.items() if c in lookup.numeric}
-    return AnalysisTable(both.select(*own, *new), numeric, table.order, table.roles), stats
+    return AnalysisTable(both.select(*own, *new, *extra), numeric, table.order, table.roles)
+
+
+def join_one(table: AnalysisTable, lookup: Lookup, join: Join, alias: str, date_column: str | None = None, grain: str | None = None, order: str = "day-first", check: bool = True) -> tuple[AnalysisTable, DataFrame]:
+    """(merged table, one-row statistics). The lookup's keys are checked by a job of their own first."""
+    both, complete, keys, names = attached(table, lookup, join, alias, date_column, grain, order)
+    if check:
+        refuse_repeats([(alias, complete, keys)])
+    stats = join_stats(both, complete, keys)
+    return finished(table, both.where("_hit") if join.how == "inner" else both, lookup, names), stats
 
 
 def join_stats(both: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
@@ -178,12 +196,32 @@ def merge(table: AnalysisTable, lookups: list[Lookup], joins: list[Join], date_c
         bad.append(f"A merged table has at most {MOST['columns']} columns.")
     if bad:
         raise JoinError(bad)
-    out = Merged(table)
-    for j, look, alias in zip(joins, lookups, assign_aliases(joins), strict=True):
-        out.table, stats = join_one(out.table, look, j, alias, date_column, grain, order)
-        row = stats.first().asDict()
-        rows_out = row["matched"] if j.how == "inner" else row["rows_in"]
-        out.stats.append(row | {"alias": alias, "how": j.how, "rows_out": rows_out, "dropped_empty": look.empty, "dropped_duplicates": look.duplicates})
+    # All joins are left joins with a mark of their match; an inner one drops its rows at the end, so that one pass over
+    # the merged rows counts for every join.
+    aliases, now, looked, marks = assign_aliases(joins), table, [], []
+    for i, (j, look, alias) in enumerate(zip(joins, lookups, aliases, strict=True)):
+        held = AnalysisTable(now.df.drop(*marks), now.numeric, now.order, now.roles)
+        both, complete, keys, names = attached(now, look, j, alias, date_column, grain, order)
+        looked.append((alias, complete, keys))
+        key = F.when(F.col("_hit"), F.struct(*keys))
+        blank = F.exists(F.array(*[F.col(k).isNull() for k in keys]), lambda x: x)
+        both = both.withColumns({f"_hit{i}": F.coalesce("_hit", F.lit(False)), f"_blank{i}": blank, f"_key{i}": key})
+        now = finished(held, both, look, names, *marks, f"_hit{i}", f"_blank{i}", f"_key{i}")
+        marks += [f"_hit{i}", f"_blank{i}", f"_key{i}"]
+    refuse_repeats(looked)
+    alive, aggregates = F.lit(True), []
+    for i, j in enumerate(joins):
+        hit = alive & F.col(f"_hit{i}")
+        aggregates += [F.count_if(alive).alias(f"in{i}"), F.count_if(hit).alias(f"hit{i}"), F.count_if(alive & F.col(f"_blank{i}")).alias(f"blank{i}"), F.count_distinct(F.when(hit, F.col(f"_key{i}"))).alias(f"used{i}")]
+        alive = hit if j.how == "inner" else alive
+    sizes = [F.lit(i).alias("at") for i in range(len(joins))]
+    counted = {r["at"]: r["n"] for r in reduce(DataFrame.unionByName, [c.select(at).groupBy("at").agg(F.count("*").alias("n")) for (_, c, _), at in zip(looked, sizes, strict=True)]).collect()}
+    row = now.df.agg(*aggregates).first()
+    out = Merged(AnalysisTable(now.df.where(alive).drop(*marks), now.numeric, now.order, now.roles))
+    for i, (j, look, alias) in enumerate(zip(joins, lookups, aliases, strict=True)):
+        n, hit = row[f"in{i}"], row[f"hit{i}"]
+        figures = {"rows_in": n, "matched": hit, "unmatched": n - hit, "coverage": round(hit / n, 4) if n else 0.0, "empty_keys": row[f"blank{i}"], "lookup_unused": counted.get(i, 0) - row[f"used{i}"]}
+        out.stats.append(figures | {"alias": alias, "how": j.how, "rows_out": hit if j.how == "inner" else n, "dropped_empty": look.empty, "dropped_duplicates": look.duplicates})
     return out
 
 

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import exact_sum, plain_number
+from ..functions.numbers import as_number, exact_sum, plain_number
 from . import models
 from .detectors import Finding, run_all
 
@@ -103,8 +103,8 @@ class Kpi:
         return (*self.numerator, *self.denominator, *self.needs)
 
     def parts(self) -> tuple[Column, Column, Column, Column]:
-        """(population, numerator, denominator, measurable)"""
-        add = lambda names: sum((plain_number(F.col(f"`{n}`").cast("string")) for n in names[1:]), plain_number(F.col(f"`{names[0]}`").cast("string")))
+        """(population, numerator, denominator, measurable) over columns that are numbers."""
+        add = lambda names: sum((F.col(f"`{n}`") for n in names[1:]), F.col(f"`{names[0]}`"))
         num = add(self.numerator)
         den = add(self.denominator) if self.denominator else F.lit(1.0)
         pop = F.lit(True) if self.population is None else F.coalesce(self.population, F.lit(False))
@@ -147,10 +147,21 @@ def computable(columns: list[str], kpis: list[Kpi]) -> tuple[list[Kpi], dict[str
     return [k for k in kpis if not lacking[k.key]], {k: v for k, v in lacking.items() if v}
 
 
+def measured(df: DataFrame, kpis: list[Kpi]) -> DataFrame:
+    """The columns that the KPIs read, each parsed once; others are not scanned."""
+    numbers = sorted({c for k in kpis for c in (*k.numerator, *k.denominator)})
+    kept = sorted({c for k in kpis for c in k.needs} - set(numbers))
+    return df.select(*[as_number(df, c).alias(c) for c in numbers], *[F.col(f"`{c}`") for c in kept])
+
+
+def row_mean(df: DataFrame, kpi: Kpi) -> DataFrame:
+    return measured(df, [kpi]).agg(kpi.row_mean().alias("row_mean"))
+
+
 def compute(df: DataFrame, kpis: list[Kpi] | None = None) -> DataFrame:
     """All KPIs in one aggregation: kpi, value, undefined (why), records, excluded, unmeasured."""
     able, _ = computable(df.columns, register() if kpis is None else kpis)
-    wide = df.agg(*[a for k in able for a in k.aggregates()])
+    wide = measured(df, able).agg(*[a for k in able for a in k.aggregates()])
     return wide.select(F.explode(F.array(*[k.answer() for k in able])).alias("x")).select("x.*")
 
 

@@ -15,7 +15,7 @@ from .table import ROW
 
 LEAST_ROWS, BEATS, SEPARATED = 30, 0.05, 0.25
 MOST_NUMBERS, MOST_TEXTS, MOST_LEVELS, MOST_CLASSES = 12, 3, 10, 6
-RIDGE, LEAST_SPREAD, PROBES = 1e-3, 1e-3, 400
+RIDGE, LEAST_SPREAD = 1e-3, 1e-3
 SEASONS = {"day": 7, "month": 12, "quarter": 4}
 
 
@@ -176,16 +176,31 @@ def classification(df: DataFrame, numbers: list[str], texts: list[str], label: s
     return {"fitted": True, "rows": n, "classes": classes, "score": score, "baseline": base, "improvement": gain, "verdict": "useful" if gain >= BEATS else "weak"}
 
 
-def silhouette(points: DataFrame, probes: int = PROBES, order: str = ROW) -> DataFrame:
-    """Mean silhouette of (order, group, vector) rows: all pairs of at most ``probes`` points, which a hash of their
-    order picks. The probe set is the feature's own bound."""
-    picked = points.orderBy(F.xxhash64(order), order).limit(probes)
-    a, b = picked.select(F.col(order).alias("p"), F.col("group").alias("g"), F.col("vector").alias("v")), picked.select(F.col(order).alias("q"), F.col("group").alias("h"), F.col("vector").alias("w"))
-    far = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    pairs = a.join(F.broadcast(b), F.col("p") != F.col("q")).groupBy("p", "g", "h").agg(F.avg(far).alias("d"))
-    each = pairs.groupBy("p", "g").agg(F.max(F.when(F.col("g") == F.col("h"), F.col("d"))).alias("inside"), F.min(F.when(F.col("g") != F.col("h"), F.col("d"))).alias("nearest"))
+def silhouette(points: DataFrame) -> DataFrame:
+    """Mean silhouette of all (group, vector) rows, by root mean square distances to a point's own and nearest group.
+
+    A group's count, sums and sum of squares give every point's mean square distance to it, so the work is linear in the
+    rows and no pair is made. One row per group, a few, is sent to all tasks."""
+    squares = F.aggregate(F.transform("vector", lambda x: x * x), F.lit(0.0), lambda s, x: s + x)
+    width = points.select(F.size("vector").alias("k")).first()
+    k = width["k"] if width else 0
+    each = points.withColumn("squares", squares)
+    groups = each.groupBy("group").agg(F.count("*").alias("m"), F.array(*[F.sum(F.get("vector", F.lit(i))) for i in range(k)]).alias("sums"), F.sum("squares").alias("total"))
+    listed = groups.agg(F.collect_list(F.struct("group", "m", "sums", "total")).alias("groups"))
+
+    def far(g: Column) -> Column:
+        own = g["group"] == F.col("group")
+        dot = F.aggregate(F.zip_with("vector", g["sums"], lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        others = g["m"] - F.when(own, 1).otherwise(0)
+        # A point is no neighbour of itself; its distance to itself adds nothing to the sum.
+        mean = F.try_divide(g["m"] * F.col("squares") - 2 * dot + g["total"], others.cast("double"))
+        return F.struct(own.alias("own"), F.sqrt(F.greatest(mean, F.lit(0.0))).alias("d"))
+
+    rows = each.crossJoin(F.broadcast(listed)).withColumn("far", F.transform("groups", far))  # one row of a few groups
+    pick = lambda own: F.array_min(F.transform(F.filter("far", lambda x: x["own"] == own), lambda x: x["d"]))
+    rows = rows.select(pick(True).alias("inside"), pick(False).alias("nearest"))
     score = F.when(F.col("inside").isNull() | F.col("nearest").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("nearest") - F.col("inside"), F.greatest("inside", "nearest")), F.lit(0.0)))
-    return each.agg(F.avg(score).alias("silhouette"))
+    return rows.agg(F.avg(score).alias("silhouette"))
 
 
 def clusters(df: DataFrame, numbers: list[str], order: str = ROW, seed: int = 7, most: int = 5) -> dict[str, Any]:
@@ -201,7 +216,7 @@ def clusters(df: DataFrame, numbers: list[str], order: str = ROW, seed: int = 7,
     best: tuple[float, int] | None = None
     for k in range(2, most + 1):
         found = KMeans(k=k, seed=seed + k, maxIter=60).fit(rows).transform(rows).withColumnRenamed("prediction", "group")
-        score = silhouette(found.select(order, "group", "vector"), order=order).first()[0] or 0.0
+        score = silhouette(found.select("group", "vector")).first()[0] or 0.0
         if best is None or score > best[0] + 1e-12:
             best = (score, k)
     rows.unpersist()

@@ -34,13 +34,19 @@ class AnalysisTable:
         return AnalysisTable(df, self.numeric, self.order, self.roles)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once: in the session's checkpoint folder, which outlives lost executors, or in memory where a
+    session has none."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def number_rows(df: DataFrame, *order: Column | str, name: str = ROW) -> DataFrame:
     """A consecutive number from 0 in the order of the given columns, without one task that sorts all rows.
 
     The rows are range-partitioned; each partition numbers its own and adds the sizes of those before it.
     """
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    dealt = dealt.persist()  # both readers must see one and the same partitioning
+    dealt = settled(dealt)  # both readers must see one and the same partitioning
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     starts = sizes.withColumn("_start", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n"))
     return dealt.join(F.broadcast(starts.select("_part", "_start")), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")

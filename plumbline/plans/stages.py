@@ -24,6 +24,8 @@ CLAIM_TYPES = ("calculation", "fact", "finding", "limitation", "warning", "recom
 #: Custom stages give everything but findings, within these sizes.
 CUSTOM_TYPES = tuple(t for t in CLAIM_TYPES if t != "finding")
 CUSTOM_MOST = {"claims": 50, "calculations": 200, "checks": 50, "text": 1000}
+#: Groups that a card lists, the largest first; the frames behind it hold all.
+TOP = 1000
 LAST = ("lineage", "validator", "reporter", "publish")
 
 
@@ -191,12 +193,12 @@ def _prepare(ctx: Context) -> Result:
 
 def _segments(ctx: Context) -> Result:
     out = Result()
-    if ctx.by_group is None or not (rows := analysis.shares(ctx.by_group).orderBy("place").collect()):
+    if ctx.by_group is None or not (rows := analysis.shares(ctx.by_group).orderBy("place").limit(TOP).collect()):
         out.calc("c_seg_none", "segments", 0, "no breakdown, or a total of zero")
         out.claim("cl_seg_none", "limitation", "No segment shares can be reported.", "c_seg_none")
         return out
     c = analysis.concentration(analysis.shares(ctx.by_group)).first()
-    out.output = {"shares": [r.asDict() for r in rows[:1000]], **c.asDict()}
+    out.output = {"shares": [r.asDict() for r in rows], "truncated": c["segments"] > len(rows), **c.asDict()}
     out.calc("c_seg_hhi", "concentration_index", c["hhi"], "sum of squared shares")
     out.calc("c_seg_pareto", "groups_to_80", c["pareto_count"], "groups that reach 80 per cent")
     out.claim("cl_seg", "finding", f"{c['pareto_count']} of {c['segments']} groups make up 80 per cent of {ctx.measure}.", "c_seg_pareto")
@@ -230,8 +232,9 @@ def _describe(ctx: Context) -> Result:
 def _diagnose(ctx: Context) -> Result:
     out = Result()
     if ctx.by_group is not None and ctx.periods is not None:
-        rows = analysis.contributions(ctx.table.df, f"`{ctx.measure}`", f"`{ctx.breakdown}`", ctx.label()).orderBy(F.abs("change").desc(), "group").limit(1000).collect()
-        out.output["contributions"] = [r.asDict() for r in rows]
+        rows = analysis.contributions(ctx.table.df, f"`{ctx.measure}`", f"`{ctx.breakdown}`", ctx.label()).orderBy(F.abs("change").desc(), "group").limit(TOP + 1).collect()
+        out.output["contributions"] = [r.asDict() for r in rows[:TOP]]
+        out.output["contributions_truncated"] = len(rows) > TOP
         if rows:
             out.calc("c_totalchange", "total_change", rows[0]["total_change"], "last minus first period")
             out.claim("cl_contrib", "finding", f"{rows[0]['group']} moved most, by {rows[0]['change']:,.2f}; this is where the change is, not why.", "c_totalchange")

@@ -7,6 +7,7 @@ import hashlib
 import ipaddress
 import re
 import socket
+import tempfile
 from dataclasses import dataclass
 from urllib.parse import parse_qsl, urlsplit
 
@@ -20,6 +21,22 @@ FORMULA = r"^[=+\-@\t\r]"
 SECRET_KEYS = ("key", "token", "secret", "password", "passwd", "pwd", "sig", "signature", "auth", "credential", "session")
 
 
+_own_folder: dict[str, str] = {}
+
+
+def work_folder(spark: SparkSession) -> str:
+    """Where files of a run go: ``spark.checkpoint.dir``, which driver and executors share; a session without one gets
+    a temporary folder if it is local, else its warehouse."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own_folder:
+        _own_folder[app] = tempfile.mkdtemp(prefix="plumbline-")
+    return _own_folder[app]
+
+
 def fingerprint(df: DataFrame) -> str:
     """A hash of a table's rows in their order and of its column names, from partial sums over rows."""
     cols = [c for c in df.columns if c != ROW]
@@ -33,12 +50,11 @@ def snapshot(df: DataFrame, root: str) -> tuple[str, bool]:
     """(folder, written): the table under its fingerprint; an equal one is there already and is not written again."""
     path = f"{root.rstrip('/')}/{fingerprint(df)[:32]}"
     spark = df.sparkSession
-    try:
-        spark.read.parquet(path).schema  # noqa: B018
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):  # a half-written folder has no such mark
         return path, False
-    except Exception:
-        df.write.mode("overwrite").parquet(path)
-        return path, True
+    df.write.mode("overwrite").parquet(path)
+    return path, True
 
 
 def cell(c: Column, numeric: bool) -> Column:

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import clean
@@ -56,9 +57,20 @@ def carry_mapping(df: DataFrame, previous: clean.Mapping | None) -> clean.Mappin
         return None
 
 
+def event_time(stream: DataFrame, time: str) -> DataFrame:
+    """With ``time`` as an instant, which watermarks need; local times count in the session's zone."""
+    return stream.withColumn(time, F.col(time).cast("timestamp")) if isinstance(stream.schema[time].dataType, T.TimestampNTZType) else stream
+
+
+def cursor_now(df: DataFrame, time: str) -> str:
+    """The cursor of a reader that starts now: after everything up to the latest update, before any later one."""
+    latest = df.agg(F.max(time).cast("string")).first()[0]
+    return f"{latest or '1970-01-01 00:00:00'}~\uffff~"
+
+
 def updates(stream: DataFrame, time: str, *keys: str, look_back: str = LOOK_BACK) -> DataFrame:
     """Each update once: late ones within the look-back are kept, repeats by key dropped."""
-    return stream.withWatermark(time, look_back).dropDuplicatesWithinWatermark([*keys])
+    return event_time(stream, time).withWatermark(time, look_back).dropDuplicatesWithinWatermark([*keys])
 
 
 def poll(df: DataFrame, cursor: str, time: str, kind: str, key: str, most: int = 100) -> DataFrame:
@@ -76,7 +88,7 @@ def parse_cursor(text: str | None) -> tuple[str, str, str]:
 
 def windowed(stream: DataFrame, time: str, value: str, by: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Extension: totals by tumbling event-time window and group."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, size).alias("w"), by).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
+    return event_time(stream, time).withWatermark(time, late).groupBy(F.window(time, size).alias("w"), by).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
 
 
 def sessions(events: DataFrame, time: str, by: str, gap: str = "30 minutes") -> DataFrame:
