@@ -422,14 +422,14 @@ add("ds_uneven", lambda s, d: analysis.change(_TREND(s, d)).select("uneven", "ch
 add("ds_top", lambda s, d: analysis.top_group(_GROUPS(s, d)), f"WITH {_G} SELECT \"group\", total, round(total / (SELECT sum(CAST(total AS DECIMAL(28,2)))::DOUBLE FROM g), 4) AS share FROM g ORDER BY total DESC, first_seen LIMIT 1")
 _C = f"WITH e AS (SELECT min(strftime(o_orderdate, '%Y-%m')) AS a, max(strftime(o_orderdate, '%Y-%m')) AS b FROM orders), c AS (SELECT o_orderpriority AS \"group\", coalesce(sum(CAST(o_totalprice AS DECIMAL(28,4))) FILTER (WHERE strftime(o_orderdate, '%Y-%m') = b), 0) - coalesce(sum(CAST(o_totalprice AS DECIMAL(28,4))) FILTER (WHERE strftime(o_orderdate, '%Y-%m') = a), 0) AS d FROM orders, e GROUP BY 1), k AS (SELECT \"group\", round(d::DOUBLE, 2) AS change, round(round(d::DOUBLE, 2) / (SELECT sum(d)::DOUBLE FROM c), 4) AS share_of_change, round((SELECT sum(d)::DOUBLE FROM c), 2) AS total_change FROM c) "
 add("dg_contrib", _CONTRIB, _C + "SELECT * FROM k")
-_MOVED = "SELECT *, o_totalprice * CASE WHEN o_orderpriority <> '1-URGENT' THEN 1 WHEN strftime(o_orderdate, '%Y-%m') = (SELECT min(strftime(o_orderdate, '%Y-%m')) FROM orders) THEN 0 ELSE 40 END AS moved FROM orders"
+_MOVED = "SELECT *, o_totalprice * CASE WHEN o_orderpriority <> '1-URGENT' THEN 1 WHEN strftime(o_orderdate, '%Y-%m') = (SELECT min(strftime(o_orderdate, '%Y-%m')) FROM orders) THEN -10 ELSE 1 END AS moved FROM orders"
 
 
 def _against(s: SparkSession, d: str) -> DataFrame:
-    """One priority starts at nothing and grows, while the last month is short for all: they move against each other."""
+    """One priority starts below nothing and so grows, while the last month is short for all: they move against each other."""
     rows = _ORDERS(s, d)
     first = rows.agg(F.min(MONTH())).first()[0]
-    times = F.when(F.col("o_orderpriority") != "1-URGENT", 1.0).when(MONTH() == first, 0.0).otherwise(40.0)
+    times = F.when(F.col("o_orderpriority") != "1-URGENT", 1.0).when(MONTH() == first, -10.0).otherwise(1.0)
     return analysis.against_trend(analysis.contributions(rows.withColumn("moved", F.col("o_totalprice") * times), "moved", "o_orderpriority", MONTH()))
 
 

@@ -194,7 +194,7 @@ def silhouette(points: DataFrame) -> DataFrame:
         others = g["m"] - F.when(own, 1).otherwise(0)
         # A point is no neighbour of itself; its distance to itself adds nothing to the sum.
         mean = F.try_divide(g["m"] * F.col("squares") - 2 * dot + g["total"], others.cast("double"))
-        return F.struct(own.alias("own"), F.sqrt(F.greatest(mean, F.lit(0.0))).alias("d"))
+        return F.struct(own.alias("own"), F.when(mean.isNotNull(), F.sqrt(F.greatest(mean, F.lit(0.0)))).alias("d"))
 
     rows = each.crossJoin(F.broadcast(listed)).withColumn("far", F.transform("groups", far))  # one row of a few groups
     pick = lambda own: F.array_min(F.transform(F.filter("far", lambda x: x["own"] == own), lambda x: x["d"]))

@@ -7,6 +7,7 @@ every claim cites calculations that some stage produced.
 from __future__ import annotations
 
 import copy
+import hashlib
 import importlib
 import json
 from collections.abc import Callable
@@ -27,6 +28,7 @@ CUSTOM_MOST = {"claims": 50, "calculations": 200, "checks": 50, "text": 1000}
 #: Groups that a card lists, the largest first; the frames behind it hold all.
 TOP = 1000
 LAST = ("lineage", "validator", "reporter", "publish")
+DEFAULT_AFTER = "sensitivity"
 
 
 @dataclass
@@ -350,14 +352,26 @@ def load_custom(paths: list[str]) -> tuple[list[CustomStage], list[str]]:
             stage = getattr(importlib.import_module(module), name)()
             if not getattr(stage, "role", "").isidentifier() or not callable(getattr(stage, "run", None)):
                 raise TypeError("a stage has a role and a run method")
-            if stage.role in STAGES or stage.role in LAST:
-                raise ValueError(f"{stage.role} is a built-in stage")
+            if bad_place := misplaced(stage, [x.role for x in out]):
+                raise ValueError(bad_place)
             out.append(stage)
         except (ImportError, AttributeError, TypeError, ValueError) as e:
             bad.append(f"{p}: {e}")
     return out, bad
 
 
+def misplaced(stage: CustomStage, taken: list[str]) -> str | None:
+    """Why a stage cannot run under its role or at its place: what audits the run comes after everything else."""
+    after = getattr(stage, "after", DEFAULT_AFTER)
+    if stage.role in STAGES or stage.role in LAST:
+        return f"{stage.role} is a built-in stage"
+    if stage.role in taken:
+        return f"{stage.role} is there twice"
+    if after in LAST:
+        return f"{stage.role} asks to run after {after}, which audits every stage before it"
+    return None if after in STAGES else f"{stage.role} asks to run after {after}, which is no stage"
+
+
 def contract_problems(role: str, r: Result) -> list[str]:
     """What keeps a custom stage's result out."""
     bad = []
@@ -427,27 +441,69 @@ def validate(ctx: Context) -> Result:
 
 
 def report(ctx: Context) -> str:
-    """The run as Markdown, made only of claims that the audit passed."""
+    """The run as Markdown: claims by stage with what they cite, the figures with how they came about, the checks."""
     lines = [f"# {ctx.goal or 'Analysis'}", ""]
     for name, r in ctx.results.items():
         if r.claims:
-            lines += [f"## {name.title()}", "", *[f"- {c.text} ({c.type}; {', '.join(c.evidence)})" for c in r.claims], ""]
+            lines += [f"## {name.replace('_', ' ').title()}", "", *[f"- {c.text} ({c.type}; {', '.join(c.evidence)})" for c in r.claims], ""]
+    made = [c for r in ctx.results.values() for c in r.calculations]
+    lines += ["## Figures", "", "| Figure | Value | Method |", "| --- | --- | --- |", *[f"| {c.name} | {c.value} | {c.method} |" for c in made], ""]
+    checks = [c for r in ctx.results.values() for c in r.checks]
+    lines += ["## Checks", "", *[f"- {'passed' if c.passed else 'FAILED'}: {c.name.replace('_', ' ')}" for c in checks], ""]
     return "\n".join(lines)
 
 
+def run_custom(stage: CustomStage, ctx: Context) -> Result:
+    try:
+        r = stage.run(copy.deepcopy(ctx.results), ctx.table)
+        bad = contract_problems(stage.role, r)
+    except Exception as e:  # a plug-in's fault is its own
+        r, bad = Result("failed"), [str(e)]
+    return Result("failed", "; ".join(bad)) if bad else r
+
+
+@dataclass(frozen=True)
+class Approval:
+    """Who approved which content: the hash binds it to the report as it was read."""
+
+    by: str
+    content: str
+
+
+def content_hash(ctx: Context) -> str:
+    return hashlib.sha256(report(ctx).encode()).hexdigest()
+
+
+def approve(ctx: Context, by: str) -> Approval:
+    if not ctx.results.get("validator", Result()).output.get("passed"):
+        raise ValueError("The run did not pass its audit, so there is nothing to approve.")
+    return Approval(by, content_hash(ctx))
+
+
+def publish(ctx: Context, approval: Approval | None) -> str:
+    """The report, if it is still the one that was approved."""
+    if approval is None:
+        raise ValueError("The report was not approved.")
+    if approval.content != content_hash(ctx):
+        raise ValueError("The report changed after it was approved; approve it again.")
+    return report(ctx)
+
+
 def run(ctx: Context, custom: list[CustomStage] | None = None) -> Context:
     """All stages in their order; a failed built-in stage ends the run, a failed custom one does not."""
+    waiting = {}
+    for i, stage in enumerate(custom or []):
+        if bad := misplaced(stage, [x.role for x in (custom or [])[:i]]):
+            raise ValueError(bad)
+        # A stage gets the cleaned table, so one that asks for an earlier place runs as soon as that is there.
+        after = getattr(stage, "after", DEFAULT_AFTER)
+        waiting.setdefault(after if list(STAGES).index(after) >= list(STAGES).index("governance") else "governance", []).append(stage)
     for name, stage in STAGES.items():
         ctx.results[name] = r = stage(ctx)
         if r.status == "failed":
             return ctx
-    for stage in custom or []:
-        try:
-            r = stage.run(copy.deepcopy(ctx.results), ctx.table)
-            bad = contract_problems(stage.role, r)
-        except Exception as e:  # a plug-in's fault is its own
-            r, bad = Result("failed"), [str(e)]
-        ctx.results[stage.role] = Result("failed", "; ".join(bad)) if bad else r
+        for own in waiting.get(name, []):
+            ctx.results[own.role] = run_custom(own, ctx)
     ctx.results["lineage"] = Result(output=lineage(ctx.results))
     ctx.results["validator"] = validate(ctx)
     return ctx

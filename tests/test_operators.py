@@ -286,3 +286,26 @@ def test_contract_and_risk(spark):
     df = frame(spark, ["Record_ID", "Record_Date", "Work_Order_Type", "Asset_Age_Years", "Site", "SLA_Target_Hours", "SLA_Actual_Hours"], rows)
     card = maintenance.risk(df, "sla_breach")
     assert card["verdict"] == "useful" and card["claim"] == "finding" and card["score"] > 0.8
+
+
+def test_silhouette_brute(spark):
+    r = np.random.default_rng(3)
+    points = np.concatenate([r.normal(0, 1, (15, 3)), r.normal(4, 1, (10, 3)), r.normal((0, 8, 0), 2, (8, 3)), [[9.0, 9.0, 9.0]]])
+    group = [0] * 15 + [1] * 10 + [2] * 8 + [3]
+    df = spark.createDataFrame([(int(g), [float(x) for x in p]) for g, p in zip(group, points, strict=True)], "group int, vector array<double>")
+    scores = []
+    for i, g in enumerate(group):
+        far = {h: np.sqrt(np.mean([((points[i] - points[j]) ** 2).sum() for j in range(len(group)) if group[j] == h and j != i])) for h in set(group) if h != g or group.count(g) > 1}
+        a, b = far.get(g), min(v for h, v in far.items() if h != g)
+        scores.append(0.0 if a is None else (b - a) / max(a, b))
+    assert models.silhouette(df).first()[0] == pytest.approx(np.mean(scores))
+
+
+def test_merged_figures_follow_inner_joins(spark):
+    """An inner join in the middle drops rows for the joins after it, in their figures and in the table."""
+    rows = spark.createDataFrame([(f"k{i % 4}", f"m{i % 3}", float(i), i) for i in range(24)], f"k string, m string, v double, {ROW} long")
+    one = joins.Lookup(spark.createDataFrame([("k0", "x"), ("k1", "y"), ("k9", "z")], "code string, city string"), frozenset())
+    two = joins.Lookup(spark.createDataFrame([("m0", 1.0), ("m1", 2.0)], "code string, rate double"), frozenset({"rate"}))
+    m = joins.merge(AnalysisTable(rows, frozenset({"v"})), [one, two], [joins.Join((("k", "code"),), "inner", name="one"), joins.Join((("m", "code"),), name="two")])
+    assert [(s["rows_in"], s["matched"], s["rows_out"], s["lookup_unused"], s["empty_keys"]) for s in m.stats] == [(24, 12, 12, 1, 0), (12, 8, 12, 0, 0)]
+    assert m.table.columns == ["k", "m", "v", "city", "rate"] and m.table.df.count() == 12

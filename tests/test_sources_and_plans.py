@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import clean
 from plumbline.operators.table import ROW
-from plumbline.plans import stages
+from plumbline.plans import extensions, stages
 from plumbline.sources import files, store
 from plumbline.streaming import live
 
@@ -147,6 +147,66 @@ def test_custom_stages(spark):
     assert ctx.results["validator"].output["passed"]
 
 
+def test_profiles_and_example(spark):
+    assert [s.role for s in extensions.stages_for()] == [] and [s.role for s in extensions.stages_for("maintenance")] == ["maintenance_governance", "maintenance_risk"]
+    assert len(extensions.stages_for("none", {"none": ()})) == 0 and len(extensions.stages_for(profiles={})) == 6
+    for profile, profiles in (("other", None), ("x", {"x": ("nothing",)})):
+        with pytest.raises(ValueError, match="profile"):
+            extensions.stages_for(profile, profiles)
+    custom = [*extensions.stages_for("models"), *extensions.stages_for("maintenance"), extensions.TargetAttainment(1e6), extensions.RegressionModel()]
+    with pytest.raises(ValueError, match="twice"):
+        stages.run(stages.Context(store.sample_dataset(spark)), custom)
+    ctx = stages.run(stages.Context(store.sample_dataset(spark), goal="Sales"), custom[:-1])
+    assert all(ctx.results[s.role].status == "succeeded" for s in custom), {s.role: ctx.results[s.role].summary for s in custom}
+    assert ctx.results["validator"].output["passed"], ctx.results["validator"].checks
+    t = ctx.results["target_attainment"].output
+    assert t["gap"] == round(1e6 - ctx.results["preparer"].output["total"], 2) and t["met"] == (t["gap"] <= 0)
+    assert list(ctx.results).index("maintenance_governance") < list(ctx.results).index("preparer") < list(ctx.results).index("target_attainment") < list(ctx.results).index("lineage")
+
+    signed = stages.approve(ctx, "owner")
+    assert "## Figures" in stages.publish(ctx, signed)
+    ctx.results["profiler"].claim("late", "fact", "Added after the approval.", "c_rows")
+    for approval in (None, signed):
+        with pytest.raises(ValueError, match="approved"):
+            stages.publish(ctx, approval)
+
+
+def test_nothing_runs_after_the_audit(spark):
+    for after, why in (("validator", "audits"), ("nowhere", "no stage")):
+        late = extensions.TargetAttainment(5)
+        late.after = after
+        with pytest.raises(ValueError, match=why):
+            stages.run(stages.Context(store.sample_dataset(spark)), [late])
+
+
+def test_several_files_are_in_order(spark, tmp_path):
+    folder = tmp_path / "parts.csv"
+    folder.mkdir()
+    for k in range(4):
+        (folder / f"part-{k}.csv").write_text(("n,t\n" if k == 0 else "") + "".join(f'{100 * k + i},"a ""b"", c"\n' for i in range(60)))
+    got = files.read_table(spark, str(folder), "csv")
+    rows = got.df.orderBy(ROW).collect()
+    assert [r["n"] for r in rows] == [str(100 * k + i) for k in range(4) for i in range(60)] and [r[ROW] for r in rows] == list(range(240))
+    assert {r["t"] for r in rows} == {'a "b", c'}
+    broken = put(tmp_path, "q.csv", 'n,t\n1,"two\nlines"\n2,x\n')
+    assert rows_of(files.read_table(spark, broken))[1:] == [["1", "two\nlines"], ["2", "x"]]
+
+
+def test_half_written_snapshot_is_written_again(spark, tmp_path):
+    a = store.sample_dataset(spark)
+    path, _ = store.snapshot(a, str(tmp_path / "s"))
+    (tmp_path / "s" / path.rsplit("/", 1)[1] / "_SUCCESS").unlink()
+    assert store.snapshot(a, str(tmp_path / "s")) == (path, True)
+
+
+def test_cursor_of_now(spark):
+    df = spark.createDataFrame([("2025-01-01 00:00:01", "run", 1), ("2025-01-01 00:00:02", "run", 2)], "t string, kind string, id int").withColumn("t", F.to_timestamp("t"))
+    now = live.cursor_now(df, "t")
+    assert live.poll(df, now, "t", "kind", "id").count() == 0
+    later = df.unionByName(df.limit(1).withColumn("t", F.lit("2025-01-01 00:00:03").cast("timestamp")))
+    assert live.poll(later, now, "t", "kind", "id").count() == 1
+
+
 def test_no_numbers_fails(spark):
     df = spark.createDataFrame([("a", 0), ("b", 1)], f"x string, {ROW} long")
     ctx = stages.run(stages.Context(df))
