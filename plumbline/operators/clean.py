@@ -131,6 +131,11 @@ def cells(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(pairs).groupBy("x.i", "x.value").agg(F.count("*").alias("n"))
 
 
+def counted(df: DataFrame) -> DataFrame:
+    """The distinct trimmed cells of a raw table with their counts; keep it where several statistics are taken."""
+    return cells(trimmed(df), *text_columns(df))
+
+
 def by_column(found: DataFrame, columns: Sequence[str], *aggregates: Column) -> DataFrame:
     """name and the aggregates of each column's distinct cells, a row for every column; counts of none are 0."""
     names = found.sparkSession.createDataFrame(list(enumerate(columns)), "i int, name string")
@@ -144,10 +149,10 @@ def rows_where(condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("long")
 
 
-def profile(df: DataFrame) -> DataFrame:
+def profile(df: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """name, missing, distinct ('' counts as a value), numeric, one row per column."""
     cols = text_columns(df)
-    found = cells(trimmed(df), *cols).withColumn("number", numbers.plain_number(F.col("value")))
+    found = (counted(df) if seen is None else seen).withColumn("number", numbers.plain_number(F.col("value")))
     filled = F.col("value") != ""
     out = by_column(found, cols, rows_where(~filled).alias("missing"), F.count("*").alias("distinct"), rows_where(filled).alias("filled"), rows_where(F.col("number").isNotNull()).alias("_numbers"))
     numeric = (F.col("filled") > 0) & (F.col("_numbers") >= F.greatest(F.lit(1.0), F.col("filled") * MEASURE_SHARE))
@@ -163,10 +168,10 @@ def completeness(df: DataFrame) -> DataFrame:
     return groups.agg(F.sum("_n").alias("records"), (F.sum("_n") - F.count("*")).alias("duplicates"), F.round(1 - F.sum("_missing") / (F.sum("_n") * len(cols)), 4).alias("completeness"))
 
 
-def contract(df: DataFrame) -> DataFrame:
+def contract(df: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Per column: type, parse_rate, usable_as_measure, nullable, missing, distinct (non-blank), min, max."""
     cols = text_columns(df)
-    found = cells(trimmed(df), *cols).withColumn("number", numbers.plain_number(F.col("value")))
+    found = (counted(df) if seen is None else seen).withColumn("number", numbers.plain_number(F.col("value")))
     filled = F.col("value") != ""
     out = by_column(found, cols, rows_where(~filled).alias("missing"), rows_where(filled).alias("_filled"), rows_where(F.col("number").isNotNull()).alias("_numbers"), F.count_if(filled).alias("distinct"), F.min("number").alias("_lo"), F.max("number").alias("_hi"))
     rate = F.coalesce(F.try_divide(F.col("_numbers").cast("double"), F.col("_filled").cast("double")), F.lit(0.0))
@@ -186,11 +191,11 @@ def contract(df: DataFrame) -> DataFrame:
     )
 
 
-def quality(df: DataFrame, consistent: float = 1.0) -> DataFrame:
+def quality(df: DataFrame, consistent: float = 1.0, seen: DataFrame | None = None) -> DataFrame:
     """completeness, uniqueness, validity, consistency (4 digits), score (mean x 100, 1 digit) and grade.
 
     ``consistent`` is the share of raw rows with as many fields as the header, which the reader counts."""
-    fields = contract(df).where("type = 'number'").agg(F.coalesce(F.sum(F.col("filled") - F.col("unreadable")), F.lit(0)).alias("ok"), F.coalesce(F.sum("filled"), F.lit(0)).alias("all"))
+    fields = contract(df, seen).where("type = 'number'").agg(F.coalesce(F.sum(F.col("filled") - F.col("unreadable")), F.lit(0)).alias("ok"), F.coalesce(F.sum("filled"), F.lit(0)).alias("all"))
     whole = completeness(df).crossJoin(fields)  # two one-row frames
     unique = F.when(F.col("records") > 0, 1 - F.try_divide(F.col("duplicates").cast("double"), F.col("records").cast("double"))).otherwise(0.0)
     valid = F.coalesce(F.try_divide(F.col("ok").cast("double"), F.col("all").cast("double")), F.lit(1.0))
@@ -200,7 +205,7 @@ def quality(df: DataFrame, consistent: float = 1.0) -> DataFrame:
     return out.withColumns({"score": score, "grade": grade})
 
 
-def value_hits(df: DataFrame) -> DataFrame:
+def value_hits(df: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Per column: filled, distinct, rows that match each personal pattern, person names, counts (short numbers)."""
     cols = text_columns(df)
     cell = F.col("value")
@@ -212,14 +217,14 @@ def value_hits(df: DataFrame) -> DataFrame:
         "names": cell.rlike(PERSON_VALUE),
         "counts": cell.rlike(r"^-?\d{1,8}(?:\.\d+)?$"),
     }
-    return by_column(cells(trimmed(df), *cols), cols, F.count_if(cell != "").alias("distinct"), *[rows_where(c).alias(k) for k, c in hits.items()])
+    return by_column(counted(df) if seen is None else seen, cols, F.count_if(cell != "").alias("distinct"), *[rows_where(c).alias(k) for k, c in hits.items()])
 
 
-def personal_columns(df: DataFrame) -> DataFrame:
+def personal_columns(df: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Columns that look like personal data: name, by_name, emails, phones, identifiers, names.
 
     Names alone do not count where the values are few categories or short numbers."""
-    hits = value_hits(df)
+    hits = value_hits(df, seen)
     lowered = F.lower("name")
     word = F.lit(False)
     for w in PERSONAL_WORDS:

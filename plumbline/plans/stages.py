@@ -90,6 +90,13 @@ class Context:
     breakdown: str | None = None
     by_group: DataFrame | None = None
     periods: DataFrame | None = None
+    cells: DataFrame | None = None
+
+    def counted(self) -> DataFrame:
+        """The raw table's distinct cells, kept for the stages that read them."""
+        if self.cells is None:
+            self.cells = clean.counted(self.raw).persist()
+        return self.cells
 
     def label(self) -> Any:
         return F.col(f"`{self.cleaned.date_column}`")
@@ -101,7 +108,7 @@ Stage = Callable[[Context], Result]
 def _profile(ctx: Context) -> Result:
     out = Result()
     row = clean.completeness(ctx.raw).first()
-    out.output = {"profile": [r.asDict() for r in clean.profile(ctx.raw).collect()], **row.asDict()}
+    out.output = {"profile": [r.asDict() for r in clean.profile(ctx.raw, ctx.counted()).collect()], **row.asDict()}
     out.calc("c_rows", "rows", row["records"], "count of rows")
     out.calc("c_completeness", "completeness", row["completeness"], "1 - missing cells / all cells")
     out.calc("c_duplicates", "duplicates", row["duplicates"], "rows that repeat an earlier row")
@@ -111,7 +118,7 @@ def _profile(ctx: Context) -> Result:
 
 def _contract(ctx: Context) -> Result:
     out = Result()
-    fields = [r.asDict() for r in clean.contract(ctx.raw).collect()]
+    fields = [r.asDict() for r in clean.contract(ctx.raw, ctx.counted()).collect()]
     out.output = {"fields": fields}
     out.calc("c_contract_fields", "columns_under_contract", len(fields), "one contract row per column")
     out.claim("cl_contract", "fact", f"The data has {len(fields)} columns under contract.", "c_contract_fields")
@@ -123,7 +130,7 @@ def _contract(ctx: Context) -> Result:
 
 def _quality(ctx: Context) -> Result:
     out = Result()
-    row = clean.quality(ctx.raw).first().asDict()
+    row = clean.quality(ctx.raw, seen=ctx.counted()).first().asDict()
     out.output = row
     ids = [out.calc(f"c_dq_{k}", f"{k}_ratio", row[k], "share") for k in ("completeness", "uniqueness", "validity", "consistency")]
     out.calc("c_dq_score", "quality_score", row["score"], "mean of the four, times 100")
@@ -134,7 +141,7 @@ def _quality(ctx: Context) -> Result:
 
 def _privacy(ctx: Context) -> Result:
     out = Result()
-    found = [r.asDict() for r in clean.personal_columns(ctx.raw).collect()]
+    found = [r.asDict() for r in clean.personal_columns(ctx.raw, ctx.counted()).collect()]
     out.output = {"findings": found, "personal_data": bool(found)}
     out.calc("c_pii_columns", "personal_columns", len(found), "columns matched by name or value")
     if found:
