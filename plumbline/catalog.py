@@ -188,7 +188,7 @@ add("date_order", lambda s, d: table(s, d, "orders").select(F.date_format("o_ord
 def _grain(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "orders").select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("x"))
     period = dates.parse_date(F.col("x"))
-    return rows.agg(F.count(period).alias("n"), *[F.count_distinct(dates.label(period, g)).alias(f"labels_{g}") for g in dates.GRAINS]).withColumn("grain", F.lit(dates.choose_grain(rows, period)))
+    return dates.grain_counts(rows, period).select("n", *[F.col(f"d_{g}").alias(f"labels_{g}") for g in dates.GRAINS], F.lit(dates.choose_grain(rows, period)).alias("grain"))
 
 
 add("date_grain", _grain, "SELECT *, CASE WHEN labels_day <= 36 THEN 'day' WHEN labels_month <= 36 THEN 'month' WHEN labels_quarter <= 36 THEN 'quarter' ELSE 'year' END AS grain FROM (SELECT count(*) AS n, count(DISTINCT strftime(o_orderdate, '%Y-%m-%d')) AS labels_day, count(DISTINCT strftime(o_orderdate, '%Y-%m')) AS labels_month, count(DISTINCT year(o_orderdate) * 10 + quarter(o_orderdate)) AS labels_quarter, count(DISTINCT year(o_orderdate)) AS labels_year FROM orders)")

@@ -163,12 +163,20 @@ def resolve_order(df: DataFrame, column: str, order: str = "auto") -> tuple[str,
     return "day-first", bool(seen["differs"])
 
 
+def grain_counts(df: DataFrame, period: Column) -> DataFrame:
+    """n readable values; by grain, the values that reach it (n_...) and their labels (d_...). Each value is parsed once,
+    for the count of equal periods, which are few; the labels are made of those."""
+    cells = df.groupBy(period.alias("p")).agg(F.count("*").alias("n"))
+    of = {g: label(F.col("p"), g) for g in GRAINS}
+    values = lambda c: F.coalesce(F.sum(F.when(c.isNotNull(), F.col("n"))), F.lit(0))
+    return cells.agg(values(F.col("p")).alias("n"), *[values(x).alias(f"n_{g}") for g, x in of.items()], *[F.count_distinct(x).alias(f"d_{g}") for g, x in of.items()])
+
+
 def choose_grain(df: DataFrame, period: Column, grain: str = "auto") -> str:
     """The finest grain that nine in ten readable values reach, rolled up until the labels are few."""
     if grain != "auto":
         return grain
-    labels = [label(period, g) for g in GRAINS]
-    seen = df.agg(F.count(period).alias("n"), *[F.count(x).alias(f"n_{g}") for g, x in zip(GRAINS, labels, strict=True)], *[F.count_distinct(x).alias(f"d_{g}") for g, x in zip(GRAINS, labels, strict=True)]).first()
+    seen = grain_counts(df, period).first()
     if not seen["n"]:
         return "month"
     start = next((i for i, g in enumerate(GRAINS) if seen[f"n_{g}"] >= REACHED * seen["n"]), len(GRAINS) - 1)

@@ -12,17 +12,19 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import next_labels
 from ..functions.numbers import exact, exact_sum
+from .table import running_sums, settled
 
 HORIZON, LEAST_PERIODS, LEAST_BACKTEST = 3, 4, 6
 #: Periods are uneven where the smallest has fewer records than this share of the largest.
 EVEN_SHARE = 0.75
 UPLIFTS = (0.05, 0.10, 0.20)
+
+
 def _all() -> WindowSpec:
-    """Over all rows of a frame that has one per group or period."""
+    """Over all rows of a frame that has one per period."""
     return Window.partitionBy()
 
 
-
 def _ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
@@ -75,8 +77,8 @@ def change(periods: DataFrame) -> DataFrame:
 
 def top_group(by_group: DataFrame) -> DataFrame:
     """The largest group and its share; ties go to the group seen first."""
-    whole = by_group.withColumn("all", F.sum(F.col("total").cast("decimal(28,2)")).over(_all()).cast("double"))
-    return whole.orderBy(F.desc("total"), "first_seen").limit(1).select("group", "total", F.round(_ratio(F.col("total"), F.col("all")), 4).alias("share"))
+    whole = by_group.agg(F.sum(F.col("total").cast("decimal(28,2)")).cast("double").alias("all"))
+    return by_group.orderBy(F.desc("total"), "first_seen").limit(1).join(F.broadcast(whole), how="cross").select("group", "total", F.round(_ratio(F.col("total"), F.col("all")), 4).alias("share"))
 
 
 def contributions(df: DataFrame, measure: str, by: str, label: Column) -> DataFrame:
@@ -85,8 +87,9 @@ def contributions(df: DataFrame, measure: str, by: str, label: Column) -> DataFr
     cells = rows.groupBy("group", "label").agg(F.sum("x").alias("x"))
     ends = rows.agg(F.min("label").alias("first"), F.max("label").alias("last"))
     at = cells.join(F.broadcast(ends), how="cross")  # one row of labels
-    sums = at.groupBy("group").agg(F.sum(F.when(F.col("label") == F.col("last"), F.col("x")).otherwise(0)).alias("b"), F.sum(F.when(F.col("label") == F.col("first"), F.col("x")).otherwise(0)).alias("a"))
-    moved = sums.select("group", F.round((F.col("b") - F.col("a")).cast("double"), 2).alias("change"), F.sum(F.col("b") - F.col("a")).over(_all()).cast("double").alias("_all"))
+    sums = settled(at.groupBy("group").agg(F.sum(F.when(F.col("label") == F.col("last"), F.col("x")).otherwise(0)).alias("b"), F.sum(F.when(F.col("label") == F.col("first"), F.col("x")).otherwise(0)).alias("a")))
+    whole = sums.agg(F.sum(F.col("b") - F.col("a")).cast("double").alias("_all"))
+    moved = sums.join(F.broadcast(whole), how="cross").select("group", F.round((F.col("b") - F.col("a")).cast("double"), 2).alias("change"), "_all")
     return moved.select("group", "change", F.round(_ratio(F.col("change"), F.col("_all")), 4).alias("share_of_change"), F.round("_all", 2).alias("total_change"))
 
 
@@ -115,12 +118,12 @@ def associations(df: DataFrame, measure: str, others: list[str]) -> DataFrame:
 
 
 def shares(by_group: DataFrame) -> DataFrame:
-    """group, value, share, cumulative, largest first (ties by first seen)."""
-    order = Window.orderBy(F.desc("total"), "first_seen")
-    whole = by_group.withColumn("_all", F.sum(F.col("total").cast("decimal(28,2)")).over(_all()).cast("double")).where("_all <> 0")
-    out = whole.withColumn("share", F.round(_ratio(F.col("total"), F.col("_all")), 4))
-    running = F.sum(F.col("share").cast("decimal(18,4)")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("double")
-    return out.select("group", F.col("total").alias("value"), "share", running.alias("cumulative"), F.row_number().over(order).alias("place"))
+    """group, value, share, cumulative, place, largest first (ties by first seen): any number of groups, in ranges."""
+    by_group = settled(by_group)
+    whole = by_group.agg(F.sum(F.col("total").cast("decimal(28,2)")).cast("double").alias("_all")).where("_all <> 0")
+    out = by_group.join(F.broadcast(whole), how="cross").withColumn("share", F.round(_ratio(F.col("total"), F.col("_all")), 4))
+    out = running_sums(out, F.col("share").cast("decimal(18,4)"), F.desc("total"), F.col("first_seen"), place="place", total="cumulative")
+    return out.select("group", F.col("total").alias("value"), "share", F.col("cumulative").cast("double").alias("cumulative"), F.col("place").cast("int").alias("place"))
 
 
 def concentration(shared: DataFrame) -> DataFrame:

@@ -8,9 +8,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import as_number, exact_sum, plain_number
+from ..functions.numbers import as_number, exact_sum
 from . import models
 from .detectors import Finding, run_all
+from .table import settled
 
 # Fields by name with scale and timing.
 FIELDS: dict[str, tuple[str, str]] = {
@@ -170,7 +171,7 @@ def compute(df: DataFrame, kpis: list[Kpi] | None = None) -> DataFrame:
 
 def labelled(df: DataFrame, target: str) -> DataFrame:
     """``df`` with ``label`` for rows the question is about and that were measured."""
-    n = lambda c: plain_number(F.col(f"`{c}`").cast("string"))
+    n = lambda c: as_number(df, c)
     if target == "repeat_failure":
         rows, label = df.where(F.lower(F.trim(F.col("Work_Order_Type"))) == "corrective"), n("Failure_Count") > 1
     elif target == "sla_breach":
@@ -207,14 +208,15 @@ def best_rule(train: DataFrame, test: DataFrame, candidates: list[str], order: s
 def risk(df: DataFrame, target: str, date: str = "Record_Date", order: str = "_row_id") -> dict[str, Any]:
     """A card: useful only if the model beats the better baseline by 5 per cent and reaches 0.55; the claim follows
     the verdict."""
-    rows = models.split(labelled(df, target), date if date in df.columns else None, order).withColumn("label", F.col("label").cast("string"))
+    rows = models.split(labelled(df, target), date if date in df.columns else None, order)
     usable, excluded = model_inputs(df.columns)
     defines = {"repeat_failure": {"Failure_Count", "Work_Order_Type"}, "sla_breach": {"SLA_Target_Hours", "SLA_Actual_Hours"}}[target]
     usable = [c for c in usable if resolve([c])[0][c] not in defines | {"Record_Date"}]
     numeric = [c for c in usable if FIELDS[resolve([c])[0][c]][0] in ("count", "hours", "money", "score", "fraction")]
     texts = [c for c in usable if c not in numeric]
-    for c in numeric:
-        rows = rows.withColumn(c, plain_number(F.col(f"`{c}`").cast("string")))
+    # Parsed once: every later step reads the settled inputs alone.
+    label = F.col("label").cast("string").alias("label")
+    rows = settled(rows.select(*[F.col(f"`{c}`") for c in dict.fromkeys([order, *texts]) if c not in numeric], *[as_number(rows, c).alias(c) for c in numeric], label, "held_out"))
     train, test = rows.where(~F.col("held_out")), rows.where("held_out")
     n_train, n_test, classes = train.count(), test.count(), rows.select("label").distinct().count()
     if n_train < 30 or n_test < 50 or classes < 2:

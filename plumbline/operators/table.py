@@ -40,6 +40,19 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
+def running_sums(df: DataFrame, value: Column, *order: Column, place: str, total: str) -> DataFrame:
+    """A place from 1 and the running sum of a decimal ``value``, in the order given, without one task that sorts all
+    rows: each range adds up its own rows, and one row a range carries what stands before it."""
+    dealt = settled(df.withColumn("_value", value).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    so_far = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"), F.sum("_value").alias("_sum"))
+    before = sizes.select("_part", (F.sum("_n").over(so_far) - F.col("_n")).alias("_n"), (F.sum("_sum").over(so_far) - F.col("_sum")).alias("_sum"))
+    own = Window.partitionBy("_part").orderBy(*order)
+    upto = F.sum("_value").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = dealt.withColumns({place: F.row_number().over(own), total: upto}).join(F.broadcast(before), "_part")
+    return out.withColumns({place: F.col(place) + F.col("_n"), total: F.col(total) + F.col("_sum")}).drop("_part", "_n", "_sum", "_value")
+
+
 def number_rows(df: DataFrame, *order: Column | str, name: str = ROW) -> DataFrame:
     """A consecutive number from 0 in the order of the given columns, without one task that sorts all rows.
 

@@ -202,11 +202,12 @@ def _prepare(ctx: Context) -> Result:
 
 def _segments(ctx: Context) -> Result:
     out = Result()
-    if ctx.by_group is None or not (rows := analysis.shares(ctx.by_group).orderBy("place").limit(TOP).collect()):
+    shared = None if ctx.by_group is None else analysis.shares(ctx.by_group)
+    if shared is None or not (rows := shared.orderBy("place").limit(TOP).collect()):
         out.calc("c_seg_none", "segments", 0, "no breakdown, or a total of zero")
         out.claim("cl_seg_none", "limitation", "No segment shares can be reported.", "c_seg_none")
         return out
-    c = analysis.concentration(analysis.shares(ctx.by_group)).first()
+    c = analysis.concentration(shared).first()
     out.output = {"shares": [r.asDict() for r in rows], "truncated": c["segments"] > len(rows), **c.asDict()}
     out.calc("c_seg_hhi", "concentration_index", c["hhi"], "sum of squared shares")
     out.calc("c_seg_pareto", "groups_to_80", c["pareto_count"], "groups that reach 80 per cent")

@@ -309,3 +309,21 @@ def test_merged_figures_follow_inner_joins(spark):
     m = joins.merge(AnalysisTable(rows, frozenset({"v"})), [one, two], [joins.Join((("k", "code"),), "inner", name="one"), joins.Join((("m", "code"),), name="two")])
     assert [(s["rows_in"], s["matched"], s["rows_out"], s["lookup_unused"], s["empty_keys"]) for s in m.stats] == [(24, 12, 12, 1, 0), (12, 8, 12, 0, 0)]
     assert m.table.columns == ["k", "m", "v", "city", "rate"] and m.table.df.count() == 12
+
+
+def test_shares_of_many_groups_match_a_plain_running_sum(spark):
+    """Ranges of groups are summed apart and joined: ties, places and the cumulative share are those of one sorted list."""
+    totals = [(f"g{i}", float((i * 37) % 101), i) for i in range(400)]
+    df = spark.createDataFrame(totals, "group string, total double, first_seen long")
+    whole = sum(t for _, t, _ in totals)
+    want, upto = [], 0
+    for place, (g, t, _) in enumerate(sorted(totals, key=lambda r: (-r[1], r[2])), 1):
+        share = round(t / whole, 4)
+        upto += round(share * 10_000)
+        want.append((g, t, share, upto / 10_000, place))
+    got = analysis.shares(df.repartition(7)).orderBy("place").collect()
+    assert [tuple(r) for r in got] == want
+    c = analysis.concentration(analysis.shares(df)).first()
+    assert c["segments"] == 400 and c["pareto_count"] == sum(r[3] < 0.8 for r in want) + 1
+    assert analysis.shares(df.where("total = 0")).count() == 0
+    assert analysis.shares(df.limit(0)).count() == 0
