@@ -6,7 +6,10 @@ inventory. ``holed`` plants blanks into ``orders`` alike on both sides, so null
 
 from __future__ import annotations
 
+import io
+import json
 import uuid
+import zipfile
 from collections.abc import Callable
 from functools import reduce
 
@@ -631,7 +634,6 @@ add("x_windows", lambda s, d: live.windowed(table(s, d, "events"), "ts", "value"
 # ---- decisions that the driver takes from small figures
 
 
-
 def _suggested(s: SparkSession, d: str) -> DataFrame:
     mapping, why = clean.suggest(messy(s, d))
     return s.createDataFrame([(c, r, why[c]) for c, r in mapping.roles.items()], "name string, role string, why string")
@@ -641,3 +643,202 @@ add("mp_suggest", _suggested)
 add("kp_avail", lambda s, d: s.createDataFrame([(k, ",".join(v)) for k, v in maintenance.computable(_kpi_rows(s, d).columns[:8], maintenance.register())[1].items()], "kpi string, missing string"))
 add("jn_preview", lambda s, d: joins.preview(joins.merge(holed(s, d), [_customers(s, d)], [joins.Join((("cust", "code"),), name="customers.csv")])))
 add("ex_detect", lambda s, d: s.createDataFrame([(experiments.find_column(_EVENTS(s, d).withColumnRenamed("arm", "variant"), ["variant"]) or ("none",))[:1]], "column string"))
+
+
+# ---- files of every kind, snapshots and exports
+
+
+def _put(s: SparkSession, name: str, body: bytes) -> str:
+    """A small file in the shared folder, written through the session's own file systems."""
+    path = f"{store.work_folder(s)}/{uuid.uuid4().hex}{name}"
+    at = s._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(s._jsc.hadoopConfiguration()).create(at)
+    try:
+        stream.write(body)
+    finally:
+        stream.close()
+    return path
+
+
+def _nations(s: SparkSession, d: str) -> list[tuple[str, str]]:
+    """25 rows by definition."""
+    return [(str(r["n_nationkey"]), r["n_name"]) for r in table(s, d, "nation").orderBy("n_nationkey").collect()]
+
+
+def _told(s: SparkSession, d: str, named: bool) -> DataFrame:
+    """One table in four formats, told apart by name or by content alone."""
+    rows, parts = table(s, d, "nation").selectExpr("CAST(n_nationkey AS STRING) AS key", "n_name AS name").coalesce(1), []
+    for fmt in ("csv", "jsonl", "parquet"):
+        path = f"{store.work_folder(s)}/{uuid.uuid4().hex}" + f".{fmt}" * named
+        rows.write.format("json" if fmt == "jsonl" else fmt).options(**({"header": True} if fmt == "csv" else {})).save(path)
+        parts.append(files.read_table(s, path))
+    parts.append(files.read_table(s, _put(s, ".json" * named, json.dumps([{"key": k, "name": n} for k, n in _nations(s, d)]).encode())))
+    return reduce(DataFrame.unionByName, [x.df.select(F.lit(x.format).alias("format"), "key", "name") for x in parts])
+
+
+_TOLD = "SELECT f AS format, CAST(n_nationkey AS VARCHAR) AS key, n_name AS name FROM nation, (VALUES ('csv'), ('jsonl'), ('parquet'), ('json')) v(f)"
+add("src_dispatch", lambda s, d: _told(s, d, True), _TOLD)
+add("src_detect", lambda s, d: _told(s, d, False), _TOLD)
+
+
+def _csv_text(head: str, line: Callable[[str, str], str], code: str = "utf-8") -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        body = head + "\r\n" + "".join(line(k, n) + "\r\n" for k, n in _nations(s, d))
+        return files.read_table(s, _put(s, ".csv", body.encode(code))).df.withColumnRenamed(ROW, "place")
+
+    return run
+
+
+_AS_READ = "SELECT CAST(n_nationkey AS VARCHAR) AS key, {0}, row_number() OVER (ORDER BY n_nationkey) - 1 AS place FROM nation"
+add("src_decode", _csv_text("key,name", lambda k, n: f"{k},{n} \u00e9\u0661", "utf-16"), _AS_READ.format("n_name || ' \u00e9\u0661' AS name"))
+add("src_sniff", _csv_text("key;name;mark", lambda k, n: f"{k};{n}, {k};x"), _AS_READ.format("n_name || ', ' || n_nationkey AS name, 'x' AS mark"))
+add("src_header", _csv_text(" key ,,name,name", lambda k, n: f"{k},{n[:1]},{n}" + f",{k}" * (int(k) % 2)), _AS_READ.format("n_name[1:1] AS column_2, n_name AS name, CASE WHEN n_nationkey % 2 = 1 THEN CAST(n_nationkey AS VARCHAR) ELSE '' END AS name_2"))
+# A workbook's parts by the public format; style 1 shows a date.
+_BOOK = {
+    "xl/workbook.xml": '<workbook xmlns="{0}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Nations" sheetId="1" r:id="r1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/one.xml"/></Relationships>',
+    "xl/styles.xml": '<styleSheet xmlns="{0}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>',
+    "xl/worksheets/one.xml": '<worksheet xmlns="{0}"><sheetData>{1}</sheetData></worksheet>',
+}
+
+
+def _workbook(s: SparkSession, d: str) -> DataFrame:
+    text_cell = lambda x: f'<c t="inlineStr"><is><t>{x}</t></is></c>'
+    rows = ["".join(map(text_cell, ("key", "name", "day")))]
+    rows += [f'<c><v>{k}</v></c>{text_cell(n)}<c s="1"><v>{10 + 50 * int(k)}</v></c>' for k, n in _nations(s, d)]
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w") as book:
+        for name, part in _BOOK.items():
+            book.writestr(name, part.format("http://schemas.openxmlformats.org/spreadsheetml/2006/main", "".join(f"<row>{r}</row>" for r in rows)))
+    return files.read_table(s, _put(s, ".xlsx", body.getvalue())).df.withColumnRenamed(ROW, "place")
+
+
+add("src_xlsx", lambda s, d: _workbook(s, d).drop("day"), _AS_READ.format("n_name AS name"))
+add("src_xlsx_dates", lambda s, d: _workbook(s, d).select("key", "day"), "SELECT CAST(n_nationkey AS VARCHAR) AS key, CASE WHEN n_nationkey = 1 THEN '1900-02-29' ELSE strftime(DATE '1899-12-30' + CAST(10 + 50 * n_nationkey + CASE WHEN n_nationkey < 1 THEN 1 ELSE 0 END AS INT), '%Y-%m-%d') END AS day FROM nation")
+
+
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    """The same rows twice, the second time dealt in another way: one snapshot, written once."""
+    rows, root = number_rows(table(s, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey"), _new_file(s, "snapshots")
+    kept = [store.snapshot(x, root) for x in (rows, rows.repartition(7, "o_orderpriority"), rows.where("o_orderkey > 1"))]
+    return reduce(DataFrame.unionByName, [s.read.parquet(path).agg(F.lit(i).alias("attempt"), F.lit(new).alias("written"), F.count("*").alias("n")) for i, (path, new) in enumerate(kept)])
+
+
+add("src_store", _stored, "SELECT i AS attempt, i <> 1 AS written, count(*) AS n FROM orders, (VALUES (0), (1), (2)) v(i) WHERE i < 2 OR o_orderkey > 1 GROUP BY i")
+
+
+def _canonical(s: SparkSession, d: str) -> DataFrame:
+    path, _ = store.snapshot(files.read_table(s, f"{d}/customer.parquet").df.drop("c_comment"), _new_file(s, "snapshots"))
+    return s.read.parquet(path).select("c_custkey", "c_name", "c_mktsegment")
+
+
+add("src_canonical", _canonical, "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer")
+add("src_sample", lambda s, d: store.sample_dataset(s).drop(ROW), "SELECT '2025-' || lpad(CAST(m + 1 AS VARCHAR), 2, '0') AS month, CASE r WHEN 0 THEN 'North' ELSE 'South' END AS region, CASE c WHEN 0 THEN 'Hardware' WHEN 1 THEN 'Software' ELSE 'Services' END AS category, CAST((40 + 3 * m + 10 * r + 5 * c) * (12 + 4 * c) AS VARCHAR) AS revenue, CAST(40 + 3 * m + 10 * r + 5 * c AS VARCHAR) AS units FROM range(12) a(m), range(2) b(r), range(3) e(c)")
+
+
+def _export(s: SparkSession, d: str) -> DataFrame:
+    path = _new_file(s, "export")
+    store.write_aggregates({"groups": _GROUPS(s, d).select("group", "n")}, path)
+    return s.read.schema("`group` string, n long").option("header", True).csv(f"{path}/groups")
+
+
+add("sink_export", _export, 'SELECT o_orderpriority AS "group", count(*) AS n FROM orders GROUP BY 1')
+
+
+def _names(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "supplier").select("s_suppkey", "s_name").collect()  # the catalog of suppliers stands for saved runs
+    return s.createDataFrame([(r["s_suppkey"], store.download_name(r["s_name"] + " & more", str(r["s_suppkey"]))) for r in rows], "s_suppkey long, name string")
+
+
+add("sink_name", _names, "SELECT s_suppkey, trim(regexp_replace(lower(s_name || ' & more'), '[^a-z0-9]+', '-', 'g'), '-')[1:48] || '-' || s_suppkey || '-cleaned.csv' AS name FROM supplier")
+
+# ---- joins as a stage, names on a clash, refusals, inputs and charts
+
+
+def _clash(s: SparkSession, d: str) -> DataFrame:
+    look = table(s, d, "customer").selectExpr("CAST(c_custkey AS STRING) AS code", "c_mktsegment AS status", "c_acctbal AS price")
+    merged = joins.merge(holed(s, d), [joins.Lookup(look, frozenset({"price"}))], [joins.Join((("cust", "code"),), name="Our customers.xlsx")])
+    return merged.table.df.select("o_orderkey", "status", "price", "`our_customers.status`", "`our_customers.price`")
+
+
+add("jn_rename", _clash, WITH + """SELECT o_orderkey, status, price, coalesce(c_mktsegment, '') AS "our_customers.status", c_acctbal AS "our_customers.price" FROM t LEFT JOIN customer ON cust = c_custkey""")
+_SOLD = "SELECT CAST(o_custkey AS {0}) AS customer, o_orderpriority AS priority, CAST(o_totalprice AS {0}) AS amount FROM orders"
+
+
+def _sold(s: SparkSession, d: str, *lookups: tuple[DataFrame, joins.Join, clean.Mapping]) -> stages.Context:
+    """A run up to its cleaned table."""
+    raw = table(s, d, "orders").selectExpr(*_select_list(_SOLD.format("STRING")[len("SELECT ") : -len(" FROM orders")]), f"o_orderkey AS {ROW}")
+    ctx = stages.Context(raw, clean.Mapping({"customer": "dimension", "priority": "dimension", "amount": "measure"}, "amount", "priority"), lookups=list(lookups))
+    for name in ("cleaner", *["merge"] * bool(lookups), "governance"):
+        ctx.results[name] = stages.STAGES[name](ctx)
+    return ctx
+
+
+def _join_stage(s: SparkSession, d: str) -> DataFrame:
+    look = table(s, d, "customer").selectExpr("CAST(CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS STRING) AS code", "c_mktsegment AS segment", f"c_custkey AS {ROW}")
+    found = _sold(s, d, (look, joins.Join((("customer", "code"),), "inner", name="c.csv"), clean.Mapping({"code": "dimension", "segment": "dimension"}))).results["merge"]
+    return s.createDataFrame([(c.name, float(c.value)) for c in found.calculations] + [(c.name, float(c.passed)) for c in found.checks], "name string, value double")
+
+
+add("jn_stage", _join_stage, f"WITH r AS (SELECT DISTINCT * FROM ({_SOLD.format('VARCHAR')})), j AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (WHERE customer IN (SELECT code FROM ({_LOOK})))::DOUBLE AS hit FROM r) SELECT 'rows_before_c' AS name, n AS value FROM j UNION ALL SELECT 'rows_matched_c', hit FROM j UNION ALL SELECT 'rows_after_c', hit FROM j UNION ALL SELECT 'coverage_c', round(hit / n, 4) FROM j UNION ALL SELECT 'join_c_adds_no_row', 1.0 FROM j")
+
+
+def _refused(s: SparkSession, d: str) -> DataFrame:
+    ctx = _sold(s, d)
+    return s.createDataFrame([(r["lift"], r["per_arm"]) for r in stages.STAGES["experiment"](ctx).output["sizing"]], "lift double, per_arm long")
+
+
+add("ex_refuse", _refused, f"WITH r AS (SELECT DISTINCT * FROM ({_SOLD.format('VARCHAR')})) SELECT l AS lift, CAST(ceil({_Z} * var_samp(CAST(amount AS DOUBLE)) / pow(abs(avg(CAST(amount AS DOUBLE))) * l, 2)) AS BIGINT) AS per_arm FROM r, (VALUES (0.05::DOUBLE), (0.10::DOUBLE), (0.20::DOUBLE)) v(l) GROUP BY l")
+
+
+def _problems(s: SparkSession, d: str) -> DataFrame:
+    wrong = clean.Mapping({"priority": "dimension", "amount": "measure", "status": "measure", "ghost": "dimension"}, "status", "amount")
+    try:
+        clean.validate(messy(s, d), wrong)
+    except clean.MappingError as e:
+        return s.createDataFrame(e.problems, "field string, column string, message string")
+    raise AssertionError("a wrong mapping was accepted")
+
+
+add("mp_validate", _problems, _MSQL + "SELECT 'roles' AS field, 'ghost' AS column, '“ghost” is not a column of this dataset.' AS message UNION ALL SELECT 'dimension', 'amount', 'The breakdown must be a column mapped as a dimension.' UNION ALL SELECT 'roles', 'status', '“status” cannot be a measure: 0 of ' || format('{:,}', count(*) FILTER (WHERE status <> '')) || ' filled cells are numbers.' FROM m")
+
+
+def _inputs(s: SparkSession, d: str) -> DataFrame:
+    rows = _LINE(s, d)
+    found = models.Inputs.of(rows, ["l_quantity"], ["l_returnflag", "l_shipdate", "l_linestatus"])
+    sums = rows.agg(*[F.sum(c.cast("decimal(28,2)")).cast("double").alias(f"c{i}") for i, c in enumerate(found.columns)])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(n).alias("input"), F.col(f"c{i}").alias("total")) for i, n in enumerate(found.names)])))
+
+
+_LEVELS = "SELECT '{0} = ' || v, n::DOUBLE FROM (SELECT {0} AS v, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(l_orderkey * 10 + l_linenumber)) AS i FROM lineitem GROUP BY 1) WHERE i > 1"
+add("md_inputs", _inputs, "SELECT 'l_quantity' AS input, sum(CAST(l_quantity AS DECIMAL(28,2)))::DOUBLE AS total FROM lineitem UNION ALL " + " UNION ALL ".join(_LEVELS.format(c) for c in ("l_returnflag", "l_linestatus")))
+
+
+def _charts(s: SparkSession, d: str) -> DataFrame:
+    drawn = analysis.charts(_GROUPS(s, d), _TREND(s, d))
+    return s.createDataFrame([(k, x, float(y)) for k in ("bar", "line") for x, y in drawn[k]], "chart string, label string, value double").withColumn("ahead", F.expr(f"chart = 'line' and label >= '{drawn['forecast_from']}'"))
+
+
+add("vz_charts", _charts, _F.replace("WITH ", f"WITH {_G}, ", 1) + "SELECT 'bar' AS chart, \"group\" AS label, total AS value, false AS ahead FROM g UNION ALL SELECT 'line', label, total, false FROM x UNION ALL SELECT 'line', strftime((SELECT date_trunc('month', max(o_orderdate)) FROM orders) + to_months(CAST(k AS INT)), '%Y-%m'), round(intercept + slope * (n + k - 1), 2), true FROM f, range(1, 4) r(k)")
+
+
+def _refreshed(s: SparkSession, d: str) -> DataFrame:
+    """A source read twice without a change: the second reading starts nothing."""
+    root, rows = _new_file(s, "live"), []
+    feed = live.SnapshotStream(f"{root}/snapshots", lambda df: rows.append(df.count()))
+    for i in range(2):
+        stream = live.table_stream(s, f"{d}/events.parque[t]", table(s, d, "events").schema)
+        feed.start(stream, f"{root}/progress{i}").awaitTermination()
+    return s.createDataFrame([(i, x.changed) for i, x in enumerate(feed.log)], "reading int, changed boolean").withColumn("n", F.lit(sum(rows)).cast("long"))
+
+
+add("lv_snapshot", _refreshed, "SELECT CAST(i AS INT) AS reading, i = 0 AS changed, count(*) AS n FROM events, range(2) r(i) GROUP BY i")
+
+
+def _resumed(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "events")
+    seen = live.cursor_now(rows.where("ts < TIMESTAMP_NTZ '2024-01-10 00:00:00'"), "ts")
+    return live.poll(rows, seen, "ts", "event_type", "event_id").select("event_id")
+
+
+add("lv_resume", _resumed, "SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events WHERE ts < TIMESTAMP '2024-01-10 00:00:00') ORDER BY ts, event_type, CAST(event_id AS VARCHAR) LIMIT 100")

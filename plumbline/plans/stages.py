@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import analysis, clean, experiments, governance
+from ..operators import analysis, clean, experiments, governance, joins
 from ..operators.table import ROW, AnalysisTable
 
 CLAIM_TYPES = ("calculation", "fact", "finding", "limitation", "warning", "recommendation", "assumption", "forecast")
@@ -29,6 +29,8 @@ CUSTOM_MOST = {"claims": 50, "calculations": 200, "checks": 50, "text": 1000}
 TOP = 1000
 LAST = ("lineage", "validator", "reporter", "publish")
 DEFAULT_AFTER = "sensitivity"
+#: The kinds of analysis that every run reports.
+TYPES = ("descriptive", "diagnostic", "predictive", "prescriptive")
 
 
 @dataclass
@@ -77,12 +79,16 @@ class Result:
 
 @dataclass
 class Context:
-    """One run: the raw table, its mapping, glossary and options; results by stage; the shared analysis table."""
+    """One run: the raw table, its mapping, glossary and options; results by stage; the shared analysis table.
+
+    ``lookups`` are raw tables, each with how it is joined and its mapping or None; ``join_breakdown`` may name a column that one brings."""
 
     raw: DataFrame
     mapping: clean.Mapping | None = None
     glossary: governance.Glossary = field(default_factory=governance.Glossary)
     goal: str = ""
+    lookups: list[tuple[DataFrame, joins.Join, clean.Mapping | None]] = field(default_factory=list)
+    join_breakdown: str | None = None
     results: dict[str, Result] = field(default_factory=dict)
     cleaned: clean.Cleaned | None = None
     table: AnalysisTable | None = None
@@ -164,6 +170,36 @@ def _clean(ctx: Context) -> Result:
     return out
 
 
+def _join(ctx: Context) -> Result:
+    """Lookups beside each row: how many rows found a match is a figure, and no row is ever added."""
+    out = Result()
+    c = ctx.cleaned
+    try:
+        merged = joins.merge(ctx.table, [joins.clean_lookup(raw, mapping) for raw, _, mapping in ctx.lookups], [j for _, j, _ in ctx.lookups], c.date_column, c.grain, c.order or "day-first")
+        joins.check_breakdown(merged, ctx.join_breakdown)
+    except joins.JoinError as e:
+        return Result("failed", str(e))
+    private = [(j.name, r["name"]) for raw, j, _ in ctx.lookups for r in clean.personal_columns(raw).collect()]
+    for i, (s, (_, j, _)) in enumerate(zip(merged.stats, ctx.lookups, strict=True)):
+        keys, who = ", ".join(f"{a} = {b}" for a, b in j.keys), j.name or s["alias"]
+        kept = "every row stays" if j.how == "left" else "rows with a match stay"
+        out.calc(f"c_join_{i}_in", f"rows_before_{s['alias']}", s["rows_in"], "rows before this join")
+        out.calc(f"c_join_{i}_matched", f"rows_matched_{s['alias']}", s["matched"], f"rows whose {keys} is in the lookup")
+        out.calc(f"c_join_{i}_out", f"rows_after_{s['alias']}", s["rows_out"], kept)
+        out.calc(f"c_join_{i}_coverage", f"coverage_{s['alias']}", s["coverage"], "matched rows / rows before this join")
+        told = f"{s['matched']} of {s['rows_in']} rows found a match in {who}"
+        out.claim(f"cl_join_{i}", "limitation" if s["unmatched"] else "fact", f"{told}; the others hold nothing in its columns." if s["unmatched"] else f"{told}.", f"c_join_{i}_in", f"c_join_{i}_matched", f"c_join_{i}_coverage")
+        if j.how == "inner" and s["unmatched"]:
+            out.claim(f"cl_join_{i}_left_out", "limitation", f"{s['unmatched']} rows without a match in {who} were left out, so totals are of {s['rows_out']} rows.", f"c_join_{i}_out", f"c_join_{i}_matched")
+        out.check(f"join_{s['alias']}_adds_no_row", s["rows_out"] == (s["matched"] if j.how == "inner" else s["rows_in"]))
+    if private:
+        out.calc("c_join_private", "personal_columns_joined", len(private), "columns of lookups matched by name or value")
+        out.claim("cl_join_private", "warning", "These joined columns look like personal data: " + ", ".join(f"{c} of {n}" if n else c for n, c in private) + ".", "c_join_private")
+    ctx.table = merged.table.with_df(merged.table.df.persist())
+    out.output = {"joins": merged.stats, "rows_after": ctx.table.df.count(), "personal_columns": [c for _, c in private]}
+    return out
+
+
 def _govern(ctx: Context) -> Result:
     out = Result()
     numeric = [c for c in ctx.table.columns if c in ctx.table.numeric]
@@ -172,11 +208,12 @@ def _govern(ctx: Context) -> Result:
         chosen, why = ctx.mapping.measure, "the mapping"
     ctx.measure = chosen
     texts = [c for c in ctx.table.columns if c not in ctx.table.numeric and c != ctx.cleaned.date_column]
-    ctx.breakdown = (ctx.mapping.dimension if ctx.mapping else None) or next(iter(texts), None)
+    ctx.breakdown = ctx.join_breakdown or (ctx.mapping.dimension if ctx.mapping else None) or next(iter(texts), None)
     out.output = {"measure": chosen, "source": why, "certified": bool(metric and metric.certified), "owner": metric.owner if metric else None}
     out.calc("c_measure", "measure", chosen, why)
-    kind = "fact" if metric and metric.certified else "assumption"
-    out.claim("cl_measure", kind, f"The analysis is about {chosen}, chosen by {why}.", "c_measure")
+    out.claim("cl_measure", "fact", f"The analysis is about {chosen}, chosen by {why}.", "c_measure")
+    if not out.output["certified"]:
+        out.claim("cl_measure_uncertified", "limitation", f"{chosen} has no certified definition.", "c_measure")
     if metric and metric.formula and (row := governance.conformance(ctx.table.df, chosen, metric.formula)) is not None:
         r = row.first()
         out.output["conformance"] = r.asDict()
@@ -242,15 +279,23 @@ def _describe(ctx: Context) -> Result:
 def _diagnose(ctx: Context) -> Result:
     out = Result()
     if ctx.by_group is not None and ctx.periods is not None:
-        rows = analysis.contributions(ctx.table.df, f"`{ctx.measure}`", f"`{ctx.breakdown}`", ctx.label()).orderBy(F.abs("change").desc(), "group").limit(TOP + 1).collect()
+        moved = analysis.contributions(ctx.table.df, f"`{ctx.measure}`", f"`{ctx.breakdown}`", ctx.label())
+        rows = moved.orderBy(F.abs("change").desc(), "group").limit(TOP + 1).collect()
         out.output["contributions"] = [r.asDict() for r in rows[:TOP]]
         out.output["contributions_truncated"] = len(rows) > TOP
         if rows:
             out.calc("c_totalchange", "total_change", rows[0]["total_change"], "last minus first period")
+            parts, n = moved.agg(F.sum("change"), F.count("*")).first()
+            ends = ctx.periods.agg(F.max_by("total", "label") - F.min_by("total", "label")).first()[0]
+            # Each part is rounded to cents.
+            out.check("change_reconciles", abs(parts - ends) < 0.01 * max(1, n))
             out.claim("cl_contrib", "finding", f"{rows[0]['group']} moved most, by {rows[0]['change']:,.2f}; this is where the change is, not why.", "c_totalchange")
     others = [c for c in ctx.table.columns if c in ctx.table.numeric and c != ctx.measure]
     if others:
         out.output["associations"] = [r.asDict() for r in analysis.associations(ctx.table.df.select(*[F.col(f"`{c}`").alias(c) for c in [ctx.measure, *others[:4]]]), ctx.measure, others).collect()]
+    if not out.output:
+        out.calc("c_diag_none", "explanations", 0, "no groups over time and no second measure")
+        out.claim("cl_diag_none", "limitation", "Nothing in the table can explain a change.", "c_diag_none")
     return out
 
 
@@ -289,6 +334,8 @@ def _predict(ctx: Context) -> Result:
         out.calc(f"c_forecast_{r['step'] - 1}", f"forecast_{r['label']}", r["value"], "least-squares line continued")
     measured = f"a past test was off by {error['error']:.1%}" if error else "its accuracy could not be measured"
     out.claim("cl_forecast", "forecast", f"{ctx.measure} would be {rows[0]['value']:,.2f} in {rows[0]['label']}; {measured}.", "c_forecast_0")
+    if not error:
+        out.claim("cl_forecast_untested", "limitation", "The forecast was not tested on past periods.", "c_forecast_0")
     return out
 
 
@@ -337,7 +384,7 @@ def _visuals(ctx: Context) -> Result:
     return Result(output=analysis.charts(ctx.by_group, ctx.periods) if ctx.by_group is not None and ctx.periods is not None else {})
 
 
-STAGES: dict[str, Stage] = {"contract": _contract, "profiler": _profile, "quality": _quality, "privacy": _privacy, "cleaner": _clean, "governance": _govern, "preparer": _prepare, "segments": _segments, "descriptive": _describe, "diagnostic": _diagnose, "experiment": _experiment, "predictive": _predict, "anomaly": _anomaly, "prescriptive": _options, "sensitivity": _sensitivity, "visuals": _visuals}
+STAGES: dict[str, Stage] = {"contract": _contract, "profiler": _profile, "quality": _quality, "privacy": _privacy, "cleaner": _clean, "merge": _join, "governance": _govern, "preparer": _prepare, "segments": _segments, "descriptive": _describe, "diagnostic": _diagnose, "experiment": _experiment, "predictive": _predict, "anomaly": _anomaly, "prescriptive": _options, "sensitivity": _sensitivity, "visuals": _visuals}
 
 
 # ---- custom stages
@@ -440,8 +487,22 @@ def validate(ctx: Context) -> Result:
     out.check("recommendation_has_assumption", "recommendation" not in kinds or "assumption" in kinds)
     low = [c.id for c in claims if text.plain_jargon(c.text)]
     out.check("no_jargon", not low, ", ".join(low))
-    personal = ctx.results.get("privacy", Result()).output.get("personal_data")
-    out.check("personal_data_surfaced", not personal or any(c.id == "cl_privacy" for c in claims))
+    output = lambda name: ctx.results.get(name, Result()).output
+    said = {c.id for c in claims}
+    personal = output("privacy").get("personal_data") or output("merge").get("personal_columns")
+    out.check("personal_data_surfaced", not personal or bool(said & {"cl_privacy", "cl_join_private"}))
+    out.check("forecast_measured_or_declared", "forecast" not in kinds or output("predictive").get("backtest_error") is not None or "cl_forecast_untested" in said)
+    out.check("measure_certified_or_declared", bool(output("governance").get("certified")) or "cl_measure_uncertified" in said)
+    out.check("every_type_reported", not (silent := [t for t in TYPES if not ctx.results.get(t, Result()).claims and not output(t)]), ", ".join(silent))
+    # Counted again from the records, apart from the join's own check.
+    now, broken = output("cleaner").get("rows_after"), []
+    for s in output("merge").get("joins", []):
+        if s["rows_in"] != now or s["rows_out"] != (s["matched"] if s["how"] == "inner" else now):
+            broken.append(s["alias"])
+        now = s["rows_out"]
+    if "rows_after" in output("merge") and output("merge")["rows_after"] != now:
+        broken.append("the merged table")
+    out.check("joins_keep_rows", not broken, ", ".join(broken))
     out.output = {"passed": all(c.passed for c in out.checks), "claim_count": len(claims), **traced}
     if not out.output["passed"]:
         out.status = "failed"
@@ -507,6 +568,8 @@ def run(ctx: Context, custom: list[CustomStage] | None = None) -> Context:
         after = getattr(stage, "after", DEFAULT_AFTER)
         waiting.setdefault(after if list(STAGES).index(after) >= list(STAGES).index("governance") else "governance", []).append(stage)
     for name, stage in STAGES.items():
+        if name == "merge" and not ctx.lookups:
+            continue
         ctx.results[name] = r = stage(ctx)
         if r.status == "failed":
             return ctx

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import clean
+from plumbline.operators import clean, joins
 from plumbline.operators.table import ROW
 from plumbline.plans import extensions, stages
 from plumbline.sources import files, store
@@ -125,6 +125,34 @@ def test_whole_run(spark):
     assert stages.dangling(claims, calcs).count() == 0
 
 
+def test_run_with_lookups(spark):
+    offices = spark.createDataFrame([("North", "Ann Lee", "a@mail.example", 0), ("West", "Bob Ray", "b@mail.example", 1)], f"place string, lead string, contact string, {ROW} long")
+    join = joins.Join((("region", "place"),), name="offices.csv")
+    ctx = stages.run(stages.Context(store.sample_dataset(spark), lookups=[(offices, join, None)], join_breakdown="lead"))
+    assert ctx.results["validator"].output["passed"], ctx.results["validator"].checks
+    assert ctx.breakdown == "lead" and {"cl_join_0", "cl_join_private"} <= {c.id for c in ctx.results["merge"].claims}
+    assert [(c.name, c.value) for c in ctx.results["merge"].calculations][:4] == [("rows_before_offices", 72), ("rows_matched_offices", 36), ("rows_after_offices", 72), ("coverage_offices", 0.5)]
+    ctx.results["merge"].output["joins"][0]["rows_out"] = 71
+    assert [c.name for c in stages.validate(ctx).checks if not c.passed] == ["joins_keep_rows"]
+
+    half = stages.run(stages.Context(store.sample_dataset(spark), lookups=[(offices, joins.Join(join.keys, "inner", name="offices.csv"), None)]))
+    assert half.results["merge"].output["rows_after"] == 36 and "cl_join_0_left_out" in {c.id for c in half.results["merge"].claims}
+    twice = stages.run(stages.Context(store.sample_dataset(spark), lookups=[(offices.unionByName(offices.selectExpr("place", "'C' AS lead", "contact", f"{ROW} + 2 AS {ROW}")), join, None)]))
+    assert twice.results["merge"].status == "failed" and "repeats its key" in twice.results["merge"].summary
+
+
+def test_the_audit_wants_what_is_not_certain_said(spark):
+    ctx = stages.run(stages.Context(store.sample_dataset(spark)))
+    for stage, claim, check in (("governance", "cl_measure_uncertified", "measure_certified_or_declared"), ("descriptive", None, "every_type_reported")):
+        kept = ctx.results[stage].claims, ctx.results[stage].output
+        ctx.results[stage].claims = [c for c in kept[0] if claim and c.id != claim]
+        ctx.results[stage].output = kept[1] if claim else {}
+        assert check in [c.name for c in stages.validate(ctx).checks if not c.passed]
+        ctx.results[stage].claims, ctx.results[stage].output = kept
+    ctx.results["predictive"].output["backtest_error"] = None
+    assert [c.name for c in stages.validate(ctx).checks if not c.passed] == ["forecast_measured_or_declared"]
+
+
 class Attainment:
     role = "attainment"
 
