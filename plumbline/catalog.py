@@ -745,12 +745,7 @@ def _export(s: SparkSession, d: str) -> DataFrame:
 add("sink_export", _export, 'SELECT o_orderpriority AS "group", count(*) AS n FROM orders GROUP BY 1')
 
 
-def _names(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "supplier").select("s_suppkey", "s_name").collect()  # the catalog of suppliers stands for saved runs
-    return s.createDataFrame([(r["s_suppkey"], store.download_name(r["s_name"] + " & more", str(r["s_suppkey"]))) for r in rows], "s_suppkey long, name string")
-
-
-add("sink_name", _names, "SELECT s_suppkey, trim(regexp_replace(lower(s_name || ' & more'), '[^a-z0-9]+', '-', 'g'), '-')[1:48] || '-' || s_suppkey || '-cleaned.csv' AS name FROM supplier")
+add("sink_name", lambda s, d: s.createDataFrame([(k, store.download_name(f"{n} & more", k)) for k, n in _nations(s, d)], "key string, name string"), "SELECT CAST(n_nationkey AS VARCHAR) AS key, trim(regexp_replace(lower(n_name || ' & more'), '[^a-z0-9]+', '-', 'g'), '-')[1:48] || '-' || n_nationkey || '-cleaned.csv' AS name FROM nation")
 
 # ---- joins as a stage, names on a clash, refusals, inputs and charts
 
