@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, mixing, neardup, quality, sharding, suffix_dedup, token_output, url_filter
+from . import conversations, decontaminate, langid, line_dedup, mixing, neardup, quality, secret_scan, sharding, suffix_dedup, token_output, url_filter, vector_codes
 
 #: Bytes of text in a shard.
 SHARD_BYTES = 1 << 20
@@ -76,8 +76,29 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(table(spark, sf_dir, "documents"), neardup.Settings(words=4))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    coded = vector_codes.error_by(coded.select("vec_id", "label", "code", "error"), "label")
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.fingerprint(books)).alias("codebooks_sha256"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [secret_scan.count_of(F.col("secrets"), kind).alias(f"n_{kind}") for kind in (*secret_scan.PLAIN, "key", "jwt")]
+    base = F.sha2(secret_scan.listed(F.col("secrets"), secret_scan.PLAIN), 256).alias("base_sha256")
+    return found.select("doc_id", *counts[:3], base, secret_scan.listed(F.col("secrets")).alias("spans"), *counts[3:])
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    harmed = conversations.damage(table(spark, sf_dir, "conversations"))
+    judged = conversations.judge(harmed)
+    repaired = conversations.digests(harmed, judged).withColumnRenamed("conv_id", "own_id")
+    both = judged.join(repaired, judged["conv_id"].eqNullSafe(repaired["own_id"]), "left")
+    return both.select("conv_id", *conversations.RESULT, "repaired_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_sharding, op3_decontamination, op4_mixing, op5_suffix_dedup, op6_line_dedup, op6_passage_dedup, op7_url_filter, op8_token_output, op9_quality_rules, op10_minhash_near_dedup)
+    f.__name__: f for f in (op1_language_id, op2_sharding, op3_decontamination, op4_mixing, op5_suffix_dedup, op6_line_dedup, op6_passage_dedup, op7_url_filter, op8_token_output, op9_quality_rules, op10_minhash_near_dedup, op11_vector_codes, op12_secret_scan, op13_conversation_repair)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -86,4 +107,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_mixing": mixing.ORACLE,
     "op6_line_dedup": line_dedup.oracle(MIN_LINES),
     "op7_url_filter": url_filter.ORACLE,
+    "op11_vector_codes": vector_codes.oracle(vector_codes.Settings()),
 }
