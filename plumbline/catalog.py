@@ -16,7 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import dates, numbers, text
+from . import catalog_tables
+from .functions import claims, dates, numbers, text
 from .operators import analysis, clean, detectors, experiments, governance, joins, maintenance, models
 from .operators import query as q
 from .operators.table import ROW, AnalysisTable, number_rows
@@ -221,7 +222,15 @@ add(
     lambda s, d: table(s, d, "documents").select("doc_id", F.size(text.jargon(F.concat(F.coalesce("text", F.lit("")), F.expr(_SAY)))).alias("n")),
     f"WITH t AS (SELECT doc_id, coalesce(text, '') || {_SAY} AS t FROM documents), f AS (SELECT doc_id, t, list_filter({_JARGON_SQL}, lambda j: contains(lower(t), j)) AS found, list_concat(regexp_extract_all({_DOUBLED}, '{_WORDS}'), regexp_extract_all(t, '{_AUTHORS}')) AS words FROM t) SELECT doc_id, CAST(len(found) + len(list_filter(words, lambda w: NOT list_bool_or(list_transform(list_append(found, chr(0)), lambda j: starts_with(regexp_replace(lower(w), '^[^\\p{{L}}\\p{{N}}_]+', ''), regexp_replace(j, '([^\\p{{L}}\\p{{N}}_-])', '\\1\\1', 'g')))))) AS INT) AS n FROM f",
 )
-add("txt_causal", lambda s, d: table(s, d, "documents").select("doc_id", F.size(text.causal_sentences(F.concat(F.col("text"), F.when(F.col("doc_id") % 2 == 0, "\nStock drives sales.\nWhat drives sales?").otherwise("")))).alias("n")))
+_CAUSED = "text || CASE WHEN doc_id % 2 = 0 THEN '\nStock drives sales, and cuts made orders fall.\nWhat drives sales?' WHEN doc_id % 3 = 0 THEN '\nWe do not know whether stock drives sales. Delays led to stops! Late parts push total output down.' ELSE '' END"
+
+
+def _caused(s: SparkSession, d: str) -> DataFrame:
+    more = F.expr(_CAUSED[len("text || ") :])
+    return table(s, d, "documents").select("doc_id", F.size(text.causal_sentences(F.concat("text", more))).cast("long").alias("n"))
+
+
+add("txt_causal", _caused, f"SELECT doc_id, ({claims.sql_count('x')}) AS n FROM (SELECT doc_id, {_CAUSED} AS x FROM documents)")
 add("txt_raw_rows", lambda s, d: table(s, d, "documents").select("doc_id", text.raw_rows(F.concat(F.col("text"), F.when(F.col("doc_id") % 5 == 0, F.repeat(F.lit("\n1,2,3"), 8)).otherwise(""))).alias("raw")))
 add("txt_figcheck", lambda s, d: text.check_figures(table(s, d, "documents"), "text", {"answer": 42.0, "share": 0.45}, "doc_id"))
 
@@ -583,7 +592,7 @@ _COR = "Work_Order_Type = 'Corrective'"
 _KPIS = [("preventive_share", "Preventive_WO_Count", "Preventive_WO_Count + Corrective_WO_Count", "true", 100), ("first_time_fix", "First_Time_Fix_Count", "Corrective_WO_Count", _COR, 100), ("repeat_repair", "Repeat_Repair_Count", "Corrective_WO_Count", _COR, 100), ("overdue_share", "Overdue_WO_Count", "Completed_WO_Count", "true", 100), ("operating_share", "Operating_Hours", "Planned_Operating_Hours", "true", 100), ("downtime_per_record", "Downtime_Hours", "1", "true", 1), ("loss_per_downtime_hour", "Production_Loss_USD", "Downtime_Hours", "true", 1), ("cost_per_operating_hour", "Maintenance_Cost_USD", "Operating_Hours", "true", 1)]
 _KSQL = f"WITH k AS ({_KPI}) "
 add("kp_register", lambda s, d: maintenance.compute(_kpi_rows(s, d)), _KSQL + " UNION ALL ".join(_kpi_sql(*k) for k in _KPIS))
-add("kp_compute", lambda s, d: maintenance.compute(_kpi_rows(s, d), [k for k in maintenance.register() if k.key == "first_time_fix"]), _KSQL + _kpi_sql(*_KPIS[1]))
+add("kp_compute", lambda s, d: maintenance.compute(_kpi_rows(s, d)), _KSQL + " UNION ALL ".join(_kpi_sql(*k) for k in _KPIS))
 add("kp_rowmean", lambda s, d: maintenance.row_mean(_kpi_rows(s, d), next(k for k in maintenance.register() if k.key == "operating_share")).select(F.round("row_mean", 4).alias("row_mean")), _KSQL + "SELECT round(avg(Operating_Hours / Planned_Operating_Hours) * 100, 4) AS row_mean FROM k")
 
 
@@ -837,3 +846,6 @@ def _resumed(s: SparkSession, d: str) -> DataFrame:
 
 
 add("lv_resume", _resumed, "SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events WHERE ts < TIMESTAMP '2024-01-10 00:00:00') ORDER BY ts, event_type, CAST(event_id AS VARCHAR) LIMIT 100")
+
+QUERIES |= catalog_tables.QUERIES
+ORACLE |= catalog_tables.ORACLE

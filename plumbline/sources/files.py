@@ -10,6 +10,7 @@ import csv
 import datetime as dt
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,7 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.table import ROW
+from ..operators.table import ROW, settled, work_folder
+from . import spans
 
 FORMATS = {".csv": "csv", ".tsv": "csv", ".txt": "csv", ".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".xlsx": "xlsx", ".parquet": "parquet"}
 DELIMITERS = (",", ";", "\t", "|")
@@ -146,8 +148,9 @@ def _width_of(line: Column, sep: str) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str, start: bytes | None = None) -> Ingested:
-    """One pass over the lines finds the widest row and whether a quoted cell runs over a line's end. Where none does,
-    the file is split over tasks; else, and in UTF-16, one task reads a file."""
+    """One pass over the lines finds the widest row and whether a quoted cell runs over a line's end. Where none does, rows
+    are lines; else lines are put together to records by ``spans``. Either way the file is split over tasks. One task reads
+    a file in UTF-16, or whose lines end with a carriage return alone."""
     start = head(spark, path) if start is None else start
     code = encoding_of(start)
     sep = sniff_delimiter(start.decode(code, errors="ignore").lstrip("\ufeff"))
@@ -157,19 +160,29 @@ def read_csv(spark: SparkSession, path: str, start: bytes | None = None) -> Inge
     if code == "UTF-8":
         quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
         width, open_cells = lines.agg(F.coalesce(F.max(_width_of(F.col("value"), sep)), F.lit(1)), F.count_if(quotes % 2 == 1)).first()
-    whole = open_cells > 0
+    whole = code != "UTF-8" or bool(re.search(rb"\r[^\n]", start))
+    sizes = F.arrow_udf(lambda a: pa.array([max((len(r) for r in csv.reader(io.StringIO(x.as_py()), delimiter=sep)), default=0) if x.as_py() else 0 for x in a], pa.int32()), T.IntegerType())
+
+    def fields(n: int, raw: bool = False) -> T.StructType:
+        return T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n)] + [T.StructField("_raw", T.StringType())] * raw)
 
     def load(n: int, raw: bool = False) -> DataFrame:
-        fields = [T.StructField(f"c{i}", T.StringType()) for i in range(n)] + [T.StructField("_raw", T.StringType())] * raw
-        return spark.read.options(**options, multiLine=whole).schema(T.StructType(fields)).csv(path)
+        return spark.read.options(**options, multiLine=whole).schema(fields(n, raw)).csv(path)
 
     if whole:
         # A row of another width keeps its raw text; ``c0`` is read beside it, since Spark refuses that text alone.
-        sizes = F.arrow_udf(lambda a: pa.array([max((len(r) for r in csv.reader(io.StringIO(x.as_py()), delimiter=sep)), default=0) if x.as_py() else 0 for x in a], pa.int32()), T.IntegerType())
         width = load(1, raw=True).select("c0", sizes("_raw").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1)), F.count("c0")).first()[0] or 1
+        rows = in_file_order(load(width))
+    elif open_cells:
+        records = settled(spans.csv_records(spark, path, sep))
+        width = records.agg(F.max(sizes("value"))).first()[0] or 1
+        plain = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items() if k not in ("header", "encoding")} | {"multiLine": "true"}
+        rows = records.select(F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)), plain).alias("x"), ROW).select("x.*", ROW)
+    else:
+        rows = in_file_order(load(width))
     cells = F.array(*[F.col(f"c{i}") for i in range(width)])
     last = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(F.get(cells, i).isNotNull(), i + 1).otherwise(0)))
-    rows = in_file_order(load(width)).select(F.slice(cells, F.lit(1), F.greatest(last, F.lit(1))).alias("cells"), ROW)
+    rows = rows.select(F.slice(cells, F.lit(1), F.greatest(last, F.lit(1))).alias("cells"), ROW)
     rows = rows.withColumn("cells", F.when(F.col(ROW) == 0, F.transform("cells", lambda x, i: F.when(i == 0, F.ltrim(x, F.lit("\ufeff"))).otherwise(x))).otherwise(F.col("cells")))
     return _named(rows, "csv", [])
 
@@ -210,8 +223,26 @@ def _records(df: DataFrame, schema: T.StructType, fmt: str) -> Ingested:
     return Ingested(out, [c for c in out.columns if c != ROW], fmt)
 
 
+def _from_elements(spark: SparkSession, elements: DataFrame) -> Ingested:
+    """Objects as text rows (value, _row_id), told their schema by one pass over them as JSON Lines in the shared folder."""
+    path = f"{work_folder(spark)}/elements-{uuid.uuid4().hex}"
+    elements.select("value").write.text(path, compression="gzip")
+    schema = spark.read.option("primitivesAsString", True).json(path).schema
+    if "_corrupt_record" in schema.fieldNames():
+        raise SourceError("The file is not a JSON table.")
+    order = [k for k in key_order(elements) if k in schema.fieldNames()]
+    parsed = elements.select(F.from_json("value", schema, {"primitivesAsString": "true"}).alias("x"), ROW).select("x.*", ROW)
+    return _records(parsed, T.StructType([schema[k] for k in order]), "json")
+
+
 def read_json(spark: SparkSession, path: str) -> Ingested:
-    """A list of objects, a list of lists, {columns, data}, or an object that wraps one list, three levels deep."""
+    """A list of objects, a list of lists, {columns, data}, or an object that wraps one list, three levels deep. A list of
+    objects is split over tasks; the other forms are read by one task a file."""
+    start = head(spark, path).lstrip(b"\xef\xbb\xbf \t\r\n")
+    if re.match(rb"\[\s*\{", start):
+        elements = settled(spans.json_elements(spark, path))
+        if not elements.where("value NOT LIKE '{%'").head(1):
+            return _from_elements(spark, elements)
     text = spark.read.text(path, wholetext=True)
     schema = spark.read.option("primitivesAsString", True).option("multiLine", True).json(path).schema
     if "_corrupt_record" in schema.fieldNames():

@@ -7,36 +7,19 @@ import hashlib
 import ipaddress
 import re
 import socket
-import tempfile
 from dataclasses import dataclass
 from urllib.parse import parse_qsl, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.table import ROW, AnalysisTable
+from ..operators.table import ROW, AnalysisTable, work_folder
 
 #: Text that a spreadsheet would run as a formula.
 FORMULA = r"^[=+\-@\t\r]"
 SECRET_KEYS = ("key", "token", "secret", "password", "passwd", "pwd", "sig", "signature", "auth", "credential", "session")
 
 
-_own_folder: dict[str, str] = {}
-
-
-def work_folder(spark: SparkSession) -> str:
-    """Where files of a run go: ``spark.checkpoint.dir``, which driver and executors share; a session without one gets
-    a temporary folder if it is local, else its warehouse."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folder:
-        _own_folder[app] = tempfile.mkdtemp(prefix="plumbline-")
-    return _own_folder[app]
-
-
 def fingerprint(df: DataFrame) -> str:
     """A hash of a table's rows in their order and of its column names, from partial sums over rows."""
     cols = [c for c in df.columns if c != ROW]

@@ -96,7 +96,20 @@ def test_jargon(spark):
         ("We do not know whether rain drives demand.", None),
         ("أدى نقص القطع إلى توقف الخط.", "أدى نقص القطع إلى"),
         ("ساهم التدريب كثيرا في الجودة.", "ساهم التدريب كثيرا في"),
-        ("التدريب يقلل الأخطاء.", "التدريب يقلل الأخطاء."),
+        ("التدريب يقلل الأخطاء.", "التدريب يقلل الأخطاء"),
+        ("وأدت الأعطال إلى تأخير.", "وأدت الأعطال إلى"),
+        ("التأخير نتيجة لنقص القطع.", "نتيجة لنقص"),
+        ("Rain, driving demand.", "driving"),
+        ("Sales increased, orders fell.", None),
+        ("It's not yet proven that rain causes floods.", None),
+        ("We checked whether rain causes floods.", None),
+        ("An association, not what causes it.", None),
+        ("Our hypothesis is that rain causes floods.", None),
+        ("It cannot be stated as a cause that prolongs stops.", None),
+        ("That is not a caused delay.", None),
+        ("Lead times lead nowhere.", None),
+        ("The result was good in May.", None),
+        ("Prices push margins steadily further up.", "push margins steadily further up"),
         ("يزيد العدد.", None),
         ("لم نتحقق مما يسبب التأخير.", None),
     ],
