@@ -12,7 +12,7 @@ every such window of five words or more: a test tries all placements of replaced
 
 Defined cases: null or empty texts have no words and are clean; items of under ``least`` words contaminate
 nothing; repeated rows are judged alike; ids are integers (others are refused) and may be null; an empty benchmark
-leaves all clean; extra columns pass through whatever their names, and result columns replace columns of their name.
+leaves all clean, an empty table stays empty; very long texts are compared whole; extra columns pass through whatever their names, and result columns replace columns of their name.
 """
 
 from __future__ import annotations

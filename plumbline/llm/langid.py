@@ -5,8 +5,8 @@ block is compressed with every dictionary, and the language with the fewest byte
 runner-up needs hardly more bytes the verdict is not ``accepted``.
 
 Defined cases: a null text, an empty text and a text without a letter get ``und`` with score 0 and are not
-accepted. A tie goes to the language first in code-point order. Rows with null text or label teach nothing.
-Repeated rows get the same verdict each. Without any label every text is ``und``. Other columns pass through;
+accepted. Whole texts are judged, very long ones block by block. A tie goes to the language first in code-point order. Rows with null text or label teach nothing.
+Repeated rows get the same verdict each. Without any label every text is ``und``; an empty table gives an empty one. Other columns pass through;
 result columns replace input columns of the same name.
 """
 
@@ -57,12 +57,16 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, labelled: DataFrame, text: str = "text", label: str = "lang", texts_per_lang: int = 32, chars_per_text: int = 3000, most_langs: int = 1000, **settings) -> LanguageModel:
-        """Learn from a bounded sample: the ``texts_per_lang`` distinct texts of lowest hash of each label, texts of
-        200 to ``chars_per_text`` characters first, at most ``chars_per_text`` characters of each. More than
-        ``most_langs`` labels are refused: each has a dictionary in every worker."""
+        """Learn from a bounded sample: the ``texts_per_lang`` distinct texts of lowest hash of each label, those of 200
+        characters and more first. Of a text longer than ``chars_per_text`` a stretch of that many characters is taken that
+        begins anywhere in it, as the text's hash decides. More than ``most_langs`` labels are refused before anything is
+        dealt by them: each has a dictionary in every worker."""
+        if labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(label).distinct().limit(most_langs + 1).count() > most_langs:
+            raise ValueError(f"more than {most_langs} labels: map them to languages first")
         n = F.length(text)
+        begin = F.when(n > chars_per_text, F.pmod(F.xxhash64(text), n - chars_per_text + 1)).otherwise(0).cast("int") + 1
         rows = labelled.where(F.col(text).isNotNull() & (F.length(F.trim(text)) > 0) & F.col(label).isNotNull()).select(
-            F.col(label).alias("label"), F.substring(text, 1, chars_per_text).alias("sample"), (~n.between(200, chars_per_text)).cast("int").alias("worse")
+            F.col(label).alias("label"), F.substring(F.col(text), begin, F.lit(chars_per_text)).alias("sample"), (n < 200).cast("int").alias("worse")
         ).withColumn("h", F.xxhash64("sample"))
         # Copies are one text and take one place; places are dealt by hashes alone, so that few texts are shuffled.
         first = Window.partitionBy("label").orderBy("worse", "h")
@@ -70,10 +74,7 @@ class LanguageModel:
         places = hashes.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= texts_per_lang).drop("worse")
         kept = rows.drop("worse").join(F.broadcast(places), ["label", "h"]).groupBy("label", "nth").agg(F.min("sample").alias("sample"))
         samples: dict[str, list[str]] = {}
-        found = kept.select("label", "sample", "nth").orderBy("label", "nth").limit(most_langs * texts_per_lang + 1).collect()
-        if len({row["label"] for row in found}) > most_langs or len(found) > most_langs * texts_per_lang:
-            raise ValueError(f"more than {most_langs} labels: map them to languages first")
-        for row in found:
+        for row in kept.select("label", "sample", "nth").orderBy("label", "nth").collect():  # most_langs x texts_per_lang rows at most
             samples.setdefault(row["label"], []).append(row["sample"])
         return cls({k: b"\n".join(dict.fromkeys(map(letters_of, v))) for k, v in sorted(samples.items())}, **settings)
 

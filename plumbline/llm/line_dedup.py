@@ -19,7 +19,7 @@ is then visited.
 Defined cases: null text has no lines; lines without a word are never part of a run and stay; a run may repeat
 within one document; null doc_ids come first; ids are integers, others are refused; rows equal in doc_id and text are
 one document, whose copies get the same verdict; extra columns pass through whatever their names, and result columns
-replace columns of their name.
+replace columns of their name; very long texts are lines like any other's, an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ of more than ``most_in_cell`` rows is cut by further bits of the key's hash, the
 Defined cases: a null text has size 0; null sources form one source, last in order; sources of size 0 have
 target 0; a null doc_id hashes as an empty string; rows with one doc_id stand in the order of a hash of their columns,
 so reruns take the same texts, and rows equal in all are told apart by their place. Extra columns pass through whatever
-their names, and result columns replace columns of their name.
+their names, and result columns replace columns of their name. A very long text is one document of its size; an empty
+table gives an empty one. Ids may be of any type.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ meets in one task and a family of near copies costs one comparison a member.
 
 Defined cases: null or empty text and text without words have an empty set and link with nothing; texts with
 fewer words than a shingle are one shingle; rows with one doc_id are one document; a null doc_id links nothing
-of itself and gets its copies' component (null if they have none); ids are integers, others are refused. Of other
+of itself and gets its copies' component (null if they have none); ids are integers, others are refused; very long texts
+have full sets, made one text at a time; an empty table gives no rows. Of other
 columns ``link`` reads none and ``keep_one`` returns all, whatever their names.
 """
 

@@ -10,11 +10,13 @@ fixed cutoff and no fixed share of rejects is involved: what is usual for a grou
 The distance is at least what the group can tell apart: one bucket's width at the quartile, and one event (a symbol,
 a repeated line, a window of words that comes twice) in the group's median document, whose words and lines are
 sketched too. Where half of a group's documents have one line, its fence on repeated lines is thus beyond any ratio.
-A group of under ``LEAST_DOCS`` documents takes the fences of its language's merged sketch.
+A group's fences are drawn to those of its language's merged sketch as if ``PRIOR_DOCS`` documents of the language stood
+in the group: those of n documents weigh n / (n + PRIOR_DOCS). So no count of documents is a border between two rules.
 
 Defined cases: null text counts as no words and fails the base rules; null language or source is a group of its
 own; a language of a few documents has the fences of its few documents; repeated rows are judged alike and each
-counts in the sketch. Result columns replace columns of the same name.
+counts in the sketch; very long texts are measured whole, one at a time; an empty table gives an empty result; ids may be
+of any type. Result columns replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ SYMBOLS = b"#*$%&|<>"
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
 #: Ratio by name: its columns, and what one event adds to the first of them.
 RATIOS = {"symbols": ("n_symbols", "n_words", 1), "dup_lines": ("n_dup_lines", "n_lines", 1), "repeats": ("n_repeat_words", "n_words", 6), "word_length": ("word_chars", "n_words", 0)}
-#: Documents from which a group has fences of its own.
-LEAST_DOCS = 100
+#: Documents whose weight a language's fences have in each of its groups.
+PRIOR_DOCS = 100
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
 
 
@@ -108,9 +110,9 @@ def fences(sketch: DataFrame, reach: float = 4.0) -> DataFrame:
     own = read(sketch, ["lang", "source"], reach).alias("own")
     merged = sketch.groupBy("lang", "ratio", "bucket").agg(F.sum("n").alias("n"))
     wide = read(merged, ["lang"], reach).alias("wide")
-    few = F.col("own.docs") < LEAST_DOCS
+    drawn = lambda k: (F.col("own.docs") * F.col(f"own.{k}") + PRIOR_DOCS * F.col(f"wide.{k}")) / (F.col("own.docs") + PRIOR_DOCS)
     both = own.join(wide, F.col("own.lang").eqNullSafe(F.col("wide.lang")))
-    return both.select("own.lang", "own.source", *[F.when(few, F.col(f"wide.max_{k}")).otherwise(F.col(f"own.max_{k}")).alias(f"max_{k}") for k in RATIOS])
+    return both.select("own.lang", "own.source", *[drawn(f"max_{k}").alias(f"max_{k}") for k in RATIOS])
 
 
 def judge(docs: DataFrame, reach: float = 4.0) -> DataFrame:

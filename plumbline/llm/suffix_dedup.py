@@ -20,7 +20,8 @@ exchanges that spill. That costs a row for each window, and no task holds a grou
 
 Defined cases: a null text is no bytes; texts under ``length`` bytes lose nothing; a string may repeat within one
 document; rows equal in doc_id and text count as two occurrences each and get one result; an empty table gives no
-rows; ids are integers, others are refused; of other columns none is read or returned.
+rows; very long texts are taken in stretches while anchors are sought, and whole when they are cut; ids are integers,
+others are refused; of other columns none is read or returned.
 """
 
 from __future__ import annotations
@@ -58,6 +59,8 @@ class Shape:
     seed: int = 5
     #: Occurrences of a gram up to which its suffixes are merged in one task.
     hot: int = 20_000
+    #: Window starts of a text that are looked at together.
+    stretch: int = 2 << 20
 
     @property
     def width(self) -> int:
@@ -130,21 +133,40 @@ def pack(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def anchor_rows(docs: DataFrame, s: Shape) -> DataFrame:
-    """gram (hash), doc, spot (place, least and greatest distance of a window's start, packed)."""
+    """gram (hash), _id, _text, spot (place, least and greatest distance of a window's start, packed).
+
+    A text is taken in stretches of ``stretch`` window starts, each with the bytes its last window needs, so that the work
+    arrays stay small whatever its length; an anchor at a border answers once on either side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Anchors(s)
         for batch in pieces(batches, "text", 2 << 20):
-            texts = [(x.as_py() or "").encode() for x in batch.column("text")]
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            starts = np.cumsum(sizes) - sizes
-            h, at, first, last = finder.find(b"".join(texts), starts)
-            doc = np.searchsorted(starts, at, side="right") - 1
-            spot = pack(at - starts[doc], at - last, at - first)
-            ids = batch.column("doc").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[doc]), pa.array(spot)], names=["gram", "doc", "spot"])
-
-    return docs.select("doc", "text").mapInArrow(run, "gram long, doc long, spot long")
+            ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_text"))
+            for group in _stretches((x.as_py() or "").encode() for x in batch.column("text")):
+                row, base, parts = zip(*group, strict=True)
+                sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+                starts = np.cumsum(sizes) - sizes
+                h, at, first, last = finder.find(b"".join(parts), starts)
+                part = np.searchsorted(starts, at, side="right") - 1
+                spot = pack(at - starts[part] + np.array(base, np.int64)[part], at - last, at - first)
+                doc = np.array(row, np.int64)[part]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[doc]), pa.array(hashes[doc]), pa.array(spot)], names=["gram", "_id", "_text", "spot"])
+
+    def _stretches(texts: Iterable[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
+        """(row, first byte, bytes) of texts and stretches, in lists of a few stretches' bytes."""
+        held, size = [], 0
+        for row, data in enumerate(texts):
+            for a in range(0, max(1, len(data) - s.length + 1), s.stretch):
+                part = data[a : a + s.stretch + s.length - 1]
+                if held and size + len(part) > s.stretch:
+                    yield held
+                    held, size = [], 0
+                held.append((row, a, part))
+                size += len(part)
+        if held:
+            yield held
+
+    return docs.select("_id", "_text", "text").mapInArrow(run, "gram long, _id long, _text long, spot long")
 
 
 # ---- runs: sorted suffixes, front-coded
@@ -385,16 +407,16 @@ def _squeeze(texts: pa.Array) -> pa.Array:
 def removed_spans(docs: DataFrame, s: Shape | None = None) -> DataFrame:
     """_id, _text, spans: the packed spans of each document that loses bytes. ``docs`` has _id, _text and text."""
     s = s or Shape()
-    docs = docs.withColumn("doc", F.xxhash64("_id", "_text"))
+    doc = ["_id", "_text"]
     spots = anchor_rows(docs, s)
     # Written first, so that both sides of the join are plain exchanges, of which a hot gram's can be split.
     twice = materialize(spots.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "suffix-grams")
     hot = twice.where(F.col("n") > s.hot).select("gram")
-    flagged = spots.join(twice.where(F.col("n") <= s.hot).select("gram"), "gram").groupBy("doc").agg(F.collect_set(F.struct("gram", "spot")).alias("spots"))
+    flagged = spots.join(twice.where(F.col("n") <= s.hot).select("gram"), "gram").groupBy(*doc).agg(F.collect_set(F.struct("gram", "spot")).alias("spots"))
     flagged = materialize(flagged, "suffix-spots")
     total = flagged.agg(F.sum(F.size("spots"))).first()[0] or 0
     ranges = max(1, math.ceil(total / s.range_rows))
-    candidates = docs.select("doc", "_id", "_text", squeezed("text").alias("packed")).join(flagged, "doc")
+    candidates = docs.select(*doc, squeezed("text").alias("packed")).join(flagged, doc)
     spans = merged_spans(sorted_runs(candidates, s, ranges), s, ranges)
     if hot.head(1):
         spans = spans.unionByName(hashed_spans(docs, spots.join(hot, "gram"), s))
@@ -415,8 +437,8 @@ def hashed_spans(docs: DataFrame, spots: DataFrame, s: Shape) -> DataFrame:
                 both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[i : i + s.length]) for i in starts.tolist()]), np.int64).reshape(n, 2)
                 yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * n, pa.int64()), pa.array([text_hash.as_py()] * n, pa.int64()), pa.array(starts, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["_id", "_text", "start", "a", "b"])
 
-    flagged = spots.groupBy("doc").agg(F.collect_set("spot").alias("spots"))
-    texts = docs.select("doc", "_id", "_text", squeezed("text").alias("packed")).join(flagged, "doc").select("_id", "_text", "packed", "spots")
+    flagged = spots.groupBy("_id", "_text").agg(F.collect_set("spot").alias("spots"))
+    texts = docs.select("_id", "_text", squeezed("text").alias("packed")).join(flagged, ["_id", "_text"]).select("_id", "_text", "packed", "spots")
     windows = materialize(texts.mapInArrow(run, "_id long, _text long, start long, a long, b long"), "suffix-windows")
     twice = windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
     return windows.join(twice, ["a", "b"]).select("_id", "_text", (F.shiftleft("start", 20) + s.length).alias("span"))

@@ -9,7 +9,8 @@ control, data), ascending by doc_id over (part, block); ``ranks`` holds the id o
 streams, so any storage Spark can write will do and lost tasks leave nothing behind.
 
 Defined cases: a null text is empty and has the end id alone; null doc_ids come first; rows with equal doc_id are
-ordered by their ids' hash; repeated rows are all written; an empty table gives no blocks.
+ordered by their ids' hash; repeated rows are all written; ids are integers, others are refused before a job runs; very
+long texts are encoded whole; an empty table gives no blocks.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, new_path, pieces
+from .common import integer_id, materialize, new_path, pieces
 
 #: Texts of these characters alone may be split here: their lower case and token borders are plain.
 _PLAIN = re.compile(r"[\t-\r\x20-\x26\x28-\x7eÀ-ÖØ-öø-ÿ]*")
@@ -107,6 +108,7 @@ def tokenizer_of(path: str) -> WordTokenizer:
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, width and ids (bytes) of every document, the end id appended."""
+    integer_id(docs, key)
     schema = docs.select(F.col(key).alias("doc_id")).schema.add("n_tokens", T.LongType()).add("width", T.IntegerType()).add("ids", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

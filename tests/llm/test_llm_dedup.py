@@ -93,7 +93,7 @@ def brute_suffix(docs, length):
     return out
 
 
-@pytest.mark.parametrize("shape", [suffix_dedup.Shape(20, 8, 24 << 20, 60_000), suffix_dedup.Shape(20, 8, 2000, 40), suffix_dedup.Shape(9, 9, 500, 7), suffix_dedup.Shape(), suffix_dedup.Shape(20, 8, hot=2), suffix_dedup.Shape(20, 8, hot=12)])
+@pytest.mark.parametrize("shape", [suffix_dedup.Shape(20, 8, 24 << 20, 60_000), suffix_dedup.Shape(20, 8, 2000, 40), suffix_dedup.Shape(9, 9, 500, 7), suffix_dedup.Shape(), suffix_dedup.Shape(20, 8, hot=2), suffix_dedup.Shape(20, 8, hot=12), suffix_dedup.Shape(20, 8, stretch=13), suffix_dedup.Shape(stretch=300)])
 def test_suffix_dedup_brute(spark, shape):
     r = random.Random(shape.length + shape.range_rows)
     common = ["".join(r.choice("abü ") for _ in range(n)) for n in (10, 25, 60, 260)]
