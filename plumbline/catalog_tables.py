@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import changes, temporal
+from .operators import changes, query, semistructured, sketches, temporal
+from .operators.table import AnalysisTable, work_folder
+from .streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -153,3 +156,96 @@ add(
     + """SELECT side, count(*) AS keys, sum(n_left)::BIGINT AS n_left, sum(n_right)::BIGINT AS n_right, sum(amount_left::DECIMAL(28,4))::DOUBLE AS amount_left,
  sum(amount_right::DECIMAL(28,4))::DOUBLE AS amount_right, sum(amount_apart::DECIMAL(28,4))::DOUBLE AS amount_apart FROM f GROUP BY 1""",
 )
+
+
+# ---- lattices, sketches, semi-structured cells, a feed
+
+_CUBE_ROWS = "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS priority, o_orderstatus AS status, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS price, CAST(o_custkey % 97 AS VARCHAR) AS clerk FROM orders"
+_CUBE_SQL = """WITH t AS ({rows}) SELECT priority, status, CASE WHEN grouping(priority) = 0 THEN 'g' ELSE 't' END || CASE WHEN grouping(status) = 0 THEN 'g' ELSE 't' END AS level,
+ count(*) AS records, round(CAST(sum(CAST(price AS DECIMAL(28,4))) AS DOUBLE), 6) AS sum_price, round(CAST(sum(CAST(price AS DECIMAL(28,4))) AS DOUBLE) / nullif(count(price), 0), 6) AS mean_price,
+ min(price) AS min_price, max(price) AS max_price, count(DISTINCT nullif(clerk, '')) AS distinct_clerk FROM t GROUP BY CUBE (priority, status) HAVING count(*) >= 3"""
+
+
+def _cube(s: SparkSession, d: str) -> DataFrame:
+    s_rows = table(s, d, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")).alias("priority"),
+        F.col("o_orderstatus").alias("status"),
+        F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")).alias("price"),
+        (F.col("o_custkey") % 97).cast("string").alias("clerk"),
+    )
+    measures = [{"agg": a, "column": "price"} for a in ("sum", "mean", "min", "max")] + [{"agg": "distinct", "column": "clerk"}]
+    spec = {"group_by": ["priority", "status"], "sets": "cube", "measures": measures, "having": [{"by": "records", "op": "gte", "value": 3}]}
+    return query.lattice(AnalysisTable(s_rows, frozenset({"price", "o_orderkey"}), ("o_orderkey",)), spec)
+
+
+add("x_cube", _cube, _CUBE_SQL.format(rows=_CUBE_ROWS))
+_SHARES = [0.5, 0.9, 0.99]
+
+
+def _sketched(s: SparkSession, d: str) -> DataFrame:
+    """Customers and prices by priority, from sketches that took the orders in three refreshes."""
+    orders = table(s, d, "orders")
+    kept = sketches.Stored(s, f"{work_folder(s)}/sketches-{uuid.uuid4().hex}", ["o_orderpriority"], ["o_custkey"], ["o_totalprice"])
+    for part in range(3):
+        kept.refresh(orders.where(F.col("o_orderkey") % 3 == part))
+    both = kept.distinct_counts("o_custkey").join(kept.quantiles("o_totalprice", _SHARES), "o_orderpriority")
+    return both.select("o_orderpriority", "distinct", "n", *[F.round(f"q{i}", 4).alias(f"q{i}") for i in range(3)])
+
+
+_STEP = "ln((1 + 0.01::DOUBLE) / (1 - 0.01::DOUBLE))"
+add(
+    "x_sketch",
+    _sketched,
+    f"""WITH h AS (SELECT o_orderpriority AS p, ('0x' || substr(md5(o_custkey::VARCHAR), 1, 15))::BIGINT AS h FROM orders),
+ r AS (SELECT p, h >> 49 AS register, max(CASE WHEN h & ((1::BIGINT << 49) - 1) = 0 THEN 50 ELSE 50 - length(ltrim(bin(h & ((1::BIGINT << 49) - 1)), '0')) END) AS zeros FROM h GROUP BY 1, 2),
+ e AS (SELECT p, 2048 - count(*) AS empty, sum(2.0::DOUBLE ** (-zeros)) AS s FROM r GROUP BY 1),
+ c AS (SELECT p, round(CASE WHEN {0.7213 / (1 + 1.079 / 2048) * 2048 * 2048!r}::DOUBLE / (s + empty) <= 5120 AND empty > 0 THEN 2048 * ln(2048.0::DOUBLE / empty) ELSE {0.7213 / (1 + 1.079 / 2048) * 2048 * 2048!r}::DOUBLE / (s + empty) END)::BIGINT AS "distinct" FROM e),
+ b AS (SELECT o_orderpriority AS p, ceil(ln(o_totalprice) / {_STEP})::INT AS bucket, count(*) AS n FROM orders GROUP BY 1, 2),
+ u AS (SELECT p, bucket, sum(n) OVER (PARTITION BY p ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY p) AS total, 2.0::DOUBLE * (1.01::DOUBLE / 0.99::DOUBLE) ** bucket / (1.01::DOUBLE / 0.99::DOUBLE + 1) AS v FROM b)
+SELECT p AS o_orderpriority, any_value("distinct") AS "distinct", max(total)::BIGINT AS n, {", ".join(f"round(min(v) FILTER (WHERE upto >= ceil(total * {q})), 4) AS q{i}" for i, q in enumerate(_SHARES))} FROM u JOIN c USING (p) GROUP BY p""",
+)
+_PROPS = "CASE WHEN event_id % 10 = 0 THEN '{\"k\": ' WHEN event_id % 10 = 1 THEN NULL WHEN event_id % 10 = 2 THEN '{\"k\": \"many\", \"user\": {\"name\": \"u' || user_id || '\", \"vip\": true}}' ELSE props END"
+
+
+def _props(s: SparkSession, d: str) -> DataFrame:
+    events = table(s, d, "events").select("event_id", "event_type", F.expr(_PROPS).alias("props"))
+    kinds = [(("k",), "bigint"), (("user", "name"), "string"), (("user", "vip"), "boolean")]
+    made = semistructured.typed(events, "props", kinds)
+    return made.groupBy("event_type").agg(F.sum("`props.k`").alias("k"), F.count("`props.k`").alias("n"), F.count_distinct("`props.user.name`").alias("names"), F.count_if("`props.user.vip`").alias("vips"), F.count_if("`props.malformed`").alias("malformed"))
+
+
+add(
+    "x_props",
+    _props,
+    f"""WITH e AS (SELECT event_id, event_type, {_PROPS} AS props FROM events), j AS (SELECT *, TRY_CAST(props AS JSON) AS v FROM e)
+ SELECT event_type, sum(TRY_CAST(v->>'k' AS BIGINT))::BIGINT AS k, count(TRY_CAST(v->>'k' AS BIGINT)) AS n, count(DISTINCT v->>'$.user.name') AS names,
+ count(*) FILTER (WHERE (v->>'$.user.vip') = 'true') AS vips, count(*) FILTER (WHERE props IS NOT NULL AND v IS NULL) AS malformed FROM j GROUP BY 1""",
+)
+add(
+    "x_props_paths",
+    lambda s, d: semistructured.paths(table(s, d, "events").select(F.expr(_PROPS).alias("props")), "props"),
+    f"""WITH e AS (SELECT {_PROPS} AS props FROM events), j AS (SELECT props, TRY_CAST(props AS JSON) AS v FROM e), c AS (SELECT count(*) AS records, count(*) FILTER (WHERE props IS NOT NULL AND v IS NULL) AS malformed,
+ count(v->>'k') AS a, count(v->>'$.user.name') AS b, count(v->>'$.user.vip') AS c FROM j)
+ SELECT path, type, filled, records, malformed FROM (SELECT 'k' AS path, 'string' AS type, a AS filled, records, malformed FROM c UNION ALL SELECT 'user.name', 'string', b, records, malformed FROM c UNION ALL SELECT 'user.vip', 'boolean', c, records, malformed FROM c)""",
+)
+
+
+def _fed(s: SparkSession, d: str) -> DataFrame:
+    """Every event in pages, an eighth of them late and each row there twice: the pages hold each event once."""
+    events = table(s, d, "events")
+    twice = events.unionByName(events)
+    feed = live.Feed(s, f"{work_folder(s)}/feed-{uuid.uuid4().hex}", "ts", "event_type", "event_id", "400 DAYS", most=6_000)
+    feed.start(twice, "1970-01-01 00:00:00~~")
+    at, pages = f"{work_folder(s)}/pages-{uuid.uuid4().hex}", 0
+    for there in (twice.where("event_id % 8 > 0"), twice):
+        while True:
+            page = feed.poll(there)
+            page.select("event_id", F.lit(pages).alias("page")).write.mode("append").parquet(at)
+            if not feed.commit():
+                break
+            pages += 1
+    return s.read.parquet(at).groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+add("lv_feed", _fed, "SELECT event_id, 1::BIGINT AS n FROM events")

@@ -183,15 +183,25 @@ def subject(name: str) -> set[str]:
     return set(name.lower().replace("-", "_").split("_")) - UNITS - {""}
 
 
-def broken_identity(s: Shape, order: str | None = None) -> list[Finding]:
-    """A total that is not the sum of the two parts its name suggests: all candidate pairs in one aggregation."""
-    numeric = s.numeric()
-    trios = []
+def trios_of(s: Shape) -> list[tuple[str, str, str]]:
+    """(total, part, part) whose names share a subject: up to half the cube of the columns."""
+    numeric, out = s.numeric(), []
     for t in numeric:
         parts = [c for c in numeric if c != t and subject(t) & subject(c)]
-        trios += [(t, a, b) for i, a in enumerate(parts) for b in parts[i + 1 :]]
-    if not trios:
-        return []
+        out += [(t, a, b) for i, a in enumerate(parts) for b in parts[i + 1 :]]
+    return out
+
+
+def broken_identity(s: Shape, order: str | None = None, at_once: int = 60) -> list[Finding]:
+    """A total that is not the sum of the two parts its name suggests: ``at_once`` candidates in one aggregation."""
+    trios = trios_of(s)
+    for k in range(0, len(trios), at_once):
+        if found := _broken(s, trios[k : k + at_once]):
+            return found
+    return []
+
+
+def _broken(s: Shape, trios: list[tuple[str, str, str]]) -> list[Finding]:
     aggs = []
     for i, (t, a, b) in enumerate(trios):
         gap = number(t) - (number(a) + number(b))
@@ -220,9 +230,34 @@ def uneven_periods(s: Shape, date_column: str | None = None) -> list[Finding]:
     return out
 
 
-def run_all(df: DataFrame, order: str, date_column: str | None = None, skip: tuple[str, ...] = ()) -> list[Finding]:
-    """All findings, the severest first; ``skip`` names detectors that are not to run."""
+#: What a detector may cost: candidates it judges, each an expression of an aggregation or an aggregation of its own.
+MOST_CANDIDATES = 1200
+
+
+def candidates(s: Shape) -> dict[str, int]:
+    """How many candidates each detector whose work grows faster than the columns would judge."""
+    keys = [k for k in s.distinct if k.lower().endswith(KEY_ENDINGS) or k.lower() in KEY_NAMES]
+    numeric, groups = s.numeric(), s.categories()
+    return {"identity_collapse": len(keys) * len(groups), "target_leakage": len(groups) * min(2, len(numeric)), "placeholder_rates": len(numeric) * len(s.categories(12)), "broken_identity": len(trios_of(s))}
+
+
+def skipped(s: Shape, most: int = MOST_CANDIDATES, most_cells: int | None = None) -> list[Finding]:
+    """The detectors that a table is too wide for (or that ``most_cells``, rows times columns, bars), each told by name."""
+    cells_in = s.rows * len(s.read)
+    barred = most_cells is not None and cells_in > most_cells
+    return [
+        Finding("skipped", "low", f"{name} was not run: " + (f"{cells_in} cells, {most_cells} at most" if barred else f"{n} candidates, {most} at most"), [], {"detector": name, "candidates": n, "cells": cells_in})
+        for name, n in candidates(s).items()
+        if n > most or (barred and n)
+    ]
+
+
+def run_all(df: DataFrame, order: str, date_column: str | None = None, skip: tuple[str, ...] = (), most: int = MOST_CANDIDATES, most_cells: int | None = None) -> list[Finding]:
+    """All findings, the severest first; ``skip`` names detectors that are not to run. Detectors beyond the budget are not
+    run either, and a finding names each."""
     s = Shape.of(df)
+    dropped = [f for f in skipped(s, most, most_cells) if f.numbers["detector"] not in skip]
+    skip = (*skip, *[f.numbers["detector"] for f in dropped])
     runs = {"identity_collapse": lambda: identity_collapse(s), "target_leakage": lambda: target_leakage(s, order), "placeholder_rates": lambda: placeholder_rates(s), "scale_mislabelled": lambda: scale_mislabelled(s), "broken_identity": lambda: broken_identity(s, order), "uneven_periods": lambda: uneven_periods(s, date_column)}
     found = [f for name, run in runs.items() if name not in skip for f in run()]
-    return sorted(found, key=lambda f: SEVERITY.index(f.severity))
+    return sorted([*found, *dropped], key=lambda f: SEVERITY.index(f.severity))

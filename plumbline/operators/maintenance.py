@@ -233,9 +233,10 @@ def risk(df: DataFrame, target: str, date: str = "Record_Date", order: str = "_r
     return {"target": target, "fitted": True, "train": n_train, "test": n_test, "score": score, "baseline": baseline, "rule": rule, "verdict": "useful" if useful else "weak", "claim": "finding" if useful else "limitation", "excluded": excluded}
 
 
-def govern(df: DataFrame, order: str = "_row_id", fail_on_high: bool = False, skip: tuple[str, ...] = ()) -> list[Finding]:
-    """Detector findings of a maintenance table; ``fail_on_high`` refuses a table with a severe one."""
-    found = run_all(df, order, "Record_Date" if "Record_Date" in df.columns else None, skip)
+def govern(df: DataFrame, order: str = "_row_id", fail_on_high: bool = False, skip: tuple[str, ...] = (), most_cells: int | None = None) -> list[Finding]:
+    """Detector findings of a maintenance table; ``fail_on_high`` refuses a table with a severe one. Detectors that the
+    table is too wide for, or that ``most_cells`` bars, are findings by name."""
+    found = run_all(df, order, "Record_Date" if "Record_Date" in df.columns else None, skip, most_cells=most_cells)
     if fail_on_high and any(f.severity == "high" for f in found):
         raise ValueError("The table was refused: " + "; ".join(f.headline for f in found if f.severity == "high"))
     return found

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -80,6 +80,69 @@ def poll(df: DataFrame, cursor: str, time: str, kind: str, key: str, most: int =
     return df.where(place > after).orderBy(time, kind, F.col(key).cast("string")).limit(most)
 
 
+class Feed:
+    """A reader of updates who sees each one once, late ones included.
+
+    A page holds what comes after the cursor, and what arrived late: updates within ``look_back`` before it that this
+    reader was not sent. What was sent is kept as keys in a folder, by generation, as long as the look-back reaches: the
+    state's size is what arrives in that time, whatever the table's. Updates of one time, kind and key are one. A page ends
+    at ``most`` updates in the order of time, kind and key, late ones first, so one that begins at its border is not lost
+    and updates of one time may be parted by it.
+
+    A page counts as sent when ``commit`` is called; until then ``poll`` gives it again. Updates without a time are none."""
+
+    def __init__(self, spark: SparkSession, root: str, time: str, kind: str, key: str, look_back: str = LOOK_BACK, most: int = 100):
+        self.spark, self.root, self.time, self.kind, self.key, self.look_back, self.most = spark, root.rstrip("/"), time, kind, key, look_back, most
+        self.generation = 0
+        self._page: DataFrame | None = None
+
+    def _place(self) -> Column:
+        return F.struct(F.col(self.time).alias("time"), F.col(self.kind).cast("string").alias("kind"), F.col(self.key).cast("string").alias("key"))
+
+    def _back(self, cursor) -> Column:
+        return F.lit(cursor) - F.expr(f"INTERVAL {self.look_back}")
+
+    def start(self, df: DataFrame, cursor: str | None = None) -> None:
+        """Begin after a ``time~kind~id`` cursor, or after all that is there: what stands before it counts as sent."""
+        at, kind, key = parse_cursor(cursor or cursor_now(df, self.time))
+        first = F.struct(F.lit(at).cast(df.schema[self.time].dataType).alias("time"), F.lit(kind).alias("kind"), F.lit(key).alias("key"))
+        seen = df.where(F.col(self.time).isNotNull()).select(self._place().alias("place")).where((F.col("place") <= first) & (F.col("place.time") >= first["time"] - F.expr(f"INTERVAL {self.look_back}"))).distinct()
+        mark = self.spark.range(1).select(first.alias("place"), F.lit(True).alias("cursor"))
+        seen.select("place", F.lit(False).alias("cursor")).unionByName(mark).write.mode("overwrite").parquet(f"{self.root}/0")
+        self.generation, self._page = 0, None
+
+    def _state(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{self.generation}")
+
+    def poll(self, df: DataFrame) -> DataFrame:
+        """The next page, oldest first."""
+        state = self._state()
+        cursor = state.where("cursor").first()["place"]
+        after = F.struct(F.lit(cursor["time"]).alias("time"), F.lit(cursor["kind"]).alias("kind"), F.lit(cursor["key"]).alias("key"))
+        # The filter on time reaches the scan; the exact place is compared after it.
+        recent = df.where(F.col(self.time) >= self._back(cursor["time"])).withColumn("_place", self._place())
+        sent = state.where("NOT cursor").select(F.col("place").alias("_place"))
+        fresh = recent.where(F.col("_place") > after).unionByName(recent.where(F.col("_place") <= after).join(sent, "_place", "left_anti").select(recent.columns))
+        self._page = fresh.dropDuplicates(["_place"]).orderBy("_place").limit(self.most)
+        return self._page.drop("_place")
+
+    def commit(self) -> int:
+        """Take the last page as sent; the number of its updates."""
+        own = self._page.select("_place")
+        page = self.spark.createDataFrame(own.collect(), own.schema)  # ``most`` rows
+        state, rows = self._state(), page.count()
+        if rows:
+            cursor = state.where("cursor").first()["place"]
+            last = page.agg(F.max("_place")).first()[0]
+            last = max(last, cursor, key=lambda p: (p["time"], p["kind"], p["key"]))
+            keep = state.where("NOT cursor").select("place").unionByName(page.select(F.col("_place").alias("place"))).where(F.col("place.time") >= self._back(last["time"])).distinct()
+            mark = self.spark.createDataFrame([(last, True)], state.select("place", "cursor").schema)
+            keep.select("place", F.lit(False).alias("cursor")).unionByName(mark).write.mode("overwrite").parquet(f"{self.root}/{self.generation + 1}")
+            self.generation += 1
+        self._page = None
+        return rows
+
+
 def parse_cursor(text: str | None) -> tuple[str, str, str]:
     """A cursor's parts; a malformed one starts from the end of time's first page: nothing old is sent again."""
     parts = (text or "").split("~")
