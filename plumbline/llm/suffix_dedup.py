@@ -308,7 +308,9 @@ def sorted_runs(candidates: DataFrame, s: Shape, ranges: int) -> DataFrame:
                 data = unzip.decompress(packed.as_py())
                 ids = (doc.as_py(), text_hash.as_py())
                 # The low bits deal the ranges: anchors are least hashes, so their high bits are mostly 0.
-                for gram, spot in zip(spots.values.field("gram").to_pylist(), spots.values.field("spot").to_pylist(), strict=True):
+                for gram, spot, hot in zip(*(spots.values.field(c).to_pylist() for c in ("gram", "spot", "hot")), strict=True):
+                    if hot:
+                        continue
                     at, lo, hi = spot >> 16, spot >> 8 & 255, spot & 255
                     held[((gram & (1 << 32) - 1) * ranges) >> 32].append((data[at : at + s.length - lo], data[at - hi : at][::-1], *ids, at, lo, hi))
                 size += 300 * len(spots.values)
@@ -410,35 +412,36 @@ def removed_spans(docs: DataFrame, s: Shape | None = None) -> DataFrame:
     doc = ["_id", "_text"]
     spots = anchor_rows(docs, s)
     # Written first, so that both sides of the join are plain exchanges, of which a hot gram's can be split.
-    twice = materialize(spots.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "suffix-grams")
-    hot = twice.where(F.col("n") > s.hot).select("gram")
-    flagged = spots.join(twice.where(F.col("n") <= s.hot).select("gram"), "gram").groupBy(*doc).agg(F.collect_set(F.struct("gram", "spot")).alias("spots"))
+    grams = spots.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > s.hot).alias("hot"))
+    flagged = spots.join(materialize(grams, "suffix-grams"), "gram").groupBy(*doc).agg(F.collect_set(F.struct("gram", "spot", "hot")).alias("spots"))
     flagged = materialize(flagged, "suffix-spots")
-    total = flagged.agg(F.sum(F.size("spots"))).first()[0] or 0
-    ranges = max(1, math.ceil(total / s.range_rows))
+    merged, hot = flagged.agg(F.sum(F.size(F.filter("spots", lambda x: ~x["hot"]))), F.max(F.exists("spots", lambda x: x["hot"]))).first()
+    ranges = max(1, math.ceil((merged or 0) / s.range_rows))
     candidates = docs.select(*doc, squeezed("text").alias("packed")).join(flagged, doc)
+    if hot:  # both ways read the texts, which move once
+        candidates = materialize(candidates, "suffix-texts")
     spans = merged_spans(sorted_runs(candidates, s, ranges), s, ranges)
-    if hot.head(1):
-        spans = spans.unionByName(hashed_spans(docs, spots.join(hot, "gram"), s))
+    if hot:
+        spans = spans.unionByName(hashed_spans(candidates, s))
     return materialize(spans.groupBy("_id", "_text").agg(F.collect_list("span").alias("spans")), "suffix-spans")
 
 
-def hashed_spans(docs: DataFrame, spots: DataFrame, s: Shape) -> DataFrame:
-    """_id, _text, span of each window under ``spots`` whose bytes stand elsewhere, by hashes of whole windows."""
+def hashed_spans(candidates: DataFrame, s: Shape) -> DataFrame:
+    """_id, _text, span of each window under hot spots whose bytes stand elsewhere, by hashes of whole windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             for doc, text_hash, packed, found in zip(*batch.columns, strict=True):
-                data, spots = unzip.decompress(packed.as_py()), found.values.to_numpy()
+                data, spots = unzip.decompress(packed.as_py()), found.values.to_numpy(zero_copy_only=False)
                 at, lo, hi = spots >> 16, spots >> 8 & 255, spots & 255
                 starts = np.unique(np.concatenate([np.arange(a - h, a - x + 1) for a, x, h in zip(at, lo, hi, strict=True)]))
                 n = len(starts)
                 both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[i : i + s.length]) for i in starts.tolist()]), np.int64).reshape(n, 2)
                 yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * n, pa.int64()), pa.array([text_hash.as_py()] * n, pa.int64()), pa.array(starts, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["_id", "_text", "start", "a", "b"])
 
-    flagged = spots.groupBy("_id", "_text").agg(F.collect_set("spot").alias("spots"))
-    texts = docs.select("_id", "_text", squeezed("text").alias("packed")).join(flagged, ["_id", "_text"]).select("_id", "_text", "packed", "spots")
+    hot = F.transform(F.filter("spots", lambda x: x["hot"]), lambda x: x["spot"])
+    texts = candidates.select("_id", "_text", "packed", hot.alias("spots")).where(F.size("spots") > 0)
     windows = materialize(texts.mapInArrow(run, "_id long, _text long, start long, a long, b long"), "suffix-windows")
     twice = windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
     return windows.join(twice, ["a", "b"]).select("_id", "_text", (F.shiftleft("start", 20) + s.length).alias("span"))
