@@ -698,10 +698,50 @@ def _csv_text(head: str, line: Callable[[str, str], str], code: str = "utf-8") -
     return run
 
 
+def _lines(s: SparkSession, d: str, source: str, key: str, first: str, line: str, last: str = "", one: bool = False) -> str:
+    """A folder of text written by Spark: ``first``, a ``line`` (SQL) for each row by ``key``, ``last``; in one file or several."""
+    rows = table(s, d, source).selectExpr(f"{key} AS _o", f"{line} AS value")
+    ends = s.createDataFrame([(-1, first)] + [(2**62, last)] * bool(last), "_o long, value string")
+    path, whole = _new_file(s, "lines"), ends.unionByName(rows)
+    whole = whole.coalesce(1) if one else whole.repartitionByRange("_o")
+    whole.sortWithinPartitions("_o").select("value").write.text(path)
+    return path
+
+
+def _as_csv(head: str, line: str, source: str = "customer", key: str = "c_custkey") -> Query:
+    return lambda s, d: files.read_table(s, _lines(s, d, source, key, head, line), "csv").df.withColumnRenamed(ROW, "place")
+
+
 _AS_READ = "SELECT CAST(n_nationkey AS VARCHAR) AS key, {0}, row_number() OVER (ORDER BY n_nationkey) - 1 AS place FROM nation"
+_AS_LINES = "SELECT CAST(c_custkey AS VARCHAR) AS key, {0}, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer"
 add("src_decode", _csv_text("key,name", lambda k, n: f"{k},{n} \u00e9\u0661", "utf-16"), _AS_READ.format("n_name || ' \u00e9\u0661' AS name"))
-add("src_sniff", _csv_text("key;name;mark", lambda k, n: f"{k};{n}, {k};x"), _AS_READ.format("n_name || ', ' || n_nationkey AS name, 'x' AS mark"))
-add("src_header", _csv_text(" key ,,name,name", lambda k, n: f"{k},{n[:1]},{n}" + f",{k}" * (int(k) % 2)), _AS_READ.format("n_name[1:1] AS column_2, n_name AS name, CASE WHEN n_nationkey % 2 = 1 THEN CAST(n_nationkey AS VARCHAR) ELSE '' END AS name_2"))
+add("src_sniff", _as_csv("key;name;mark", "concat(c_custkey, ';', c_name, ', ', c_custkey, ';x')"), _AS_LINES.format("c_name || ', ' || c_custkey AS name, 'x' AS mark"))
+add(
+    "src_header",
+    _as_csv(" key ,,name,name", "concat(c_custkey, ',', left(c_name, 1), ',', c_name, CASE WHEN c_custkey % 2 = 1 THEN concat(',', c_custkey) ELSE '' END)"),
+    _AS_LINES.format("c_name[1:1] AS column_2, c_name AS name, CASE WHEN c_custkey % 2 = 1 THEN CAST(c_custkey AS VARCHAR) ELSE '' END AS name_2"),
+)
+# Every third order has a cell of two lines, with separators and quotes in it.
+add(
+    "src_csv_quoted",
+    _as_csv(
+        "key,note,price",
+        """concat(o_orderkey, ',', CASE WHEN o_orderkey % 3 = 0 THEN concat('"', o_orderpriority, ', ""', o_orderstatus, '""\n', date_format(o_orderdate, 'yyyy-MM-dd'), '"') ELSE o_orderstatus END, ',', o_custkey)""",
+        "orders",
+        "o_orderkey",
+    ),
+    """SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority || ', "' || o_orderstatus || '"' || chr(10) || strftime(o_orderdate, '%Y-%m-%d') ELSE o_orderstatus END AS note,
+ CAST(o_custkey AS VARCHAR) AS price, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders""",
+)
+
+
+def _json_list(s: SparkSession, d: str) -> DataFrame:
+    least = table(s, d, "customer").agg(F.min("c_custkey")).first()[0]
+    line = f"""concat(CASE WHEN c_custkey = {least} THEN '' ELSE ',' END, to_json(named_struct('key', c_custkey, 'name', concat(c_name, ' }}, "[', c_mktsegment), 'of', named_struct('nation', c_nationkey))))"""
+    return files.read_table(s, _lines(s, d, "customer", "c_custkey", "[", line, "]", one=True), "json").df.withColumnRenamed(ROW, "place")
+
+
+add("src_json_list", _json_list, _AS_LINES.format("""c_name || ' }, "[' || c_mktsegment AS name, CAST(c_nationkey AS VARCHAR) AS "of.nation" """))
 # A workbook's parts by the public format; style 1 shows a date.
 _BOOK = {
     "xl/workbook.xml": '<workbook xmlns="{0}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Nations" sheetId="1" r:id="r1"/></sheets></workbook>',
@@ -754,7 +794,11 @@ def _export(s: SparkSession, d: str) -> DataFrame:
 add("sink_export", _export, 'SELECT o_orderpriority AS "group", count(*) AS n FROM orders GROUP BY 1')
 
 
-add("sink_name", lambda s, d: s.createDataFrame([(k, store.download_name(f"{n} & more", k)) for k, n in _nations(s, d)], "key string, name string"), "SELECT CAST(n_nationkey AS VARCHAR) AS key, trim(regexp_replace(lower(n_name || ' & more'), '[^a-z0-9]+', '-', 'g'), '-')[1:48] || '-' || n_nationkey || '-cleaned.csv' AS name FROM nation")
+add(
+    "sink_name",
+    lambda s, d: table(s, d, "customer").select("c_custkey", store.name_of(F.concat("c_name", F.lit(" & more, "), "c_mktsegment"), F.col("c_custkey").cast("string")).alias("name")),
+    "SELECT c_custkey, trim(regexp_replace(lower(c_name || ' & more, ' || c_mktsegment), '[^a-z0-9]+', '-', 'g'), '-')[1:48] || '-' || c_custkey || '-cleaned.csv' AS name FROM customer",
+)
 
 # ---- joins as a stage, names on a clash, refusals, inputs and charts
 

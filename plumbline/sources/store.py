@@ -84,6 +84,12 @@ def download_name(goal: str | None, run_id: str) -> str:
     return f"{slug or 'run'}-{run_id}-cleaned.csv"
 
 
+def name_of(goal: Column, run_id: Column) -> Column:
+    """``download_name`` of many runs at once."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(goal, F.lit(""))), "[^a-z0-9]+", "-"), "^-|-$", "")
+    return F.concat(F.coalesce(F.nullif(F.substring(slug, 1, 48), F.lit("")), F.lit("run")), F.lit("-"), run_id, F.lit("-cleaned.csv"))
+
+
 def sample_dataset(spark: SparkSession) -> DataFrame:
     """A small sales table: 12 months, 2 regions, 3 categories."""
     rows = []
