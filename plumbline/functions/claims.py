@@ -177,8 +177,8 @@ def causal_claims(c: Column) -> Column:
     return F.filter(F.transform(told, judged), lambda x: x["phrase"].isNotNull())
 
 
-#: What a sentence with a claim holds somewhere: stems of the English rules, or an Arabic letter.
-_BEGINS = "[ء-ي]|" + "|".join(sorted({w[:4] for k in ("causes", "brings", "leads", "results", "owed", "multiplies", "changes", "forces") for w in words(k)})) + "|because|responsible"
+#: What a sentence with a claim holds somewhere: a word that an English rule begins with, or an Arabic letter.
+_BEGINS = r"[ء-ي]|(?U)\b(?:" + "|".join([*[w for k in ("causes", "brings", "leads", "results", "owed", "multiplies", "changes", "forces") for w in words(k)], "because", "responsible"]) + r")\b"
 
 
 def _lower(token: Column) -> Column:

@@ -209,18 +209,23 @@ def merge(table: AnalysisTable, lookups: list[Lookup], joins: list[Join], date_c
         now = finished(held, both, look, names, *marks, f"_hit{i}", f"_blank{i}", f"_key{i}")
         marks += [f"_hit{i}", f"_blank{i}", f"_key{i}"]
     refuse_repeats(looked)
-    alive, aggregates = F.lit(True), []
+    # Every merged row says of each join whether it took part, matched, lacked a key, and by which key; equal keys meet
+    # before they are counted, in one pass and without a copy of the rows for each join.
+    alive, told = F.lit(True), []
     for i, j in enumerate(joins):
         hit = alive & F.col(f"_hit{i}")
-        aggregates += [F.count_if(alive).alias(f"in{i}"), F.count_if(hit).alias(f"hit{i}"), F.count_if(alive & F.col(f"_blank{i}")).alias(f"blank{i}"), F.count_distinct(F.when(hit, F.col(f"_key{i}"))).alias(f"used{i}")]
+        key = [F.when(hit, F.xxhash64(*x)).alias(f"h{n}") for n, x in enumerate(([f"_key{i}"], [F.lit(1), f"_key{i}"]))]
+        flags = [x.cast("long").alias(n) for n, x in (("came", alive), ("hit", hit), ("blank", alive & F.col(f"_blank{i}")))]
+        told.append(F.struct(F.lit(i).alias("at"), *key, *flags))
         alive = hit if j.how == "inner" else alive
+    each = now.df.select(F.explode(F.array(*told)).alias("x")).select("x.*").groupBy("at", "h0", "h1").agg(*[F.sum(c).alias(c) for c in ("came", "hit", "blank")])
+    row = {r["at"]: r for r in each.groupBy("at").agg(*[F.sum(c).alias(c) for c in ("came", "hit", "blank")], F.count("h0").alias("used")).collect()}
     sizes = [F.lit(i).alias("at") for i in range(len(joins))]
     counted = {r["at"]: r["n"] for r in reduce(DataFrame.unionByName, [c.select(at).groupBy("at").agg(F.count("*").alias("n")) for (_, c, _), at in zip(looked, sizes, strict=True)]).collect()}
-    row = now.df.agg(*aggregates).first()
     out = Merged(AnalysisTable(now.df.where(alive).drop(*marks), now.numeric, now.order, now.roles))
     for i, (j, look, alias) in enumerate(zip(joins, lookups, aliases, strict=True)):
-        n, hit = row[f"in{i}"], row[f"hit{i}"]
-        figures = {"rows_in": n, "matched": hit, "unmatched": n - hit, "coverage": round(hit / n, 4) if n else 0.0, "empty_keys": row[f"blank{i}"], "lookup_unused": counted.get(i, 0) - row[f"used{i}"]}
+        n, hit, blank, used = (row[i][c] for c in ("came", "hit", "blank", "used")) if i in row else (0, 0, 0, 0)
+        figures = {"rows_in": n, "matched": hit, "unmatched": n - hit, "coverage": round(hit / n, 4) if n else 0.0, "empty_keys": blank, "lookup_unused": counted.get(i, 0) - used}
         out.stats.append(figures | {"alias": alias, "how": j.how, "rows_out": hit if j.how == "inner" else n, "dropped_empty": look.empty, "dropped_duplicates": look.duplicates})
     return out
 
