@@ -41,6 +41,15 @@ def trend(df: DataFrame, measure: str, label: Column) -> DataFrame:
     return rows.groupBy("label").agg(F.round(exact_sum(F.col(measure)), 2).alias("total"), F.count("*").alias("n"))
 
 
+#: Periods that a line may have: all of them meet in one task, and in a chart. Over 27 years of days.
+MOST_PERIODS = 10_000
+
+
+def few_periods(periods: DataFrame, most: int = MOST_PERIODS) -> bool:
+    """Whether a column's labels are few enough to be periods; a column called "date" may hold any text."""
+    return periods.limit(most + 1).count() <= most
+
+
 def total(df: DataFrame, measure: str) -> DataFrame:
     return df.agg(F.round(exact_sum(F.col(measure)), 2).alias("total"), F.count(measure).alias("n"))
 

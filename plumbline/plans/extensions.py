@@ -83,6 +83,8 @@ class SeasonalModel(_Model):
         if not clean.get("date_column"):
             return self.told({"fitted": False, "periods": 0}, (), "", "")
         periods = analysis.trend(table.df, f"`{results['governance'].output['measure']}`", F.col(f"`{clean['date_column']}`"))
+        if not analysis.few_periods(periods):
+            return self.told({"fitted": False, "periods": analysis.MOST_PERIODS}, (), "", "")
         card = models.seasonal(periods, clean.get("grain") or "month")
         return self.told(card, ("error", "baseline_error"), "A season repeats and helps the forecast.", "No season helps the forecast.")
 

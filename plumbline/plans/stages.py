@@ -233,7 +233,12 @@ def _prepare(ctx: Context) -> Result:
         parts = ctx.by_group.agg(F.sum(F.col("total").cast("decimal(28,2)")).cast("double")).first()[0] or 0.0
         out.check("groups_reconcile", abs(parts - (row["total"] or 0.0)) < 0.01 * max(1, ctx.by_group.count()))
     if ctx.cleaned.date_column:
-        ctx.periods = analysis.trend(df, m, ctx.label()).persist()
+        periods = analysis.trend(df, m, ctx.label()).persist()
+        if analysis.few_periods(periods):
+            ctx.periods = periods
+        else:
+            out.calc("c_periods", "periods", analysis.MOST_PERIODS, "the most that are taken for periods")
+            out.claim("cl_periods", "limitation", f"“{ctx.cleaned.date_column}” holds more than {analysis.MOST_PERIODS} labels, so no trend over it is reported.", "c_periods")
     return out
 
 

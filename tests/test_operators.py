@@ -327,3 +327,8 @@ def test_shares_of_many_groups_match_a_plain_running_sum(spark):
     assert c["segments"] == 400 and c["pareto_count"] == sum(r[3] < 0.8 for r in want) + 1
     assert analysis.shares(df.where("total = 0")).count() == 0
     assert analysis.shares(df.limit(0)).count() == 0
+
+
+def test_more_labels_than_periods(spark):
+    labels = spark.range(30).select(F.col("id").cast("string").alias("label"))
+    assert analysis.few_periods(labels, 30) and not analysis.few_periods(labels, 29)
