@@ -231,7 +231,14 @@ def _caused(s: SparkSession, d: str) -> DataFrame:
 
 
 add("txt_causal", _caused, f"SELECT doc_id, ({claims.sql_count('x')}) AS n FROM (SELECT doc_id, {_CAUSED} AS x FROM documents)")
-add("txt_raw_rows", lambda s, d: table(s, d, "documents").select("doc_id", text.raw_rows(F.concat(F.col("text"), F.when(F.col("doc_id") % 5 == 0, F.repeat(F.lit("\n1,2,3"), 8)).otherwise(""))).alias("raw")))
+_PASTED = "text || CASE WHEN doc_id % 5 = 0 THEN repeat('\n1,2,3', 8) WHEN doc_id % 5 = 1 THEN repeat('\n1;2;3', 7) WHEN doc_id % 5 = 2 THEN repeat('\na,b,c', 9) ELSE '' END"
+# Runs of neighbouring lines with a digit and equally many separators, two at least; the documents hold no other kind of pasted rows.
+_RAW = f"""WITH s AS (SELECT doc_id, string_split({_PASTED}, '\n') AS lines FROM documents), l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM s),
+ w AS (SELECT doc_id, i, d, len(line) - len(replace(line, d, '')) AS n, regexp_matches(line, '[0-9]') AS digit FROM l, (VALUES (','), (';'), ('\t')) v(d)),
+ r AS (SELECT doc_id, d, n, i - row_number() OVER (PARTITION BY doc_id, d, n ORDER BY i) AS run FROM w WHERE n >= 2 AND digit),
+ f AS (SELECT doc_id FROM r GROUP BY doc_id, d, n, run HAVING count(*) >= 8)
+SELECT doc_id, doc_id IN (SELECT doc_id FROM f) AS raw FROM documents"""
+add("txt_raw_rows", lambda s, d: table(s, d, "documents").select("doc_id", text.raw_rows(F.expr(_PASTED)).alias("raw")), _RAW)
 add("txt_figcheck", lambda s, d: text.check_figures(table(s, d, "documents"), "text", {"answer": 42.0, "share": 0.45}, "doc_id"))
 
 # ---- joins
@@ -650,7 +657,11 @@ def _suggested(s: SparkSession, d: str) -> DataFrame:
 
 add("mp_suggest", _suggested)
 add("kp_avail", lambda s, d: s.createDataFrame([(k, ",".join(v)) for k, v in maintenance.computable(_kpi_rows(s, d).columns[:8], maintenance.register())[1].items()], "kpi string, missing string"))
-add("jn_preview", lambda s, d: joins.preview(joins.merge(holed(s, d), [_customers(s, d)], [joins.Join((("cust", "code"),), name="customers.csv")])))
+add(
+    "jn_preview",
+    lambda s, d: joins.preview(joins.merge(holed(s, d), [_customers(s, d)], [joins.Join((("cust", "code"),), name="customers.csv")])),
+    WITH + f", c AS ({_LOOK}) SELECT t.*, coalesce(c.segment, '') AS segment, c.balance FROM t LEFT JOIN c ON t.cust = CAST(c.code AS DOUBLE) ORDER BY o_orderkey LIMIT 5",
+)
 add("ex_detect", lambda s, d: s.createDataFrame([(experiments.find_column(_EVENTS(s, d).withColumnRenamed("arm", "variant"), ["variant"]) or ("none",))[:1]], "column string"))
 
 

@@ -236,5 +236,5 @@ def check_breakdown(merged: Merged, breakdown: str | None) -> None:
 
 
 def preview(merged: Merged, rows: int = 5) -> DataFrame:
-    """The same plan the run uses, cut to a few rows."""
-    return merged.table.df.limit(rows)
+    """The same plan the run uses, cut to its first rows in the table's order."""
+    return merged.table.df.orderBy(*[F.col(f"`{c}`") for c in merged.table.order]).limit(rows)
