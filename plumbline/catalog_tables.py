@@ -237,14 +237,10 @@ def _fed(s: SparkSession, d: str) -> DataFrame:
     twice = events.unionByName(events)
     feed = live.Feed(s, f"{work_folder(s)}/feed-{uuid.uuid4().hex}", "ts", "event_type", "event_id", "400 DAYS", most=6_000)
     feed.start(twice, "1970-01-01 00:00:00~~")
-    at, pages = f"{work_folder(s)}/pages-{uuid.uuid4().hex}", 0
+    at = f"{work_folder(s)}/pages-{uuid.uuid4().hex}"
     for there in (twice.where("event_id % 8 > 0"), twice):
-        while True:
-            page = feed.poll(there)
-            page.select("event_id", F.lit(pages).alias("page")).write.mode("append").parquet(at)
-            if not feed.commit():
-                break
-            pages += 1
+        feed.pages(there).select("event_id", "page").write.mode("append").parquet(at)
+        feed.commit()
     return s.read.parquet(at).groupBy("event_id").agg(F.count("*").alias("n"))
 
 

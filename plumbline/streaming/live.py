@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import clean
+from ..operators.table import number_rows
 from ..sources.store import snapshot
 
 #: Updates that arrive this late are still looked for; repeats within it are dropped.
@@ -95,6 +96,7 @@ class Feed:
         self.spark, self.root, self.time, self.kind, self.key, self.look_back, self.most = spark, root.rstrip("/"), time, kind, key, look_back, most
         self.generation = 0
         self._page: DataFrame | None = None
+        self._settled = False
 
     def _place(self) -> Column:
         return F.struct(F.col(self.time).alias("time"), F.col(self.kind).cast("string").alias("kind"), F.col(self.key).cast("string").alias("key"))
@@ -114,8 +116,8 @@ class Feed:
     def _state(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{self.generation}")
 
-    def poll(self, df: DataFrame) -> DataFrame:
-        """The next page, oldest first."""
+    def _fresh(self, df: DataFrame) -> DataFrame:
+        """What was not sent, once each, with its ``_place``."""
         state = self._state()
         cursor = state.where("cursor").first()["place"]
         after = F.struct(F.lit(cursor["time"]).alias("time"), F.lit(cursor["kind"]).alias("kind"), F.lit(cursor["key"]).alias("key"))
@@ -123,13 +125,27 @@ class Feed:
         recent = df.where(F.col(self.time) >= self._back(cursor["time"])).withColumn("_place", self._place())
         sent = state.where("NOT cursor").select(F.col("place").alias("_place"))
         fresh = recent.where(F.col("_place") > after).unionByName(recent.where(F.col("_place") <= after).join(sent, "_place", "left_anti").select(recent.columns))
-        self._page = fresh.dropDuplicates(["_place"]).orderBy("_place").limit(self.most)
+        return fresh.dropDuplicates(["_place"])
+
+    def poll(self, df: DataFrame) -> DataFrame:
+        """The next page, oldest first."""
+        self._page, self._settled = self._fresh(df).orderBy("_place").limit(self.most), False
         return self._page.drop("_place")
 
+    def pages(self, df: DataFrame, name: str = "page") -> DataFrame:
+        """All pages that ``poll`` and ``commit`` in turn would give of ``df`` as it is, numbered from 0 in the column ``name``.
+
+        A page changes nothing for those after it but where they begin: late updates come first in the order of places,
+        and the cursor passes them only when none is left. So the pages are stretches of ``most`` of one order, found in one
+        pass however many they are. ``commit`` takes all of them as sent."""
+        self._page, self._settled = number_rows(self._fresh(df), "_place", name="_nth"), True
+        return self._page.withColumn(name, F.floor(F.col("_nth") / self.most)).drop("_place", "_nth")
+
     def commit(self) -> int:
-        """Take the last page as sent; the number of its updates."""
-        own = self._page.select("_place")
-        page = self.spark.createDataFrame(own.collect(), own.schema)  # ``most`` rows
+        """Take the last page, or all ``pages``, as sent; the number of their updates."""
+        page = self._page.select("_place")
+        if not self._settled:
+            page = self.spark.createDataFrame(page.collect(), page.schema)  # ``most`` rows
         state, rows = self._state(), page.count()
         if rows:
             cursor = state.where("cursor").first()["place"]

@@ -119,3 +119,37 @@ def test_wide_tables_skip_detectors_by_name(spark):
 def test_budget_leaves_findings_alone(spark):
     rows = spark.range(100).select(F.col("id").alias(ROW), F.col("id").cast("string").alias("parts_cost"), (F.col("id") * 2).cast("string").alias("labour_cost"), (F.col("id") * 3.5 + 1).cast("string").alias("repair_cost"))
     assert [f.columns for f in detectors.run_all(rows, ROW) if f.detector == "broken_identity"] == [["repair_cost", "parts_cost", "labour_cost"]]
+
+
+def test_feed_gives_all_pages_in_one_pass(spark, tmp_path):
+    rnd = random.Random(9)
+    rows = [(f"2025-01-01 00:00:{rnd.randrange(8):02d}", rnd.choice(["run", "source"]), i) for i in range(60)]
+    make = lambda some: spark.createDataFrame(some * 2, "t string, kind string, id int").withColumn("t", F.to_timestamp("t"))
+    feeds = [live.Feed(spark, str(tmp_path / name), "t", "kind", "id", "5 SECONDS", most=7) for name in ("polled", "whole")]
+    for feed in feeds:
+        feed.start(make(rows[20:]), "2025-01-01 00:00:00~~")
+    state = lambda feed: sorted((str(r["place"]), r["cursor"]) for r in feed._state().collect())
+    key = lambda r: (r["t"], r["kind"], str(r["id"]))
+    for there in (rows[20:], rows, rows):  # the second time some are late, the third time nothing is new
+        polled, whole = [], {}
+        while page := [key(r) for r in feeds[0].poll(make(there)).collect()]:
+            polled.append(page)
+            feeds[0].commit()
+        for r in feeds[1].pages(make(there)).collect():
+            whole.setdefault(r["page"], []).append(key(r))
+        assert [sorted(whole[i]) for i in sorted(whole)] == polled and sorted(whole) == list(range(len(polled)))
+        assert feeds[1].commit() == sum(map(len, polled))
+        assert state(feeds[0]) == state(feeds[1])
+
+
+def test_the_number_of_pages_does_not_multiply_jobs(spark, tmp_path):
+    def jobs(most):
+        feed = live.Feed(spark, str(tmp_path / f"n{most}"), "t", "kind", "id", "1 DAY", most=most)
+        df = spark.range(300).select(F.timestamp_seconds("id").alias("t"), F.lit("run").alias("kind"), "id")
+        feed.start(df, "1970-01-01 00:00:00~~")
+        spark.sparkContext.setJobGroup(f"most{most}", "")
+        assert feed.pages(df).agg(F.max("page")).first()[0] == -(-300 // most) - 1 and feed.commit() == 300
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"most{most}"))
+
+    assert jobs(3) == jobs(300)
