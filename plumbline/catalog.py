@@ -612,7 +612,7 @@ add("rk_targets", lambda s, d: maintenance.labelled(_risk_rows(s, d), "repeat_fa
 
 def _rule(s: SparkSession, d: str) -> DataFrame:
     rows = models.split(maintenance.labelled(_risk_rows(s, d), "sla_breach"), None)
-    return maintenance.rule_guess(rows.where(~F.col("held_out")), rows.where("held_out"), "Shift", ROW).groupBy("actual", "predicted").agg(F.count("*").alias("n"))
+    return maintenance.rule_counts(rows, "Shift", ROW)
 
 
 _RK = "WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS g, l_quantity * (0.5 + l_tax * 12) > l_quantity AS label FROM lineitem), c AS (SELECT g, label, count(*) AS n, min(id) AS o FROM r WHERE id % 5 > 0 GROUP BY 1, 2), b AS (SELECT g, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, o) AS i FROM c) WHERE i = 1), p AS (SELECT label AS actual, predicted FROM r JOIN b USING (g) WHERE id % 5 = 0) "

@@ -14,6 +14,8 @@ WESTERN_DIGITS = "01234567890123456789"
 CURRENCY = r"(?i)(?:ر\.س|د\.إ|ج\.م|\b(?:usd|eur|gbp|sar|aed|egp|kwd|qar|omr|bhd)\b|[$€£¥₹﷼])"
 HARD_SPACES = "   "
 PLAIN = r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$"
+#: The same as a match: one line end may follow, as ``$`` allows and a cast to a number takes.
+PLAIN_LINE = PLAIN[:-1] + r"(?=(?:\r\n?|\n)?\z)"
 GROUPED = r"^[+-]?\d{1,3}(?:(?:,\d{3})+|(?: \d{3})+)(?:\.\d+)?$"
 
 
@@ -29,8 +31,9 @@ def finite(c: Column) -> Column:
 
 def plain_number(c: Column) -> Column:
     """Unmapped cells: all commas go, then the rest must be a finite number."""
-    text = F.trim(F.regexp_replace(c, ",", ""))
-    return finite(F.when(text.rlike(PLAIN), text.try_cast("double")))
+    # Each step names the one before once: where a filter or a fallback evaluates the whole expression, it is read once.
+    number = F.regexp_extract(F.trim(F.replace(c, F.lit(","), F.lit(""))), PLAIN_LINE, 0).try_cast("double")
+    return F.get(F.filter(F.array(number), lambda x: F.abs(x) < float("inf")), F.lit(0))
 
 
 def mapped_number(c: Column) -> Column:

@@ -145,8 +145,9 @@ def classify(model: list[Any], inputs: list[Column]) -> Column:
 
 
 def balanced_accuracy(pairs: DataFrame) -> DataFrame:
-    """Of (actual, predicted): the mean of each class's hit rate, 6 digits."""
-    each = pairs.groupBy("actual").agg((F.count_if(F.col("actual") == F.col("predicted")) / F.count("*")).alias("rate"))
+    """Of (actual, predicted), or of (actual, predicted, n) counted: the mean of each class's hit rate, 6 digits."""
+    n = F.col("n") if "n" in pairs.columns else F.lit(1)
+    each = pairs.groupBy("actual").agg((F.sum(F.when(F.col("actual") == F.col("predicted"), n).otherwise(0)) / F.sum(n)).alias("rate"))
     return each.agg(F.round(F.avg("rate"), 6).alias("balanced_accuracy"), F.count("*").alias("classes"))
 
 

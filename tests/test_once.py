@@ -1,8 +1,12 @@
 """Costly steps stand once in a plan, and give what the plain forms give."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from plumbline.functions import text
+from plumbline.functions import numbers, text
+from plumbline.operators import maintenance, models
+from plumbline.operators.table import ROW
 
 
 def plan(df):
@@ -14,3 +18,24 @@ def test_a_text_is_lowered_once_for_all_phrases(spark):
     made = df.select("i", text.jargon_phrases(F.col("t")).alias("p"))
     assert {r["i"]: r["p"] for r in made.collect()} == {0: [j for j in text.JARGON if j in "a p-value, anova and z-test; the null hypothesis"], 1: [], 2: [], 3: []}
     assert plan(df.select("i", text.jargon(F.col("t")).alias("p"))).count("lower(coalesce") == 1
+
+
+def test_a_cell_is_parsed_once_where_it_is_filtered(spark):
+    cells = ["1", " 1,234.5 ", "-.5e3", "1e999", "-1e999", "NaN", "Infinity", "1d", "0x1p3", "", " ", None, "12\n", "12\r\n", "12\n\n", "\n12", "1.2.3", "+7.", "1 2", "12\u0085", "12 "]
+    df = spark.createDataFrame(list(enumerate(cells)), "i int, t string")
+    trimmed = F.trim(F.regexp_replace("t", ",", ""))
+    plain = numbers.finite(F.when(trimmed.rlike(numbers.PLAIN), trimmed.try_cast("double")))
+    both = df.select("i", numbers.plain_number(F.col("t")).alias("got"), plain.alias("plain")).collect()
+    assert [r["got"] for r in both] == [r["plain"] for r in both] and both[1]["got"] == 1234.5 and both[12]["got"] == 12.0
+    assert plan(df.where(numbers.plain_number(F.col("t")).isNotNull())).count("t#") <= 4  # the filter's one, those of Spark's own null check and scan
+
+
+def test_rule_counts_are_the_counted_guesses(spark):
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice(["a", "b", None, "only test" if i % 5 == 0 else "c"]), rnd.random() < 0.5) for i in range(400)]
+    df = models.split(spark.createDataFrame(rows, f"{ROW} long, g string, label boolean"))
+    guessed = maintenance.rule_guess(df.where(~F.col("held_out")), df.where("held_out"), "g", ROW)
+    counted = maintenance.rule_counts(df, "g", ROW)
+    as_rows = lambda x: sorted(map(tuple, x.collect()))
+    assert as_rows(guessed.groupBy("actual", "predicted").agg(F.count("*").alias("n"))) == as_rows(counted)
+    assert as_rows(models.balanced_accuracy(guessed)) == as_rows(models.balanced_accuracy(counted))
