@@ -202,12 +202,16 @@ def broken_identity(s: Shape, order: str | None = None, at_once: int = 60) -> li
 
 
 def _broken(s: Shape, trios: list[tuple[str, str, str]]) -> list[Finding]:
+    # Each column is parsed once; the candidates read numbers.
+    at = {c: f"_{i}" for i, c in enumerate(dict.fromkeys(c for trio in trios for c in trio))}
+    parsed = s.df.select(*[number(c).alias(n) for c, n in at.items()])
     aggs = []
     for i, (t, a, b) in enumerate(trios):
-        gap = number(t) - (number(a) + number(b))
+        whole, parts = F.col(at[t]), F.col(at[a]) + F.col(at[b])
+        gap = whole - parts
         has = gap.isNotNull()
-        aggs += [F.count_if(has).alias(f"n{i}"), F.count_if(has & (F.abs(gap) > OFF_BY)).alias(f"o{i}"), F.sum(exact(gap)).cast("double").alias(f"g{i}"), F.sum(F.when(has, exact(number(t)))).cast("double").alias(f"t{i}"), F.sum(F.when(has, exact(number(a) + number(b)))).cast("double").alias(f"p{i}")]
-    row = s.df.agg(*aggs).first()
+        aggs += [F.count_if(has).alias(f"n{i}"), F.count_if(has & (F.abs(gap) > OFF_BY)).alias(f"o{i}"), F.sum(exact(gap)).cast("double").alias(f"g{i}"), F.sum(F.when(has, exact(whole))).cast("double").alias(f"t{i}"), F.sum(F.when(has, exact(parts))).cast("double").alias(f"p{i}")]
+    row = parsed.agg(*aggs).first()
     for i, (t, a, b) in enumerate(trios):
         n, off, whole, parts = row[f"n{i}"], row[f"o{i}"], row[f"t{i}"], row[f"p{i}"]
         if n and off == n and whole > 0 and parts <= whole and GAP_LEAST <= (whole - parts) / whole <= GAP_MOST:
