@@ -39,3 +39,11 @@ def test_rule_counts_are_the_counted_guesses(spark):
     as_rows = lambda x: sorted(map(tuple, x.collect()))
     assert as_rows(guessed.groupBy("actual", "predicted").agg(F.count("*").alias("n"))) == as_rows(counted)
     assert as_rows(models.balanced_accuracy(guessed)) == as_rows(models.balanced_accuracy(counted))
+
+
+def test_a_quantile_is_the_percentile(spark):
+    rnd = random.Random(6)
+    for values in ([], [None], [3.0], [1.0, 2.0], [rnd.choice([0.0, -1.5, 2.25, rnd.random(), None]) for _ in range(501)]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        for share in (0.0, 0.3, 0.75, 1.0):
+            assert models.quantile(df, "v", share) == df.agg(F.expr(f"percentile(v, {share}D)")).first()[0]
