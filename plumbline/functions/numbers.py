@@ -29,11 +29,20 @@ def finite(c: Column) -> Column:
     return F.when(F.abs(c) < float("inf"), c)  # NaN counts as the largest number
 
 
+def _finite_once(c: Column) -> Column:
+    """``finite`` of a costly expression, which stands once in the result."""
+    return F.get(F.filter(F.array(c), lambda x: F.abs(x) < float("inf")), F.lit(0))
+
+
 def plain_number(c: Column) -> Column:
     """Unmapped cells: all commas go, then the rest must be a finite number."""
     # Each step names the one before once: where a filter or a fallback evaluates the whole expression, it is read once.
-    number = F.regexp_extract(F.trim(F.replace(c, F.lit(","), F.lit(""))), PLAIN_LINE, 0).try_cast("double")
-    return F.get(F.filter(F.array(number), lambda x: F.abs(x) < float("inf")), F.lit(0))
+    return _read(F.replace(c, F.lit(","), F.lit("")))
+
+
+def _read(c: Column) -> Column:
+    """A cell that is a number without signs around it."""
+    return _finite_once(F.regexp_extract(F.trim(c), PLAIN_LINE, 0).try_cast("double"))
 
 
 def mapped_number(c: Column) -> Column:
@@ -45,7 +54,7 @@ def mapped_number(c: Column) -> Column:
     t = F.trim(F.regexp_replace(t, CURRENCY, ""))
     t = F.trim(F.regexp_replace(t, "%$", ""))
     number = F.regexp_replace(F.regexp_extract(t, f"{PLAIN}|{GROUPED}", 0), "[, ]", "").try_cast("double")
-    return finite(F.when(text.rlike(r"^\(.*\)$"), -number).otherwise(number))
+    return _finite_once(number * F.when(text.rlike(r"^\(.*\)$"), -1.0).otherwise(1.0))
 
 
 def as_number(df: DataFrame, column: str) -> Column:
@@ -66,8 +75,8 @@ def literal(value: object) -> float | None:
 
 
 def key_number(c: Column) -> Column:
-    """A join key compared as a number."""
-    return F.coalesce(mapped_number(c), plain_number(c))
+    """A join key compared as a number. Both rules read a bare number alike, so only other cells go through them."""
+    return F.coalesce(_read(c), mapped_number(c), plain_number(c))
 
 
 def key_text(c: Column, numeric: bool) -> Column:

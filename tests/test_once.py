@@ -47,3 +47,17 @@ def test_a_quantile_is_the_percentile(spark):
         df = spark.createDataFrame([(v,) for v in values], "v double")
         for share in (0.0, 0.3, 0.75, 1.0):
             assert models.quantile(df, "v", share) == df.agg(F.expr(f"percentile(v, {share}D)")).first()[0]
+
+
+def test_a_key_is_read_as_both_rules_read_it(spark):
+    cells = ["1", " 12.50 ", "(5)", "( 1,200 )", "(0)", "1,2", "1,234", "SAR 7", "7 usd", "12%", "-3e2", "1e999", "(1e999)", "", None, "n/a", "NaN", "٣", "−4", "12\n", "(3)\n", "1 234", "1.0", "(-2)"]
+    df = spark.createDataFrame(list(enumerate(cells)), "i int, t string")
+    trimmed = F.trim("t")
+    t = F.translate(numbers.western(trimmed), "٫٬−" + numbers.HARD_SPACES, ".,-" + " " * len(numbers.HARD_SPACES))
+    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"^\(\s*(.*?)\s*\)$", "$1"), numbers.CURRENCY, ""))
+    n = F.regexp_replace(F.regexp_extract(F.trim(F.regexp_replace(t, "%$", "")), f"{numbers.PLAIN}|{numbers.GROUPED}", 0), "[, ]", "").try_cast("double")
+    mapped = numbers.finite(F.when(trimmed.rlike(r"^\(.*\)$"), -n).otherwise(n))
+    c = F.col("t")
+    for r in df.select("i", numbers.mapped_number(c).alias("m"), mapped.alias("m0"), numbers.key_number(c).alias("k"), F.coalesce(mapped, numbers.plain_number(c)).alias("k0")).collect():
+        assert str(r["m"]) == str(r["m0"]) and str(r["k"]) == str(r["k0"]), cells[r["i"]]
+    assert plan(df.where(numbers.mapped_number(c).isNotNull())).count("regexp_extract") == 1
