@@ -129,11 +129,10 @@ def _named(rows: DataFrame, fmt: str, warnings: list[str]) -> Ingested:
     """(_row_id, cells) -> a table: the first row with text is the header, blank rows go, short rows are padded and
     longer ones widen the header."""
     filled = rows.withColumn("cells", F.transform("cells", lambda x: F.coalesce(x, F.lit("")))).where(F.exists("cells", lambda x: F.trim(x) != ""))
-    first = filled.orderBy(ROW).limit(1).collect()
-    if not first:
+    first = filled.agg(F.min_by("cells", ROW).alias("cells"), F.min(ROW).alias("top"), F.max(F.size("cells")).alias("width")).first()
+    if first["width"] is None:
         raise SourceError("The file has no rows.")
-    names, top = list(first[0]["cells"]), first[0][ROW]
-    width = filled.agg(F.max(F.size("cells"))).first()[0]
+    names, top, width = list(first["cells"]), first["top"], first["width"]
     if width > len(names):
         warnings.append(f"Some rows have {width} cells under {len(names)} names; columns were added.")
     names = header(names + [None] * (width - len(names)))
@@ -144,7 +143,8 @@ def _named(rows: DataFrame, fmt: str, warnings: list[str]) -> Ingested:
 
 def _width_of(line: Column, sep: str) -> Column:
     """Fields of a line: separators outside quoted parts, plus one."""
-    return F.size(F.split(F.regexp_replace(line, r'"(?:[^"]|"")*"', ""), re.escape(sep))) if sep else F.lit(1)
+    plain = F.when(F.contains(line, F.lit('"')), F.regexp_replace(line, r'"(?:[^"]|"")*"', "")).otherwise(line)
+    return F.size(F.split(plain, re.escape(sep))) if sep else F.lit(1)
 
 
 def read_csv(spark: SparkSession, path: str, start: bytes | None = None) -> Ingested:
@@ -177,13 +177,15 @@ def read_csv(spark: SparkSession, path: str, start: bytes | None = None) -> Inge
         records = settled(spans.csv_records(spark, path, sep))
         width = records.agg(F.max(sizes("value"))).first()[0] or 1
         plain = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items() if k not in ("header", "encoding")} | {"multiLine": "true"}
-        rows = records.select(F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)), plain).alias("x"), ROW).select("x.*", ROW)
+        parsed = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)), plain)
+        # Each record is parsed once, whatever its cells are asked for.
+        rows = records.select(F.transform(F.array(parsed), lambda x: F.array(*[x[f"c{i}"] for i in range(width)]))[0].alias("cells"), ROW)
     else:
         rows = in_file_order(load(width))
-    cells = F.array(*[F.col(f"c{i}") for i in range(width)])
-    last = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(F.get(cells, i).isNotNull(), i + 1).otherwise(0)))
-    rows = rows.select(F.slice(cells, F.lit(1), F.greatest(last, F.lit(1))).alias("cells"), ROW)
-    rows = rows.withColumn("cells", F.when(F.col(ROW) == 0, F.transform("cells", lambda x, i: F.when(i == 0, F.ltrim(x, F.lit("\ufeff"))).otherwise(x))).otherwise(F.col("cells")))
+    cells = F.col("cells") if "cells" in rows.columns else F.array(*[F.col(f"c{i}") for i in range(width)])
+    last = lambda x: F.array_max(F.transform(x, lambda v, i: F.when(v.isNotNull(), i + 1).otherwise(0)))
+    rows = rows.select(F.transform(F.array(cells), lambda x: F.slice(x, F.lit(1), F.greatest(last(x), F.lit(1))))[0].alias("cells"), ROW)
+    rows = rows.withColumn("cells", F.transform("cells", lambda x, i: F.when((F.col(ROW) == 0) & (i == 0), F.ltrim(x, F.lit("\ufeff"))).otherwise(x)))
     return _named(rows, "csv", [])
 
 

@@ -107,14 +107,15 @@ def _quotes(sep: str):
 def csv_records(spark: SparkSession, path: str, sep: str) -> DataFrame:
     """(_row_id, value): the text of each record of a UTF-8 CSV whose quoted cells may hold line ends."""
     cut = pieces(spark, path, "\n")
-    first = F.col("_from") == 0
-    cut = cut.withColumn("value", F.when(first, F.regexp_replace("value", r"^\uFEFF", "")).otherwise(F.col("value")))
+    marked = (F.col("_from") == 0) & F.startswith("value", F.lit("\ufeff"))
+    cut = cut.withColumn("value", F.when(marked, F.substring("value", 2, 2**31 - 1)).otherwise(F.col("value")))
     # Lines without a quote lead nowhere else and need no look from Python.
     leads = _quotes(sep)(F.when(F.contains("value", F.lit('"')), F.col("value")))
     rows = with_state(cut.withColumn("_leads", leads).select("*", F.col("_leads.outside").alias("_out"), F.col("_leads.inside").alias("_in")).drop("_leads"), "_out", "_in")
-    blank = ~F.col("_was") & ~F.col("_is") & (F.regexp_replace("value", r"\s", "") == "")  # no record, as elsewhere
+    blank = ~F.col("_was") & ~F.col("_is") & ~F.col("value").rlike(r"\S")  # no record, as elsewhere
     records = joined(numbered(rows.where(~blank), ~F.col("_is")), ~F.col("_was") & ~F.col("_is"), "\n")
-    return records.select(ROW, F.regexp_replace("value", "\r\\z", "").alias("value"))
+    returned = F.endswith("value", F.lit("\r"))
+    return records.select(ROW, F.when(returned, F.regexp_replace("value", "\r\\z", "")).otherwise(F.col("value")).alias("value"))
 
 
 def json_elements(spark: SparkSession, path: str) -> DataFrame:

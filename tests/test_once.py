@@ -61,3 +61,15 @@ def test_a_key_is_read_as_both_rules_read_it(spark):
     for r in df.select("i", numbers.mapped_number(c).alias("m"), mapped.alias("m0"), numbers.key_number(c).alias("k"), F.coalesce(mapped, numbers.plain_number(c)).alias("k0")).collect():
         assert str(r["m"]) == str(r["m0"]) and str(r["k"]) == str(r["k0"]), cells[r["i"]]
     assert plan(df.where(numbers.mapped_number(c).isNotNull())).count("regexp_extract") == 1
+
+
+def test_a_quoted_file_is_parsed_in_two_passes(spark, tmp_path):
+    from plumbline.sources import files
+
+    path = tmp_path / "t.csv"
+    path.write_bytes('﻿\r\n  \r\nkey,note\r\n1,"a, ""b""\nc"\r\n,\r\n2,x,\r\n"3",,"z"\r\n4\r\n'.encode())
+    table = files.read_table(spark, str(path))
+    rows = [tuple(r) for r in table.df.orderBy(ROW).collect()]
+    assert table.df.columns == ["key", "note", "column_3", ROW]
+    assert [r[:3] for r in rows] == [("1", 'a, "b"\nc', ""), ("2", "x", ""), ("3", "", "z"), ("4", "", "")]
+    assert plan(table.df).count("from_csv") <= 2  # the filter of blank rows and the cells
