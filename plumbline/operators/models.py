@@ -226,9 +226,13 @@ def clusters(df: DataFrame, numbers: list[str], order: str = ROW, seed: int = 7,
 
     inputs = [F.col(f"`{c}`").cast("double") for c in numbers[:MOST_NUMBERS]]
     rows = df.where(Inputs(list(numbers), inputs).complete())
-    rows = rows.select(order, F.array(*scaled(rows, inputs)).alias("vector")).withColumn("features", array_to_vector("vector")).persist()
-    if rows.count() < LEAST_ROWS:
+    n = rows.count()
+    if n < LEAST_ROWS:
         return {"fitted": False}
+    rows = rows.select(order, F.array(*scaled(rows, inputs)).alias("vector"))
+    if n > ROWS_A_TASK:  # a file may be one task, and every round reads what that task holds
+        rows = rows.repartition(-(-n // ROWS_A_TASK), order)
+    rows = rows.withColumn("features", array_to_vector("vector")).persist()
     best: tuple[float, int] | None = None
     for k in range(2, most + 1):
         found = KMeans(k=k, seed=seed + k, maxIter=60).fit(rows).transform(rows).withColumnRenamed("prediction", "group")

@@ -73,3 +73,13 @@ def test_a_quoted_file_is_parsed_in_two_passes(spark, tmp_path):
     assert table.df.columns == ["key", "note", "column_3", ROW]
     assert [r[:3] for r in rows] == [("1", 'a, "b"\nc', ""), ("2", "x", ""), ("3", "", "z"), ("4", "", "")]
     assert plan(table.df).count("from_csv") <= 2  # the filter of blank rows and the cells
+
+
+def test_clusters_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(models, "ROWS_A_TASK", 50)
+    df = spark.range(400).coalesce(1).select(F.col("id").alias(ROW), (F.col("id") % 2 * 100 + F.col("id") % 7).cast("double").alias("x"))
+    seen = []
+    whole = models.silhouette
+    monkeypatch.setattr(models, "silhouette", lambda points: (seen.append(points.rdd.getNumPartitions()), whole(points))[1])
+    found = models.clusters(df, ["x"])
+    assert found["k"] == 2 and found["verdict"] == "found" and min(seen) > 1
