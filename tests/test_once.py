@@ -83,3 +83,11 @@ def test_clusters_are_dealt_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(models, "silhouette", lambda points: (seen.append(points.rdd.getNumPartitions()), whole(points))[1])
     found = models.clusters(df, ["x"])
     assert found["k"] == 2 and found["verdict"] == "found" and min(seen) > 1
+
+
+def test_the_best_rule_reads_rows_once_for_each_candidate(spark):
+    rnd = random.Random(5)
+    rows = [(i, g, "x", g == "a" and rnd.random() < 0.9) for i in range(300) for g in [rnd.choice("ab")]]
+    df = models.split(spark.createDataFrame(rows, f"{ROW} long, g string, one string, label boolean").withColumn("label", F.col("label").cast("string")))
+    guessed = maintenance.rule_guess(df.where(~F.col("held_out")), df.where("held_out"), "g", ROW)
+    assert maintenance.best_rule(df, ["one", "g"], ROW) == ("g", models.balanced_accuracy(guessed).first()[0])
