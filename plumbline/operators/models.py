@@ -20,6 +20,11 @@ ROWS_A_TASK = 100_000
 SEASONS = {"day": 7, "month": 12, "quarter": 4}
 
 
+def how_many(n: str | None) -> Column:
+    """The number of rows, or of those that the rows stand for where column ``n`` counts equal ones."""
+    return F.count("*") if n is None else F.sum(n)
+
+
 @dataclass
 class Inputs:
     """Numeric inputs and one-hot text inputs; each text column's most common level has no column."""
@@ -28,13 +33,13 @@ class Inputs:
     columns: list[Column]
 
     @classmethod
-    def of(cls, df: DataFrame, numbers: list[str], texts: list[str], order: str = ROW) -> Inputs:
+    def of(cls, df: DataFrame, numbers: list[str], texts: list[str], order: str = ROW, n: str | None = None) -> Inputs:
         names, columns = list(numbers[:MOST_NUMBERS]), [F.col(f"`{c}`").cast("double") for c in numbers[:MOST_NUMBERS]]
         used = 0
         for c in texts:
             if used == MOST_TEXTS:
                 break
-            levels = df.groupBy(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias("v")).agg(F.count("*").alias("n"), F.min(order).alias("o")).orderBy(F.desc("n"), "o").limit(MOST_LEVELS + 1).collect()
+            levels = df.groupBy(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias("v")).agg(how_many(n).alias("n"), F.min(order).alias("o")).orderBy(F.desc("n"), "o").limit(MOST_LEVELS + 1).collect()
             if 2 <= len(levels) <= MOST_LEVELS:
                 used += 1
                 for r in levels[1:]:
@@ -95,12 +100,22 @@ def linear(coefficients: list[float], intercept: float, inputs: list[Column]) ->
     return out
 
 
-def scaled(df: DataFrame, inputs: list[Column]) -> list[Column]:
-    """Inputs by training mean and population deviation (1 where constant)."""
+def scaled(df: DataFrame, inputs: list[Column], n: str | None = None) -> list[Column]:
+    """Inputs by training mean and population deviation (1 where constant). Where ``n`` counts equal rows, none may be null."""
+    if n is not None:
+        return _scaled_counts(df, inputs, F.col(n))
     row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(inputs)], *[F.stddev_pop(c).alias(f"d{i}") for i, c in enumerate(inputs)]).first()
     return [(c - F.lit(row[f"m{i}"] or 0.0)) / F.lit(row[f"d{i}"] or 1.0) for i, c in enumerate(inputs)]
 
 
+def _scaled_counts(df: DataFrame, inputs: list[Column], n: Column) -> list[Column]:
+    """Means first, then deviations from them. A constant is its own mean, which a rounded sum may miss."""
+    row = df.agg(*[x for i, c in enumerate(inputs) for x in ((F.sum(n * c) / F.sum(n)).alias(f"m{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"))]).first()
+    means = [F.lit((row[f"lo{i}"] if row[f"lo{i}"] == row[f"hi{i}"] else row[f"m{i}"]) or 0.0) for i in range(len(inputs))]
+    off = df.agg(*[F.sqrt(F.sum(n * (c - m) ** 2) / F.sum(n)).alias(f"d{i}") for i, (c, m) in enumerate(zip(inputs, means, strict=True))]).first()
+    return [(c - m) / F.lit(off[f"d{i}"] or 1.0) for i, (c, m) in enumerate(zip(inputs, means, strict=True))]
+
+
 def improvement(model: float, baseline: float, lower: bool) -> float:
     return 0.0 if not baseline else ((baseline - model) if lower else (model - baseline)) / abs(baseline)
 
@@ -124,10 +139,13 @@ def regression(df: DataFrame, numbers: list[str], texts: list[str], target: str,
     return {"fitted": True, "rows": n, "held_out": seen[0], "inputs": dict(zip(inputs.names, weights, strict=True)), "intercept": base, "error": seen[1], "baseline_error": seen[2], "explained": 1 - seen[3] / seen[4] if seen[4] else 0.0, "improvement": gain, "verdict": "useful" if gain >= BEATS else "weak"}
 
 
-def naive_bayes(df: DataFrame, inputs: list[Column], label: Column) -> DataFrame:
-    """label, prior (log), means, spreads (population variance, 0.001 at least): one row per class."""
+def naive_bayes(df: DataFrame, inputs: list[Column], label: Column, n: str | None = None) -> DataFrame:
+    """label, prior (log), means, spreads (population variance, 0.001 at least): one row per class. Where ``n`` counts equal
+    rows, the inputs are ``scaled``, so that sums of squares keep their digits."""
     everyone = Window.partitionBy()
-    rows = df.groupBy(label.alias("label")).agg(F.count("*").alias("n"), F.array(*[F.avg(c) for c in inputs]).alias("means"), F.array(*[F.greatest(F.var_pop(c), F.lit(LEAST_SPREAD)) for c in inputs]).alias("spreads"))
+    mean = lambda c: F.avg(c) if n is None else F.sum(F.col(n) * c) / F.sum(n)
+    spread = lambda c: F.var_pop(c) if n is None else mean(c * c) - mean(c) ** 2
+    rows = df.groupBy(label.alias("label")).agg(how_many(n).alias("n"), F.array(*[mean(c) for c in inputs]).alias("means"), F.array(*[F.greatest(spread(c), F.lit(LEAST_SPREAD)) for c in inputs]).alias("spreads"))
     return rows.withColumn("prior", F.ln(F.col("n") / F.sum("n").over(everyone))).select("label", "prior", "means", "spreads")
 
 

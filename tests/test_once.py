@@ -91,3 +91,61 @@ def test_the_best_rule_reads_rows_once_for_each_candidate(spark):
     df = models.split(spark.createDataFrame(rows, f"{ROW} long, g string, one string, label boolean").withColumn("label", F.col("label").cast("string")))
     guessed = maintenance.rule_guess(df.where(~F.col("held_out")), df.where("held_out"), "g", ROW)
     assert maintenance.best_rule(df, ["one", "g"], ROW) == ("g", models.balanced_accuracy(guessed).first()[0])
+
+
+def risk_rows(spark, periods):
+    rnd = random.Random(periods)
+    rows = []
+    for i in range(900):
+        age, site = rnd.choice(["0", "1.5", "1,000", "3", "4", "", None, "n/a"]), rnd.choice(["A", "B", "", None])
+        late = rnd.random() < (0.8 if age in ("3", "4") or site == "B" else 0.3)
+        rows.append((i, rnd.choice([*[f"2024-{1 + rnd.randrange(periods):02d}"] * 4, "", None]), rnd.choice(["Corrective", "Preventive"]), site, age, "0.1", rnd.choice(["8", "8", ""]), "9" if late else "7.5"))
+    return spark.createDataFrame(rows, f"{ROW} long, Record_Date string, Work_Order_Type string, Site string, Asset_Age_Years string, Planned_Operating_Hours string, SLA_Target_Hours string, SLA_Actual_Hours string")
+
+
+def risk_of_rows(df):
+    """What ``maintenance.risk`` says, from the rows themselves."""
+    numeric, texts, order = ["Asset_Age_Years", "Planned_Operating_Hours"], ["Work_Order_Type", "Site"], ROW
+    rows = models.split(maintenance.labelled(df, "sla_breach"), "Record_Date", order)
+    rows = rows.select(order, *texts, *[numbers.as_number(rows, c).alias(c) for c in numeric], F.col("label").cast("string").alias("label"), "held_out")
+    sizes = rows.where(~F.col("held_out")).count(), rows.where("held_out").count()
+    inputs = models.Inputs.of(rows.where(~F.col("held_out")), numeric, texts, order)
+    rows = rows.where(inputs.complete())
+    train, test = rows.where(~F.col("held_out")), rows.where("held_out")
+    x = models.scaled(train, inputs.columns)
+    model = models.naive_bayes(train, x, F.col("label")).collect()
+    score = models.balanced_accuracy(test.select(F.col("label").alias("actual"), models.classify(model, x).alias("predicted"))).first()[0]
+    rules = {c: models.balanced_accuracy(maintenance.rule_guess(train, test, c, order)).first()[0] for c in texts}
+    return sizes, score, max(0.5, *rules.values())
+
+
+def test_a_risk_card_is_that_of_the_rows(spark):
+    for periods in (3, 8):  # every fifth row is held out, or the latest periods
+        df = risk_rows(spark, periods)
+        card = maintenance.risk(df, "sla_breach")
+        assert ((card["train"], card["test"]), card["score"], card["baseline"]) == risk_of_rows(df) and 0.55 < card["score"] < 0.95
+
+
+def test_a_risk_card_reads_the_table_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(cell):
+        read.add(1)
+        return cell
+
+    df = risk_rows(spark, 8).localCheckpoint()
+    assert maintenance.risk(df.withColumn("SLA_Actual_Hours", F.udf(seen, "string")("SLA_Actual_Hours")), "sla_breach")["fitted"]
+    assert read.value == 900
+
+
+def test_counted_rows_give_the_models_of_the_rows(spark):
+    rnd = random.Random(9)
+    rows = [(i, 0.1, 1e6 + rnd.choice([0.25, 0.5, 2.0]), rnd.choice(["a", "b", "c", None]), rnd.choice("xy")) for i in range(700)]
+    df = spark.createDataFrame(rows, "o long, same double, far double, t string, label string")
+    one = df.groupBy("same", "far", "t", "label").agg(F.count("*").alias("n"), F.min("o").alias("o"))
+    plain, counted = models.Inputs.of(df, ["same", "far"], ["t"], "o"), models.Inputs.of(one, ["same", "far"], ["t"], "o", "n")
+    assert plain.names == counted.names
+    models_of = [sorted(models.naive_bayes(d, models.scaled(d, i.columns, n), F.col("label"), n).collect()) for d, i, n in ((df, plain, None), (one, counted, "n"))]
+    for a, b in zip(*models_of, strict=True):
+        assert a["label"] == b["label"] and a["prior"] == b["prior"] and b["means"][0] == 0 and b["spreads"][0] == models.LEAST_SPREAD
+        assert all(abs(x - y) < 1e-9 for x, y in zip([*a["means"], *a["spreads"]], [*b["means"], *b["spreads"]], strict=True))
