@@ -222,22 +222,22 @@ def best_rule(rows: DataFrame, candidates: list[str], order: str, most_rules: in
     return best
 
 
-def counted(df: DataFrame, target: str, numeric: list[str], texts: list[str], date: str | None, order: str) -> DataFrame:
-    """Labelled rows that agree in all that ``risk`` reads, as one with their count ``n``: the inputs, ``label``, ``_date`` and
+def counted(df: DataFrame, label: Column, numeric: list[str], texts: list[str], date: str | None, order: str) -> DataFrame:
+    """Rows with a label that agree in all that ``risk`` reads, as one with their count ``n``: the inputs, ``label``, ``_date`` and
     ``_first``, the least ``order``. Whether ``order`` is a multiple of 5 is agreed on too, so the first answers for all.
 
     The table is read once, and a cell is parsed once. Unlabelled rows go afterwards: a filter before the count would be
     evaluated with the label's cells parsed again."""
-    rows, label = asked(df, target)
     place = as_number(df, order) if order in numeric else F.col(f"`{order}`")
     dates = [F.col(f"`{date}`").cast("string").alias("_date")] if date else []
     keys = [*[F.col(f"`{c}`") for c in texts], *[as_number(df, c).alias(c) for c in numeric], label.cast("string").alias("label"), (place % 5 == 0).alias("_fifth"), *dates]
-    return settled(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(place).alias("_first"))).where("label is not null")
+    return settled(df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(place).alias("_first"))).where("label is not null")
 
 
 def risk(df: DataFrame, target: str, date: str = "Record_Date", order: str = "_row_id") -> dict[str, Any]:
     """A card: useful only if the model beats the better baseline by 5 per cent and reaches 0.55; the claim follows
     the verdict."""
+    rows, label = asked(df, target)
     usable, excluded = model_inputs(df.columns)
     defines = {"repeat_failure": {"Failure_Count", "Work_Order_Type"}, "sla_breach": {"SLA_Target_Hours", "SLA_Actual_Hours"}}[target]
     usable = [c for c in usable if resolve([c])[0][c] not in defines | {"Record_Date"}]
@@ -245,7 +245,7 @@ def risk(df: DataFrame, target: str, date: str = "Record_Date", order: str = "_r
     texts = [c for c in usable if c not in numeric]
     numeric = numeric[: models.MOST_NUMBERS]
     dated = date if date in df.columns else None
-    rows = models.split(counted(df, target, numeric, texts, dated, order), "_date" if dated else None, "_first")
+    rows = models.split(counted(rows, label, numeric, texts, dated, order), "_date" if dated else None, "_first")
     complete = models.Inputs(numeric, [F.col(f"`{c}`") for c in numeric]).complete()
     # Levels and rules ask for texts alone, which agree in more rows.
     told = settled(rows.groupBy(*[F.col(f"`{c}`") for c in texts], "label", "held_out", complete.alias("_complete")).agg(F.sum("n").alias("n"), F.min("_first").alias("_first")))

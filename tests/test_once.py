@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import numbers, text
@@ -149,3 +150,8 @@ def test_counted_rows_give_the_models_of_the_rows(spark):
     for a, b in zip(*models_of, strict=True):
         assert a["label"] == b["label"] and a["prior"] == b["prior"] and b["means"][0] == 0 and b["spreads"][0] == models.LEAST_SPREAD
         assert all(abs(x - y) < 1e-9 for x, y in zip([*a["means"], *a["spreads"]], [*b["means"], *b["spreads"]], strict=True))
+
+
+def test_a_risk_that_is_not_known_is_refused(spark):
+    with pytest.raises(ValueError, match="no such target"):
+        maintenance.risk(risk_rows(spark, 3), "color")
